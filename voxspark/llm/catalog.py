@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import perspectives, quality, secrets, sharding, token_planes, warc
+from . import contamination, jaccard, mixing, perspectives, quality, secrets, sharding, token_planes, warc
 
 QUERIES = {
     "op1_perspective_rotation": perspectives.op1_perspective_rotation,
     "op2_token_planes": token_planes.op2_token_planes,
+    "op3_benchmark_containment": contamination.op3_benchmark_containment,
     "op4_warc_bundles": warc.op4_warc_bundles,
     "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_soft_mixing": mixing.op10_soft_mixing,
 }
 SQL = {
     "op1_perspective_rotation": perspectives.ORACLE,
+    "op3_benchmark_containment": contamination.ORACLE,
     "op4_warc_bundles": warc.ORACLE,
+    "op8_jaccard_join": jaccard.ORACLE,
 }
