@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import contamination, jaccard, mixing, perspectives, quality, secrets, sharding, token_planes, warc
+from . import contamination, jaccard, lm_scoring, mixing, perspectives, quality, secrets, sharding, token_planes, warc
 
 QUERIES = {
     "op1_perspective_rotation": perspectives.op1_perspective_rotation,
     "op2_token_planes": token_planes.op2_token_planes,
     "op3_benchmark_containment": contamination.op3_benchmark_containment,
     "op4_warc_bundles": warc.op4_warc_bundles,
+    "op5_recurrent_scores": lm_scoring.op5_recurrent_scores,
     "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_jaccard_join": jaccard.op8_jaccard_join,

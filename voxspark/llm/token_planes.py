@@ -8,6 +8,7 @@ planes; a footer holds the index's offset, the number of chunks and the magic ag
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import struct
@@ -182,6 +183,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that words are learnt once and not by every task."""
+    return Encoder(path)
+
+
 INDEX = "file string, file_rank int, row long, doc_id long, first long, n_tokens long"
 
 
@@ -208,7 +215,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             if not b.num_rows:
                 continue
             if out is None:
-                coder = Encoder(tokenizer)
+                coder = encoder(tokenizer)
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 writer = PlaneWriter(out, block)
             texts, rows = strings(b.column(1)), []
