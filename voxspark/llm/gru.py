@@ -18,6 +18,7 @@ SYMBOLS = CLASSES * CLASS_SIZE
 END, OTHER = 0, 1
 LANES, STEPS = 512, 12
 CELLS = 8_000_000
+SEGMENT, UPDATES = 1024, 150
 
 Params = dict[str, np.ndarray]
 
@@ -142,13 +143,13 @@ def probabilities(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     return own
 
 
-def _gradients(p: Params, x: np.ndarray, y: np.ndarray, first: np.ndarray, used: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray]:
-    """Mean gradients over one window and its last states. `used` leaves out what lies after a lane's end."""
+def _gradients(p: Params, x: np.ndarray, y: np.ndarray, first: np.ndarray, used: np.ndarray, h: np.ndarray, full: int) -> tuple[Params, np.ndarray]:
+    """Gradients over one window, by its `full` number of symbols, and its last states. `used` leaves out what lies after a lane's end."""
     steps, lanes = x.shape
     out, gates, inner = _states(p, x, first, h, True)
     hs = out[1:].reshape(-1, HIDDEN)
     at = np.flatnonzero(used.ravel())
-    ys, hv, n = y.ravel()[at], hs[at], np.float32(1 / max(1, len(at)))
+    ys, hv, n = y.ravel()[at], hs[at], np.float32(1 / full)
     d = _softmax(hv @ p["class"].T + p["class_bias"])
     d[np.arange(len(ys)), ys // CLASS_SIZE] -= 1
     g: Params = {"class": d.T @ hv, "class_bias": d.sum(0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
@@ -207,13 +208,18 @@ def inputs_of(y: np.ndarray, first: np.ndarray, before: np.ndarray) -> np.ndarra
 class Trainer:
     """Adam over windows of truncated backpropagation."""
 
-    def __init__(self, p: Params, rate: float = 0.01):
+    def __init__(self, p: Params, rate: float = 0.02):
         self.p = {k: v.copy() for k, v in p.items()}
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
         self.rate, self.i, self.tokens = rate, 0, 0
 
-    def train(self, docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> None:
+    def train(self, docs: list[np.ndarray], lanes: int | None = None, steps: int = STEPS) -> None:
+        """Once over all documents. Long ones are cut into segments, so that lanes end together and the
+        last windows are not those of a few documents; few tokens get fewer lanes and so more steps."""
+        docs = [d[i : i + SEGMENT] for d in docs for i in range(0, len(d), SEGMENT)]
+        if lanes is None:
+            lanes = min(LANES, max(32, sum(map(len, docs)) // (steps * UPDATES)))
         dealt = Lanes(docs, lanes)
         h = np.zeros((dealt.targets.shape[1], HIDDEN), np.float32)
         last = np.zeros(len(h), np.int32)
@@ -221,7 +227,7 @@ class Trainer:
             for a, b, n in dealt.windows(steps):
                 y, first = dealt.targets[a:b, :n], dealt.first[a:b, :n]
                 used = np.arange(a, b)[:, None] < dealt.lengths[None, :n]
-                g, h = _gradients(self.p, inputs_of(y, first, last[:n]), y, first, used, h[:n].copy())
+                g, h = _gradients(self.p, inputs_of(y, first, last[:n]), y, first, used, h[:n].copy(), steps * len(dealt.lengths))
                 last = y[-1]
                 self._step(g)
                 self.tokens += int(used.sum())
