@@ -25,11 +25,12 @@ BITS = {"lang": 3, "length": 3, "symbols": 2, "capitals": 2}
 LEXICON_BITS, MOST_LEXICONS, LEXICON_WORDS = 2, 4, 24
 CODES = 1 << (sum(BITS.values()) + LEXICON_BITS * MOST_LEXICONS)
 LEXICON_SAMPLE = 20_000
+TELLING = 4.0  # standard errors by which a word's log-odds must differ from 0
 MOST_DOMAINS = 16
 TARGETS = {"q1_t0": 0.95}
 RIDGE = 1e-3
-MOST_STEPS = 80
-TOLERANCE = 1e-3
+MOST_STEPS = 48
+TOLERANCE = 2e-3
 
 
 def _labelled(labels: DataFrame) -> DataFrame:
@@ -108,7 +109,8 @@ def choose_lexicons(docs: DataFrame, labels: DataFrame) -> Classifier:
     for i, d in enumerate(domains[:MOST_LEXICONS]):
         n, own = sizes.get(d, 0), F.col(f"n{i}")
         odds = F.log((own + 0.5) / (n + 1)) - F.log((F.col("n") - own + 0.5) / (whole - n + 1))
-        best = counts.select("word", (own / max(n, 1) * odds).alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "word").limit(LEXICON_WORDS)
+        spread = F.sqrt(1 / (own + 0.5) + 1 / (F.col("n") - own + 0.5))
+        best = counts.where(odds / spread >= TELLING).select("word", (own / max(n, 1) * odds).alias("gain")).orderBy(F.desc("gain"), "word").limit(LEXICON_WORDS)
         lexicons.append([r.word for r in best.collect()])
     return Classifier(domains, lexicons)
 
