@@ -2,5 +2,399 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.geometry import ImageMeta, matrix_from_p
+from ..operators import lcc, pointwise, resample, runs, statistics, stencil
+from ..operators.lcc import chunked, evaluate
+from ..sources.volumes import fixed_volume, moving_volume, raw_volume, volume_meta
+from . import masking, optimise, pyramid
+from .register import Config, register
+
+FRACTION = 0.1
+CROP = ((5, 4, 3), (20, 10, 8))
+SKIP = (2, 3, 2)
+OBLIQUE = ImageMeta((64, 25, 20), (0.5, 1.25, 2.0), (-16.0, 8.0, 4.0), (0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0))
+#: Entries are sums of powers of two, so that every product is exact in either engine.
+MATRIX = np.array([[0.9375, 0.125, 0.0, 1.25], [-0.125, 0.9375, 0.0625, 0.5], [0.0, -0.0625, 1.0, 0.375], [0, 0, 0, 1]])
+SHIFTS = [(2.0, 0.0, 0.0), (0.0, 0.0, 0.0), (1.5, 0.25, -0.25), (3.0, 0.0, 0.0), (2.0, 1.0, 0.0), (2.0, 0.0, -1.0)]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def shift(t: tuple[float, float, float]) -> np.ndarray:
+    return matrix_from_p([*t, 0, 0, 0])
+
+
+def images(spark: SparkSession, sf_dir: str) -> tuple[ImageMeta, DataFrame, DataFrame]:
+    fixed = fixed_volume(spark, sf_dir)
+    return volume_meta(spark, sf_dir), fixed, moving_volume(fixed)
+
+
+def masked_images(spark: SparkSession, sf_dir: str) -> tuple[ImageMeta, DataFrame, DataFrame]:
+    meta, fixed, moving = images(spark, sf_dir)
+    return meta, masking.mask_image(fixed, meta, FRACTION, False), masking.mask_image(moving, meta, FRACTION, True)
+
+
+# --- SQL parts ----------------------------------------------------------------------------------
+
+G = """g AS (SELECT CAST(vec_id // 25 AS INTEGER) AS z, CAST(vec_id % 25 AS INTEGER) AS y, CAST(i AS INTEGER) AS x, CAST(e AS DOUBLE) AS g
+  FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding) AS e FROM embeddings))"""
+VOX = f"""{G}, r AS (SELECT min(g) AS lo, max(g) AS hi FROM g),
+fix AS (SELECT z, y, x, CAST(CASE WHEN g <= lo THEN 1 WHEN g >= hi THEN 1023 ELSE floor((g - lo) / (hi - lo) * 1022e0 + 1 + 0.5e0 + 2.22e-15) END AS INTEGER) AS v FROM g, r),
+d AS (SELECT max(x) + 1 AS nx, max(y) + 1 AS ny, max(z) + 1 AS nz FROM fix),
+mov AS (SELECT a.z, a.y, a.x, CAST(greatest(1, b.v + (7 * a.x + 13 * a.y + 29 * a.z) % 5) AS INTEGER) AS v
+  FROM fix a JOIN fix b ON a.z = b.z AND a.y = b.y AND b.x = greatest(0, a.x - 2))"""
+
+
+def _gm(name: str) -> str:
+    """gm_<name>: interior gradient magnitudes; lim_<name>: its threshold."""
+    return f"""w_{name} AS (SELECT z, y, x, v,
+    lead(v) OVER (PARTITION BY z, y ORDER BY x) - lag(v) OVER (PARTITION BY z, y ORDER BY x) AS dx,
+    lead(v) OVER (PARTITION BY z, x ORDER BY y) - lag(v) OVER (PARTITION BY z, x ORDER BY y) AS dy,
+    lead(v) OVER (PARTITION BY y, x ORDER BY z) - lag(v) OVER (PARTITION BY y, x ORDER BY z) AS dz FROM {name}),
+gm_{name} AS (SELECT z, y, x, v, CAST(dx * dx + dy * dy + dz * dz AS BIGINT) AS gm FROM w_{name}, d
+  WHERE x BETWEEN 1 AND nx - 2 AND y BETWEEN 1 AND ny - 2 AND z BETWEEN 1 AND nz - 2),
+top_{name} AS (SELECT max(gm) AS top FROM gm_{name}),
+h_{name} AS (SELECT CAST(least(floor(gm / CAST(top AS DOUBLE) * 1048576e0 + 0.5e0 + 2.22e-15), 1048575) AS INTEGER) AS bin, count(*) AS count
+  FROM gm_{name}, top_{name} GROUP BY 1),
+c_{name} AS (SELECT bin, sum(count) OVER (ORDER BY bin) AS s, sum(count) OVER () AS n FROM h_{name}),
+lim_{name} AS (SELECT CAST(min(bin) AS INTEGER) AS bin, any_value(top) * min(bin) / 1048576e0 AS lim FROM c_{name}, top_{name} WHERE s >= floor(n * (1 - {FRACTION}e0) + 0.5e0))"""
+
+
+def _masked(name: str, near: str) -> str:
+    return f"""core_{name} AS (SELECT z, y, x FROM gm_{name}, lim_{name} WHERE gm > lim),
+near_{name} AS (SELECT DISTINCT c.z + a AS z, c.y + b AS y, c.x + c AS x FROM core_{name} c,
+  (SELECT unnest(range(-2, 3)) AS a), (SELECT unnest(range(-2, 3)) AS b), (SELECT unnest(range(-2, 3)) AS c) WHERE {near}),
+m_{name} AS (SELECT i.z, i.y, i.x, CAST(CASE WHEN k.z IS NOT NULL THEN i.v WHEN n.z IS NOT NULL THEN -i.v ELSE 0 END AS INTEGER) AS v
+  FROM {name} i LEFT JOIN core_{name} k USING (z, y, x) LEFT JOIN near_{name} n USING (z, y, x))"""
+
+
+FIX_MASK = f"{VOX}, {_gm('fix')}, {_masked('fix', 'abs(a) + abs(b) + abs(c) <= 2')}"
+BOTH_MASKS = f"{FIX_MASK}, {_gm('mov')}, {_masked('mov', 'true')}"
+CORNERS = """(SELECT unnest([0, 1]) AS ox), (SELECT unnest([0, 1]) AS oy), (SELECT unnest([0, 1]) AS oz)"""
+WEIGHT = "(CASE WHEN ox = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) * (CASE WHEN oy = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN oz = 1 THEN pz - floor(pz) ELSE 1 - (pz - floor(pz)) END)"
+INNER = "px >= 0.5e0 AND px < nx - 1.5e0 AND py >= 0.5e0 AND py < ny - 1.5e0 AND pz >= 0.5e0 AND pz < nz - 1.5e0"
+INTERP = f"""q AS (SELECT p.*, CAST(floor(px) AS INTEGER) + ox AS cx, CAST(floor(py) AS INTEGER) + oy AS cy, CAST(floor(pz) AS INTEGER) + oz AS cz, {WEIGHT} AS w
+  FROM p, d, {CORNERS} WHERE {INNER}),
+t AS (SELECT q.k, q.z, q.y, q.x, q.v, CASE WHEN max(m.v) > 0 THEN sum(w * abs(m.v)) ELSE -sum(w * abs(m.v)) END AS t
+  FROM q JOIN m_mov m ON m.x = cx AND m.y = cy AND m.z = cz WHERE m.v <> 0 GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = 8)"""
+LCC = f"""{INTERP},
+e AS (SELECT k, z + a AS z, y + b AS y, x + c AS x, CAST(abs(v) AS DOUBLE) AS b, abs(t) AS t, a = 0 AND b = 0 AND c = 0 AND v > 0 AND t > 0 AS own
+  FROM t, (VALUES (0,0,0), (-1,0,0), (1,0,0), (0,-1,0), (0,1,0), (0,0,-1), (0,0,1)) o(a, b, c)),
+s AS (SELECT k, sum(b * b) - sum(b) * sum(b) / 7 AS bb, sum(t * t) - sum(t) * sum(t) / 7 AS tt, sum(b * t) - sum(b) * sum(t) / 7 AS bt
+  FROM e, d WHERE x BETWEEN 2 AND nx - 3 AND y BETWEEN 2 AND ny - 3 AND z BETWEEN 2 AND nz - 3
+  GROUP BY k, z, y, x HAVING count(*) = 7 AND bool_or(own) AND min(t) >= 1)"""
+
+
+def _points(shifts) -> str:
+    """p: fixed voxels of the mask with their places under each shift."""
+    rows = ", ".join(f"({i}, {a}e0, {b}e0, {c}e0)" for i, (a, b, c) in enumerate(shifts))
+    return f"p AS (SELECT k, f.z, f.y, f.x, f.v, f.x + tx AS px, f.y + ty AS py, f.z + tz AS pz FROM m_fix f, (VALUES {rows}) s(k, tx, ty, tz) WHERE f.v <> 0)"
+
+
+def _affine_sql(m: np.ndarray, source=("x", "y", "z"), to=("px", "py", "pz")) -> str:
+    return ", ".join(f"{float(r[0])!r}::DOUBLE * {source[0]} + {float(r[1])!r}::DOUBLE * {source[1]} + {float(r[2])!r}::DOUBLE * {source[2]} + {float(r[3])!r}::DOUBLE AS {t}" for r, t in zip(m[:3], to, strict=True))
+
+
+def _down_sql(source: str, to: tuple[str, str, str], mask: bool = False) -> str:
+    axes = ""
+    for k, n, m in (("x", "nx", to[0]), ("y", "ny", to[1]), ("z", "nz", to[2])):
+        axes += f"a{k} AS (SELECT i, o, least((o + 1) * {n}, (i + 1) * {m}) - greatest(o * {n}, i * {m}) AS w FROM d, (SELECT unnest(range(0, {n})) AS i FROM d), (SELECT unnest(range(0, {m})) AS o FROM d) WHERE least((o + 1) * {n}, (i + 1) * {m}) > greatest(o * {n}, i * {m})), "
+    value = "CASE WHEN 4 * s > nx * ny * nz THEN 1 ELSE 0 END" if mask else "(2 * s + nx * ny * nz) // (2 * nx * ny * nz)"
+    return f"""{axes}u AS (SELECT az.o AS z, ay.o AS y, ax.o AS x, CAST(sum(CAST(ax.w * ay.w * az.w AS BIGINT) * v) AS BIGINT) AS s
+  FROM {source} i JOIN ax ON ax.i = i.x JOIN ay ON ay.i = i.y JOIN az ON az.i = i.z GROUP BY 1, 2, 3)
+SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST({value} AS INTEGER) AS v FROM u, d"""
+
+
+def _half(n: str, factor: str) -> str:
+    return f"CAST(round_even({n} / {factor}, 0) AS BIGINT)"
+
+
+# --- queries ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {G} SELECT min(g) AS low, max(g) AS high FROM g")
+def value_range(spark, sf_dir):
+    return pointwise.value_range(raw_volume(spark, sf_dir), "g")
+
+
+@query(f"WITH {VOX} SELECT * FROM fix")
+def voxelize_rescale(spark, sf_dir):
+    return fixed_volume(spark, sf_dir)
+
+
+@query(f"WITH {VOX} SELECT z, y, x, CASE WHEN v > 512 THEN 1 ELSE 0 END AS v FROM fix")
+def mask_binarize(spark, sf_dir):
+    return pointwise.binarize(fixed_volume(spark, sf_dir).withColumn("v", F.when(F.col("v") > 512, F.col("v")).otherwise(0)))
+
+
+@query(f"WITH {VOX} SELECT z - 3 AS z, y - 4 AS y, x - 5 AS x, v FROM fix WHERE x BETWEEN 5 AND 24 AND y BETWEEN 4 AND 13 AND z BETWEEN 3 AND 10")
+def crop_part(spark, sf_dir):
+    return pointwise.crop(fixed_volume(spark, sf_dir), *CROP)
+
+
+@query(f"WITH {VOX} SELECT z // 2 AS z, y // 3 AS y, x // 2 AS x, v FROM fix WHERE x % 2 = 0 AND y % 3 = 0 AND z % 2 = 0")
+def stride_reduce(spark, sf_dir):
+    return pointwise.strided(fixed_volume(spark, sf_dir), SKIP)
+
+
+def _diff_sql(e: str) -> str:
+    return f"WITH {VOX} SELECT z, y, x, {e} AS v FROM fix a JOIN mov b USING (z, y, x)"
+
+
+@query(_diff_sql("a.v - b.v"))
+def diff_signed(spark, sf_dir):
+    _, a, b = images(spark, sf_dir)
+    return pointwise.difference(a, b)
+
+
+@query(_diff_sql("abs(a.v - b.v)"))
+def diff_abs(spark, sf_dir):
+    _, a, b = images(spark, sf_dir)
+    return pointwise.difference(a, b, absolute=True)
+
+
+@query(_diff_sql("((a.v % 256 - b.v % 256) + 256) % 256"))
+def diff_abs_wrap_u8(spark, sf_dir):
+    _, a, b = images(spark, sf_dir)
+    low = lambda d: d.withColumn("v", F.col("v") % 256)
+    return pointwise.difference(low(a), low(b), wrap_bits=8)
+
+
+@query(f"WITH {VOX} SELECT z, y, x, v, {_affine_sql(OBLIQUE.voxel_to_world, to=('wx', 'wy', 'wz'))} FROM fix")
+def voxel_to_world(spark, sf_dir):
+    return pointwise.transformed(fixed_volume(spark, sf_dir), OBLIQUE.voxel_to_world, to=("wx", "wy", "wz"))
+
+
+@query(f"WITH {VOX} SELECT z, y, x, v, {_affine_sql(OBLIQUE.world_to_voxel, to=('vx', 'vy', 'vz'))} FROM fix")
+def world_to_voxel(spark, sf_dir):
+    return pointwise.transformed(fixed_volume(spark, sf_dir), OBLIQUE.world_to_voxel, to=("vx", "vy", "vz"))
+
+
+@query(f"WITH {VOX}, {_gm('fix')} SELECT z, y, x, v, gm FROM gm_fix")
+def gradient_magnitude(spark, sf_dir):
+    meta, fixed, _ = images(spark, sf_dir)
+    return stencil.gradient_magnitude(fixed, meta.shape)
+
+
+@query(f"WITH {VOX}, {_gm('fix')} SELECT g.z, g.y, g.x, g.v, CASE WHEN g.v > 512 THEN gm ELSE 0 END AS gm FROM gm_fix g")
+def masked_gradient(spark, sf_dir):
+    meta, fixed, _ = images(spark, sf_dir)
+    return stencil.gradient_magnitude(fixed, meta.shape, mask=fixed.withColumn("v", (F.col("v") > 512).cast("int")))
+
+
+@query(f"WITH {VOX}, {_gm('fix')} SELECT max(gm) AS top FROM gm_fix")
+def gm_max(spark, sf_dir):
+    meta, fixed, _ = images(spark, sf_dir)
+    return stencil.gradient_magnitude(fixed, meta.shape).agg(F.max("gm").alias("top"))
+
+
+@query(f"WITH {VOX}, {_gm('fix')} SELECT bin, count FROM h_fix")
+def gm_histogram(spark, sf_dir):
+    meta, fixed, _ = images(spark, sf_dir)
+    g = stencil.gradient_magnitude(fixed, meta.shape)
+    return statistics.gradient_histogram(g, statistics.gradient_max(g))
+
+
+@query(f"WITH {VOX}, {_gm('mov')} SELECT bin, lim AS \"limit\" FROM lim_mov")
+def gm_threshold(spark, sf_dir):
+    meta, _, moving = images(spark, sf_dir)
+    g = stencil.gradient_magnitude(moving, meta.shape)
+    top = statistics.gradient_max(g)
+    return statistics.gradient_threshold(statistics.gradient_histogram(g, top), top, FRACTION)
+
+
+@query(f"WITH {FIX_MASK} SELECT * FROM m_fix")
+def edge_mask_fixed(spark, sf_dir):
+    return masked_images(spark, sf_dir)[1]
+
+
+@query(f"WITH {BOTH_MASKS} SELECT * FROM m_mov")
+def edge_mask_moving(spark, sf_dir):
+    return masked_images(spark, sf_dir)[2]
+
+
+@query(f"WITH {FIX_MASK} SELECT z, y, x, abs(v) AS v FROM m_fix")
+def abs_export(spark, sf_dir):
+    return pointwise.magnitude(masked_images(spark, sf_dir)[1])
+
+
+@query(f"WITH {FIX_MASK} SELECT count(*) FILTER (v > 0) AS n_core, count(*) FILTER (v < 0) AS n_context, count(*) FILTER (v = 0) AS n_background, CAST(sum(v) AS BIGINT) AS sum_v FROM m_fix")
+def mask_stats(spark, sf_dir):
+    return statistics.mask_stats(masked_images(spark, sf_dir)[1])
+
+
+def _down(spark, sf_dir, factor: float, mask: bool = False) -> DataFrame:
+    meta, fixed, _ = images(spark, sf_dir)
+    image = fixed.withColumn("v", (F.col("v") > 512).cast("int")) if mask else fixed
+    return resample.downsample(image, meta.shape, resample.resampled_shape(meta.shape, (factor,) * 3), mask)
+
+
+TWO = tuple(_half(n, "2e0") for n in ("nx", "ny", "nz"))
+ROOT = tuple(_half(n, "sqrt(2e0)") for n in ("nx", "ny", "nz"))
+
+
+@query(f"WITH {VOX}, {_down_sql('fix', TWO)}")
+def downsample_2(spark, sf_dir):
+    return _down(spark, sf_dir, 2.0)
+
+
+@query(f"WITH {VOX}, {_down_sql('fix', ROOT)}")
+def downsample_sqrt2(spark, sf_dir):
+    return _down(spark, sf_dir, math.sqrt(2))
+
+
+@query(f"WITH {VOX}, b AS (SELECT z, y, x, CASE WHEN v > 512 THEN 1 ELSE 0 END AS v FROM fix), {_down_sql('b', TWO, True)}")
+def downsample_mask(spark, sf_dir):
+    return _down(spark, sf_dir, 2.0, True)
+
+
+@query(f"""WITH {VOX}, n AS (SELECT *, greatest(0, least(CAST(trunc(ln(nx * ny * nz / 1000e0) / ln(2e0) / 3 + 0.5e0) AS INTEGER),
+    CAST(trunc(ln(least(nx, ny, nz) / 7e0) / ln(2e0)) AS INTEGER))) AS last FROM d),
+l AS (SELECT unnest(range(0, last + 1)) AS level, nx, ny, nz FROM n),
+o AS (SELECT level, {", ".join(f"CASE WHEN level = 0 THEN {n} WHEN level = 1 THEN {_half(n, '2e0')} WHEN level = 2 THEN {_half(_half(n, '2e0'), '2e0')} ELSE {_half(_half(_half(n, '2e0'), '2e0'), '2e0')} END AS {n}" for n in ("nx", "ny", "nz"))} FROM l)
+SELECT CAST(level AS INTEGER) AS level, CAST(nx AS BIGINT) AS nx, CAST(ny AS BIGINT) AS ny, CAST(nz AS BIGINT) AS nz FROM o""")
+def pyramid_levels(spark, sf_dir):
+    """Sizes of the levels, as counted from the voxels of each."""
+    meta, fixed, _ = images(spark, sf_dir)
+    out = None
+    for i, (_, image) in enumerate(pyramid.build_pyramid(fixed, meta, pyramid.plan_pyramid([meta]))):
+        row = image.agg(F.lit(i).alias("level"), *[(F.max(k) + 1).cast("long").alias(f"n{k}") for k in ("x", "y", "z")])
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query(f"""WITH {VOX}, p AS (SELECT z, y, x, {_affine_sql(MATRIX)} FROM fix),
+q AS (SELECT p.*, CAST(floor(px) AS INTEGER) + ox AS cx, CAST(floor(py) AS INTEGER) + oy AS cy, CAST(floor(pz) AS INTEGER) + oz AS cz, {WEIGHT} AS w FROM p, d, {CORNERS}
+  WHERE px >= -0.5e0 AND px < nx - 0.5e0 AND py >= -0.5e0 AND py < ny - 0.5e0 AND pz >= -0.5e0 AND pz < nz - 0.5e0),
+c AS (SELECT q.z, q.y, q.x, w, CASE WHEN cx < 0 THEN 1 WHEN cx >= nx THEN nx - 2 ELSE cx END AS cx, CASE WHEN cy < 0 THEN 1 WHEN cy >= ny THEN ny - 2 ELSE cy END AS cy,
+  CASE WHEN cz < 0 THEN 1 WHEN cz >= nz THEN nz - 2 ELSE cz END AS cz FROM q, d)
+SELECT c.z, c.y, c.x, sum(w * m.v) AS t FROM c JOIN mov m ON m.x = cx AND m.y = cy AND m.z = cz GROUP BY 1, 2, 3""")
+def interp_mirrored(spark, sf_dir):
+    meta, fixed, moving = images(spark, sf_dir)
+    return resample.interpolate_mirrored(pointwise.transformed(fixed, MATRIX), moving, meta.shape, ["z", "y", "x"])
+
+
+@query(f"WITH {BOTH_MASKS}, p AS (SELECT 0 AS k, z, y, x, v, {_affine_sql(MATRIX)} FROM fix), {INTERP} SELECT z, y, x, t FROM t")
+def interp_masked(spark, sf_dir):
+    meta, _, moving = masked_images(spark, sf_dir)
+    return resample.interpolate_masked(pointwise.transformed(fixed_volume(spark, sf_dir), MATRIX), moving, meta.shape, ["z", "y", "x"])
+
+
+@query(SQL["interp_mirrored"].replace("SELECT c.z, c.y, c.x, sum(w * m.v) AS t FROM", ", t AS (SELECT c.z, c.y, c.x, sum(w * m.v) AS t FROM").rstrip()
+       + ") SELECT f.z, f.y, f.x, CAST(coalesce(floor(t + 0.5e0 + 2.22e-15), 0) AS INTEGER) AS v FROM fix f LEFT JOIN t USING (z, y, x)")
+def transform_block(spark, sf_dir):
+    meta, fixed, moving = images(spark, sf_dir)
+    return resample.transform_block(fixed, moving, meta.shape, MATRIX)
+
+
+@query(f"""WITH {VOX}, p AS (SELECT z, y, x, {_affine_sql(MATRIX)} FROM fix),
+q AS (SELECT p.*, CAST(floor(px) AS INTEGER) + ox AS cx, CAST(floor(py) AS INTEGER) + oy AS cy, CAST(floor(pz) AS INTEGER) + oz AS cz, {WEIGHT} AS w FROM p, d, {CORNERS}
+  WHERE px BETWEEN 0 AND nx - 1 AND py BETWEEN 0 AND ny - 1 AND pz BETWEEN 0 AND nz - 1),
+t AS (SELECT q.z, q.y, q.x, sum(w * m.v) AS t FROM q JOIN mov m ON m.x = cx AND m.y = cy AND m.z = cz WHERE w > 0 GROUP BY 1, 2, 3)
+SELECT f.z, f.y, f.x, CAST(coalesce(floor(t + 0.5e0 + 2.22e-15), 0) AS INTEGER) AS v FROM fix f LEFT JOIN t USING (z, y, x)""")
+def resample_linear(spark, sf_dir):
+    meta, fixed, moving = images(spark, sf_dir)
+    return resample.resample_linear(fixed, moving, meta.shape, MATRIX)
+
+
+@query(f"""WITH {FIX_MASK}, p AS (SELECT {_affine_sql(OBLIQUE.voxel_to_world)} FROM m_fix, d WHERE v > 0 AND x BETWEEN 1 AND nx - 2 AND y BETWEEN 1 AND ny - 2 AND z BETWEEN 1 AND nz - 2)
+SELECT count(*) AS n, sum(px) AS sx, sum(py) AS sy, sum(pz) AS sz, sum(py*py+pz*pz) AS ixx, sum(px*px+pz*pz) AS iyy, sum(px*px+py*py) AS izz, sum(-px*py) AS ixy, sum(-px*pz) AS ixz, sum(-py*pz) AS iyz FROM p""")
+def edge_moments(spark, sf_dir):
+    meta, fixed, _ = masked_images(spark, sf_dir)
+    return statistics.edge_moment_sums(fixed, meta.shape, OBLIQUE.voxel_to_world)
+
+
+@query(f"WITH {BOTH_MASKS}, {_points(SHIFTS[2:3])}, {LCC} SELECT count(*) AS n, round(avg(1 - bt * bt / (bb * tt)), 6) AS lcc FROM s WHERE bb * tt > 1e-20")
+def lcc_value(spark, sf_dir):
+    meta, fixed, moving = masked_images(spark, sf_dir)
+    return lcc.lcc_value(fixed, moving, meta.shape, meta.shape, shift(SHIFTS[2])).withColumn("lcc", F.round("lcc", 6))
+
+
+@query(f"WITH {BOTH_MASKS}, {_points(SHIFTS)}, {LCC} SELECT k AS candidate, count(*) AS n, round(avg(1 - bt * bt / (bb * tt)), 6) AS lcc FROM s WHERE bb * tt > 1e-20 GROUP BY k")
+def lcc_candidates(spark, sf_dir):
+    meta, fixed, moving = masked_images(spark, sf_dir)
+    return lcc.lcc_candidates(fixed, moving, meta.shape, meta.shape, [shift(t) for t in SHIFTS]).withColumn("lcc", F.round("lcc", 6))
+
+
+@query(SQL["lcc_candidates"])
+def lcc_candidates_chunked(spark, sf_dir):
+    """The same by chunks: one task for each fixed chunk and the moving chunks it meets."""
+    meta, fixed, moving = masked_images(spark, sf_dir)
+    parts = lcc.lcc_partials(chunked(fixed, meta, 2), chunked(moving, meta, 0), [np.array([*t, 0, 0, 0]) for t in SHIFTS])
+    sums = parts.groupBy("candidate").agg(F.sum("n").alias("n"), F.sum("lcc").alias("lcc"))
+    return sums.where("n > 0").select("candidate", "n", F.round(F.col("lcc") / F.col("n"), 6).alias("lcc"))
+
+
+@query()
+def lcc_derivatives(spark, sf_dir):
+    """Sums for the rigid gradient and Gauss-Newton matrix near the minimum, by chunk."""
+    meta, fixed, moving = masked_images(spark, sf_dir)
+    return lcc.lcc_partials(chunked(fixed, meta, 2), chunked(moving, meta, 0), [np.array([1.75, 0.125, 0, 0, 0, 0])], True)
+
+
+@query(f"""WITH {FIX_MASK}, l AS (SELECT z, CAST(y AS BIGINT) * nx + x AS pos, v FROM m_fix, d),
+w AS (SELECT *, lead(v) OVER (PARTITION BY z ORDER BY pos) AS nxt, sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY z ORDER BY pos) AS part FROM l),
+s AS (SELECT z, part, min(CASE WHEN v = 0 AND nxt = 0 THEN pos END) AS start, max(pos) AS last FROM w WHERE v <= 0 GROUP BY z, part)
+SELECT z, start, last - start + 1 AS length FROM s WHERE last - start + 1 > 32""")
+def rle_runs(spark, sf_dir):
+    meta, fixed, _ = masked_images(spark, sf_dir)
+    return runs.background_runs(fixed, meta.shape)
+
+
+@query()
+def rle_roundtrip(spark, sf_dir):
+    meta, fixed, _ = masked_images(spark, sf_dir)
+    return runs.round_trip(fixed, meta.shape)
+
+
+@query(f"""WITH {VOX}, c AS (SELECT CAST(1 + i AS INTEGER) AS corner, CAST((i % 2) * (nx - 1) AS DOUBLE) AS x, CAST((i // 2 % 2) * (ny - 1) AS DOUBLE) AS y, CAST((i // 4) * (nz - 1) AS DOUBLE) AS z
+  FROM d, (SELECT unnest(range(0, 8)) AS i)) SELECT corner, x, y, z, {_affine_sql(MATRIX, to=("tx", "ty", "tz"))} FROM c""")
+def rire_corners(spark, sf_dir):
+    """The eight corners of the fixed image and where a transform takes them."""
+    _, fixed, _ = images(spark, sf_dir)
+    ends = fixed.agg(*[F.max(k).cast("double").alias(f"n{k}") for k in "xyz"]).select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    at = ends.select((F.col("i") + 1).alias("corner"), *[(F.shiftright("i", s) % 2 * F.col(f"n{k}")).cast("double").alias(k) for s, k in enumerate("xyz")])
+    return pointwise.transformed(at, MATRIX, to=("tx", "ty", "tz"))
+
+
+def _result(spark, outcome) -> DataFrame:
+    return spark.createDataFrame([(float(outcome.lcc), [float(x) for x in outcome.p])], "lcc double, p array<double>")
+
+
+QUICK = Config(min_voxels=100_000_000, step_least=1.0, most_steps=6)
+
+
+@query()
+def register_rigid(spark, sf_dir):
+    meta, fixed, moving = images(spark, sf_dir)
+    return _result(spark, register(fixed, meta, moving, meta, QUICK))
+
+
+@query()
+def register_affine(spark, sf_dir):
+    meta, fixed, moving = images(spark, sf_dir)
+    near = np.eye(4)
+    near[0, 3] = 1.75
+    return _result(spark, register(fixed, meta, moving, meta, Config(affine=True, min_voxels=100_000_000, most_steps=6), near))
+
+
+@query()
+def moments_init(spark, sf_dir):
+    meta, fixed, moving = masked_images(spark, sf_dir)
+    return _result(spark, optimise.transform_from_moments(fixed, moving, meta, meta, chunked(fixed, meta, 2), chunked(moving, meta, 0), shift_only=True))
