@@ -49,15 +49,15 @@ def with_slots(df: DataFrame, key: str = "doc_id", blocks: int = SLOT_BLOCKS) ->
     groups and none is sorted in one task. Repeated keys share a block, where rows that
     are alike in the other columns may swap numbers. An empty table stays empty.
     """
+    order = F.struct(*[F.col(c) for c in (key, "size", "text_crc32") if c in df.columns])
     block = F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(blocks)).cast("int")
-    rows = df.drop("slot", "_block").withColumn("_block", block)
-    sizes = rows.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    order = [F.col(c) for c in (key, "size", "text_crc32") if c in df.columns]
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy("shard", "_block").orderBy(*order)))
-    joined = numbered.join(F.broadcast(starts), ["shard", "_block"])
-    return joined.withColumn("slot", (F.col("_start") + F.col("_i") - 1).cast("long")).drop("_start", "_i", "_block")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "slot"])
+    rows = df.select(whole.alias("row"), F.col("shard"), block.alias("block"), order.alias("order"))
+    sizes = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("shard", "block").orderBy("order")) - 1)
+    return numbered.join(F.broadcast(starts), ["shard", "block"]).select("row.*", (F.col("start") + F.col("i")).cast("long").alias("slot"))
 
 
 def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
