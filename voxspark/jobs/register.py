@@ -98,7 +98,7 @@ class Registration:
 
 
 def _kept(c: Chunks) -> Chunks:
-    return Chunks(c.rows.persist(StorageLevel.MEMORY_AND_DISK), c.meta, c.halo)
+    return replace(c, rows=c.rows.persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def register(fixed: DataFrame, f: ImageMeta, moving: DataFrame, m: ImageMeta, config: Config = Config(), matrix: np.ndarray | None = None) -> Registration:

@@ -69,35 +69,36 @@ def lcc_candidates(fixed: DataFrame, moving: DataFrame, fixed_shape: Sequence[in
 
 @dataclass(frozen=True)
 class Chunks:
-    """An image as blocks of CHUNK^3 voxels with a rim of `halo`: cz, cy, cx, n_core and data (int16, z slowest)."""
+    """An image as blocks of edge^3 voxels with a rim of `halo`: cz, cy, cx, n_core and data (int16, z slowest)."""
 
     rows: DataFrame
     meta: ImageMeta
     halo: int
+    edge: int = CHUNK
 
 
-def chunked(image: DataFrame, meta: ImageMeta, halo: int) -> Chunks:
-    """Each voxel goes to the chunks whose rim it lies in; a chunk is at most (CHUNK + 2 halo)^3 voxels whatever the image is.
+def chunked(image: DataFrame, meta: ImageMeta, halo: int, edge: int = CHUNK) -> Chunks:
+    """Each voxel goes to the chunks whose rim it lies in; a chunk is at most (edge + 2 halo)^3 voxels whatever the image is.
 
     Background voxels are not moved, and chunks without any voxel have no row.
     """
-    side = CHUNK + 2 * halo
+    side = edge + 2 * halo
     rows = image.where("v <> 0")
     for k in KEY:
-        rows = rows.withColumn(f"c{k}", F.explode(F.sequence(F.floor((F.col(k) - halo) / F.lit(CHUNK)), F.floor((F.col(k) + halo) / F.lit(CHUNK)))))
+        rows = rows.withColumn(f"c{k}", F.explode(F.sequence(F.floor((F.col(k) - halo) / F.lit(edge)), F.floor((F.col(k) + halo) / F.lit(edge)))))
     at = F.lit(0)
     for k in KEY:
-        at = at * side + (F.col(k) - F.col(f"c{k}") * CHUNK + halo)
+        at = at * side + (F.col(k) - F.col(f"c{k}") * edge + halo)
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         data = np.zeros(side**3, np.int16)
         data[group["at"].to_numpy()] = group["v"].to_numpy()
         first = group.iloc[0]
-        inner = data.reshape(side, side, side)[halo : halo + CHUNK, halo : halo + CHUNK, halo : halo + CHUNK]
+        inner = data.reshape(side, side, side)[halo : halo + edge, halo : halo + edge, halo : halo + edge]
         return pd.DataFrame({"cz": [first.cz], "cy": [first.cy], "cx": [first.cx], "n_core": [int((inner > 0).sum())], "data": [data.tobytes()]})
 
     slim = rows.select("cz", "cy", "cx", at.cast("int").alias("at"), "v")
-    return Chunks(slim.groupBy("cz", "cy", "cx").applyInPandas(pack, "cz long, cy long, cx long, n_core long, data binary"), meta, halo)
+    return Chunks(slim.groupBy("cz", "cy", "cx").applyInPandas(pack, "cz long, cy long, cx long, n_core long, data binary"), meta, halo, edge)
 
 
 def _interpolated(block: np.ndarray, origin: np.ndarray, points: np.ndarray, shape: np.ndarray) -> np.ndarray:
@@ -121,12 +122,12 @@ def _interpolated(block: np.ndarray, origin: np.ndarray, points: np.ndarray, sha
     return out
 
 
-def _partial(fixed: np.ndarray, halo: int, corner: np.ndarray, f: ImageMeta, m: ImageMeta, block: np.ndarray, origin: np.ndarray, p: np.ndarray, derivatives: bool):
+def _partial(fixed: np.ndarray, halo: int, edge: int, corner: np.ndarray, f: ImageMeta, m: ImageMeta, block: np.ndarray, origin: np.ndarray, p: np.ndarray, derivatives: bool):
     """Sums of one fixed chunk: n, lcc and, with derivatives, gradient and Gauss-Newton matrix."""
     k = len(p)
     none = (0, 0.0, np.zeros(k), np.zeros((k, k)))
     matrix, world = voxel_matrix_from_p(f, m, p), f.voxel_to_world
-    inner = fixed[halo : halo + CHUNK, halo : halo + CHUNK, halo : halo + CHUNK]
+    inner = fixed[halo : halo + edge, halo : halo + edge, halo : halo + edge]
     at = np.argwhere(inner > 0)[:, ::-1] + corner
     at = at[((at >= 2) & (at <= np.array(f.shape) - 3)).all(1)]
     shape = np.array(m.shape)
@@ -191,12 +192,14 @@ def lcc_partials(fixed: Chunks, moving: Chunks, candidates: Sequence[np.ndarray]
     Which they are follows from the chunk's place and the transform, so pairs are made by arithmetic, as an
     equal join on chunk coordinates; a task holds one fixed chunk and the box of moving ones it meets.
     """
-    f, m, halo, side = fixed.meta, moving.meta, fixed.halo, CHUNK + 2 * fixed.halo
+    f, m, halo, edge, side = fixed.meta, moving.meta, fixed.halo, fixed.edge, fixed.edge + 2 * fixed.halo
+    if moving.edge != edge:
+        raise ValueError("both images need chunks of one size")
     plans = [(i, np.asarray(p, float)) for i, p in enumerate(candidates)]
 
     def meet(corner: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         matrix = voxel_matrix_from_p(f, m, p)
-        ends = np.array([[corner[j] + (-1 if not (i >> j) & 1 else CHUNK) for j in range(3)] for i in range(8)], float)
+        ends = np.array([[corner[j] + (-1 if not (i >> j) & 1 else edge) for j in range(3)] for i in range(8)], float)
         place = ends @ matrix[:3, :3].T + matrix[:3, 3]
         return np.maximum(np.floor(place.min(0)).astype(int), 0), np.minimum(np.floor(place.max(0)).astype(int) + 1, np.array(m.shape) - 1)
 
@@ -205,9 +208,9 @@ def lcc_partials(fixed: Chunks, moving: Chunks, candidates: Sequence[np.ndarray]
             rows = []
             for cz, cy, cx in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 for i, p in plans:
-                    low, high = meet(np.array([cx, cy, cz]) * CHUNK, p)
+                    low, high = meet(np.array([cx, cy, cz]) * edge, p)
                     if (high >= low).all():
-                        a, e = low // CHUNK, high // CHUNK
+                        a, e = low // edge, high // edge
                         rows += [(cz, cy, cx, i, z, y, x) for z in range(a[2], e[2] + 1) for y in range(a[1], e[1] + 1) for x in range(a[0], e[0] + 1)]
             yield pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(7)], ["fz", "fy", "fx", "candidate", "cz", "cy", "cx"])
 
@@ -216,17 +219,17 @@ def lcc_partials(fixed: Chunks, moving: Chunks, candidates: Sequence[np.ndarray]
     met = pairs.join(moving.rows.select("cz", "cy", "cx", "data"), ["cz", "cy", "cx"])
 
     def work(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        corner, out = np.array([key[2], key[1], key[0]]) * CHUNK, []
+        corner, out = np.array([key[2], key[1], key[0]]) * edge, []
         if len(left) and len(right):
             block = np.frombuffer(left["data"].iloc[0], np.int16).reshape(side, side, side)
             for i, own in right.groupby("candidate"):
                 low = own[["cx", "cy", "cz"]].min().to_numpy()
                 count = own[["cx", "cy", "cz"]].max().to_numpy() - low + 1
-                big = np.zeros(count[::-1] * CHUNK, np.int16)
+                big = np.zeros(count[::-1] * edge, np.int16)
                 for r in own.itertuples():
-                    z, y, x = (np.array([r.cz, r.cy, r.cx]) - low[::-1]) * CHUNK
-                    big[z : z + CHUNK, y : y + CHUNK, x : x + CHUNK] = np.frombuffer(r.data, np.int16).reshape(CHUNK, CHUNK, CHUNK)
-                n, lcc, g, h = _partial(block, halo, corner, f, m, big, low * CHUNK, plans[int(i)][1], derivatives)
+                    z, y, x = (np.array([r.cz, r.cy, r.cx]) - low[::-1]) * edge
+                    big[z : z + edge, y : y + edge, x : x + edge] = np.frombuffer(r.data, np.int16).reshape(edge, edge, edge)
+                n, lcc, g, h = _partial(block, halo, edge, corner, f, m, big, low * edge, plans[int(i)][1], derivatives)
                 out.append((int(i), n, lcc, g.tolist(), h.ravel().tolist()))
         return pd.DataFrame(out, columns=["candidate", "n", "lcc", "gradient", "hessian"])
 

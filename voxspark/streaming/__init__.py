@@ -1,0 +1 @@
+"""Nothing here yet: the operators' images are finite and read as a whole, and no stream semantics are called for."""
