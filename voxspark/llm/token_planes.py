@@ -15,7 +15,9 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,11 @@ END_ID = 2
 def planes(ids: np.ndarray) -> list[bytes]:
     """Bit plane k: bit k of every id, from the lowest plane up."""
     top = int(ids.max()).bit_length() if len(ids) else 0
-    return [np.packbits(((ids >> np.uint32(k)) & np.uint32(1)).astype(np.uint8)).tobytes() for k in range(top)]
+    out = []
+    for low in range(0, top, 8):
+        byte = (ids >> np.uint32(low)).astype(np.uint8)
+        out += [np.packbits(byte & np.uint8(1 << k)).tobytes() for k in range(min(8, top - low))]
+    return out
 
 
 def joined(parts: list[bytes], n: int) -> np.ndarray:
@@ -153,29 +159,34 @@ class Encoder:
             self.words: dict[bytes, bytes] = {}
             self.runs: dict[str, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.words) > self.most:
-            self.words.clear()
-        if len(self.runs) > self.most:
-            self.runs.clear()
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words; what is learnt first is kept, up to `most` words and as many letter runs."""
         cut = [self.pieces.findall(unicodedata.normalize("NFC", w.decode()).lower()) for w in words]
-        if new := list(set().union(*cut) - self.runs.keys()):
+        runs = self.runs
+        if new := list(set().union(*cut) - runs.keys()):
             coded = self.library.encode(" ".join(new), add_special_tokens=False)
-            ends = 4 * np.searchsorted(np.array(coded.word_ids), np.arange(len(new) + 1))
+            ends = (4 * np.searchsorted(np.array(coded.word_ids), np.arange(len(new) + 1))).tolist()
             raw = np.array(coded.ids, "<u4").tobytes()
-            self.runs.update((p, raw[a:b]) for p, a, b in zip(new, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-        runs = self.runs
-        self.words.update((w, b"".join([runs[p] for p in c])) for w, c in zip(words, cut, strict=True))
+            learnt = {p: raw[a:b] for p, a, b in zip(new, ends[:-1], ends[1:], strict=True)}
+            if len(runs) < self.most:
+                runs.update(learnt)
+            else:
+                runs = ChainMap(learnt, runs)
+        out = {w: runs[c[0]] if len(c) == 1 else b"".join([runs[p] for p in c]) for w, c in zip(words, cut, strict=True)}
+        if len(self.words) < self.most:
+            self.words.update(out)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.whole is not None:
             return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         words = [t.encode().lower().split() for t in texts]
-        flat = [w for own in words for w in own]
+        flat = list(chain.from_iterable(words))
         got = list(map(self.words.get, flat))
-        if None in got:
-            self._learn(list({w for w, g in zip(flat, got, strict=True) if g is None} | ({*flat} if len(self.words) > self.most else set())))
-            got = list(map(self.words.__getitem__, flat))
+        if gaps := [i for i, g in enumerate(got) if g is None]:
+            learnt = self._learn(list({flat[i] for i in gaps}))
+            for i in gaps:
+                got[i] = learnt[flat[i]]
         out, at = [], 0
         for own in words:
             out.append(b"".join(got[at : at + len(own)]))
@@ -219,8 +230,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 writer = PlaneWriter(out, block)
             texts, rows = strings(b.column(1)), []
-            for i in range(0, len(texts), 256):
-                for doc, coded in zip(b.column(0)[i : i + 256].to_pylist(), coder.encode(texts[i : i + 256]), strict=True):
+            for i in range(0, len(texts), 1024):
+                for doc, coded in zip(b.column(0)[i : i + 1024].to_pylist(), coder.encode(texts[i : i + 1024]), strict=True):
                     ids = np.frombuffer(coded + end, "<u4")
                     writer.add(ids)
                     rows.append((name, rank, row, doc, at, len(ids)))
