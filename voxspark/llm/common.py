@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,22 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def count_cutoff(counts: DataFrame, most: int) -> int:
+    """A least value of column n from which on there are at most `most` rows.
+
+    Counts are added up by their first seven bits, so what the driver gets is a few thousand rows at most.
+    """
+    level = F.expr("if(n < 128, n, shiftleft(shiftright(n, cast(floor(log2(n)) as int) - 6), cast(floor(log2(n)) as int) - 6))")
+    levels = sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True)
+    cutoff = levels[0].level + (1 << max(0, levels[0].level.bit_length() - 7)) if levels else 1
+    for r in levels:
+        most -= r.rows
+        if most < 0:
+            break
+        cutoff = r.level
+    return cutoff
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -112,6 +129,117 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
+_PIECE, _GROUP = 1 << 18, 1 << 21
+_BASE = 0x9E3779B97F4A7C15
+_LETTERS = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_IS_WHITE = np.zeros(256, bool)
+_IS_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and their inverses modulo 2^64, at least n of each."""
+    if len(_powers.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[name] = np.multiply.accumulate(steps)
+    return _powers["up"], _powers["down"]
+
+
+def _piece_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of the bytes, and where it begins: sums of letter values times powers, from running sums."""
+    codes = np.frombuffer(buffer, np.uint8)
+    up, down = _power_tables(max(_PIECE, len(codes)))
+    white = _IS_WHITE[codes]
+    edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+    if not white[0]:
+        edge = np.concatenate([[0], edge])
+    if not white[-1]:
+        edge = np.concatenate([edge, [len(codes)]])
+    starts, ends = edge[::2], edge[1::2]
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_LETTERS[codes] * up[: len(codes)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def _cuts(text: bytes) -> list[bytes]:
+    """Pieces of a long text, cut behind white space."""
+    out, at = [], 0
+    while at < len(text):
+        size = _PIECE
+        while True:
+            part = text[at : at + size]
+            if at + size >= len(text):
+                break
+            cut = max(map(part.rfind, (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")))
+            if cut >= 0:
+                part = part[: cut + 1]
+                break
+            size *= 2
+        out.append(part)
+        at += len(part)
+    return out
+
+
+def word_hash_lists(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the words of each text, A-Z lowered, many short texts at a time."""
+    out: list[np.ndarray] = []
+    i = 0
+    while i < len(texts):
+        if len(texts[i]) > _PIECE:
+            out.append(np.concatenate([_piece_hashes(p)[0] for p in _cuts(texts[i].lower())]))
+            i += 1
+            continue
+        group, size = [], 0
+        while i < len(texts) and size + len(texts[i]) < _PIECE:
+            group.append(texts[i])
+            size += len(texts[i]) + 1
+            i += 1
+        if not group:
+            group, i = [texts[i]], i + 1
+        hashes, starts = _piece_hashes(b" ".join(group).lower() + b" ")
+        ends = np.cumsum([len(t) + 1 for t in group])
+        at = np.searchsorted(starts, ends)
+        out += [hashes[a:b] for a, b in zip(np.concatenate([[0], at[:-1]]), at, strict=True)]
+    return out
+
+
+def hashed_words(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """Hashes of the words of each whole text, a few MB of texts at a time."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= _GROUP:
+            yield from word_hash_lists(group)
+            group, size = [], 0
+    yield from word_hash_lists(group)
+
+
+def shingle_sets_of(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of each whole text, a few MB of texts at a time."""
+
+    def done(group: list[bytes]) -> Iterator[np.ndarray]:
+        words = word_hash_lists(group)
+        flat = np.concatenate(words)
+        whole, at = shingle_hashes(flat) if len(flat) >= SHINGLE else flat[:0], 0
+        for w in words:
+            n = len(w)
+            yield np.unique(whole[at : at + n - SHINGLE + 1] if n >= SHINGLE else shingle_hashes(w))
+            at += n
+
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= _GROUP:
+            yield from done(group)
+            group, size = [], 0
+    if group:
+        yield from done(group)
+
+
 def lower_words(text: bytes) -> list[bytes]:
     """bytes.lower() changes A-Z alone and bytes.split() cuts at exactly the six white bytes."""
     return text.lower().split()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 MOST_ROUNDS = 60
+BROADCAST_ROWS = 500_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,21 +17,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Large-star and small-star contraction: each round links the larger neighbours of a node, or the
     node and its smaller neighbours, to the smallest one, until the links are stars. A hub's
     neighbours are never gathered: each needs the minimum alone, which is a partial sum. Rounds grow with the
-    logarithm of the longest path. Each round is written, so lineage stays short.
+    logarithm of the longest path, and end when every node is a centre or has one. Each round is written, so
+    lineage stays short; minima are broadcast where the counted links are few.
     """
     links = saved(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "links")
-    before = None
     for _ in range(MOST_ROUNDS):
+        small = F.broadcast if links.count() <= BROADCAST_ROWS else (lambda df: df)
+        ends = links.select(F.col("lo").alias("u"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(links.select("hi", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).where("high > 1 or high > 0 and low > 0").isEmpty():
+            return links.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(links.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct())
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
-        large = large.where("lo <> hi").distinct()
+        large = both.join(small(least), "u").where("v > u and v <> m").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo <> hi").union(down.select(F.col("m").alias("lo"), "hi"))
-        links = saved(small.distinct(), "links")
-        # each round keeps or lowers what the links point to; stars are a fixed point
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if now == before:
-            return links.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(links.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct())
-        before = now
+        turned = large.join(small(down), "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo <> hi")
+        links = saved(turned.union(down.select(F.col("m").alias("lo"), "hi")).distinct(), "links")
     raise RuntimeError("components did not settle")

@@ -21,23 +21,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, lower_words, raw_bytes, saved, shingle_hashes, table
+from .common import count_cutoff, raw_bytes, saved, shingle_sets_of, table
 from .components import connected_components
 
 PERCENT = 75
-HEAVY_TOKENS = 1 << 18
-COUNT_CHUNK = 2_000_000
+HEAVY_TOKENS = 1 << 20
+COUNT_CHUNK = 1_000_000
 BOUNDARIES = (2, 4, 8, 12, 16, 24, 32, 48, 64)
 BROADCAST_ROWS = 1_000_000
-HUB_ROUNDS = 6
+BROADCAST_BYTES = 24 << 20
+HUBS = (32, 96)
+SETS_HELD = 2_000_000
+WHOLE_SAMPLE = 256
 FULL_FACTOR = 4
 
 
-def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct shingles of a whole text."""
-    return np.unique(shingle_hashes(hashes.of(lower_words(text))))
-
-
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     """Shingles of which any partner shares at least one."""
     return n - -(-n * percent // 100) + 1
@@ -52,16 +50,16 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, waiting, n = WordHashes(), [], 0
+        waiting, n = [], 0
 
         def counted() -> pa.RecordBatch:
             tokens, times = np.unique(np.concatenate(waiting), return_counts=True)
-            often = times >= 3
+            often = times >= 2
             return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["token", "n"])
 
         for b in batches:
-            for text in raw_bytes(b.column(0)):
-                waiting.append(own := shingle_set(text, hashes))
+            for own in shingle_sets_of(raw_bytes(b.column(0))):
+                waiting.append(own)
                 n += len(own)
                 if n >= COUNT_CHUNK:
                     yield counted()
@@ -69,12 +67,43 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         if waiting:
             yield counted()
 
-    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS).toPandas()
-    return rows["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy() if len(rows) else np.zeros(0, np.uint64)
+    counts = saved(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "frequent")
+    rows = counts.where(F.col("n") >= count_cutoff(counts, HEAVY_TOKENS)).toPandas().sort_values(["n", "token"])
+    return rows["token"].to_numpy(np.int64).view(np.uint64).copy()
+
+
+SETS = "doc_id long, n long, node long, prefix array<long>, sample binary"
+
+
+def node_of(own: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
 
+def sample_of(own: np.ndarray) -> bytes:
+    """Sixteen bits of every shingle in one quarter of the hash space, sorted; of small sets, also of those in the rest."""
+    first = (own >> np.uint64(62)) == 0
+    quarter = np.sort((own[first] >> np.uint64(46)).astype(np.uint16))
+    rest = np.sort((own[~first] >> np.uint64(48)).astype(np.uint16)) if len(own) <= WHOLE_SAMPLE else quarter[:0]
+    return np.uint32(len(quarter)).tobytes() + quarter.tobytes() + rest.tobytes()
 
-SETS = "doc_id long, n long, node long, prefix array<long>"
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    if not len(a) or not len(b):
+        return 0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def may_reach(a: bytes, na: int, b: bytes, nb: int) -> bool:
+    """False only if two sets cannot be linked: where both are sampled they share no more than the bits say,
+    elsewhere no more than the smaller rest."""
+    qa, qb = int.from_bytes(a[:4], "little"), int.from_bytes(b[:4], "little")
+    x, y = np.frombuffer(a, np.uint16, offset=4), np.frombuffer(b, np.uint16, offset=4)
+    most = min(_shared(x[:qa], y[:qb]), _shared(y[:qb], x[:qa]))
+    both = max(na, nb) <= WHOLE_SAMPLE
+    most += min(_shared(x[qa:], y[qb:]), _shared(y[qb:], x[qa:])) if both else min(na - qa, nb - qb)
+    return (100 + PERCENT) * most >= PERCENT * (na + nb)
 
 
 def shingle_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -84,17 +113,17 @@ def shingle_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ranks = shared.value
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for b in batches:
-            sizes, nodes, prefixes = [], [], []
-            for text in raw_bytes(b.column(1)):
-                own = shingle_set(text, hashes)
+            sizes, nodes, prefixes, samples = [], [], [], []
+            for own in shingle_sets_of(raw_bytes(b.column(1))):
                 n = len(own)
-                node = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if n else None
+                node = node_of(own) if n else None
                 sizes.append(n)
                 nodes.append(node)
                 if not n or node in seen:
                     prefixes.append(None)
+                    samples.append(None)
                     continue
                 if len(seen) > 1 << 20:
                     seen.clear()
@@ -108,7 +137,8 @@ def shingle_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                         keys[hit] = ranks[at[hit]] | np.uint64(1 << 63)
                         keys.sort()
                 prefixes.append(keys[: min(n, prefix_length(n) + 1)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "node", "prefix"])
+                samples.append(sample_of(own))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(samples, pa.binary())], ["doc_id", "n", "node", "prefix", "sample"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
@@ -160,49 +190,75 @@ def shared_lists(post: DataFrame) -> DataFrame:
     return rows.where("hub.node <> _last").drop("_last")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def _within(df: DataFrame, payload: str) -> DataFrame:
+    """For a broadcast where its counted rows and bytes are within the bounds; otherwise the join shuffles."""
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(payload)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size + 32 * rows <= BROADCAST_BYTES else df
+
+
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that their samples do not rule out. `nodes` has node, n and sample."""
+    own = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sample").alias(f"s{x}"))
+    hint = F.broadcast if _within(nodes, "sample") is not nodes else (lambda df: df)
+    pairs = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism)
+    both = pairs.join(hint(own("b")), "b").join(hint(own("a")), "a").select("a", "b", "na", "nb", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb, sa, sb = (b.column(i).to_pylist() for i in range(2, 6))
+            good = [may_reach(x, m, y, n) for m, n, x, y in zip(na, nb, sa, sb, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts' shingle sets have a Jaccard similarity of 0.75 or more.
 
-    Whole texts of one document a node are fetched, shuffled by node; the side that may be a hub is joined
-    last, so that its rows may be split among tasks.
+    Pairs that the samples rule out are left out first; of the others, whole texts of one document a node are
+    fetched and, where they are more than a broadcast may hold, shuffled by node. The side that may be a hub is
+    joined last, so that its rows may be split among tasks.
     """
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = sets.where(F.col("prefix").isNotNull()).select("node", "doc_id").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("_id"))
-    ids = saved(ids, "wanted")
-    n = ids.count()
-    found = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, F.col("doc_id") == F.col("_id")).select("node", "text")
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    met = saved(nodes.join(ends(pairs), "node"), "met")
+    pairs = saved(likely(pairs, met), "likely")
+    ids = saved(met.select("node", F.col("doc_id").alias("_id")).join(ends(pairs), "node"), "wanted")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, F.col("doc_id") == F.col("_id")).select("node", "text")
 
     def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Leaves out another text under the same doc_id."""
-        hashes = WordHashes()
         for b in batches:
-            node = b.column(0).to_pylist()
-            same = []
-            for k, text in zip(node, raw_bytes(b.column(1)), strict=True):
-                own = shingle_set(text, hashes)
-                same.append(bool(len(own)) and xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) == k)
+            sets = shingle_sets_of(raw_bytes(b.column(1)))
+            same = [bool(len(own)) and node_of(own) == k for k, own in zip(b.column(0).to_pylist(), sets, strict=True)]
             yield b.filter(pa.array(same, pa.bool_()))
 
     texts = saved(found.mapInArrow(own_text, "node long, text string"), "texts")
-    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    hint = F.broadcast if _within(texts, "text") is not texts else (lambda df: df)
+    right = pairs.join(hint(texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))), "b")
+    both = right.join(hint(texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, kept, own = WordHashes(), None, None
+        sets: dict[int, np.ndarray] = {}
+        held = 0
         for b in batches:
+            texts = {}
+            for node, text in ((0, 2), (1, 3)):
+                texts |= {k: t for k, t in zip(b.column(node).to_pylist(), b.column(text).cast(pa.binary()), strict=True) if k not in sets}
+            for k, own in zip(texts, shingle_sets_of(t.as_py() for t in texts.values()), strict=True):
+                sets[k] = own
+                held += len(own)
             good = []
-            for a, ta, tb in zip(b.column(0).to_pylist(), b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary()), strict=True):
-                if a != kept:
-                    kept, own = a, shingle_set(ta.as_py(), hashes)
-                other = shingle_set(tb.as_py(), hashes)
-                small, large = (own, other) if len(own) <= len(other) else (other, own)
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                small, large = sorted((sets[x], sets[y]), key=len)
                 at = np.searchsorted(large, small)
                 at[at == len(large)] = 0
                 common = int((large[at] == small).sum())
-                good.append(100 * common >= PERCENT * (len(own) + len(other) - common))
+                good.append(100 * common >= PERCENT * (len(small) + len(large) - common))
+            if held > SETS_HELD:
+                sets, held = {}, 0
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _hub_pairs(rows: DataFrame) -> DataFrame:
@@ -210,46 +266,66 @@ def _hub_pairs(rows: DataFrame) -> DataFrame:
     return rows.where(may_link("n", "pos", "hs", "hp")).select(F.least("node", "hn").alias("a"), F.greatest("node", "hn").alias("b")).distinct()
 
 
+def _more_hub_pairs(members: DataFrame, edges: DataFrame, turn: int) -> DataFrame:
+    """Pairs of members and hubs of other components: HUBS[turn] hubs a list, those with the most links so far.
+
+    Each node is looked at in one of its open lists, that with the least hash, which near copies have in common;
+    so a group of n gives at most n * HUBS[turn] pairs.
+    """
+    degrees = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    once = members.groupBy("node").agg(F.min(F.struct(F.xxhash64("token", F.lit(turn)).alias("h"), "token", "n", "pos", "comp")).alias("m")).select("node", "m.token", "m.n", "m.pos", "m.comp")
+    ranked = once.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    bucket = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS[turn]))
+    hubs = ranked.groupBy("token", bucket.alias("_b")).agg(F.max(F.struct("degree", "node", "n", "pos", "comp")).alias("hub")).select("token", "hub")
+    met = once.join(hubs, (once.token == hubs.token) & (F.col("comp") != F.col("hub.comp"))).select("node", F.col("n"), F.lit(0).alias("pos"), F.struct("hub.node", "hub.n", F.lit(0).alias("pos")).alias("hub"))
+    return _hub_pairs(met)
+
+
 def _all_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of one list and different components; components first, so that no pair within one is made."""
+    """Pairs of one list and different components; components first, so that no pair within one is made.
+
+    A pair is taken at the first list that both are in: where the lists before it are the same for both, it
+    has been met there.
+    """
+    before = Window.partitionBy("node").orderBy("pos", "token")
+    members = saved(members.withColumn("before", F.lag("token").over(before)), "members")
     comps = members.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("left"))
     x = comps.select("token", F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("left").alias("la"))
     y = comps.select("token", F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"))
     hope = F.least("la", "lb") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT
     meets = x.join(y, "token").where((F.col("ca") < F.col("cb")) & hope).select("token", "ca", "cb")
-    left = members.select("token", F.col("comp").alias("ca"), F.col("node").alias("n1"), F.col("n").alias("s1"), F.col("pos").alias("p1"))
-    right = members.select("token", F.col("comp").alias("cb"), F.col("node").alias("n2"), F.col("n").alias("s2"), F.col("pos").alias("p2"))
-    rows = meets.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where(may_link("s1", "p1", "s2", "p2"))
+    left = members.select("token", F.col("comp").alias("ca"), F.col("node").alias("n1"), F.col("n").alias("s1"), F.col("pos").alias("p1"), F.col("before").alias("b1"))
+    right = members.select("token", F.col("comp").alias("cb"), F.col("node").alias("n2"), F.col("n").alias("s2"), F.col("pos").alias("p2"), F.col("before").alias("b2"))
+    rows = meets.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where(may_link("s1", "p1", "s2", "p2") & ~F.coalesce(F.col("b1") == F.col("b2"), F.lit(False)))
     return rows.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
 
 
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sets of all documents, and (node, comp) of every node that has a link."""
     sets = saved(shingle_sets(docs, frequent_shingles(docs)), "sets")
+    nodes = saved(sets.where(F.col("prefix").isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.first("sample").alias("sample"), F.min("doc_id").alias("doc_id")), "nodes")
     lists = saved(shared_lists(postings(sets, choose_boundary(sets))), "lists")
     size = lists.count()
     tested = saved(_hub_pairs(lists), "pairs")
-    edges = saved(verified(tested, sets, docs), "edges")
+    edges = saved(verified(tested, nodes, docs), "edges")
     comps = connected_components(edges)
     lists = lists.drop("hub")
-    for turn in range(HUB_ROUNDS + 1):
-        members = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        members = saved(members, "members")
+    for turn in range(len(HUBS) + 1):
+        members = saved(lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
         counts = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        per = counts.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("within"), F.max(F.struct("k", "comp")).alias("most"))
+        per = counts.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("within"))
         per = saved(per.where("comps > 1"), "open")
         left = per.agg(F.sum((F.col("all").cast("double") * F.col("all") - F.col("within")) / 2)).first()[0]
         if not left:
             break
-        members = members.join(per.select("token", F.col("most.comp").alias("main")), "token")
-        last = turn == HUB_ROUNDS or left <= FULL_FACTOR * max(size, 1)
+        members = members.join(per.select("token"), "token")
+        last = turn == len(HUBS) or left <= FULL_FACTOR * max(size, 1)
         if last:
-            pairs = _all_pairs(saved(members, "members"))
+            pairs = _all_pairs(members)
         else:
-            pick = members.where("comp <> main").groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "comp")).alias("hub"))
-            pairs = _hub_pairs(members.join(pick, "token").where(F.col("comp") != F.col("hub.comp")))
+            pairs = _more_hub_pairs(members, edges, turn)
         pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        edges = saved(edges.union(verified(pairs, sets, docs)), "edges")
+        edges = saved(edges.union(verified(pairs, nodes, docs)), "edges")
         comps = connected_components(edges)
         if last:
             break
