@@ -267,3 +267,15 @@ def test_scores_of_odd_tables(odd_docs, no_docs):
     got = lm_scoring.language_model_scores(odd_docs).collect()
     assert len(got) == odd_docs.count() and {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1}
     assert lm_scoring.language_model_scores(no_docs).count() == 0
+
+
+def test_count_cutoff(spark):
+    from voxspark.llm.common import count_cutoff
+
+    rng = random.Random(1)
+    n = [rng.randrange(1, 40) for _ in range(500)] + [rng.randrange(1, 10**6) for _ in range(500)]
+    counts = spark.createDataFrame([(x,) for x in n], "n long")
+    for most in (0, 1, 10, 300, 700, 1000, 5000):
+        c = count_cutoff(counts, most)
+        assert sum(x >= c for x in n) <= most and (most < 1000 or c <= min(n))
+    assert count_cutoff(counts.limit(0), 5) == 1

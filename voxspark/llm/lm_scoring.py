@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import lower_words, raw_bytes, saved, table
+from .common import count_cutoff, hashed_words, lower_words, raw_bytes, saved, table, word_hash_lists
 
 HEAD = 1 << 19
 END_WORD = "\n"  # white space, so no word
@@ -56,17 +55,20 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The HEAD most frequent words and their counts, by falling count; tokens and distinct tokens in all."""
+    """Hashes and counts of the most frequent words, at most `head`, by falling count; tokens and distinct tokens in all."""
 
     def __init__(self, counts: DataFrame, head: int):
         total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
         self.tokens, self.distinct = int(total or 0), int(distinct)
         ends = counts.where(F.col("word") == END_WORD).first()
         self.ends = int(ends.n) if ends else 0
-        rows = counts.where(F.col("word") != END_WORD).orderBy(F.desc("n"), "word").limit(head).toArrow()
-        self.words = rows.column("word").cast(pa.binary()).to_pylist()
+        own = counts.where(F.col("word") != END_WORD)
+        self.cutoff = count_cutoff(own, head)
+        rows = own.where(F.col("n") >= self.cutoff).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+        words = rows.column("word").cast(pa.binary()).to_pylist()
+        self.hashes = word_hash_lists([b" ".join(words)])[0]
         self.n = rows.column("n").to_numpy()
-        self.whole = self.distinct - (self.ends > 0) <= len(self.words)
+        self.whole = self.distinct - (self.ends > 0) <= len(words)
         self.cells = float(self.tokens + self.distinct + 1)
 
     def symbols(self) -> tuple[np.ndarray, np.ndarray]:
@@ -79,22 +81,46 @@ class Vocabulary:
         return counts, p
 
 
-_indexes: dict[str, dict[bytes, int]] = {}
-
-
-def _index(shared: tuple[str, list[bytes], np.ndarray]) -> dict[bytes, int]:
-    """Rank of each word, made once in a worker process for each vocabulary."""
-    key, words, _ = shared
+class HashIndex:
+    """Rank of a word by its 64-bit hash: an open-addressed table, looked up for many words at once."""
+
+    def __init__(self, hashes: np.ndarray):
+        size = 1 << max(4, (2 * len(hashes)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.keys, self.ranks = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
+        left, at = np.arange(len(hashes)), (hashes & self.mask).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.ranks[at] < 0)
+            slots, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[slots], self.ranks[slots] = hashes[left[put]], left[put]
+            left, at = np.delete(left, put), (np.delete(at, put) + 1) & (size - 1)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """Ranks, -1 for what is not there."""
+        at = (hashes & self.mask).astype(np.int64)
+        out = self.ranks[at]
+        go = np.flatnonzero((self.keys[at] != hashes) & (out >= 0))
+        while len(go):
+            at[go] = (at[go] + 1) & int(self.mask)
+            out[go] = self.ranks[at[go]]
+            go = go[(self.keys[at[go]] != hashes[go]) & (out[go] >= 0)]
+        # an empty slot has rank -1, and its key may by chance be the hash looked for
+        return out
+
+
+_indexes: dict[str, HashIndex] = {}
+
+
+def _index(shared: tuple[str, np.ndarray, np.ndarray]) -> HashIndex:
+    """Made once in a worker process for each vocabulary."""
+    key, hashes, _ = shared
     if key not in _indexes:
         _indexes.clear()
-        _indexes[key] = {w: i for i, w in enumerate(words)}
+        _indexes[key] = HashIndex(hashes)
     return _indexes[key]
 
 
-def _ranks(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
-
-
 def _symbols(ranks: np.ndarray) -> np.ndarray:
     out = np.full(len(ranks) + 1, gru.OTHER, np.int32)
     known = (ranks >= 0) & (ranks < gru.SYMBOLS - 2)
@@ -113,8 +139,8 @@ def train(texts: DataFrame, start: gru.Params, vocabulary) -> gru.Params:
         trainer = gru.Trainer(gru.shaped(given.value, {k: np.zeros(s) for k, s in like.items()}))
         docs, n = [], 0
         for b in batches:
-            for text in raw_bytes(b.column(0)):
-                docs.append(_symbols(_ranks(lower_words(text), index)))
+            for words in hashed_words(raw_bytes(b.column(0))):
+                docs.append(_symbols(index.of(words)))
                 n += len(docs[-1])
                 if n >= BUFFER:
                     trainer.train(docs)
@@ -152,15 +178,18 @@ def score(docs: DataFrame, vocabulary, params: gru.Params, ends: int, cells: flo
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in SCORED.split(", ")])
 
         for b in batches:
-            for doc, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_bytes(b.column(2)), strict=True):
-                own = lower_words(text)
-                ranks = _ranks(own, index)
+            texts = raw_bytes(b.column(2))
+            for doc, held, text, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, hashed_words(texts), strict=True):
+                ranks = index.of(words)
                 seq = _symbols(ranks)
                 gains = logs[ranks]
                 base = float(gains.sum()) + np.log10(ends + 1.0) - len(seq) * np.log10(cells)
                 other = seq[:-1] == gru.OTHER
-                extra = float(gains[other].sum()) - int(other.sum()) * np.log10(rest) if len(own) else 0.0
-                tail = Counter([own[i] for i in np.flatnonzero(ranks < 0).tolist()])
+                extra = float(gains[other].sum()) - int(other.sum()) * np.log10(rest) if len(words) else 0.0
+                tail: Counter[bytes] = Counter()
+                if len(rare := np.flatnonzero(ranks < 0)):
+                    own = lower_words(text)
+                    tail.update([own[i] for i in rare.tolist()])
                 rows.append((doc, held, len(seq), int((ranks >= 0).sum()) + (ends > 0), base, extra, [w.decode() for w in tail], list(tail.values())))
                 docs.append(seq)
                 n += len(seq)
@@ -178,7 +207,7 @@ def language_model_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
 
     A null or empty text is one token, its end. A null doc_id is the empty key, which is learnt from. Repeated rows count
     as often as they are there. The driver holds the `head` most frequent words and the model; counts of all
-    other words are joined where they occur. With no training document every symbol is
+    other words are joined where they occur. Frequent words are told by 64-bit hashes. With no training document every symbol is
     as likely as the smoothing says. An empty table gives no rows.
     """
     rows = docs.select("doc_id", "text", (remainder(F.col("doc_id")) == 2).alias("held_out"))
@@ -186,10 +215,10 @@ def language_model_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
     counts = saved(word_counts(learnt.select("text")), "word-counts")
     vocab = Vocabulary(counts, head)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((uuid.uuid4().hex, vocab.words, vocab.n))
+    shared = sc.broadcast((uuid.uuid4().hex, vocab.hashes, vocab.n))
     symbols, unigram = vocab.symbols()
     params = gru.initial(symbols)
-    top = sc.broadcast((uuid.uuid4().hex, vocab.words[: gru.SYMBOLS - 2], vocab.n[: gru.SYMBOLS - 2]))
+    top = sc.broadcast((uuid.uuid4().hex, vocab.hashes[: gru.SYMBOLS - 2], vocab.n[: gru.SYMBOLS - 2]))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(SLICES))
     for first, last in ROUNDS:
         params = train(learnt.where(part.between(first, last - 1)).select("text"), params, top)
@@ -199,7 +228,7 @@ def language_model_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
     else:
         kept = saved(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
         tail = kept.select("_row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("_row", F.col("t.words").alias("word"), F.col("t.times").alias("times"))
-        less = counts.where(F.col("n") <= int(vocab.n[-1]))
+        less = counts.where(F.col("n") < vocab.cutoff)
         found = tail.join(less, "word").groupBy("_row").agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("_gain"))
         gain = F.coalesce("_gain", F.lit(0.0))
         out = kept.join(found, "_row", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("_known", F.lit(0)), "base": F.col("base") + gain, "model": F.col("model") + gain})
