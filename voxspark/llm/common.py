@@ -13,11 +13,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
+BATCH_ROWS = 1000
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -43,9 +43,18 @@ def fresh(spark: SparkSession, label: str) -> str:
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again: cuts the lineage."""
-    path = fresh(df.sparkSession, label)
-    df.write.parquet(path)
+    """The rows written as Parquet in the shared folder and read again: cuts the lineage.
+
+    Meanwhile Arrow batches hold at most BATCH_ROWS rows, since a row may be a long text; the session's
+    setting is then put back.
+    """
+    path, conf, key = fresh(df.sparkSession, label), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -87,21 +96,6 @@ def strings(column: pa.Array) -> list[str]:
     return [s or "" for s in column.to_pylist()]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for words seen before; forgotten when they are many."""
-
-    most = 1 << 20
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _R32, _R29 = np.uint64(32), np.uint64(29)
 
@@ -182,13 +176,14 @@ def _cuts(text: bytes) -> list[bytes]:
     return out
 
 
-def word_hash_lists(texts: list[bytes]) -> list[np.ndarray]:
-    """Hashes of the words of each text, A-Z lowered, many short texts at a time."""
+def word_hash_lists(texts: list[bytes], lower: bool = True) -> list[np.ndarray]:
+    """Hashes of the words of each text, A-Z lowered if asked for, many short texts at a time."""
+    fold = bytes.lower if lower else bytes
     out: list[np.ndarray] = []
     i = 0
     while i < len(texts):
         if len(texts[i]) > _PIECE:
-            out.append(np.concatenate([_piece_hashes(p)[0] for p in _cuts(texts[i].lower())]))
+            out.append(np.concatenate([_piece_hashes(p)[0] for p in _cuts(fold(texts[i]))]))
             i += 1
             continue
         group, size = [], 0
@@ -198,23 +193,23 @@ def word_hash_lists(texts: list[bytes]) -> list[np.ndarray]:
             i += 1
         if not group:
             group, i = [texts[i]], i + 1
-        hashes, starts = _piece_hashes(b" ".join(group).lower() + b" ")
+        hashes, starts = _piece_hashes(fold(b" ".join(group)) + b" ")
         ends = np.cumsum([len(t) + 1 for t in group])
         at = np.searchsorted(starts, ends)
         out += [hashes[a:b] for a, b in zip(np.concatenate([[0], at[:-1]]), at, strict=True)]
     return out
 
 
-def hashed_words(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+def hashed_words(texts: Iterable[bytes], lower: bool = True) -> Iterator[np.ndarray]:
     """Hashes of the words of each whole text, a few MB of texts at a time."""
     group, size = [], 0
     for text in texts:
         group.append(text)
         size += len(text)
         if size >= _GROUP:
-            yield from word_hash_lists(group)
+            yield from word_hash_lists(group, lower)
             group, size = [], 0
-    yield from word_hash_lists(group)
+    yield from word_hash_lists(group, lower)
 
 
 def shingle_sets_of(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
