@@ -189,6 +189,38 @@ def test_rates_against_plain_projected_gradient(spark):
     assert (r >= 0).all() and np.allclose((r * n) @ p / target, 1, atol=5e-3)
 
 
+@pytest.mark.parametrize("soft", [0.3, 0.6, 0.9])
+def test_rates_meet_the_production_targets_with_default_steps(spark, soft):
+    """Soft posteriors and small residual domains."""
+    import numpy as np
+
+    rng, domains = np.random.default_rng(1), ["q0_t0", "q0_t1", "q1_t0", "q1_t1"]
+    natural = np.array([0.15, 0.02, 0.765, 0.065])
+    p = (1 - soft) * np.eye(4)[rng.choice(4, 300, p=natural)] + soft * rng.dirichlet(4 * natural, 300)
+    n = rng.integers(1, 500, 300)
+    profiles = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(300)], "code int, n long, p array<double>")
+    got = {r.code: r.rate for r in mixing.fit_rates(profiles, domains, mixing.TARGETS).collect()}
+    r = np.array([got[i] for i in range(300)])
+    tokens, target = (r * n) @ p, mixing.target_tokens(domains, n @ p, mixing.TARGETS)
+    assert (r >= 0).all() and abs((r * n).sum() / n.sum() - 1) < 0.01
+    assert abs(tokens[2] / n.sum() - 0.95) < 0.005 and np.abs(tokens - target).max() < 0.005 * n.sum()
+
+
+def test_unreachable_targets_end_at_the_least_squares(spark):
+    """Every row is half a: three quarters cannot be reached, and the rates are those of the plain projected gradient."""
+    import numpy as np
+
+    n, p = np.array([100, 300]), np.array([[0.5, 0.5], [0.5, 0.5]])
+    profiles = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(2)], "code int, n long, p array<double>")
+    got = {r.code: r.rate for r in mixing.fit_rates(profiles, ["a", "b"], {"a": 0.75}).collect()}
+    target, r = mixing.target_tokens(["a", "b"], n @ p, {"a": 0.75}), np.ones(2)
+    for _ in range(20_000):
+        r = np.maximum(0, r - 0.1 * (400 * p @ (((r * n) @ p - target) / target**2) + mixing.RIDGE * (r - 1)))
+    assert np.allclose([got[0], got[1]], r, atol=1e-3)
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(profiles, ["a", "b"], {"a": 0.75}, steps=1)
+
+
 def test_mixing_of_odd_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, None), (None, 1, 0), (9, 0, 0), (9, 1, 1), (77, 1, 1)], "doc_id long, quality int, toxic int")
     out = mixing.mix(odd_docs, labels)

@@ -4,8 +4,8 @@ A naive Bayes classifier, fitted on the labelled table, gives each document a pr
 from a handful of binned features, among them how many of a domain's telling words it has. Rates r >= 0 are
 then fitted so that the expected tokens of domain k, the sum of r * tokens * p_k over all documents, meet
 its target. A rate depends on the document's posteriors alone, and those on its bins, so documents
-are first added up by bins (at most CODES rows, whatever the corpus) and every gradient is one distributed
-sum over that table.
+are first added up by bins (at most CODES rows, whatever the corpus) and every gradient, with the moments that
+precondition it, is one distributed sum over that table.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ MOST_DOMAINS = 16
 TARGETS = {"q1_t0": 0.95}
 RIDGE = 1e-3
 MOST_STEPS = 48
-TOLERANCE = 2e-3
+TOLERANCE = 1e-4
 
 
 def _labelled(labels: DataFrame) -> DataFrame:
@@ -143,52 +143,64 @@ def target_tokens(domains: list[str], natural: np.ndarray, weights: Mapping[str,
     return natural.sum() * share / share.sum() if share.sum() else natural
 
 
-def _step(history: list[tuple[list[float], float, float, float]]) -> Column:
-    """struct(r, y) after the steps in `history`: y is the point with momentum, r the projected one before it."""
-    if not history:
-        return F.col("state")
-    steps = F.array(*[F.struct(F.array(*map(F.lit, c)).alias("c"), F.lit(size).alias("size"), F.lit(ridge).alias("ridge"), F.lit(beta).alias("beta")) for c, size, ridge, beta in history])
+def _sums(profiles: DataFrame, k: int, u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """One distributed sum at the rates of `u`: half the weighted squares of the rates, tokens of each domain, and the moments of the rows above 0."""
+    above = profiles.withColumn("_r", rate_of(u)).where("_r > 0")
+    pair, p = [(i, j) for i in range(k) for j in range(i, k)], lambda i: F.col("p")[i]
+    row = above.agg(
+        F.sum(F.col("n") * F.col("_r") * F.col("_r")),
+        *[F.sum(F.col("n") * F.col("_r") * p(i)) for i in range(k)],
+        *[F.sum(F.col("n") * p(i) * p(j)) for i, j in pair],
+    ).first()
+    got, second = np.array([x or 0.0 for x in row], float), np.zeros((k, k))
+    for (i, j), m in zip(pair, got[k + 1 :], strict=True):
+        second[i, j] = second[j, i] = m
+    return float(got[0]) / 2, got[1 : k + 1], second
 
-    def one(s, h):
-        slope = F.aggregate(F.zip_with("p", h["c"], lambda p, c: p * c), F.lit(0.0), lambda a, b: a + b) + h["ridge"] * (s["y"] - 1)
-        r = F.greatest(F.lit(0.0), s["y"] - h["size"] * slope)
-        return F.struct(r.alias("r"), (r + h["beta"] * (r - s["r"])).alias("y"))
 
-    return F.aggregate(steps, F.col("state"), one)
+def rate_of(u: np.ndarray) -> Column:
+    """max(0, 1 - p . u): the projected rate of a row by one number for each domain."""
+    slope = F.aggregate(F.zip_with("p", F.array(*map(F.lit, u.tolist())), lambda p, c: p * c), F.lit(0.0), lambda a, b: a + b)
+    return F.greatest(F.lit(0.0), 1 - slope)
 
 
 def fit_rates(profiles: DataFrame, domains: list[str], weights: Mapping[str, float], steps: int = MOST_STEPS) -> DataFrame:
     """code, p, rate. `profiles` has code, n (tokens) and p, at most CODES rows.
 
     Minimises half the sum over domains of (tokens / target - 1)^2 plus a small ridge that holds rates near 1,
-    in the norm weighted by tokens, by accelerated projected gradient with the step from the largest
-    eigenvalue of the domains' moment matrix. Each step is one distributed sum of K numbers; the state is
-    written anew every 16 steps so that no lineage grows.
+    in the norm weighted by tokens, over rates of 0 or more. Where the projected gradient of that is 0, a rate is
+    max(0, 1 - p . u) with one number u for each domain, so steps are taken in u: gradients
+    preconditioned by the moments of the rows whose rates are above 0, and halved until they go down. Each is
+    one distributed sum of numbers that depend on the domains alone. It ends only when no
+    domain's share of the projected gradient exceeds TOLERANCE of its target, met or not; an error says if `steps` do not suffice.
     """
     k = len(domains)
-    moments = profiles.select(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("p")[i]).alias(f"t{i}") for i in range(k)], *[F.sum(F.col("n") * F.col("p")[i] * F.col("p")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
-    total = float(moments["n"] or 0)
+    natural = np.array([x or 0.0 for x in profiles.select(F.sum("n"), *[F.sum(F.col("n") * F.col("p")[i]) for i in range(k)]).first()], float)
+    total, natural = float(natural[0]), natural[1:]
     if not total:
         return profiles.select("code", "p", F.lit(1.0).alias("rate"))
-    natural = np.array([moments[f"t{i}"] for i in range(k)], float)
     target = target_tokens(domains, natural, weights)
     scale = np.maximum(target, 1e-3 * total)
-    second = np.array([[moments[f"m{i}_{j}"] for j in range(k)] for i in range(k)], float)
-    size = 1 / (total * np.linalg.eigvalsh(second / np.outer(scale, scale)).max() + RIDGE)
-    state = profiles.withColumn("state", F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")))
-    history, got, t = [], natural, 1.0
-    for i in range(steps):
-        miss = (got - target) / scale
-        if np.abs(miss).max() < TOLERANCE:
+    ridge = RIDGE * scale**2 / total
+    value = lambda u, half: half + float(target @ u) + float(ridge @ u**2) / 2
+    u = np.zeros(k)
+    half, got, second = _sums(profiles, k, u)
+    for _ in range(steps):
+        slope = target - got + ridge * u
+        if np.abs(slope / scale).max() < TOLERANCE:
             break
-        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        history.append(((total * miss / scale).tolist(), float(size), RIDGE, (t - 1) / after))
-        t = after
-        if len(history) == 16:
-            state, history = saved(state.withColumn("state", _step(history)), "rates"), []
-        y = state.select("n", "p", _step(history)["y"].alias("y"))
-        got = np.array(y.select(*[F.sum(F.col("n") * F.col("y") * F.col("p")[i]) for i in range(k)]).first(), float)
-    return state.select("code", "p", _step(history)["r"].alias("rate"))
+        size = np.sqrt(np.diag(second) + ridge)
+        move = -np.linalg.solve((second + np.diag(ridge)) / np.outer(size, size), slope / size) / size
+        before, part = value(u, half), 1.0
+        while True:
+            half, got, second = _sums(profiles, k, u + part * move)
+            if value(u + part * move, half) <= before + 1e-4 * part * float(slope @ move) + 1e-12 * abs(before) or part < 1e-6:
+                break
+            part /= 2
+        u = u + part * move
+    else:
+        raise RuntimeError(f"rates have not settled after {steps} steps: tokens {got.tolist()} of the domains {domains}, targets {target.tolist()}")
+    return profiles.select("code", "p", rate_of(u).alias("rate"))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGETS) -> tuple[DataFrame, DataFrame, Classifier]:
