@@ -221,6 +221,18 @@ def test_unreachable_targets_end_at_the_least_squares(spark):
         mixing.fit_rates(profiles, ["a", "b"], {"a": 0.75}, steps=1)
 
 
+def test_every_domain_has_a_lexicon(spark):
+    """Six and ten domains that nothing but their words tells apart."""
+    for qualities in (3, 5):
+        rows = [(i, f"{words(5000 + i, 6)} {' '.join(f'telling{i % (2 * qualities)}x{j}' for j in range(4))} end", "en") for i in range(120 * qualities)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        labels = spark.createDataFrame([(i, i % (2 * qualities) // 2, i % 2) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+        slim, rates, model = mixing.mixing_rates(docs, labels, {})
+        assert len(model.domains) == 2 * qualities and all(model.lexicons)
+        for r in slim.join(rates, "code").collect():
+            assert model.domains[max(range(len(r.p)), key=lambda k: r.p[k])] == f"q{r.doc_id % (2 * qualities) // 2}_t{r.doc_id % 2}"
+
+
 def test_mixing_of_odd_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, None), (None, 1, 0), (9, 0, 0), (9, 1, 1), (77, 1, 1)], "doc_id long, quality int, toxic int")
     out = mixing.mix(odd_docs, labels)

@@ -1,10 +1,10 @@
 """Soft-membership mixing: posteriors of labelled domains, and document rates by projected-gradient least squares.
 
 A naive Bayes classifier, fitted on the labelled table, gives each document a probability of each domain
-from a handful of binned features, among them how many of a domain's telling words it has. Rates r >= 0 are
+from a handful of binned features, among them how many of each domain's telling words it has. Rates r >= 0 are
 then fitted so that the expected tokens of domain k, the sum of r * tokens * p_k over all documents, meet
 its target. A rate depends on the document's posteriors alone, and those on its bins, so documents
-are first added up by bins (at most CODES rows, whatever the corpus) and every gradient, with the moments that
+are first added up by bins (at most CODES rows for up to eight domains, whatever the corpus) and every gradient, with the moments that
 precondition it, is one distributed sum over that table.
 """
 
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import native_words, saved, table
 
-#: Bits of each feature's bin, from the lowest; a lexicon's feature has LEXICON_BITS.
+#: Bits of each feature's bin, from the lowest; every domain's lexicon has LEXICON_BITS, or one bit where there are more than WIDE_LEXICONS.
 BITS = {"lang": 3, "length": 3, "symbols": 2, "capitals": 2}
-LEXICON_BITS, MOST_LEXICONS, LEXICON_WORDS = 2, 4, 24
-CODES = 1 << (sum(BITS.values()) + LEXICON_BITS * MOST_LEXICONS)
+LEXICON_BITS, WIDE_LEXICONS, LEXICON_WORDS = 2, 4, 24
+CODES = 1 << (sum(BITS.values()) + LEXICON_BITS * WIDE_LEXICONS)  # of up to eight domains; each further one doubles them
 LEXICON_SAMPLE = 20_000
 TELLING = 4.0  # standard errors by which a word's log-odds must differ from 0
 MOST_DOMAINS = 16
@@ -41,15 +41,24 @@ def _labelled(labels: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Classifier:
-    """Domains, the telling words of the first MOST_LEXICONS, and the fitted log-probabilities."""
+    """Domains, the telling words of each, and the fitted log-probabilities."""
 
     domains: list[str]
     lexicons: list[list[str]]
     prior: list[float] = field(default_factory=list)
     likelihood: list[list[list[float]]] = field(default_factory=list)
 
+    @property
+    def lexicon_bits(self) -> int:
+        return LEXICON_BITS if len(self.domains) <= WIDE_LEXICONS else 1
+
+    @property
+    def bounded(self) -> bool:
+        """Whether there are at most CODES codes."""
+        return 1 << sum(bits for _, bits in self.features()) <= CODES
+
     def features(self) -> list[tuple[str, int]]:
-        return [*BITS.items(), *[(f"lexicon_{d}", LEXICON_BITS) for d, w in zip(self.domains, self.lexicons, strict=False) if w]]
+        return [*BITS.items(), *[(f"lexicon_{d}", self.lexicon_bits) for d, w in zip(self.domains, self.lexicons, strict=False) if w]]
 
     def binned(self, docs: DataFrame) -> DataFrame:
         """Adds n_tokens and code, which packs the bins. A null text has no words; a null lang is a language of its own."""
@@ -61,7 +70,7 @@ class Classifier:
             F.least(F.floor(F.log2(F.col("n_tokens") + 1) / 2), F.lit((1 << BITS["length"]) - 1)).cast("int"),
             log_bin(F.regexp_count(text, F.lit("[#*$%&|<>]")) * per_word, BITS["symbols"]),
             log_bin(F.regexp_count(text, F.lit("[A-Z]{3,}")) * per_word, BITS["capitals"]),
-            *[F.least(F.size(F.array_intersect("_words", F.array(*map(F.lit, w)))), F.lit((1 << LEXICON_BITS) - 1)) for w in self.lexicons if w],
+            *[F.least(F.size(F.array_intersect("_words", F.array(*map(F.lit, w)))), F.lit((1 << self.lexicon_bits) - 1)) for w in self.lexicons if w],
         ]
         code, shift = F.lit(0), 0
         for (_, bits), b in zip(self.features(), bins, strict=True):
@@ -90,7 +99,7 @@ class Classifier:
 
 
 def choose_lexicons(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """The domains, and of the first MOST_LEXICONS the words that tell most for them.
+    """The domains, and the words that tell most for each of them.
 
     Words are weighed on at most LEXICON_SAMPLE labelled documents, the same ones at every run; the
     domains come from all labels.
@@ -106,7 +115,7 @@ def choose_lexicons(docs: DataFrame, labels: DataFrame) -> Classifier:
     told = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", F.explode(F.array_distinct(native_words("text"))).alias("word"))
     counts = told.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]).where("n >= 5")
     lexicons, counts, whole = [], saved(counts, "word-counts"), sum(sizes.values())
-    for i, d in enumerate(domains[:MOST_LEXICONS]):
+    for i, d in enumerate(domains):
         n, own = sizes.get(d, 0), F.col(f"n{i}")
         odds = F.log((own + 0.5) / (n + 1)) - F.log((F.col("n") - own + 0.5) / (whole - n + 1))
         spread = F.sqrt(1 / (own + 0.5) + 1 / (F.col("n") - own + 0.5))
@@ -165,7 +174,7 @@ def rate_of(u: np.ndarray) -> Column:
 
 
 def fit_rates(profiles: DataFrame, domains: list[str], weights: Mapping[str, float], steps: int = MOST_STEPS) -> DataFrame:
-    """code, p, rate. `profiles` has code, n (tokens) and p, at most CODES rows.
+    """code, p, rate. `profiles` has code, n (tokens) and p.
 
     Minimises half the sum over domains of (tokens / target - 1)^2 plus a small ridge that holds rates near 1,
     in the norm weighted by tokens, over rates of 0 or more. Where the projected gradient of that is 0, a rate is
@@ -208,8 +217,15 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float
     model = choose_lexicons(docs, labels)
     slim = saved(model.binned(docs.select("doc_id", "text", "lang")).select("doc_id", "n_tokens", "code"), "bins")
     model = fit_classifier(model, slim, labels)
-    profiles = saved(model.with_posteriors(slim.groupBy("code").agg(F.sum("n_tokens").alias("n"))).coalesce(4), "profiles")
-    return slim, saved(fit_rates(profiles, model.domains, weights).coalesce(1), "rates"), model
+    profiles = model.with_posteriors(slim.groupBy("code").agg(F.sum("n_tokens").alias("n")))
+    profiles = saved(profiles.coalesce(4) if model.bounded else profiles, "profiles")
+    rates = fit_rates(profiles, model.domains, weights)
+    return slim, saved(rates.coalesce(1) if model.bounded else rates, "rates"), model
+
+
+def _hinted(rates: DataFrame, model: Classifier) -> DataFrame:
+    """For a broadcast where the codes are bounded or, counted, within the bound; otherwise the join shuffles."""
+    return F.broadcast(rates) if model.bounded or rates.count() <= CODES else rates
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -225,7 +241,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGE
     """
     _, rates, model = mixing_rates(docs, labels, weights)
     whole = docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    joined = model.binned(whole).join(F.broadcast(rates.select(F.col("code"), F.col("rate").alias("_rate"))), "code")
+    joined = model.binned(whole).join(_hinted(rates.select(F.col("code"), F.col("rate").alias("_rate")), model), "code")
     repeated = joined.withColumn("_copies", copies(F.col("_rate"), F.col("doc_id"))).where("_copies > 0")
     return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")
 
@@ -233,5 +249,5 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGE
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")
     slim, rates, model = mixing_rates(docs, labels)
-    out = slim.join(F.broadcast(rates), "code")
+    out = slim.join(_hinted(rates, model), "code")
     return out.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
