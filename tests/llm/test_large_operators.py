@@ -114,6 +114,24 @@ def test_jaccard_of_odd_tables(odd_docs, no_docs):
     assert jaccard.jaccard_components(no_docs).count() == 0 and jaccard.keep_one(no_docs).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """A repeated smallest id, ids with several texts, repeated null ids."""
+    a, b, c, d, e, f = (words(600 + i, 120) for i in range(6))
+    near = "changed " + a
+    rows = [
+        (1, a, 0), (1, a, 1), (1, a, 2), (2, a, 3), (3, near, 4),  # a repeated smallest id
+        (4, a, 5), (4, b, 6),  # a copy, and a clean text under the same id
+        (5, c, 7), (5, "changed " + c, 8), (6, c, 9),  # both texts of the smallest id in one group
+        (None, d, 10), (None, d, 11), (None, a, 12), (None, "", 13),
+        (7, e, 14), (7, None, 15), (7, e.upper(), 16), (8, "", 17), (9, f, 18),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(4)
+    kept = [(r.doc_id, r.text, r.row) for r in jaccard.keep_one(docs).collect()]
+    assert set(kept) <= set(rows) and len(kept) == len(set(kept))
+    groups = [{0, 1, 2}, {6}, {7, 8}, {10, 11}, {13}, {14, 16}, {15}, {17}, {18}]
+    assert len(kept) == len(groups) and all(len(g & {r[2] for r in kept}) == 1 for g in groups)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1200)] + [(5, 5)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())

@@ -333,6 +333,17 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets, comps
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node, component_id and chosen of every row: the rows of the least doc_id in a component are chosen, null ids last, and of several texts under it one."""
+    sets, comps = similar_components(docs)
+    classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    labelled = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = labelled.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("least"))
+    final = labelled.join(least, "comp").select("node", F.col("least.rep").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first"))
+    chosen = F.coalesce(F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False))
+    return sets.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("component_id"), chosen.alias("chosen"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links of Jaccard 0.75, itself included.
 
@@ -341,22 +352,42 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     several rows keeps one result for each. Null doc_ids take part and are not chosen as component_id unless
     there is no other. Sets are told apart by 64-bit hashes. An empty table gives no rows.
     """
-    sets, comps = similar_components(docs)
-    classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    labelled = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    final = labelled.join(least, "comp").select("node", "component_id")
-    return sets.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _labelled(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id; all columns as they were.
+    """One row of each component stays, one with the smallest doc_id, a null one being the last; all columns as they were.
 
-    Of repeated rows with that doc_id one stays. Documents without words have no group and stay, as do null ids.
+    Rows without words have no group and stay. Rows are told apart by doc_id and the hash of their set: where no doc_id is on
+    several rows its id tells whether it goes; the rows of those whose ids do not tell are looked at again, and
+    of equal ones the one whose text has the least hash stays.
     """
-    result = jaccard_components(docs)
-    gone = saved(result.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = saved(_labelled(docs), "copies")
+    ids = rows.groupBy("doc_id").agg(F.count("node").alias("grouped"), F.count(F.lit(1)).alias("all"), F.count_if("chosen").alias("chosen"))
+    ids = saved(ids.where("grouped > 0 and not (grouped = 1 and chosen = 1)").select(F.col("doc_id").alias("_id"), (F.expr("chosen > 0 or all > grouped")).alias("_again")), "ids")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    kept = docs.join(small(ids.select("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    again = ids.where("_again").select("_id")
+    if not again.head(1):
+        return kept
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    whole = _with_nodes(whole.join(small(again), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
+    best = rows.where("chosen").join(small(again), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_best")).distinct()
+    met = whole.join(small(saved(best, "best")), (F.col("node") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    one = met.groupBy("doc_id", "node").agg(F.min_by("_doc", F.xxhash64("text")).alias("_doc"))
+    return kept.union(whole.where("node is null").select("_doc.*")).union(one.select("_doc.*"))
+
+
+def _with_nodes(rows: DataFrame) -> DataFrame:
+    """Adds node to rows of doc_id, text and more; null where there are no words."""
+    from pyspark.sql.types import LongType, StructType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes = [node_of(own) if len(own) else None for own in shingle_sets_of(raw_bytes(b.column(1)))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], [*b.schema.names, "node"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("node", LongType()))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
