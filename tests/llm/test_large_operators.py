@@ -114,6 +114,14 @@ def test_jaccard_of_odd_tables(odd_docs, no_docs):
     assert jaccard.jaccard_components(no_docs).count() == 0 and jaccard.keep_one(no_docs).count() == 0
 
 
+def test_null_ids_keep_their_links(spark):
+    a, b, c, d = (words(700 + i, 120) for i in range(4))
+    rows = [(None, a), (5, a), (6, "changed " + a), (None, b), (7, "changed " + b), (None, c), (None, "changed " + c), (None, d)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    ids = sorted(((r.doc_id, r.component_id) for r in got), key=str)
+    assert ids == sorted([(None, 5), (5, 5), (6, 5), (None, 7), (7, 7), (None, None), (None, None), (None, None)], key=str)
+
+
 def test_one_row_of_each_component_stays(spark):
     """A repeated smallest id, ids with several texts, repeated null ids."""
     a, b, c, d, e, f = (words(600 + i, 120) for i in range(6))

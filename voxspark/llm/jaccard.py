@@ -232,7 +232,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             same = [bool(len(own)) and node_of(own) == k for k, own in zip(b.column(0).to_pylist(), sets, strict=True)]
             yield b.filter(pa.array(same, pa.bool_()))
 
-    texts = saved(found.mapInArrow(own_text, "node long, text string"), "texts")
+    found, unnamed = found.mapInArrow(own_text, "node long, text string"), ids.where("_id is null").select("node")
+    if n := unnamed.count():  # nodes that have null doc_ids alone are met by the hash of their set
+        nulls = _with_nodes(docs.select("doc_id", "text").where("doc_id is null"))
+        found = found.union(nulls.join(F.broadcast(unnamed) if n <= BROADCAST_ROWS else unnamed, "node").groupBy("node").agg(F.min("text").alias("text")))
+    texts = saved(found, "texts")
     hint = F.broadcast if _within(texts, "text") is not texts else (lambda df: df)
     right = pairs.join(hint(texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))), "b")
     both = right.join(hint(texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))), "a").select("a", "b", "ta", "tb")
@@ -303,7 +307,7 @@ def _all_pairs(members: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sets of all documents, and (node, comp) of every node that has a link."""
     sets = saved(shingle_sets(docs, frequent_shingles(docs)), "sets")
-    nodes = saved(sets.where(F.col("prefix").isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.first("sample").alias("sample"), F.min("doc_id").alias("doc_id")), "nodes")
+    nodes = saved(sets.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sample", ignorenulls=True).alias("sample"), F.min("doc_id").alias("doc_id")), "nodes")
     lists = saved(shared_lists(postings(sets, choose_boundary(sets))), "lists")
     size = lists.count()
     tested = saved(_hub_pairs(lists), "pairs")
