@@ -80,6 +80,16 @@ def test_tokens_match_the_library(spark, odd_docs, docs):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
 
 
+def test_added_tokens_and_sigmas_match_the_library():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|> <|EndOfText|>", "<|endoftext|><|endoftext|>\n", "ΟΔΟΣ ΣΑΣ Σ ΣΣ", "ΑΣ<|endoftext|>ΑΣ", "ὈΔΥΣΣΕΎΣ's Σ1", "İΣ", "σας ς", "no <|end of|> it", ""]
+    coder, t = token_planes.Encoder(_path()), Tokenizer.from_file(_path())
+    assert coder.whole is None
+    for x, got in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 def test_no_tokens_of_an_empty_table(spark, no_docs):
     folder = fresh(spark, "test-tokens")
     assert token_planes.read_tokens(token_planes.write_tokens(no_docs, folder, _path()), folder).count() == 0

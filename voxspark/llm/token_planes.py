@@ -121,8 +121,11 @@ def _splits_at_space(spec: dict) -> bool:
     """Whether no id of such a tokenizer can depend on text beyond the white space beside its word."""
     normal = (spec.get("normalizer") or {}).get("normalizers", [])
     pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    added = [t["content"] for t in spec.get("added_tokens") or []]
     return (
-        [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"]
+        # so that lower-casing a text's ASCII letters finds every one, also in a normalised text
+        all(c and c.isascii() and not set(c.lower()) & set("k;` \t\n\r\v\f\x1c\x1d\x1e\x1f") for c in added)
+        and [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"]
         and normal[1]["pattern"] == {"Regex": r"\s+"}
         and [x["type"] for x in pre] == ["Split", "ByteLevel"]
         and pre[0]["behavior"] == "Removed"
@@ -138,7 +141,8 @@ class Encoder:
 
     Where the tokenizer drops white space and looks at each word alone, a word's ids are kept and
     used again, so that only new words (and of them only new letter runs) pass through the
-    library; any other tokenizer encodes each text as it is. The result is the same.
+    library; any other tokenizer encodes each text as it is. So is a text that may hold an added
+    token, which counts inside words and before normalisation. The result is the same.
     """
 
     most = 1 << 20
@@ -152,6 +156,8 @@ class Encoder:
         self.whole = None if _splits_at_space(spec) else Tokenizer.from_file(path)
         if self.whole is None:
             pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            self.path, self.full = path, None
+            self.marks = [t["content"].lower().encode() for t in spec.get("added_tokens") or []]
             self.pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}"))
             spec["normalizer"] = None
             spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
@@ -161,7 +167,8 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new words; what is learnt first is kept, up to `most` words and as many letter runs."""
-        cut = [self.pieces.findall(unicodedata.normalize("NFC", w.decode()).lower()) for w in words]
+        # the library lowers each character by itself, also a sigma at a word's end
+        cut = [self.pieces.findall(unicodedata.normalize("NFC", w.decode()).replace("\u03a3", "\u03c3").lower()) for w in words]
         runs = self.runs
         if new := list(set().union(*cut) - runs.keys()):
             coded = self.library.encode(" ".join(new), add_special_tokens=False)
@@ -180,7 +187,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.whole is not None:
             return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [t.encode().lower().split() for t in texts]
+        lowered = [t.encode().lower() for t in texts]
+        marked = {i for i, t in enumerate(lowered) if any(m in t for m in self.marks)}
+        words = [[] if i in marked else t.split() for i, t in enumerate(lowered)]
         flat = list(chain.from_iterable(words))
         got = list(map(self.words.get, flat))
         if gaps := [i for i, g in enumerate(got) if g is None]:
@@ -188,11 +197,18 @@ class Encoder:
             for i in gaps:
                 got[i] = learnt[flat[i]]
         out, at = [], 0
-        for own in words:
-            out.append(b"".join(got[at : at + len(own)]))
+        for i, own in enumerate(words):
+            out.append(self._whole(texts[i]) if i in marked else b"".join(got[at : at + len(own)]))
             at += len(own)
         return out
 
+    def _whole(self, text: str) -> bytes:
+        from tokenizers import Tokenizer
+
+        if self.full is None:
+            self.full = Tokenizer.from_file(self.path)
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
 
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
