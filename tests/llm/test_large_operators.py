@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.conftest import words
 from voxspark.llm import contamination, jaccard, mixing
-from voxspark.llm.common import shingle_sets_of, word_hash_lists
+from voxspark.llm.common import word_hash_lists
 from voxspark.llm.components import connected_components
 
 
@@ -66,29 +66,45 @@ def test_jaccard_components_against_brute_force(spark, monkeypatch, boundary):
         assert (r.n_shingles, r.component_id) == (n, comp if n else r.doc_id)
 
 
-def test_all_rounds_agree(spark, monkeypatch):
-    """A crowd near the threshold, with few and with many hubs before the full join."""
+@pytest.mark.parametrize("rounds, factor", [(0, 0), (1, 0), (3, 0), (4, 4)])
+def test_all_rounds_agree(spark, monkeypatch, rounds, factor):
+    """A crowd near the threshold, with and without hub rounds before the full join."""
     rng = random.Random(5)
     base = words(4, 60)
-    rows = [(i, _edited(rng, base, rng.randrange(1, 7))) for i in range(150)]
+    rows = [(i, _edited(rng, base, rng.randrange(1, 7))) for i in range(120)]
+    rows += [(200 + i, _edited(rng, rows[i][1], rng.randrange(0, 3))) for i in range(60)]
     want = _components(rows)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for hubs, factor in (((2, 4), 0), ((), 4)):
-        monkeypatch.setattr(jaccard, "HUBS", hubs)
-        monkeypatch.setattr(jaccard, "FULL_FACTOR", factor)
-        for r in jaccard.jaccard_components(docs).collect():
-            assert next(iter(want[r.doc_id]))[1] == r.component_id
-
-
-def test_samples_rule_out_no_link():
-    rng = random.Random(2)
-    for n in (1, 3, 50, 255, 256, 257, 400, 3000):
-        base = words(n, n + 4)
-        for k in (0, 1, n // 40, n // 20):
-            a, b = shingle_sets_of([base.encode(), _edited(rng, base, k).encode()])
-            common = len(set(a.tolist()) & set(b.tolist()))
-            if 100 * common >= 75 * (len(a) + len(b) - common):
-                assert jaccard.may_reach(jaccard.sample_of(a), len(a), jaccard.sample_of(b), len(b))
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "FULL_FACTOR", factor)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows) and all(next(iter(want[r.doc_id]))[1] == r.component_id for r in got)
+
+
+@pytest.mark.parametrize("share, chunk", [(1.0, 300), (0.375, 100), (0.375, 10**6)])
+def test_bounds_are_never_too_low(spark, monkeypatch, share, chunk):
+    """Against all pairs, over many chunks; exact where all shingles are looked at and sets are distinct."""
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rng, texts = random.Random(11), []
+    for size in (3, 5, 6, 20, 80, 200):
+        base = words(40 + size, size)
+        texts += [base] + [_edited(rng, base, rng.randrange(1, 5)) for _ in range(12)]
+    texts += [words(900 + i, 40) for i in range(20)] + [texts[0], texts[40], "", None]
+    rows = list(enumerate(texts))
+    got = jaccard.bounds(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), share).collect()
+    sets = [_set(t) for t in texts]
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    most = {}
+    for r in got:
+        assert r.n == len(sets[r.doc_id]) and (r.node is None) == (r.n == 0)
+        if r.most is not None:
+            most[r.node] = max(r.most, most.get(r.node, 0))
+    for r in got:
+        if r.n:
+            others = [s for s in sets if s != sets[r.doc_id]]
+            common = len(sets[r.doc_id] & set().union(*others))
+            assert max(len(sets[r.doc_id] & s) for s in others) <= common <= most[r.node] <= r.n
+            if share == 1 and sets.count(sets[r.doc_id]) == 1:
+                assert most[r.node] == common
 
 
 def test_word_hashes_do_not_depend_on_their_place():

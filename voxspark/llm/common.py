@@ -78,6 +78,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """A name like `name` that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_columns(df: DataFrame, schema_fields) -> tuple[list[str], "object"]:
     """Input columns that stay beside the new fields, and the schema of both."""
     from pyspark.sql.types import StructType

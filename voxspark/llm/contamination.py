@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, native_words, saved, table
+from .common import SHINGLE, native_words, saved, table, unused
 
 PERCENT = 75
 BROADCAST_ROWS = 1_000_000
@@ -81,8 +81,9 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that hold no item, all columns as they were; a null doc_id that holds one takes all null ids along."""
-    bad = saved(contaminated(docs, items, percent).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(_small(bad, bad.count()), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    own = unused(docs.columns, "_bad")
+    bad = saved(contaminated(docs, items, percent).select(F.col("doc_id").alias(own)).distinct(), "contaminated")
+    return docs.join(_small(bad, bad.count()), F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
 
 
 def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

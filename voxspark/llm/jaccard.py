@@ -1,14 +1,17 @@
 """Size-aware heavy-light Jaccard join on five-word shingles, and its components.
 
-Every text becomes the set of its distinct shingles; equal sets become one node. In one global order of
-shingles (frequent ones last), two sets of Jaccard 0.75 share a shingle among the first n - ceil(3n/4) + 1
-of each, and two among one more. Light sets are joined by enumerating the subsets of two of that longer
-prefix, heavy sets by scanning the inverted lists of their single shingles; the size from which a set is heavy is the
-one of least cost for the sizes and list lengths at hand. All candidates are checked on the whole texts.
-
-Only components are wanted, so a list is first joined with one member, its hub; lists whose members are
-all in one component by then are done, the others get further hubs, and what is left is joined in full. A group of n
-near copies thus costs about n pairs, and no link between components is passed by.
+Every text becomes the set of its distinct shingles; equal sets become one node. A set's bound is the number of its
+shingles that some other set has too: no partner can share more, so of most corpora few sets can have any partner
+at all, and only those go on. In one global order of shingles (frequent ones last), two sets of Jaccard 0.75
+share a shingle among the first n - ceil(3n/4) + 1 of each, and two among one more. Light sets are joined by enumerating
+the subsets of two of that longer prefix, heavy sets by scanning the inverted lists of their single shingles; the size
+from which a set is heavy is the one of least cost for the sizes and list lengths at hand. All candidates
+are checked on the whole sets.
+
+Only components are wanted, so every list is first joined with one member, its hub. Whoever may still be linked to
+another component in a list goes on to the next round, where bounds are taken anew among those alone; what a round
+leaves is joined in full as soon as that is about as much as there are list entries. A group of n near copies
+thus costs about n pairs, and no link between components is passed by.
 """
 
 from __future__ import annotations
@@ -17,22 +20,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import count_cutoff, raw_bytes, saved, shingle_sets_of, table
+from .common import count_cutoff, raw_bytes, saved, shingle_sets_of, table, unused
 from .components import connected_components
 
 PERCENT = 75
-HEAVY_TOKENS = 1 << 20
-COUNT_CHUNK = 1_000_000
+HEAVY_TOKENS = 1 << 18
+CHUNK = 1_000_000
+CHUNK_SETS = 60_000
+MANY = 0xFFFF
+BUCKET_BYTES = 1 << 20
+FIRST_SHARE = 0.375
 BOUNDARIES = (2, 4, 8, 12, 16, 24, 32, 48, 64)
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 24 << 20
-HUBS = (32, 96)
-SETS_HELD = 2_000_000
-WHOLE_SAMPLE = 256
+ROUNDS = 4
 FULL_FACTOR = 4
 
 
@@ -41,10 +47,151 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """At most HEAVY_TOKENS shingles that occur in the most documents, rarest first.
+def node_of(own: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """For a broadcast where its counted rows are within the bound; otherwise the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _small_sets(sets: DataFrame) -> DataFrame:
+    """The same for rows that hold whole sets: the bound is on their bytes."""
+    size = sets.agg(F.coalesce(F.sum(F.octet_length("shingles") + 32), F.lit(0))).first()[0]
+    return F.broadcast(sets) if size <= BROADCAST_BYTES else sets
+
+
+# --- bounds -------------------------------------------------------------------------------------
 
-    Tasks count the shingles of all their documents and report those that repeat there. The order
+SETS = "doc_id long, n long, node long, most long"
+MET = "bucket int, chunk long, prints binary, places binary, ids array<long>, sizes array<long>, nodes array<long>, most array<long>"
+BACK = ["chunk", "places", "ids", "sizes", "nodes", "most"]
+LONGS = pa.list_(pa.int64())
+
+
+def _sets_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """Sorted distinct shingles, of texts or of sets kept as bytes."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return (np.frombuffer(b, np.uint64) for b in column.to_pylist())
+    return shingle_sets_of(raw_bytes(column))
+
+
+def bounds(rows: DataFrame, share: float = 1.0) -> DataFrame:
+    """doc_id, n, node and most of every row (an id, and a text or a set as bytes): `node` is a hash of the whole set, null if
+    that is empty, and `most` a bound of the shingles that it has in common with any other set.
+
+    Shingles in the first `share` of the hash space are looked at; those outside count as common. Tasks cut their rows
+    into chunks and send 32 bits of each shingle to its bucket once a chunk; buckets tell chunks which ones they have met
+    elsewhere. There are buckets in proportion to the bytes, so a bucket holds about BUCKET_BYTES of text and one
+    entry a chunk of a shingle that is everywhere. Bounds may be too high (copies in another task, equal bits), never
+    too low. Of equal sets in one task, one has a bound and the others null. Rows have to come in a repeatable
+    order, as those of a written table do.
+    """
+    key, value = rows.columns
+    size = rows.agg(F.sum(F.octet_length(value).cast("double"))).first()[0] or 0.0
+    bits = min(30, max(6, int(np.ceil(np.log2(max(1.0, size / BUCKET_BYTES))))))
+    limit = None if share >= 1 else np.uint64(int(share * 2**64))
+    shift = np.uint64(64 - bits)
+    used = int(np.ceil(share * (1 << bits)))
+    cuts = np.arange(1, used, dtype=np.uint64) << shift
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("prints", pa.binary()), ("places", pa.binary()), *[(k, LONGS) for k in ("ids", "sizes", "nodes", "most")]])
+    back = pa.schema([schema.field(k) for k in BACK])
+
+    def packed(edges: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 30
+        seen: set[int] = set()
+        ids: list = []
+        sizes: list[int] = []
+        nodes: list = []
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            lengths = np.array([len(x) for x in parts])
+            tokens, at = np.concatenate(parts), np.repeat(np.arange(len(parts)), lengths)
+            order = np.argsort(tokens, kind="stable")
+            tokens, at = tokens[order], at[order]
+            same, again = tokens[1:] == tokens[:-1], np.zeros(len(tokens), bool)
+            again[1:] |= same
+            again[:-1] |= same
+            most = np.array(sizes) - lengths + np.bincount(at[again], minlength=len(parts))
+            own = [m if new else None for m, new in zip(most.tolist(), fresh, strict=True)]
+            first = np.append(True, ~same)[: len(tokens)]
+            tokens, places = tokens[first], np.where(again, MANY, at)[first].astype(np.uint16)
+            edges = np.concatenate([[0], np.searchsorted(tokens, cuts), [len(tokens)]])
+            prints = (tokens >> (shift - np.uint64(32))).astype(np.uint32)
+            full = pa.array(np.diff(edges) > 0)
+            met = [pa.array(np.arange(used, dtype=np.int32)), pa.array(np.full(used, chunk)), packed(edges, prints), packed(edges, places), *[pa.nulls(used, LONGS)] * 4]
+            yield pa.RecordBatch.from_arrays(met, schema=schema).filter(full)
+            lists = [pa.array([x], LONGS) for x in (ids, sizes, nodes, own)]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk % used], pa.int32()), pa.array([chunk], pa.int64()), *[pa.nulls(1, pa.binary())] * 2, *lists], schema=schema)
+
+        fresh: list[bool] = []
+        for b in batches:
+            for doc, own in zip(b.column(0).cast(pa.int64()).to_pylist(), _sets_of(b.column(1)), strict=True):
+                node = node_of(own) if len(own) else None
+                new = node is not None and node not in seen
+                if new:
+                    if len(seen) > 1 << 20:
+                        seen.clear()
+                    seen.add(node)
+                part = own[:0] if not new else own if limit is None else own[: np.searchsorted(own, limit)]
+                ids.append(doc)
+                sizes.append(len(own))
+                nodes.append(node)
+                fresh.append(new)
+                parts.append(part)
+                held += len(part)
+                if held >= CHUNK or len(ids) >= CHUNK_SETS:
+                    yield from done()
+                    ids, sizes, nodes, fresh, parts, held, chunk = [], [], [], [], [], 0, chunk + 1
+        if ids:
+            yield from done()
+
+    def meet(group: pa.Table) -> pa.Table:
+        rows, docs = group.filter(pc.is_valid(group["prints"])), group.filter(pc.is_null(group["prints"]))
+        out = [docs.select(BACK)]
+        if rows.num_rows:
+            lengths = [len(x) // 4 for x in rows["prints"].to_pylist()]
+            prints = np.frombuffer(b"".join(rows["prints"].to_pylist()), np.uint32)
+            places = np.frombuffer(b"".join(rows["places"].to_pylist()), np.uint16)
+            order = np.argsort(prints, kind="stable")
+            same, shared = prints[order][1:] == prints[order][:-1], np.zeros(len(prints), bool)
+            shared[order[1:]] |= same
+            shared[order[:-1]] |= same
+            shared &= places != MANY
+            edges = np.concatenate([[0], np.cumsum(lengths)])
+            left = np.concatenate([[0], np.cumsum(shared)])[edges]
+            found = packed(left, places[shared])
+            out.append(pa.table([rows["chunk"], found, *[pa.nulls(rows.num_rows, LONGS)] * 4], schema=back).filter(pa.array(np.diff(left) > 0)))
+        return pa.concat_tables([t.cast(back) for t in out])
+
+    def total(group: pa.Table) -> pa.Table:
+        docs = group.filter(pc.is_valid(group["sizes"]))
+        ids, sizes, nodes, most = (docs[k].to_pylist()[0] for k in ("ids", "sizes", "nodes", "most"))
+        places = np.frombuffer(b"".join(x for x in group["places"].to_pylist() if x), np.uint16)
+        more = np.bincount(places, minlength=len(ids)).tolist()
+        most = [None if m is None else m + k for m, k in zip(most, more, strict=True)]
+        return pa.table([pa.array(x, pa.int64()) for x in (ids, sizes, nodes, most)], names=["doc_id", "n", "node", "most"])
+
+    dealt = rows.mapInArrow(deal, MET)
+    told = dealt.groupBy("bucket").applyInArrow(meet, ", ".join(f for f in MET.split(", ") if f.split()[0] in BACK))
+    return told.groupBy("chunk").applyInArrow(total, SETS)
+
+
+# --- candidates ---------------------------------------------------------------------------------
+
+
+def frequent_shingles(sets: DataFrame) -> np.ndarray:
+    """At most HEAVY_TOKENS shingles that are in the most sets, rarest first.
+
+    Tasks count the shingles of all their sets and report those that repeat there. The order
     of shingles may be any; this one keeps common passages out of the prefixes, so errors
     in the counts cost time alone.
     """
@@ -54,80 +201,34 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
         def counted() -> pa.RecordBatch:
             tokens, times = np.unique(np.concatenate(waiting), return_counts=True)
-            often = times >= 2
+            often = times >= 3
             return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["token", "n"])
 
         for b in batches:
-            for own in shingle_sets_of(raw_bytes(b.column(0))):
+            for own in _sets_of(b.column(0)):
                 waiting.append(own)
                 n += len(own)
-                if n >= COUNT_CHUNK:
+                if n >= CHUNK:
                     yield counted()
                     waiting, n = [], 0
         if waiting:
             yield counted()
 
-    counts = saved(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "frequent")
+    counts = saved(sets.select("shingles").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "frequent")
     rows = counts.where(F.col("n") >= count_cutoff(counts, HEAVY_TOKENS)).toPandas().sort_values(["n", "token"])
     return rows["token"].to_numpy(np.int64).view(np.uint64).copy()
 
 
-SETS = "doc_id long, n long, node long, prefix array<long>, sample binary"
-
-
-def node_of(own: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
-
-
-def sample_of(own: np.ndarray) -> bytes:
-    """Sixteen bits of every shingle in one quarter of the hash space, sorted; of small sets, also of those in the rest."""
-    first = (own >> np.uint64(62)) == 0
-    quarter = np.sort((own[first] >> np.uint64(46)).astype(np.uint16))
-    rest = np.sort((own[~first] >> np.uint64(48)).astype(np.uint16)) if len(own) <= WHOLE_SAMPLE else quarter[:0]
-    return np.uint32(len(quarter)).tobytes() + quarter.tobytes() + rest.tobytes()
-
-
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    if not len(a) or not len(b):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
-
-
-def may_reach(a: bytes, na: int, b: bytes, nb: int) -> bool:
-    """False only if two sets cannot be linked: where both are sampled they share no more than the bits say,
-    elsewhere no more than the smaller rest."""
-    qa, qb = int.from_bytes(a[:4], "little"), int.from_bytes(b[:4], "little")
-    x, y = np.frombuffer(a, np.uint16, offset=4), np.frombuffer(b, np.uint16, offset=4)
-    most = min(_shared(x[:qa], y[:qb]), _shared(y[:qb], x[:qa]))
-    both = max(na, nb) <= WHOLE_SAMPLE
-    most += min(_shared(x[qa:], y[qb:]), _shared(y[qb:], x[qa:])) if both else min(na - qa, nb - qb)
-    return (100 + PERCENT) * most >= PERCENT * (na + nb)
-
-
-def shingle_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, node (a hash of the whole set; null if empty) and the prefix in the global order, the latter once a task for equal sets."""
+def prefixes(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """node, n, most and the prefix of each set in the global order, of one more shingle than a partner must share one of."""
     order = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.uint64)))
+    shared = sets.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ranks = shared.value
-        seen = set()
         for b in batches:
-            sizes, nodes, prefixes, samples = [], [], [], []
-            for own in shingle_sets_of(raw_bytes(b.column(1))):
-                n = len(own)
-                node = node_of(own) if n else None
-                sizes.append(n)
-                nodes.append(node)
-                if not n or node in seen:
-                    prefixes.append(None)
-                    samples.append(None)
-                    continue
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                seen.add(node)
+            out = []
+            for own in _sets_of(b.column(3)):
                 keys = own >> np.uint64(1)
                 if len(tokens):
                     at = np.searchsorted(tokens, own)
@@ -136,11 +237,10 @@ def shingle_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     if hit.any():
                         keys[hit] = ranks[at[hit]] | np.uint64(1 << 63)
                         keys.sort()
-                prefixes.append(keys[: min(n, prefix_length(n) + 1)].view(np.int64))
-                samples.append(sample_of(own))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(samples, pa.binary())], ["doc_id", "n", "node", "prefix", "sample"])
+                out.append(keys[: min(len(own), prefix_length(len(own)) + 1)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.list_(pa.int64()))], ["node", "n", "most", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SETS)
+    return sets.select("node", "n", "most", "shingles").mapInArrow(run, "node long, n long, most long, prefix array<long>")
 
 
 def choose_boundary(sets: DataFrame) -> int:
@@ -151,9 +251,8 @@ def choose_boundary(sets: DataFrame) -> int:
     """
     p1 = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     level = F.least(F.col("n"), F.lit(2 * BOUNDARIES[-1])).alias("level")
-    own = sets.where(F.col("prefix").isNotNull())
-    sizes = own.groupBy(level).agg(F.sum(p1).alias("lists"), F.sum((p1 + 1) * p1 / 2).alias("subsets")).collect()
-    tokens = own.select(level, F.explode(F.slice("prefix", 1, p1.cast("int"))).alias("token")).where("token % 64 = 0")
+    sizes = sets.groupBy(level).agg(F.sum(p1).alias("lists"), F.sum((p1 + 1) * p1 / 2).alias("subsets")).collect()
+    tokens = sets.select(F.explode(F.slice("prefix", 1, p1.cast("int"))).alias("token")).where("token % 64 = 0")
     lengths = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 1.0
 
     def cost(b: int) -> float:
@@ -163,189 +262,164 @@ def choose_boundary(sets: DataFrame) -> int:
 
 
 def postings(sets: DataFrame, boundary: int) -> DataFrame:
-    """token, node, n, pos: the keys by which sets meet. Light sets give pairs of shingles; those near the boundary single ones too."""
-    own = sets.where(F.col("prefix").isNotNull() & (F.col("n") > 1))
+    """token, node, n, most, pos: the keys by which sets meet. Light sets give pairs of shingles; those near the boundary single ones too."""
     p1 = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
-    heavy = own.where(F.col("n") * 100 >= boundary * PERCENT)
-    lists = heavy.select("node", "n", F.posexplode(F.slice("prefix", 1, p1)).alias("pos", "token")).select("token", "node", F.col("n").cast("int").alias("n"), "pos")
+    heavy = sets.where(F.col("n") * 100 >= boundary * PERCENT)
+    lists = heavy.select("node", "n", "most", F.posexplode(F.slice("prefix", 1, p1)).alias("pos", "token")).select("token", "node", "n", "most", "pos")
     if boundary <= 2:
         return lists
-    light = own.where(F.col("n") < boundary)
-    first = light.select("node", "n", "prefix", F.posexplode("prefix").alias("i", "t"))
-    rest = first.where(F.col("i") + 1 < F.size("prefix")).select("node", "n", "t", F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("u"))
-    pairs = rest.select(F.xxhash64("t", "u").alias("token"), "node", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
-    return lists.unionByName(pairs)
-
-
-def may_link(n1: str, p1: str, n2: str, p2: str):
-    """Length filter and positional filter of two sets that meet at these positions."""
-    enough = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) * (100 + PERCENT) >= (F.col(n1) + F.col(n2)) * PERCENT
-    return enough & (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT)
+    light = sets.where(F.col("n") < boundary)
+    first = light.select("node", "n", "most", "prefix", F.posexplode("prefix").alias("i", "t"))
+    rest = first.where(F.col("i") + 1 < F.size("prefix")).select("node", "n", "most", "t", F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("u"))
+    return lists.unionByName(rest.select(F.xxhash64("t", "u").alias("token"), "node", "n", "most", F.lit(0).alias("pos")))
 
 
-def shared_lists(post: DataFrame) -> DataFrame:
-    """token, node, n, pos and the list's hub, of lists with two nodes or more: one exchange of the postings."""
-    whole = Window.partitionBy("token")
-    rows = post.withColumn("hub", F.min(F.struct("node", "n", "pos")).over(whole)).withColumn("_last", F.max("node").over(whole))
-    return rows.where("hub.node <> _last").drop("_last")
+def reach(x: str = ""):
+    """What a set may share at most with one that it meets first at this place of its prefix."""
+    return F.least(F.col(f"{x}most"), F.col(f"{x}n") - F.col(f"{x}pos"))
 
 
-def _within(df: DataFrame, payload: str) -> DataFrame:
-    """For a broadcast where its counted rows and bytes are within the bounds; otherwise the join shuffles."""
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(payload)), F.lit(0))).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and size + 32 * rows <= BROADCAST_BYTES else df
+def may_link(x: str, y: str):
+    """Length, positional and bound filter of two sets that meet; `x` and `y` are column prefixes."""
+    enough = F.least(reach(x), reach(y)) * (100 + PERCENT) >= (F.col(f"{x}n") + F.col(f"{y}n")) * PERCENT
+    return enough & (F.least(f"{x}n", f"{y}n") * 100 >= F.greatest(f"{x}n", f"{y}n") * PERCENT)
 
 
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that their samples do not rule out. `nodes` has node, n and sample."""
-    own = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sample").alias(f"s{x}"))
-    hint = F.broadcast if _within(nodes, "sample") is not nodes else (lambda df: df)
-    pairs = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism)
-    both = pairs.join(hint(own("b")), "b").join(hint(own("a")), "a").select("a", "b", "na", "nb", "sa", "sb")
+def open_lists(post: DataFrame, comps: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The list entries that may still link two components, and by list its size, its pairs of different components and its hub.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            na, nb, sa, sb = (b.column(i).to_pylist() for i in range(2, 6))
-            good = [may_reach(x, m, y, n) for m, n, x, y in zip(na, nb, sa, sb, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts' shingle sets have a Jaccard similarity of 0.75 or more.
+    An entry stays if it can reach the smallest set of its list that its own size allows. The hub is the
+    entry with the largest bound for its size, the one most like the others; in later rounds another one.
+    """
+    post = post.withColumn("comp", F.col("node")) if comps is None else post.join(_small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    shared = post.groupBy("token").agg(F.min("n").alias("least"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "least")
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
+    kept = post.join(shared, "token").where(reach() * (100 + PERCENT) >= (F.col("n") + smallest) * PERCENT)
+    members = saved(kept.select("token", "node", "n", "most", "pos", "comp"), "members")
+    score = F.col("most") / F.col("n") if turn == 0 else F.xxhash64("node", F.lit(turn)).cast("double")
+    by = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct(score.alias("score"), "node", "n", "most", "pos", "comp")).alias("hub"))
+    lists = by.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("within"), F.max("hub").alias("hub"))
+    pairs = (F.col("size").cast("double") * F.col("size") - F.col("within")) / 2
+    return members, saved(lists.where("comps > 1").select("token", "size", pairs.alias("pairs"), "hub"), "open")
+
+
+def hub_pairs(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """Each entry with its list's hub, where they are of different components."""
+    hubs = lists.select("token", *[F.col(f"hub.{k}").alias(f"h_{k}") for k in ("node", "n", "most", "pos", "comp")])
+    met = members.join(hubs, "token").where((F.col("comp") != F.col("h_comp")) & may_link("", "h_"))
+    return met.select(F.col("node").alias("a"), F.col("h_node").alias("b")).distinct()
+
+
+def all_pairs(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs of one list and different components; components first, so that no pair within one is made.
 
-    Pairs that the samples rule out are left out first; of the others, whole texts of one document a node are
-    fetched and, where they are more than a broadcast may hold, shuffled by node. The side that may be a hub is
-    joined last, so that its rows may be split among tasks.
+    A pair is taken at the first list that both are in: where the lists before it are the same for both, it
+    has been met there.
     """
-    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    met = saved(nodes.join(ends(pairs), "node"), "met")
-    pairs = saved(likely(pairs, met), "likely")
-    ids = saved(met.select("node", F.col("doc_id").alias("_id")).join(ends(pairs), "node"), "wanted")
-    found = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, F.col("doc_id") == F.col("_id")).select("node", "text")
-
-    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Leaves out another text under the same doc_id."""
-        for b in batches:
-            sets = shingle_sets_of(raw_bytes(b.column(1)))
-            same = [bool(len(own)) and node_of(own) == k for k, own in zip(b.column(0).to_pylist(), sets, strict=True)]
-            yield b.filter(pa.array(same, pa.bool_()))
-
-    found, unnamed = found.mapInArrow(own_text, "node long, text string"), ids.where("_id is null").select("node")
-    if n := unnamed.count():  # nodes that have null doc_ids alone are met by the hash of their set
-        nulls = _with_nodes(docs.select("doc_id", "text").where("doc_id is null"))
-        found = found.union(nulls.join(F.broadcast(unnamed) if n <= BROADCAST_ROWS else unnamed, "node").groupBy("node").agg(F.min("text").alias("text")))
-    texts = saved(found, "texts")
-    hint = F.broadcast if _within(texts, "text") is not texts else (lambda df: df)
-    right = pairs.join(hint(texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))), "b")
-    both = right.join(hint(texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))), "a").select("a", "b", "ta", "tb")
+    before = Window.partitionBy("node").orderBy("pos", "token")
+    members = saved(members.join(lists.select("token"), "token").withColumn("before", F.lag("token").over(before)), "members")
+    comps = members.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max(reach()).alias("reach"))
+    x, y = (comps.select("token", F.col("comp").alias(f"{k}comp"), F.col("n").alias(f"{k}n"), F.col("reach").alias(f"{k}reach")) for k in "xy")
+    hope = F.least("xreach", "yreach") * (100 + PERCENT) >= (F.col("xn") + F.col("yn")) * PERCENT
+    meets = x.join(y, "token").where((F.col("xcomp") < F.col("ycomp")) & hope).select("token", "xcomp", "ycomp")
+    left, right = (members.select("token", *[F.col(c).alias(f"{k}{c}") for c in ("comp", "node", "n", "most", "pos", "before")]) for k in "xy")
+    rows = meets.join(left, ["token", "xcomp"]).join(right, ["token", "ycomp"])
+    rows = rows.where(may_link("x", "y") & ~F.coalesce(F.col("xbefore") == F.col("ybefore"), F.lit(False)))
+    return rows.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of 0.75 or more.
+
+    Sets are joined by node; `b`, which may be a hub, is joined last, by broadcast where the bytes of its sets are within the
+    bound, so that its rows may be split among tasks.
+    """
+    pairs = saved(pairs, "pairs")
+    hubs = sets.select("node", "shingles").join(_small(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = both.join(_small_sets(hubs).select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-        held = 0
         for b in batches:
-            texts = {}
-            for node, text in ((0, 2), (1, 3)):
-                texts |= {k: t for k, t in zip(b.column(node).to_pylist(), b.column(text).cast(pa.binary()), strict=True) if k not in sets}
-            for k, own in zip(texts, shingle_sets_of(t.as_py() for t in texts.values()), strict=True):
-                sets[k] = own
-                held += len(own)
             good = []
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                small, large = sorted((sets[x], sets[y]), key=len)
+            for x, y in zip(_sets_of(b.column(2)), _sets_of(b.column(3)), strict=True):
+                small, large = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.searchsorted(large, small)
                 at[at == len(large)] = 0
                 common = int((large[at] == small).sum())
                 good.append(100 * common >= PERCENT * (len(small) + len(large) - common))
-            if held > SETS_HELD:
-                sets, held = {}, 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _hub_pairs(rows: DataFrame) -> DataFrame:
-    rows = rows.where(F.col("node") != F.col("hub.node")).select("node", "n", "pos", F.col("hub.node").alias("hn"), F.col("hub.n").alias("hs"), F.col("hub.pos").alias("hp"))
-    return rows.where(may_link("n", "pos", "hs", "hp")).select(F.least("node", "hn").alias("a"), F.greatest("node", "hn").alias("b")).distinct()
-
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, n and shingles (as bytes) of the wanted nodes (node, rep: the least doc_id that has it), each once.
 
-def _more_hub_pairs(members: DataFrame, edges: DataFrame, turn: int) -> DataFrame:
-    """Pairs of members and hubs of other components: HUBS[turn] hubs a list, those with the most links so far.
-
-    Each node is looked at in one of its open lists, that with the least hash, which near copies have in common;
-    so a group of n gives at most n * HUBS[turn] pairs.
+    Texts are fetched by doc_id; another text under the same doc_id is told by its hash, and nodes that have null
+    doc_ids alone are met among the rows of null doc_ids.
     """
-    degrees = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    once = members.groupBy("node").agg(F.min(F.struct(F.xxhash64("token", F.lit(turn)).alias("h"), "token", "n", "pos", "comp")).alias("m")).select("node", "m.token", "m.n", "m.pos", "m.comp")
-    ranked = once.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    bucket = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS[turn]))
-    hubs = ranked.groupBy("token", bucket.alias("_b")).agg(F.max(F.struct("degree", "node", "n", "pos", "comp")).alias("hub")).select("token", "hub")
-    met = once.join(hubs, (once.token == hubs.token) & (F.col("comp") != F.col("hub.comp"))).select("node", F.col("n"), F.lit(0).alias("pos"), F.struct("hub.node", "hub.n", F.lit(0).alias("pos")).alias("hub"))
-    return _hub_pairs(met)
+    ids = wanted.select(F.col("rep").alias("_id")).distinct()
+    found = docs.select("doc_id", "text").join(_small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            rows = []
+            for own in _sets_of(b.column(0)):
+                if len(own) and (node := node_of(own)) not in seen:
+                    if len(seen) > 1 << 20:
+                        seen.clear()
+                    seen.add(node)
+                    rows.append((node, len(own), own.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "shingles"])
 
+    made = found.select("text").mapInArrow(run, "node long, n long, shingles binary")
+    return made.join(_small(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of one list and different components; components first, so that no pair within one is made.
 
-    A pair is taken at the first list that both are in: where the lists before it are the same for both, it
-    has been met there.
-    """
-    before = Window.partitionBy("node").orderBy("pos", "token")
-    members = saved(members.withColumn("before", F.lag("token").over(before)), "members")
-    comps = members.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("left"))
-    x = comps.select("token", F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("left").alias("la"))
-    y = comps.select("token", F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"))
-    hope = F.least("la", "lb") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT
-    meets = x.join(y, "token").where((F.col("ca") < F.col("cb")) & hope).select("token", "ca", "cb")
-    left = members.select("token", F.col("comp").alias("ca"), F.col("node").alias("n1"), F.col("n").alias("s1"), F.col("pos").alias("p1"), F.col("before").alias("b1"))
-    right = members.select("token", F.col("comp").alias("cb"), F.col("node").alias("n2"), F.col("n").alias("s2"), F.col("pos").alias("p2"), F.col("before").alias("b2"))
-    rows = meets.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where(may_link("s1", "p1", "s2", "p2") & ~F.coalesce(F.col("b1") == F.col("b2"), F.lit(False)))
-    return rows.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
+def linkable(sets: DataFrame) -> DataFrame:
+    """Those that could share enough with a partner of the least size."""
+    return sets.where((F.col("n") > 1) & (F.col("most") * 100 >= F.col("n") * PERCENT))
 
 
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets of all documents, and (node, comp) of every node that has a link."""
-    sets = saved(shingle_sets(docs, frequent_shingles(docs)), "sets")
-    nodes = saved(sets.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sample", ignorenulls=True).alias("sample"), F.min("doc_id").alias("doc_id")), "nodes")
-    lists = saved(shared_lists(postings(sets, choose_boundary(sets))), "lists")
-    size = lists.count()
-    tested = saved(_hub_pairs(lists), "pairs")
-    edges = saved(verified(tested, nodes, docs), "edges")
-    comps = connected_components(edges)
-    lists = lists.drop("hub")
-    for turn in range(len(HUBS) + 1):
-        members = saved(lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
-        counts = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        per = counts.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("within"))
-        per = saved(per.where("comps > 1"), "open")
-        left = per.agg(F.sum((F.col("all").cast("double") * F.col("all") - F.col("within")) / 2)).first()[0]
+    """The sets of all documents (SETS), and (node, comp) of every node that has a link."""
+    spark = docs.sparkSession
+    rows = saved(bounds(docs.select("doc_id", "text"), FIRST_SHARE), "sets")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("most").alias("most"))
+    wanted = saved(linkable(nodes).select("node", "rep"), "wanted")
+    sets, comps = saved(whole_sets(docs, wanted), "whole-sets"), None
+    edges = spark.createDataFrame([], "a long, b long")
+    for turn in range(ROUNDS + 1):
+        own = bounds(sets.select("node", "shingles")).select("node", "most")
+        sets = saved(linkable(sets.select("node", "n", "shingles").join(_small(saved(own, "bounds")), "node")), "open-sets")
+        prefix = saved(prefixes(sets, frequent_shingles(sets)), "prefixes")
+        members, lists = open_lists(saved(postings(prefix, choose_boundary(prefix)), "postings"), comps, turn)
+        entries, left = lists.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
         if not left:
             break
-        members = members.join(per.select("token"), "token")
-        last = turn == len(HUBS) or left <= FULL_FACTOR * max(size, 1)
-        if last:
-            pairs = _all_pairs(members)
-        else:
-            pairs = _more_hub_pairs(members, edges, turn)
-        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        edges = saved(edges.union(verified(pairs, nodes, docs)), "edges")
+        last = turn == ROUNDS or left <= FULL_FACTOR * entries
+        pairs = all_pairs(members, lists) if last else hub_pairs(members, lists)
+        edges = saved(edges.union(verified(pairs, sets)), "edges")
         comps = connected_components(edges)
         if last:
             break
-        tested = tested.union(pairs)
-    return sets, comps
+        sets = sets.drop("most").join(_small(saved(members.join(lists.select("token"), "token").select("node").distinct(), "open-nodes")), "node", "left_semi")
+    return rows, spark.createDataFrame([], "node long, comp long") if comps is None else comps
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node, component_id and chosen of every row: the rows of the least doc_id in a component are chosen, null ids last, and of several texts under it one."""
     sets, comps = similar_components(docs)
-    classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    labelled = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = labelled.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("least"))
-    final = labelled.join(least, "comp").select("node", F.col("least.rep").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first"))
-    chosen = F.coalesce(F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False))
-    return sets.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("component_id"), chosen.alias("chosen"))
+    classes = saved(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    linked = saved(classes.join(_small(comps), "node"), "linked")
+    least = linked.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("least"))
+    final = linked.join(_small(saved(least, "least")), "comp").select("node", F.col("least.rep").alias("_to"), (F.col("node") == F.col("least.node")).alias("_first"))
+    copied = classes.where("rows > 1").join(_small(comps.select("node")), "node", "left_anti").select("node", F.col("rep").alias("_to"), F.lit(True).alias("_first"))
+    grouped = _small(saved(final.union(copied), "grouped"))  # any other row stands alone
+    chosen = F.when(F.col("node").isNull(), False).when(F.col("_first").isNull(), True).otherwise(F.col("_first") & F.col("doc_id").eqNullSafe(F.col("_to")))
+    return sets.join(grouped, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("_first").isNull(), F.col("doc_id")).otherwise(F.col("_to")).alias("component_id"), chosen.alias("chosen"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -369,15 +443,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = saved(_labelled(docs), "copies")
     ids = rows.groupBy("doc_id").agg(F.count("node").alias("grouped"), F.count(F.lit(1)).alias("all"), F.count_if("chosen").alias("chosen"))
     ids = saved(ids.where("grouped > 0 and not (grouped = 1 and chosen = 1)").select(F.col("doc_id").alias("_id"), (F.expr("chosen > 0 or all > grouped")).alias("_again")), "ids")
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    kept = docs.join(small(ids.select("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    own = unused(docs.columns, "_id")
+    kept = docs.join(_small(ids.select(F.col("_id").alias(own))), F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
     again = ids.where("_again").select("_id")
     if not again.head(1):
         return kept
     whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    whole = _with_nodes(whole.join(small(again), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
-    best = rows.where("chosen").join(small(again), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_best")).distinct()
-    met = whole.join(small(saved(best, "best")), (F.col("node") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    whole = _with_nodes(whole.join(_small(again), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
+    best = rows.where("chosen").join(_small(again), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_best")).distinct()
+    met = whole.join(_small(saved(best, "best")), (F.col("node") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     one = met.groupBy("doc_id", "node").agg(F.min_by("_doc", F.xxhash64("text")).alias("_doc"))
     return kept.union(whole.where("node is null").select("_doc.*")).union(one.select("_doc.*"))
 
