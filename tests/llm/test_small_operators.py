@@ -90,6 +90,27 @@ def test_added_tokens_and_sigmas_match_the_library():
         assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_random_unicode_matches_the_library():
+    import json
+    import sys
+
+    from tokenizers import Tokenizer
+
+    rng, coder, t = random.Random(21), token_planes.Encoder(_path()), Tokenizer.from_file(_path())
+    added = [x["content"] for x in json.load(open(_path(), encoding="utf-8"))["added_tokens"]]
+    tricky = [*added, *[x.upper() for x in added], "Σ", "ς", "İ", "ı", "ß", "ẞ", "ﬁ", "\u0301", "e\u0301", "\u1e9b\u0323", "\u212b", "\u2126", "\uac00", "\u1100\u1161", "'S", "'ll", "\u00a0", "\u2028", "\u3000", "\x1c", "\x85", "\u200b", "1", "٣", "_", "…"]
+    ranges = [(32, 127), (0, 0x250), (0x370, 0x530), (0x300, 0x370), (0x1E00, 0x2000), (0x2000, 0x2200), (0x3040, 0x3100), (0x1F300, 0x1F700), (0, sys.maxunicode)]
+
+    def one() -> str:
+        low, high = rng.choice(ranges)
+        c = chr(rng.randrange(low, high))
+        return rng.choice(tricky) if rng.random() < 0.15 else " " if rng.random() < 0.15 or 0xD800 <= ord(c) < 0xE000 else c
+
+    texts = ["".join(one() for _ in range(rng.randrange(1, 25))) for _ in range(6000)] + [f"{a}{x}{b}" for x in tricky for a in ("", "a", " ", "Σ") for b in ("", "B", " ", "Σ")]
+    for x, got in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, ascii(x)
+
+
 def test_no_tokens_of_an_empty_table(spark, no_docs):
     folder = fresh(spark, "test-tokens")
     assert token_planes.read_tokens(token_planes.write_tokens(no_docs, folder, _path()), folder).count() == 0
@@ -121,6 +142,23 @@ def test_warc_round_trip_and_random_access(spark):
     assert empty.count() == 0
 
 
+def test_warc_of_odd_urls_and_repeated_pages(spark, monkeypatch):
+    same = "<p>copied</p>" * 20
+    rows = [(1, "http://x/\r\nWARC-Type: evil\r\n\r\n", same), (1, "http://y", same), (1, "http://y", same), (2, "a: b\x00\x85é", same), (3, "http://z", same + "!"), (3, "http://z", "short"), (None, None, same), (None, "", same), (4, " ", same + "!")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    folder = fresh(spark, "test-warc")
+    index = warc.write_archives(pages, folder).collect()
+    got = warc.read_archives(spark.createDataFrame(index, warc.INDEX), folder).collect()
+    assert len({r.record_id for r in index}) == len(rows) and {r.record_id for r in got} == {r.record_id for r in index}
+    want = sorted(((p, len(h), "revisit", o) if o is not None and p != o else (p, len(h), "response", None) for p, _, h in rows for o in [{same: 1, same + "!": 3}.get(h)]), key=str)
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=str) == want
+    assert {r.url for r in got} == {"http://x/%0D%0AWARC-Type: evil%0D%0A%0D%0A", "http://y", "a: b%00%C2%85é", "http://z", "", " "}
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    far = fresh(spark, "test-warc")
+    again = warc.read_archives(warc.write_archives(pages, far), far).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in again), key=str) == want
+
+
 def test_bundle_is_plain_zstandard():
     import zstandard
 
@@ -268,9 +306,54 @@ def test_model_is_a_distribution_and_carries_state():
     every = gru.probabilities(t.p, np.repeat(h, gru.SYMBOLS, 0), np.arange(gru.SYMBOLS))
     assert abs(every.sum() - 1) < 1e-4
     unigram = counts / counts.sum()
-    whole = gru.scores(t.p, docs, unigram, 0.05, steps=64)
-    assert np.allclose(whole, gru.scores(t.p, docs, unigram, 0.05, lanes=1, steps=5), rtol=1e-5)
-    assert np.allclose(whole, [gru.scores(t.p, [d], unigram, 0.05)[0] for d in docs], rtol=1e-5)
+    docs += [rng.integers(0, gru.SYMBOLS, n).astype(np.int32) for n in (1, 7, 13, 64, 65, 101)]
+    alone = [gru.scores(t.p, [d], unigram, 0.05)[0] for d in docs]
+    for lanes, steps in ((512, 64), (1, 5), (1, 1000), (2, 7), (3, 64)):
+        assert np.allclose(gru.scores(t.p, docs, unigram, 0.05, lanes=lanes, steps=steps), alone, rtol=1e-5)
+
+
+def test_gradients_against_finite_differences():
+    """Over a window with beginnings inside, a part behind a lane's end, and a state from before."""
+    from voxspark.llm import gru
+
+    rng = np.random.default_rng(6)
+    p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in gru.initial(rng.integers(1, 99, gru.SYMBOLS).astype(float)).items()}
+    y = rng.integers(0, gru.SYMBOLS, (9, 3)).astype(np.int32)
+    first, used = np.zeros(y.shape, bool), np.ones(y.shape, bool)
+    first[[4, 0, 2, 8], [0, 1, 1, 2]], used[6:, 1] = True, False
+    x = gru.inputs_of(y, first, np.array([5, 6, 7], np.int32))
+    h = rng.normal(0, 0.5, (3, gru.HIDDEN)).astype(np.float32)
+    g, last = gru._gradients(p, x, y, first, used, h.copy(), 1)
+
+    def loss() -> float:
+        out = gru._states(p, x, first, h, False)[0]
+        return -float(np.log(gru.probabilities(p, out[1:].reshape(-1, gru.HIDDEN), y.ravel()).astype(float))[used.ravel()].sum())
+
+    assert np.allclose(last, gru._states(p, x, first, h, False)[0][-1])
+    for k, v in p.items():
+        at = np.argsort(-np.abs(g[k]).ravel())[:40]
+        for i in rng.choice(at, 12, replace=False):
+            place, before, d = np.unravel_index(i, v.shape), v.flat[i], 4e-3
+            v[place] = before + d
+            up = loss()
+            v[place] = before - d
+            slope = (up - loss()) / (2 * d)
+            v[place] = before
+            assert abs(slope - g[k][place]) <= 0.02 * abs(slope) + 5e-3, (k, slope, g[k][place])
+
+
+def test_training_carries_states_over_windows():
+    """A symbol that only the one seven places before tells; windows do not end with documents."""
+    from voxspark.llm import gru
+
+    rng, n = np.random.default_rng(3), 300
+    docs = [np.array([2 + k, *[30] * 6, 10 + k, 0], np.int32) for k in rng.integers(0, 2, n)]
+    t = gru.Trainer(gru.initial(np.bincount(np.concatenate(docs), minlength=gru.SYMBOLS)))
+    for _ in range(12):
+        t.train(docs, lanes=10, steps=12)
+    assert t.tokens == 12 * 9 * n
+    got = gru.scores(t.p, docs[:20], np.full(gru.SYMBOLS, 1 / gru.SYMBOLS), 0.0) / 9
+    assert got.mean() > -0.1
 
 
 def test_scores_of_odd_tables(odd_docs, no_docs):

@@ -243,11 +243,6 @@ def shingle_sets_of(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
         yield from done(group)
 
 
-def lower_words(text: bytes) -> list[bytes]:
-    """bytes.lower() changes A-Z alone and bytes.split() cuts at exactly the six white bytes."""
-    return text.lower().split()
-
-
 def native_words(text):
     """The words as an array column, from SQL functions alone."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")

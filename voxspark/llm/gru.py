@@ -18,7 +18,7 @@ SYMBOLS = CLASSES * CLASS_SIZE
 END, OTHER = 0, 1
 LANES, STEPS = 512, 12
 CELLS = 8_000_000
-SEGMENT, UPDATES = 1024, 150
+UPDATES = 150
 
 Params = dict[str, np.ndarray]
 
@@ -85,17 +85,17 @@ class Lanes:
 
 
 def _states(p: Params, x: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool):
-    """States after each input, and what the way back needs."""
+    """States after each input, and what the way back needs: gates, the candidate's part from the state, and the states that
+    went in, 0 where a document begins. The state before that stays as it is, since it predicts the end of the document before."""
     steps, lanes = x.shape
     out = np.empty((steps + 1, lanes, HIDDEN), np.float32)
     gates = np.empty((steps, lanes, 3 * HIDDEN), np.float32) if keep else None
     inner = np.empty((steps, lanes, HIDDEN), np.float32) if keep else None
+    given = np.empty((steps, lanes, HIDDEN), np.float32) if keep else None
     out[0] = h
     e = p["inputs"][x]
     for t in range(steps):
-        h = out[t]
-        if first[t].any():
-            h[first[t]] = 0
+        h = np.where(first[t][:, None], np.float32(0), out[t]) if first[t].any() else out[t]
         a = h @ p["state"]
         g = e[t]
         g[:, : 2 * HIDDEN] += a[:, : 2 * HIDDEN]
@@ -114,8 +114,8 @@ def _states(p: Params, x: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bo
         out[t + 1] *= z
         out[t + 1] += n
         if keep:
-            gates[t, :, : 2 * HIDDEN], gates[t, :, 2 * HIDDEN :], inner[t] = s, n, a[:, 2 * HIDDEN :]
-    return out, gates, inner
+            gates[t, :, : 2 * HIDDEN], gates[t, :, 2 * HIDDEN :], inner[t], given[t] = s, n, a[:, 2 * HIDDEN :], h
+    return out, gates, inner, given
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def probabilities(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _gradients(p: Params, x: np.ndarray, y: np.ndarray, first: np.ndarray, used: np.ndarray, h: np.ndarray, full: int) -> tuple[Params, np.ndarray]:
     """Gradients over one window, by its `full` number of symbols, and its last states. `used` leaves out what lies after a lane's end."""
     steps, lanes = x.shape
-    out, gates, inner = _states(p, x, first, h, True)
+    out, gates, inner, given = _states(p, x, first, h, True)
     hs = out[1:].reshape(-1, HIDDEN)
     at = np.flatnonzero(used.ravel())
     ys, hv, n = y.ravel()[at], hs[at], np.float32(1 / full)
@@ -171,7 +171,7 @@ def _gradients(p: Params, x: np.ndarray, y: np.ndarray, first: np.ndarray, used:
     du = np.empty_like(dg)
     z, r, c = gates[..., :HIDDEN], gates[..., HIDDEN : 2 * HIDDEN], gates[..., 2 * HIDDEN :]
     to_n = (1 - z) * (1 - c * c)
-    to_z = (out[:-1] - c) * z * (1 - z)
+    to_z = (given - c) * z * (1 - z)
     to_r = inner * r * (1 - r)
     z, r = np.ascontiguousarray(z), np.ascontiguousarray(r)
     dh, turned = np.zeros((lanes, HIDDEN), np.float32), np.ascontiguousarray(p["state"].T)
@@ -187,7 +187,7 @@ def _gradients(p: Params, x: np.ndarray, y: np.ndarray, first: np.ndarray, used:
         dh += du[t] @ turned
         if first[t].any():
             dh[first[t]] = 0
-    g["state"] = out[:-1].reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
+    g["state"] = given.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
     xs, rows = x.ravel(), dg.reshape(-1, 3 * HIDDEN)
     order = np.argsort(xs.astype(np.uint16), kind="stable")
     ids, starts = np.unique(xs[order], return_index=True)
@@ -215,22 +215,28 @@ class Trainer:
         self.rate, self.i, self.tokens = rate, 0, 0
 
     def train(self, docs: list[np.ndarray], lanes: int | None = None, steps: int = STEPS) -> None:
-        """Once over all documents. Long ones are cut into segments, so that lanes end together and the
-        last windows are not those of a few documents; few tokens get fewer lanes and so more steps."""
-        docs = [d[i : i + SEGMENT] for d in docs for i in range(0, len(d), SEGMENT)]
+        """Once over all documents, laid end to end and cut into lanes of one length; few tokens get fewer lanes and so more steps.
+
+        A state goes on from window to window, however long its document is; gradients end at the window. A lane that
+        begins inside a document has the word before it as its input and no state yet.
+        """
+        y = np.concatenate(docs)
         if lanes is None:
-            lanes = min(LANES, max(32, sum(map(len, docs)) // (steps * UPDATES)))
-        dealt = Lanes(docs, lanes)
-        h = np.zeros((dealt.targets.shape[1], HIDDEN), np.float32)
-        last = np.zeros(len(h), np.int32)
+            lanes = min(LANES, max(32, len(y) // (steps * UPDATES)))
+        lanes = min(lanes, len(y))
+        width = -(-len(y) // lanes)
+        first, x = np.zeros(len(y), bool), np.append(END, y[:-1]).astype(np.int32)
+        first[np.cumsum([0, *map(len, docs[:-1])])] = True
+        x[first] = END
+        spread = lambda a, fill: np.append(a, np.full(width * lanes - len(a), fill, a.dtype)).reshape(lanes, width).T
+        x, first, used, y = spread(x, END), spread(first, False), spread(np.ones(len(y), bool), False), spread(y, END)
+        h = np.zeros((lanes, HIDDEN), np.float32)
         with np.errstate(over="ignore"):
-            for a, b, n in dealt.windows(steps):
-                y, first = dealt.targets[a:b, :n], dealt.first[a:b, :n]
-                used = np.arange(a, b)[:, None] < dealt.lengths[None, :n]
-                g, h = _gradients(self.p, inputs_of(y, first, last[:n]), y, first, used, h[:n].copy(), steps * len(dealt.lengths))
-                last = y[-1]
+            for a in range(0, width, steps):
+                at = slice(a, a + steps)
+                g, h = _gradients(self.p, x[at], y[at], first[at], used[at], h, steps * lanes)
                 self._step(g)
-                self.tokens += int(used.sum())
+        self.tokens += int(used.sum())
 
     def _step(self, g: Params) -> None:
         self.i += 1
@@ -254,7 +260,7 @@ def scores(p: Params, docs: list[np.ndarray], unigram: np.ndarray, share: float,
     with np.errstate(over="ignore"):
         for a, b, n in dealt.windows(steps):
             y, first = dealt.targets[a:b, :n], dealt.first[a:b, :n]
-            out, _, _ = _states(p, inputs_of(y, first, last[:n]), first, h[:n].copy(), False)
+            out, *_ = _states(p, inputs_of(y, first, last[:n]), first, h[:n].copy(), False)
             h, last, ys = out[-1], y[-1], y.ravel()
             q = probabilities(p, out[1:].reshape(-1, HIDDEN), ys)
             q *= np.float32(1 - share)

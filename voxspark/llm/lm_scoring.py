@@ -1,6 +1,6 @@
 """Scores of whole documents by a gated recurrent language model that is trained on the corpus.
 
-Words are counted over all training documents. The model (gru.py) is trained on all of them too: in each round
+Words are counted over all training documents, by 64-bit hashes. The model (gru.py) is trained on all of them too: in each round
 every task goes once over its share with truncated backpropagation, from the same weights, and the
 results are averaged by tokens in a tree. Then every document is scored from its first word to its end.
 """
@@ -8,7 +8,6 @@ results are averaged by tokens in a tree. Then every document is scored from its
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import count_cutoff, hashed_words, lower_words, raw_bytes, saved, table, word_hash_lists
+from .common import count_cutoff, hashed_words, raw_bytes, saved, table
 
 HEAD = 1 << 19
-END_WORD = "\n"  # white space, so no word
+END_WORD = -1  # stands for the end of a text among the words' hashes
 BUFFER = 4_000_000
 SLICES = 16
 ROUNDS = ((0, 1), (1, 4), (4, 16))
@@ -32,43 +31,42 @@ def remainder(doc_id: Column) -> Column:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word, n over every text, the end of a text as END_WORD; tasks add up their own words first."""
+    """word (a hash), n over every text, the end of a text as END_WORD; tasks add up their own words first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, ends = Counter(), 0
+        waiting, held, ends = [], 0, 0
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        def counted(words: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(times.astype(np.int64))], ["word", "n"])
 
         for b in batches:
-            for text in raw_bytes(b.column(0)):
-                counts.update(lower_words(text))
+            for words in hashed_words(raw_bytes(b.column(0))):
+                waiting.append(words)
+                held += len(words)
+                if held >= BUFFER:
+                    yield counted(*np.unique(np.concatenate(waiting), return_counts=True))
+                    waiting, held = [], 0
             ends += b.num_rows
-            if len(counts) > 1 << 20:
-                yield done()
-                counts.clear()
+        if held:
+            yield counted(*np.unique(np.concatenate(waiting), return_counts=True))
         if ends:
-            counts[END_WORD.encode()] = ends
-        yield done()
+            yield counted(np.array([END_WORD]), np.array([ends]))
 
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
     """Hashes and counts of the most frequent words, at most `head`, by falling count; tokens and distinct tokens in all."""
 
     def __init__(self, counts: DataFrame, head: int):
-        total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-        self.tokens, self.distinct = int(total or 0), int(distinct)
-        ends = counts.where(F.col("word") == END_WORD).first()
-        self.ends = int(ends.n) if ends else 0
+        total, distinct, ends = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == END_WORD, F.col("n")))).first()
+        self.tokens, self.distinct, self.ends = int(total or 0), int(distinct), int(ends or 0)
         own = counts.where(F.col("word") != END_WORD)
         self.cutoff = count_cutoff(own, head)
         rows = own.where(F.col("n") >= self.cutoff).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-        words = rows.column("word").cast(pa.binary()).to_pylist()
-        self.hashes = word_hash_lists([b" ".join(words)])[0]
+        self.hashes = rows.column("word").to_numpy().astype(np.int64).view(np.uint64)
         self.n = rows.column("n").to_numpy()
-        self.whole = self.distinct - (self.ends > 0) <= len(words)
+        self.whole = self.distinct - (self.ends > 0) <= len(self.n)
         self.cells = float(self.tokens + self.distinct + 1)
 
     def symbols(self) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +153,7 @@ def train(texts: DataFrame, start: gru.Params, vocabulary) -> gru.Params:
     return gru.shaped(total / tokens, start) if tokens else start
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, words array<string>, times array<long>"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, words array<long>, times array<long>"
 
 
 def score(docs: DataFrame, vocabulary, params: gru.Params, ends: int, cells: float, unigram: np.ndarray) -> DataFrame:
@@ -174,23 +172,19 @@ def score(docs: DataFrame, vocabulary, params: gru.Params, ends: int, cells: flo
         def done() -> pa.RecordBatch:
             model = gru.scores(p, docs, unigram, UNIGRAM_SHARE)
             columns = list(zip(*[(*r[:5], r[5] + m, *r[6:]) for r, m in zip(rows, model.tolist(), strict=True)], strict=True))
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in SCORED.split(", ")])
 
         for b in batches:
-            texts = raw_bytes(b.column(2))
-            for doc, held, text, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, hashed_words(texts), strict=True):
+            for doc, held, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), hashed_words(raw_bytes(b.column(2))), strict=True):
                 ranks = index.of(words)
                 seq = _symbols(ranks)
                 gains = logs[ranks]
                 base = float(gains.sum()) + np.log10(ends + 1.0) - len(seq) * np.log10(cells)
                 other = seq[:-1] == gru.OTHER
                 extra = float(gains[other].sum()) - int(other.sum()) * np.log10(rest) if len(words) else 0.0
-                tail: Counter[bytes] = Counter()
-                if len(rare := np.flatnonzero(ranks < 0)):
-                    own = lower_words(text)
-                    tail.update([own[i] for i in rare.tolist()])
-                rows.append((doc, held, len(seq), int((ranks >= 0).sum()) + (ends > 0), base, extra, [w.decode() for w in tail], list(tail.values())))
+                tail, times = np.unique(words[ranks < 0], return_counts=True)
+                rows.append((doc, held, len(seq), int((ranks >= 0).sum()) + (ends > 0), base, extra, tail.view(np.int64), times))
                 docs.append(seq)
                 n += len(seq)
                 if n >= BUFFER:
@@ -207,7 +201,7 @@ def language_model_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
 
     A null or empty text is one token, its end. A null doc_id is the empty key, which is learnt from. Repeated rows count
     as often as they are there. The driver holds the `head` most frequent words and the model; counts of all
-    other words are joined where they occur. Frequent words are told by 64-bit hashes. With no training document every symbol is
+    other words are joined where they occur. Words are told by 64-bit hashes. With no training document every symbol is
     as likely as the smoothing says. An empty table gives no rows.
     """
     rows = docs.select("doc_id", "text", (remainder(F.col("doc_id")) == 2).alias("held_out"))
