@@ -11,8 +11,8 @@ from __future__ import annotations
 import functools
 import io
 import json
+import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections import ChainMap
@@ -30,6 +30,8 @@ from .common import file_system, fresh, saved, strings, table
 MAGIC = b"BPLANES1"
 BLOCK = 1 << 16
 END_ID = 2
+#: Words of ASCII and composed Latin letters, each lowered to one letter, the same in every version of Unicode.
+PLAIN = re.compile("[\x00-\x7f\u00c0-\u012f\u0131-\u0148\u014a-\u017e]*").fullmatch
 
 
 def planes(ids: np.ndarray) -> list[bytes]:
@@ -140,9 +142,10 @@ class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     Where the tokenizer drops white space and looks at each word alone, a word's ids are kept and
-    used again, so that only new words (and of them only new letter runs) pass through the
-    library; any other tokenizer encodes each text as it is. So is a text that may hold an added
-    token, which counts inside words and before normalisation. The result is the same.
+    used again, so that only new words pass through the library: those of PLAIN letters by new letter runs,
+    any other whole, since versions of Unicode differ in how they compose, lower and class characters. Any other tokenizer
+    encodes each text as it is. So is a text that may hold an added token, which counts inside words and
+    before normalisation. The result is the same.
     """
 
     most = 1 << 20
@@ -167,8 +170,9 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new words; what is learnt first is kept, up to `most` words and as many letter runs."""
-        # the library lowers each character by itself, also a sigma at a word's end
-        cut = [self.pieces.findall(unicodedata.normalize("NFC", w.decode()).replace("\u03a3", "\u03c3").lower()) for w in words]
+        texts = [w.decode() for w in words]
+        odd = [i for i, t in enumerate(texts) if not PLAIN(t)]
+        cut = [self.pieces.findall(t.lower()) if PLAIN(t) else [] for t in texts]
         runs = self.runs
         if new := list(set().union(*cut) - runs.keys()):
             coded = self.library.encode(" ".join(new), add_special_tokens=False)
@@ -180,6 +184,8 @@ class Encoder:
             else:
                 runs = ChainMap(learnt, runs)
         out = {w: runs[c[0]] if len(c) == 1 else b"".join([runs[p] for p in c]) for w, c in zip(words, cut, strict=True)}
+        if odd:
+            out |= dict(zip([words[i] for i in odd], self._whole([texts[i] for i in odd]), strict=True))
         if len(self.words) < self.most:
             self.words.update(out)
         return out
@@ -187,9 +193,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.whole is not None:
             return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        lowered = [t.encode().lower() for t in texts]
-        marked = {i for i, t in enumerate(lowered) if any(m in t for m in self.marks)}
-        words = [[] if i in marked else t.split() for i, t in enumerate(lowered)]
+        raw = [t.encode() for t in texts]
+        marked = {i for i, t in enumerate(raw) if any(map(t.lower().__contains__, self.marks))}
+        words = [[] if i in marked else t.split() for i, t in enumerate(raw)]
         flat = list(chain.from_iterable(words))
         got = list(map(self.words.get, flat))
         if gaps := [i for i, g in enumerate(got) if g is None]:
@@ -198,16 +204,17 @@ class Encoder:
                 got[i] = learnt[flat[i]]
         out, at = [], 0
         for i, own in enumerate(words):
-            out.append(self._whole(texts[i]) if i in marked else b"".join(got[at : at + len(own)]))
+            out.append(self._whole([texts[i]])[0] if i in marked else b"".join(got[at : at + len(own)]))
             at += len(own)
         return out
 
-    def _whole(self, text: str) -> bytes:
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Normalised, cut and encoded by the library alone."""
         from tokenizers import Tokenizer
 
         if self.full is None:
             self.full = Tokenizer.from_file(self.path)
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @functools.lru_cache(maxsize=1)
