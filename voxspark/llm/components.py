@@ -9,6 +9,7 @@ from .common import saved
 
 MOST_ROUNDS = 60
 BROADCAST_ROWS = 500_000
+FEW_ROWS = 200_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,7 +23,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     links = saved(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "links")
     for _ in range(MOST_ROUNDS):
-        small = F.broadcast if links.count() <= BROADCAST_ROWS else (lambda df: df)
+        n = links.count()
+        small = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
+        links = links.coalesce(1) if n <= FEW_ROWS else links  # small tables are not dealt out again and again
         ends = links.select(F.col("lo").alias("u"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(links.select("hi", F.lit(0), F.lit(1)))
         if ends.groupBy("u").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).where("high > 1 or high > 0 and low > 0").isEmpty():
             return links.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(links.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct())

@@ -8,9 +8,9 @@ the subsets of two of that longer prefix, heavy sets by scanning the inverted li
 from which a set is heavy is the one of least cost for the sizes and list lengths at hand. All candidates
 are checked on the whole sets.
 
-Only components are wanted, so every list is first joined with one member, its hub. Whoever may still be linked to
-another component in a list goes on to the next round, where bounds are taken anew among those alone; what a round
-leaves is joined in full as soon as that is about as much as there are list entries. A group of n near copies
+Only components are wanted, so every list is first joined with one member, its hub, which then leaves it. Whoever may
+still be linked to another component in a list stays there for the next round, where bounds are taken anew among those
+alone; what is left is joined in full as soon as that is about as much as there are list entries. A group of n near copies
 thus costs about n pairs, and no link between components is passed by.
 """
 
@@ -38,7 +38,8 @@ FIRST_SHARE = 0.375
 BOUNDARIES = (2, 4, 8, 12, 16, 24, 32, 48, 64)
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 24 << 20
-ROUNDS = 4
+FEW_ROWS = 200_000
+ROUNDS = 5
 FULL_FACTOR = 4
 
 
@@ -56,6 +57,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _gathered(df: DataFrame) -> DataFrame:
+    """In one partition where the counted rows are few, so that small tables are not dealt out again and again; otherwise as they are."""
+    return df.coalesce(1) if df.count() <= FEW_ROWS else df
+
+
 def _small_sets(sets: DataFrame) -> DataFrame:
     """The same for rows that hold whole sets: the bound is on their bytes."""
     size = sets.agg(F.coalesce(F.sum(F.octet_length("shingles") + 32), F.lit(0))).first()[0]
@@ -285,22 +291,22 @@ def may_link(x: str, y: str):
     return enough & (F.least(f"{x}n", f"{y}n") * 100 >= F.greatest(f"{x}n", f"{y}n") * PERCENT)
 
 
-def open_lists(post: DataFrame, comps: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-    """The list entries that may still link two components, and by list its size, its pairs of different components and its hub.
+def open_lists(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Of list entries (token, node, n, most, pos, comp) those that may still link two components, and by list its size, its pairs of
+    different components and its hub.
 
     An entry stays if it can reach the smallest set of its list that its own size allows. The hub is the
-    entry with the largest bound for its size, the one most like the others; in later rounds another one.
+    entry with the largest bound for its size, the one most like the others; in later rounds any one.
     """
-    post = post.withColumn("comp", F.col("node")) if comps is None else post.join(_small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    shared = post.groupBy("token").agg(F.min("n").alias("least"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "least")
+    shared = members.groupBy("token").agg(F.min("n").alias("least"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "least")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
-    kept = post.join(shared, "token").where(reach() * (100 + PERCENT) >= (F.col("n") + smallest) * PERCENT)
-    members = saved(kept.select("token", "node", "n", "most", "pos", "comp"), "members")
+    kept = members.join(shared, "token").where(reach() * (100 + PERCENT) >= (F.col("n") + smallest) * PERCENT)
+    members = _gathered(saved(kept.select("token", "node", "n", "most", "pos", "comp"), "members"))
     score = F.col("most") / F.col("n") if turn == 0 else F.xxhash64("node", F.lit(turn)).cast("double")
     by = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct(score.alias("score"), "node", "n", "most", "pos", "comp")).alias("hub"))
     lists = by.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("within"), F.max("hub").alias("hub"))
     pairs = (F.col("size").cast("double") * F.col("size") - F.col("within")) / 2
-    return members, saved(lists.where("comps > 1").select("token", "size", pairs.alias("pairs"), "hub"), "open")
+    return members, _gathered(saved(lists.where("comps > 1").select("token", "size", pairs.alias("pairs"), "hub"), "open"))
 
 
 def hub_pairs(members: DataFrame, lists: DataFrame) -> DataFrame:
@@ -317,7 +323,7 @@ def all_pairs(members: DataFrame, lists: DataFrame) -> DataFrame:
     has been met there.
     """
     before = Window.partitionBy("node").orderBy("pos", "token")
-    members = saved(members.join(lists.select("token"), "token").withColumn("before", F.lag("token").over(before)), "members")
+    members = _gathered(saved(members.join(lists.select("token"), "token").withColumn("before", F.lag("token").over(before)), "members"))
     comps = members.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max(reach()).alias("reach"))
     x, y = (comps.select("token", F.col("comp").alias(f"{k}comp"), F.col("n").alias(f"{k}n"), F.col("reach").alias(f"{k}reach")) for k in "xy")
     hope = F.least("xreach", "yreach") * (100 + PERCENT) >= (F.col("xn") + F.col("yn")) * PERCENT
@@ -334,7 +340,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     Sets are joined by node; `b`, which may be a hub, is joined last, by broadcast where the bytes of its sets are within the
     bound, so that its rows may be split among tasks.
     """
-    pairs = saved(pairs, "pairs")
+    pairs = _gathered(saved(pairs, "pairs"))
     hubs = sets.select("node", "shingles").join(_small(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = both.join(_small_sets(hubs).select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
@@ -383,29 +389,38 @@ def linkable(sets: DataFrame) -> DataFrame:
     return sets.where((F.col("n") > 1) & (F.col("most") * 100 >= F.col("n") * PERCENT))
 
 
+def _bounded(sets: DataFrame) -> DataFrame:
+    """node and most of those that may have a partner among these sets (node, n, shingles)."""
+    return _gathered(saved(linkable(bounds(sets.select("node", "shingles"))).select("node", "most"), "bounds"))
+
+
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sets of all documents (SETS), and (node, comp) of every node that has a link."""
     spark = docs.sparkSession
     rows = saved(bounds(docs.select("doc_id", "text"), FIRST_SHARE), "sets")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("most").alias("most"))
-    wanted = saved(linkable(nodes).select("node", "rep"), "wanted")
-    sets, comps = saved(whole_sets(docs, wanted), "whole-sets"), None
-    edges = spark.createDataFrame([], "a long, b long")
+    wanted = _gathered(saved(linkable(nodes).select("node", "rep"), "wanted"))
+    sets = _gathered(saved(whole_sets(docs, wanted), "whole-sets"))
+    sets = saved(sets.join(_small(_bounded(sets)), "node"), "linkable")
+    prefix = saved(prefixes(sets, frequent_shingles(sets)), "prefixes")
+    members = _gathered(saved(postings(prefix, choose_boundary(prefix)).withColumn("comp", F.col("node")), "postings"))
+    edges = comps = None
     for turn in range(ROUNDS + 1):
-        own = bounds(sets.select("node", "shingles")).select("node", "most")
-        sets = saved(linkable(sets.select("node", "n", "shingles").join(_small(saved(own, "bounds")), "node")), "open-sets")
-        prefix = saved(prefixes(sets, frequent_shingles(sets)), "prefixes")
-        members, lists = open_lists(saved(postings(prefix, choose_boundary(prefix)), "postings"), comps, turn)
+        members, lists = open_lists(members, turn)
         entries, left = lists.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
         if not left:
             break
-        last = turn == ROUNDS or left <= FULL_FACTOR * entries
-        pairs = all_pairs(members, lists) if last else hub_pairs(members, lists)
-        edges = saved(edges.union(verified(pairs, sets)), "edges")
+        last = turn > 0 and (turn == ROUNDS or left <= FULL_FACTOR * entries)
+        found = verified(all_pairs(members, lists) if last else hub_pairs(members, lists), sets)
+        edges = _gathered(saved(found if edges is None else edges.union(found), "edges"))
         comps = connected_components(edges)
         if last:
             break
-        sets = sets.drop("most").join(_small(saved(members.join(lists.select("token"), "token").select("node").distinct(), "open-nodes")), "node", "left_semi")
+        stay = members.drop("comp", "most").join(lists.select("token", F.col("hub.node").alias("_hub")), "token").where("node <> _hub").drop("_hub")
+        stay = _gathered(saved(stay, "members"))
+        sets = sets.join(_small(stay.select("node").distinct()), "node", "left_semi")
+        state = _bounded(sets).join(_small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        members = stay.join(_small(_gathered(saved(state, "state"))), "node")
     return rows, spark.createDataFrame([], "node long, comp long") if comps is None else comps
 
 
