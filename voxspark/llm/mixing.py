@@ -1,36 +1,37 @@
 """Soft-membership mixing: posteriors of labelled domains, and document rates by projected-gradient least squares.
 
-A naive Bayes classifier, fitted on the labelled table, gives each document a probability of each domain
-from a handful of binned features, among them how many of each domain's telling words it has. Rates r >= 0 are
-then fitted so that the expected tokens of domain k, the sum of r * tokens * p_k over all documents, meet
-its target. A rate depends on the document's posteriors alone, and those on its bins, so documents
-are first added up by bins (at most CODES rows for up to eight domains, whatever the corpus) and every gradient, with the moments that
-precondition it, is one distributed sum over that table.
+A classifier over hashed words, fitted on the labelled table, gives each document a probability of each domain, however many
+there are. Rates r >= 0 are then fitted so that the expected tokens of domain k, the sum of r * tokens * p_k over all
+documents, meet its target. Posteriors are rounded to a grid and documents added up by them first, and every
+gradient, with the moments that precondition it, is one distributed sum over that table.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import native_words, saved, table
-
-#: Bits of each feature's bin, from the lowest; every domain's lexicon has LEXICON_BITS, or one bit where there are more than WIDE_LEXICONS.
-BITS = {"lang": 3, "length": 3, "symbols": 2, "capitals": 2}
-LEXICON_BITS, WIDE_LEXICONS, LEXICON_WORDS = 2, 4, 24
-CODES = 1 << (sum(BITS.values()) + LEXICON_BITS * WIDE_LEXICONS)  # of up to eight domains; each further one doubles them
-LEXICON_SAMPLE = 20_000
-TELLING = 4.0  # standard errors by which a word's log-odds must differ from 0
-MOST_DOMAINS = 16
+from .common import saved, table
+
+WORD = r"[^\x20\x09-\x0D]+"
+FEATURE = r"\p{L}+|[^\p{L}\p{N}\s]+"
+BUCKETS = 1 << 18
+LABELLED_MOST = 20_000  #: labelled documents on which the classifier is fitted, the same ones at every run
+FOLDS = 5  #: one of them is held out, to choose how far the evidence is trusted and to measure it
+LEAST_DOCUMENTS = 5
+TELLING = 4.0  #: standard errors by which the log-odds of a bucket must differ from 0
+POWERS, SCALES = (0.0, 0.5, 1.0), tuple(2.0**-j for j in range(-3, 7))
+GRID = 64
 TARGETS = {"q1_t0": 0.95}
-RIDGE = 1e-3
+RIDGE = 1e-4
 MOST_STEPS = 48
-TOLERANCE = 1e-4
+TOLERANCE = 1e-5
 
 
 def _labelled(labels: DataFrame) -> DataFrame:
@@ -39,105 +40,110 @@ def _labelled(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain")).where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull())
 
 
+def n_words(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def features(text: Column) -> Column:
+    """Distinct buckets of a text's letter runs and symbol runs, lower-cased."""
+    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(FEATURE), F.lit(0))
+    return F.array_distinct(F.transform(F.array_distinct(runs), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+
+
 @dataclass(frozen=True)
 class Classifier:
-    """Domains, the telling words of each, and the fitted log-probabilities."""
+    """Domains, their prior log-probabilities, the log-odds of the telling buckets, and how evidence is weighed: by scale / n^power for n features.
+
+    `held_out` has the log-loss and the accuracy on held-out labelled documents, and those of the prior alone.
+    """
 
     domains: list[str]
-    lexicons: list[list[str]]
-    prior: list[float] = field(default_factory=list)
-    likelihood: list[list[list[float]]] = field(default_factory=list)
-
-    @property
-    def lexicon_bits(self) -> int:
-        return LEXICON_BITS if len(self.domains) <= WIDE_LEXICONS else 1
-
-    @property
-    def bounded(self) -> bool:
-        """Whether there are at most CODES codes."""
-        return 1 << sum(bits for _, bits in self.features()) <= CODES
-
-    def features(self) -> list[tuple[str, int]]:
-        return [*BITS.items(), *[(f"lexicon_{d}", self.lexicon_bits) for d, w in zip(self.domains, self.lexicons, strict=False) if w]]
-
-    def binned(self, docs: DataFrame) -> DataFrame:
-        """Adds n_tokens and code, which packs the bins. A null text has no words; a null lang is a language of its own."""
-        rows = docs.withColumn("_words", native_words("text")).withColumn("n_tokens", F.size("_words").cast("long"))
-        text, per_word = F.coalesce("text", F.lit("")), 20 / F.greatest(F.col("n_tokens"), F.lit(1))
-        log_bin = lambda x, bits: F.least(F.floor(F.log2(x + 1)), F.lit((1 << bits) - 1)).cast("int")
-        bins = [
-            F.pmod(F.xxhash64(F.coalesce("lang", F.lit(""))), F.lit(1 << BITS["lang"])).cast("int"),
-            F.least(F.floor(F.log2(F.col("n_tokens") + 1) / 2), F.lit((1 << BITS["length"]) - 1)).cast("int"),
-            log_bin(F.regexp_count(text, F.lit("[#*$%&|<>]")) * per_word, BITS["symbols"]),
-            log_bin(F.regexp_count(text, F.lit("[A-Z]{3,}")) * per_word, BITS["capitals"]),
-            *[F.least(F.size(F.array_intersect("_words", F.array(*map(F.lit, w)))), F.lit((1 << self.lexicon_bits) - 1)) for w in self.lexicons if w],
-        ]
-        code, shift = F.lit(0), 0
-        for (_, bits), b in zip(self.features(), bins, strict=True):
-            code, shift = code.bitwiseOR(F.shiftleft(b, shift)), shift + bits
-        return rows.withColumn("code", code).drop("_words")
-
-    def unpacked(self) -> list[Column]:
-        out, shift = [], 0
-        for _, bits in self.features():
-            out.append(F.shiftright("code", shift).bitwiseAND(F.lit((1 << bits) - 1)))
-            shift += bits
-        return out
-
-    def with_posteriors(self, profiles: DataFrame) -> DataFrame:
-        """Adds p, an array with the probability of every domain, to rows that have a code."""
-        logs = []
-        for k in range(len(self.domains)):
-            total = F.lit(self.prior[k])
-            for rows, b in zip(self.likelihood, self.unpacked(), strict=True):
-                total = total + F.get(F.array(*map(F.lit, rows[k])), b)
-            logs.append(total)
-        rows = profiles.withColumn("_log", F.array(*logs)).withColumn("_top", F.array_max("_log"))
-        rows = rows.withColumn("_e", F.transform("_log", lambda x: F.exp(x - F.col("_top"))))
-        rows = rows.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-        return rows.withColumn("p", F.transform("_e", lambda x: x / F.col("_sum"))).drop("_log", "_top", "_e", "_sum")
-
-
-def choose_lexicons(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """The domains, and the words that tell most for each of them.
-
-    Words are weighed on at most LEXICON_SAMPLE labelled documents, the same ones at every run; the
-    domains come from all labels.
+    prior: list[float]
+    odds: dict[int, list[float]]
+    power: float = 0.0
+    scale: float = 1.0
+    held_out: tuple[float, float, float, float] | None = None
+
+    def evidence(self, found: Column) -> Column:
+        """Sums of log-odds of the buckets in `found`, an array by domain; 0 for buckets that do not tell.
+
+        The odds are one constant: cells of a hash table, most of them empty.
+        """
+        none = F.array(*[F.lit(0.0)] * len(self.domains))
+        if not self.odds:
+            return none
+        n = 1 << max(8, (4 * len(self.odds)).bit_length())
+        cells: list[list[dict]] = [[] for _ in range(n)]
+        for b, w in self.odds.items():
+            cells[b % n].append({"b": b, "w": w})
+        kept = F.from_json(F.lit(json.dumps(cells)), "array<array<struct<b:int,w:array<double>>>>")
+        met = F.flatten(F.transform(found, lambda b: F.filter(F.get(kept, b % n), lambda c: c["b"] == b)))
+        return F.aggregate(met, none, lambda a, c: F.zip_with(a, c["w"], lambda x, y: x + y))
+
+    def weighed(self, rows: DataFrame, power: Column, scale: Column) -> DataFrame:
+        """Adds p, the posteriors from `_evidence`, that of `_n` features; drops both. Step by step, so that no step is worked out twice."""
+        factor = scale / F.pow(F.greatest("_n", F.lit(1)), power) * F.pow(F.lit(30.0), power)
+        rows = rows.withColumn("_factor", factor).withColumn("_log", F.zip_with("_evidence", F.array(*map(F.lit, self.prior)), lambda e, p: p + F.col("_factor") * e))
+        rows = rows.withColumn("_top", F.array_max("_log")).withColumn("_e", F.transform("_log", lambda x: F.exp(x - F.col("_top"))))
+        rows = rows.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)).withColumn("p", F.transform("_e", lambda x: x / F.col("_sum")))
+        return rows.drop("_evidence", "_n", "_factor", "_log", "_top", "_e", "_sum")
+
+    def posteriors(self, docs: DataFrame) -> DataFrame:
+        """Adds n_tokens (words) and p, an array with the probability of every domain, in steps of about 1/GRID. A null text has no words."""
+        if len(self.domains) < 2:
+            return docs.withColumn("n_tokens", n_words(F.col("text"))).withColumn("p", F.array(F.lit(1.0)))
+        rows = docs.withColumn("n_tokens", n_words(F.col("text"))).withColumn("_found", features(F.col("text")))
+        rows = rows.withColumn("_evidence", self.evidence(F.col("_found"))).withColumn("_n", F.size("_found")).drop("_found")
+        rows, grid = self.weighed(rows, F.lit(self.power), F.lit(self.scale)), max(GRID, 4 * len(self.domains))
+        rows = rows.withColumn("_steps", F.transform("p", lambda x: F.round(x * grid))).withColumn("_sum", F.aggregate("_steps", F.lit(0.0), lambda a, x: a + x))
+        return rows.withColumn("p", F.transform("_steps", lambda x: x / F.col("_sum"))).drop("_steps", "_sum")
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = LABELLED_MOST) -> Classifier:
+    """The telling buckets and how to weigh them, from at most `most` labelled documents, a fifth of which is held out.
+
+    A bucket tells for or against a domain where, by the documents that have it, its log-odds differ from 0 by TELLING
+    standard errors. What the driver gets is the odds of telling buckets. A document labelled twice counts twice. Domains come from
+    all labels; without any there is one, `all`.
     """
     known = _labelled(labels)
-    domains = sorted(r.domain for r in known.select("domain").distinct().limit(MOST_DOMAINS + 1).collect())
-    if len(domains) > MOST_DOMAINS:
-        raise ValueError(f"more than {MOST_DOMAINS} domains")
+    domains = sorted(r.domain for r in known.select("domain").distinct().collect())
     if len(domains) < 2:
-        return Classifier(domains or ["all"], [])
-    sample = saved(known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(LEXICON_SAMPLE), "labelled-sample")
-    sizes = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
-    told = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", F.explode(F.array_distinct(native_words("text"))).alias("word"))
-    counts = told.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]).where("n >= 5")
-    lexicons, counts, whole = [], saved(counts, "word-counts"), sum(sizes.values())
-    for i, d in enumerate(domains):
-        n, own = sizes.get(d, 0), F.col(f"n{i}")
-        odds = F.log((own + 0.5) / (n + 1)) - F.log((F.col("n") - own + 0.5) / (whole - n + 1))
-        spread = F.sqrt(1 / (own + 0.5) + 1 / (F.col("n") - own + 0.5))
-        best = counts.where(odds / spread >= TELLING).select("word", (own / max(n, 1) * odds).alias("gain")).orderBy(F.desc("gain"), "word").limit(LEXICON_WORDS)
-        lexicons.append([r.word for r in best.collect()])
-    return Classifier(domains, lexicons)
-
-
-def fit_classifier(model: Classifier, binned_docs: DataFrame, labels: DataFrame) -> Classifier:
-    """Naive Bayes with one added to each bin, over every labelled document.
-
-    What the driver gets is a count for each domain and bin. A document labelled twice counts twice.
-    Without any label there is one domain, `all`.
-    """
-    known = _labelled(labels).join(binned_docs.select("doc_id", "code"), "doc_id")
-    cells = F.array(*[F.struct(F.lit(i).alias("feature"), b.alias("bin")) for i, b in enumerate(model.unpacked())])
-    counts = known.groupBy("domain", "code").agg(F.count(F.lit(1)).alias("n")).select("domain", "n", F.inline(cells)).groupBy("domain", "feature", "bin").agg(F.sum("n").alias("n"))
-    seen = {(r.domain, r.feature, r.bin): r.n for r in counts.collect()}
-    totals = [sum(seen.get((d, 0, b), 0) for b in range(1 << BITS["lang"])) for d in model.domains]
-    prior = [math.log((t + 1) / (sum(totals) + len(totals))) for t in totals]
-    likelihood = [[[math.log((seen.get((d, i, b), 0) + 1) / (t + (1 << bits))) for b in range(1 << bits)] for d, t in zip(model.domains, totals, strict=True)] for i, (_, bits) in enumerate(model.features())]
-    return Classifier(model.domains, model.lexicons, prior, likelihood)
+        return Classifier(domains or ["all"], [0.0], {})
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))
+    at = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int") - 1
+    sample = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most).select("doc_id", at.alias("k"), (fold == 0).alias("held"))
+    told = saved(docs.select("doc_id", "text").join(F.broadcast(saved(sample, "labelled-sample")), "doc_id").select("k", "held", features(F.col("text")).alias("found")), "labelled")
+    learnt = told.where("not held")
+    sizes = dict(learnt.groupBy("k").count().collect())
+    size, whole = [sizes.get(k, 0) for k in range(len(domains))], sum(sizes.values())
+    cells = learnt.select("k", F.explode("found").alias("b")).groupBy("b", "k").agg(F.count(F.lit(1)).alias("n"))
+    by = cells.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("of"), F.sum("n").alias("all")).where(F.col("all") >= LEAST_DOCUMENTS)
+
+    def odds(k: Column, own: Column, n: Column) -> Column:
+        inside, outside = own + 0.5, F.col("all") - own + 0.5
+        value = F.log(inside / (n + 1)) - F.log(outside / (whole - n + 1))
+        return F.when(F.abs(value) >= TELLING * F.sqrt(1 / inside + 1 / outside), value).otherwise(0.0)
+
+    ks = F.sequence(F.lit(0), F.lit(len(domains) - 1))
+    telling = by.select("b", F.transform(ks, lambda k: odds(k, F.coalesce(F.element_at("of", k), F.lit(0)), F.get(F.array(*map(F.lit, size)), k))).alias("w"))
+    found = {r.b: r.w for r in telling.where(F.exists("w", lambda x: x != 0)).collect()}
+    model = Classifier(domains, [math.log((n + 1) / (whole + len(domains))) for n in size], found)
+    return _calibrated(model, told.where("held"))
+
+
+def _calibrated(model: Classifier, held: DataFrame) -> Classifier:
+    """The model with the power and scale of the least log-loss on held-out documents, all candidates in one job."""
+    tried = [(0.0, 0.0), *[(a, s) for a in POWERS for s in SCALES]]  # the first is the prior alone
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("power"), F.lit(s).alias("scale")) for i, (a, s) in enumerate(tried)]))
+    rows = saved(held.select("k", model.evidence(F.col("found")).alias("_evidence"), F.size("found").alias("_n")), "evidence").withColumn("try", each)
+    own = F.get("p", F.col("k"))
+    loss, right = F.avg(-F.log(F.greatest(own, F.lit(1e-9)))).alias("loss"), F.avg((own == F.array_max("p")).cast("double")).alias("right")
+    got = {r.i: r for r in model.weighed(rows, F.col("try.power"), F.col("try.scale")).groupBy("try.i").agg(loss, right).collect()}
+    if not got:
+        return model
+    best = min(range(1, len(tried)), key=lambda i: got[i].loss)
+    return replace(model, power=tried[best][0], scale=tried[best][1], held_out=(got[best].loss, got[best].right, got[0].loss, got[0].right))
 
 
 def target_tokens(domains: list[str], natural: np.ndarray, weights: Mapping[str, float]) -> np.ndarray:
@@ -173,33 +179,31 @@ def rate_of(u: np.ndarray) -> Column:
     return F.greatest(F.lit(0.0), 1 - slope)
 
 
-def fit_rates(profiles: DataFrame, domains: list[str], weights: Mapping[str, float], steps: int = MOST_STEPS) -> DataFrame:
-    """code, p, rate. `profiles` has code, n (tokens) and p.
+def fit_rates(profiles: DataFrame, domains: list[str], weights: Mapping[str, float], steps: int = MOST_STEPS) -> np.ndarray:
+    """u, one number for each domain: a row's rate is rate_of(u). `profiles` has n (tokens) and p.
 
-    Minimises half the sum over domains of (tokens / target - 1)^2 plus a small ridge that holds rates near 1,
+    Minimises half the sum over domains of ((tokens - target) / all tokens)^2 plus a small ridge that holds rates near 1,
     in the norm weighted by tokens, over rates of 0 or more. Where the projected gradient of that is 0, a rate is
-    max(0, 1 - p . u) with one number u for each domain, so steps are taken in u: gradients
-    preconditioned by the moments of the rows whose rates are above 0, and halved until they go down. Each is
-    one distributed sum of numbers that depend on the domains alone. It ends only when no
-    domain's share of the projected gradient exceeds TOLERANCE of its target, met or not; an error says if `steps` do not suffice.
+    max(0, 1 - p . u), so steps are taken in u: gradients preconditioned by the moments of the rows whose rates are
+    above 0, and halved until they go down. Each is one distributed sum of numbers that depend on the domains alone. It ends only when no
+    domain's share of the projected gradient exceeds TOLERANCE of all tokens, met or not; an error says if `steps` do not suffice.
     """
     k = len(domains)
     natural = np.array([x or 0.0 for x in profiles.select(F.sum("n"), *[F.sum(F.col("n") * F.col("p")[i]) for i in range(k)]).first()], float)
     total, natural = float(natural[0]), natural[1:]
     if not total:
-        return profiles.select("code", "p", F.lit(1.0).alias("rate"))
+        return np.zeros(k)
     target = target_tokens(domains, natural, weights)
-    scale = np.maximum(target, 1e-3 * total)
-    ridge = RIDGE * scale**2 / total
-    value = lambda u, half: half + float(target @ u) + float(ridge @ u**2) / 2
+    ridge = RIDGE * total
+    value = lambda u, half: half + float(target @ u) + ridge * float(u @ u) / 2
     u = np.zeros(k)
     half, got, second = _sums(profiles, k, u)
     for _ in range(steps):
         slope = target - got + ridge * u
-        if np.abs(slope / scale).max() < TOLERANCE:
+        if np.abs(slope).max() < TOLERANCE * total:
             break
         size = np.sqrt(np.diag(second) + ridge)
-        move = -np.linalg.solve((second + np.diag(ridge)) / np.outer(size, size), slope / size) / size
+        move = -np.linalg.solve((second + ridge * np.eye(k)) / np.outer(size, size), slope / size) / size
         before, part = value(u, half), 1.0
         while True:
             half, got, second = _sums(profiles, k, u + part * move)
@@ -209,23 +213,14 @@ def fit_rates(profiles: DataFrame, domains: list[str], weights: Mapping[str, flo
         u = u + part * move
     else:
         raise RuntimeError(f"rates have not settled after {steps} steps: tokens {got.tolist()} of the domains {domains}, targets {target.tolist()}")
-    return profiles.select("code", "p", rate_of(u).alias("rate"))
-
-
-def mixing_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGETS) -> tuple[DataFrame, DataFrame, Classifier]:
-    """doc_id, n_tokens and code of every document; code, p and rate of every code; the classifier."""
-    model = choose_lexicons(docs, labels)
-    slim = saved(model.binned(docs.select("doc_id", "text", "lang")).select("doc_id", "n_tokens", "code"), "bins")
-    model = fit_classifier(model, slim, labels)
-    profiles = model.with_posteriors(slim.groupBy("code").agg(F.sum("n_tokens").alias("n")))
-    profiles = saved(profiles.coalesce(4) if model.bounded else profiles, "profiles")
-    rates = fit_rates(profiles, model.domains, weights)
-    return slim, saved(rates.coalesce(1) if model.bounded else rates, "rates"), model
+    return u
 
 
-def _hinted(rates: DataFrame, model: Classifier) -> DataFrame:
-    """For a broadcast where the codes are bounded or, counted, within the bound; otherwise the join shuffles."""
-    return F.broadcast(rates) if model.bounded or rates.count() <= CODES else rates
+def mixing_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGETS) -> tuple[Classifier, DataFrame, np.ndarray]:
+    """The classifier; p and n (tokens) of all documents, by distinct p; and u, from which rate_of() has the rates."""
+    model = fit_classifier(docs, labels)
+    profiles = saved(model.posteriors(docs.select("text")).groupBy("p").agg(F.sum("n_tokens").alias("n")), "profiles")
+    return model, profiles, fit_rates(profiles, model.domains, weights)
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -237,17 +232,16 @@ def copies(rate: Column, key: Column) -> Column:
 def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGETS) -> DataFrame:
     """Each document as often as its rate says, all columns as they were.
 
-    Documents without words stay in bins of their own. Repeated rows are mixed alike. An empty table stays empty.
+    Documents without words have the prior's probabilities. Repeated rows are mixed alike. An empty table stays empty.
     """
-    _, rates, model = mixing_rates(docs, labels, weights)
-    whole = docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    joined = model.binned(whole).join(_hinted(rates.select(F.col("code"), F.col("rate").alias("_rate")), model), "code")
-    repeated = joined.withColumn("_copies", copies(F.col("_rate"), F.col("doc_id"))).where("_copies > 0")
+    model, _, u = mixing_rates(docs, labels, weights)
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    repeated = model.posteriors(whole).select("_doc", copies(rate_of(u), F.col("doc_id")).alias("_copies")).where("_copies > 0")
     return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")
 
 
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")
-    slim, rates, model = mixing_rates(docs, labels)
-    out = slim.join(_hinted(rates, model), "code")
-    return out.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model, _, u = mixing_rates(docs, labels)
+    rows = model.posteriors(docs).withColumn("rate", rate_of(u))
+    return rows.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
