@@ -237,8 +237,8 @@ def test_posteriors_against_brute_force(spark):
     for b, by in n.items():
         every, w = sum(by.values()), []
         for k in model.domains:
-            x, y = by[k] + 0.5, every - by[k] + 0.5
-            v = math.log(x / (size[k] + 1)) - math.log(y / (len(learnt) - size[k] + 1))
+            x, y = by[k] + 1, every - by[k] + 1
+            v = math.log(x / (size[k] + 2)) - math.log(y / (len(learnt) - size[k] + 2))
             w.append(v if abs(v) >= mixing.TELLING * math.sqrt(1 / x + 1 / y) else 0.0)
         if every >= mixing.LEAST_DOCUMENTS and any(w):
             odds[b] = w

@@ -121,8 +121,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = LABELLED_MOST
     by = cells.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("of"), F.sum("n").alias("all")).where(F.col("all") >= LEAST_DOCUMENTS)
 
     def odds(k: Column, own: Column, n: Column) -> Column:
-        inside, outside = own + 0.5, F.col("all") - own + 0.5
-        value = F.log(inside / (n + 1)) - F.log(outside / (whole - n + 1))
+        inside, outside = own + 1.0, F.col("all") - own + 1.0
+        value = F.log(inside / (n + 2)) - F.log(outside / (whole - n + 2))
         return F.when(F.abs(value) >= TELLING * F.sqrt(1 / inside + 1 / outside), value).otherwise(0.0)
 
     ks = F.sequence(F.lit(0), F.lit(len(domains) - 1))
