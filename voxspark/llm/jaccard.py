@@ -317,19 +317,20 @@ def hub_pairs(members: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def all_pairs(members: DataFrame, lists: DataFrame) -> DataFrame:
-    """Pairs of one list and different components; components first, so that no pair within one is made.
+    """Pairs of one list and different components. A component's sets of one size are met as a block first, so that no pair
+    within a component and none of sizes or bounds that rule each other out is made.
 
     A pair is taken at the first list that both are in: where the lists before it are the same for both, it
     has been met there.
     """
     before = Window.partitionBy("node").orderBy("pos", "token")
     members = _gathered(saved(members.join(lists.select("token"), "token").withColumn("before", F.lag("token").over(before)), "members"))
-    comps = members.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max(reach()).alias("reach"))
-    x, y = (comps.select("token", F.col("comp").alias(f"{k}comp"), F.col("n").alias(f"{k}n"), F.col("reach").alias(f"{k}reach")) for k in "xy")
-    hope = F.least("xreach", "yreach") * (100 + PERCENT) >= (F.col("xn") + F.col("yn")) * PERCENT
-    meets = x.join(y, "token").where((F.col("xcomp") < F.col("ycomp")) & hope).select("token", "xcomp", "ycomp")
+    blocks = members.groupBy("token", "comp", "n").agg(F.max(reach()).alias("reach"))
+    x, y = (blocks.select("token", F.col("comp").alias(f"{k}comp"), F.col("n").alias(f"{k}n"), F.col("reach").alias(f"{k}reach")) for k in "xy")
+    hope = lambda a, b: (F.least(a, b) * (100 + PERCENT) >= (F.col("xn") + F.col("yn")) * PERCENT) & (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * PERCENT)
+    meets = x.join(y, "token").where((F.col("xcomp") < F.col("ycomp")) & hope("xreach", "yreach")).drop("xreach")
     left, right = (members.select("token", *[F.col(c).alias(f"{k}{c}") for c in ("comp", "node", "n", "most", "pos", "before")]) for k in "xy")
-    rows = meets.join(left, ["token", "xcomp"]).join(right, ["token", "ycomp"])
+    rows = meets.join(left, ["token", "xcomp", "xn"]).where(hope(reach("x"), "yreach")).join(right, ["token", "ycomp", "yn"])
     rows = rows.where(may_link("x", "y") & ~F.coalesce(F.col("xbefore") == F.col("ybefore"), F.lit(False)))
     return rows.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
 
