@@ -42,15 +42,15 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, batch: int = BATCH_ROWS) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: cuts the lineage.
 
-    Meanwhile Arrow batches hold at most BATCH_ROWS rows, since a row may be a long text; the session's
+    Meanwhile Arrow batches hold at most `batch` rows, since a row may be a long text; the session's
     setting is then put back.
     """
     path, conf, key = fresh(df.sparkSession, label), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
-    conf.set(key, str(BATCH_ROWS))
+    conf.set(key, str(batch))
     try:
         df.write.parquet(path)
     finally:

@@ -30,7 +30,7 @@ from .components import connected_components
 
 PERCENT = 75
 HEAVY_TOKENS = 1 << 18
-CHUNK = 1_000_000
+CHUNK = 500_000
 CHUNK_SETS = 60_000
 MANY = 0xFFFF
 BUCKET_BYTES = 1 << 20
@@ -38,7 +38,8 @@ FIRST_SHARE = 0.375
 BOUNDARIES = (2, 4, 8, 12, 16, 24, 32, 48, 64)
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 24 << 20
-FEW_ROWS = 200_000
+FEW_ROWS, FEW_SETS = 200_000, 10_000
+SET_BATCH = 100
 ROUNDS = 5
 FULL_FACTOR = 4
 
@@ -57,9 +58,9 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _gathered(df: DataFrame) -> DataFrame:
+def _gathered(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     """In one partition where the counted rows are few, so that small tables are not dealt out again and again; otherwise as they are."""
-    return df.coalesce(1) if df.count() <= FEW_ROWS else df
+    return df.coalesce(1) if df.count() <= most else df
 
 
 def _small_sets(sets: DataFrame) -> DataFrame:
@@ -220,7 +221,7 @@ def frequent_shingles(sets: DataFrame) -> np.ndarray:
         if waiting:
             yield counted()
 
-    counts = saved(sets.select("shingles").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "frequent")
+    counts = saved(sets.select("shingles").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "frequent", SET_BATCH)
     rows = counts.where(F.col("n") >= count_cutoff(counts, HEAVY_TOKENS)).toPandas().sort_values(["n", "token"])
     return rows["token"].to_numpy(np.int64).view(np.uint64).copy()
 
@@ -361,7 +362,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, n and shingles (as bytes) of the wanted nodes (node, rep: the least doc_id that has it), each once.
+    """node, n and shingles (as bytes) of the wanted nodes (node, rep: the least doc_id that has it), written, each once.
 
     Texts are fetched by doc_id; another text under the same doc_id is told by its hash, and nodes that have null
     doc_ids alone are met among the rows of null doc_ids.
@@ -382,7 +383,11 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "shingles"])
 
     made = found.select("text").mapInArrow(run, "node long, n long, shingles binary")
-    return made.join(_small(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    sets = saved(made.join(_small(wanted.select("node")), "node", "left_semi"), "whole-sets", SET_BATCH)
+    rows, nodes = sets.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
+    if rows > nodes:  # a doc_id on several rows
+        sets = saved(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "whole-sets")
+    return _gathered(sets, FEW_SETS)
 
 
 def linkable(sets: DataFrame) -> DataFrame:
@@ -392,7 +397,7 @@ def linkable(sets: DataFrame) -> DataFrame:
 
 def _bounded(sets: DataFrame) -> DataFrame:
     """node and most of those that may have a partner among these sets (node, n, shingles)."""
-    return _gathered(saved(linkable(bounds(sets.select("node", "shingles"))).select("node", "most"), "bounds"))
+    return _gathered(saved(linkable(bounds(sets.select("node", "shingles"))).select("node", "most"), "bounds", SET_BATCH))
 
 
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -401,9 +406,9 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = saved(bounds(docs.select("doc_id", "text"), FIRST_SHARE), "sets")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("most").alias("most"))
     wanted = _gathered(saved(linkable(nodes).select("node", "rep"), "wanted"))
-    sets = _gathered(saved(whole_sets(docs, wanted), "whole-sets"))
-    sets = saved(sets.join(_small(_bounded(sets)), "node"), "linkable")
-    prefix = saved(prefixes(sets, frequent_shingles(sets)), "prefixes")
+    sets = whole_sets(docs, wanted)
+    sets = _gathered(saved(sets.join(_small(_bounded(sets)), "node"), "linkable"), FEW_SETS)
+    prefix = saved(prefixes(sets, frequent_shingles(sets)), "prefixes", SET_BATCH)
     members = _gathered(saved(postings(prefix, choose_boundary(prefix)).withColumn("comp", F.col("node")), "postings"))
     edges = comps = None
     for turn in range(ROUNDS + 1):
@@ -413,7 +418,7 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         last = turn > 0 and (turn == ROUNDS or left <= FULL_FACTOR * entries)
         found = verified(all_pairs(members, lists) if last else hub_pairs(members, lists), sets)
-        edges = _gathered(saved(found if edges is None else edges.union(found), "edges"))
+        edges = _gathered(saved(found if edges is None else edges.union(found), "edges", SET_BATCH))
         comps = connected_components(edges)
         if last:
             break
