@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 
 from voxspark.functions.geometry import ImageMeta, matrix_from_p, rotation_matrix, voxel_matrix_from_p
-from voxspark.jobs import masking, optimise
+from voxspark.jobs import export, masking, optimise, run
 from voxspark.jobs.register import Config, register
 from voxspark.operators import lcc, resample, runs, statistics, stencil
+from voxspark.operators.blocks import masked_chunks, voxels
 from voxspark.operators.lcc import chunked, evaluate
-from voxspark.sources import isq, mhd
+from voxspark.sources import isq, mhd, store
 
 
 def table(spark, a):
@@ -140,16 +141,133 @@ def test_registration_from_coarse_to_fine(spark):
 def test_no_overlap_and_moments(spark):
     f = ImageMeta((16, 16, 16))
     z, y, x = np.indices((16, 16, 16))
-    blob = lambda c, r: np.where(((x - c[0]) / r[0]) ** 2 + ((y - c[1]) / r[1]) ** 2 + ((z - c[2]) / r[2]) ** 2 <= 1, 100 + 3 * x + 5 * y + 7 * z, 0)
+    blob = lambda c, r: np.where(((x - c[0]) / r[0]) ** 2 + ((y - c[1]) / r[1]) ** 2 + ((z - c[2]) / r[2]) ** 2 <= 1, 300 + 9 * (x - c[0]) * (y - c[1]) + 5 * (z - c[2]) ** 2, 0)
     a, b = blob((6, 7, 7), (3, 4, 5)), blob((8, 8, 7), (3, 4, 5))
     fixed, moving = chunked(table(spark, a), f, 2), chunked(table(spark, b), f, 0)
     with pytest.raises(lcc.InsufficientOverlapError):
         optimise.levenberg_marquardt(fixed, moving, np.array([60.0, 0, 0, 0, 0, 0]))
-    out = optimise.transform_from_moments(table(spark, a), table(spark, b), f, f, fixed, moving, shift_only=True)
+    out = optimise.transform_from_moments(fixed, moving, shift_only=True)
     assert np.allclose(out.p[:3], [2, 1, 0], atol=0.3)
     assert len(optimise.proper_rotations(np.eye(3), rotation_matrix([0.1, 0.2, 0.3]))) == 24
 
 
+def test_moments_of_a_turned_ellipsoid(spark):
+    """Three distinct axes, turned by 40 degrees and moved: the best of the 24 rotations is near enough for the descent."""
+    shape = (32, 40, 48)
+    z, y, x = np.indices(shape).astype(float)
+    centre, axes = np.array([23.5, 19.5, 15.5]), np.array([17.0, 11.0, 7.0])
+    p = np.array([2.0, -1.0, 1.0, 0.0, 0.0, np.radians(40)])
+    m = matrix_from_p(p)
+    m[:3, 3] = centre - m[:3, :3] @ centre + p[:3]
+
+    def seen(inverse):
+        q = np.stack([x, y, z], -1) @ inverse[:3, :3].T + inverse[:3, 3] - centre
+        r = (q / axes) ** 2
+        return np.rint(np.where(r.sum(-1) < 1, 900 - 500 * r.sum(-1) + 60 * np.sin(0.5 * q[..., 0]) + 40 * np.cos(0.6 * q[..., 1] + 0.4 * q[..., 2]), 20)).astype(int)
+
+    f = ImageMeta(shape[::-1])
+    fixed, moving = (masked_chunks(table(spark, seen(i)), f, 0.08, kind) for i, kind in ((np.eye(4), False), (np.linalg.inv(m), True)))
+    out = optimise.transform_from_moments(fixed, moving)
+    assert optimise.corner_shift(f, matrix_from_p(out.p), m, f) < 3 and out.steps == 26
+    got = optimise.levenberg_marquardt(fixed, moving, out.p, most=6)
+    assert optimise.corner_shift(f, matrix_from_p(got.p), m, f) < 0.5
+
+
+@pytest.mark.parametrize("edge", [6, 32])
+def test_masks_by_chunks_are_those_by_voxels(spark, edge):
+    rng = np.random.default_rng(9)
+    a = rng.integers(1, 900, (13, 14, 15))
+    a[:3, :5, :6] = 0
+    keep = (rng.random(a.shape) < 0.7).astype(int)
+    meta, rows = ImageMeta((15, 14, 13)), table(spark, a)
+    for moving in (False, True):
+        for mask in (None, table(spark, keep)):
+            want = array(masking.mask_image(rows, meta, 0.2, moving, mask), a.shape)
+            c = masked_chunks(rows, meta, 0.2, moving, mask, edge)
+            assert (array(voxels(c), a.shape) == want).all() and (want > 0).any()
+            assert sum(r.n_core for r in c.rows.collect()) == (want > 0).sum()
+            c.rows.unpersist()
+
+
+def test_masks_need_their_images_geometry(spark):
+    f, rows = ImageMeta((8, 8, 8)), table(spark, np.full((8, 8, 8), 5))
+    with pytest.raises(ValueError, match="geometry of moving mask"):
+        register(rows, f, rows, f, moving_mask=(ImageMeta((8, 8, 8), (1.0, 1.0, 1.1)), rows))
+
+
+def test_images_are_stored_and_opened(spark, tmp_path, small):
+    meta, root = ImageMeta((11, 10, 9), (0.1, 1 / 3, 2.0), (1.0, -2.0, 1e-9)), f"file://{tmp_path}/store"
+    assert not store.has_image(spark, root, "a")
+    store.save_image(spark, root, "a", table(spark, np.where(small > 500, small, 0)), meta, 10, {"DimSize": "11 10 9"}, ["made"])
+    back, rows = store.open_image(spark, root, "a")
+    assert back == meta and (array(rows, small.shape) == np.where(small > 500, small, 0)).all() and store.stored(spark, root, "a").lv_max == 1023**2
+    store.empty_like(spark, root, "a", "b")
+    assert store.open_image(spark, root, "b")[0] == meta and store.open_image(spark, root, "b")[1].count() == 0
+    assert store.stored(spark, root, "b").log == ("made",) and store.has_image(spark, root, "b")
+
+
+def _write(folder, name, a, element="MET_USHORT", meta=None):
+    (folder / f"{name}.raw").write_bytes(a.astype(mhd.ELEMENTS[element]).tobytes())
+    (folder / f"{name}.mhd").write_text(mhd.format_header(mhd.header_of(meta or ImageMeta(a.shape[::-1]), f"{name}.raw", element)))
+    return f"{folder}/{name}.mhd"
+
+
+def test_from_files_to_files(spark, tmp_path):
+    """A configuration, two images and a mask in; matrix, record, validation table, header and resampled image out."""
+    p, n = np.array([1.2, -0.7, 0.5, 0.0, 0.0, 0.0]), 20
+    f = ImageMeta((n, n, n), (1.0, 1.0, 1.0), (3.0, -2.0, 5.0))
+    still, moved = phantom(n), phantom(n, p)
+    keep = np.ones((n, n, n), int)
+    keep[:, :, :2] = 0
+    (tmp_path / "run.ini").write_text(f"""[DEFAULT]
+fixed_image_name = {_write(tmp_path, "fixed", still, meta=f)}
+moving_image_name = {_write(tmp_path, "moving", moved, meta=f)}
+fixed_mask_image_name = {_write(tmp_path, "mask", keep, "MET_UCHAR", f)}
+moving_mask_image_name = None
+working_directory_name = {tmp_path}/work
+output_directory_name = {tmp_path}/out
+reuse_existing_input_images = True
+patient_id = patient_007
+modality_combination = a_to_b
+fixed_modality = mr
+moving_modality = CT
+[compression]
+fixed_image_bits_per_pixel = 10
+moving_image_bits_per_pixel = 10
+[masking]
+fixed_grey_masking_range = 0 5000
+moving_grey_masking_range = None
+fixed_used_gradient_magnitude_fraction = 0.5
+moving_used_gradient_magnitude_fraction = 0.5
+[transformation]
+transformation_type = rigid
+store_as_RAS = True
+[levenberg_marquardt]
+max_nr_of_iterations = 8
+[output]
+resample_moving_image = True
+store_RIRE_validation_file = True
+RIRE_header = Patient ${{RIRE_patient_number}} from ${{RIRE_from}} to ${{RIRE_to}}
+""")
+    result, files = run.run(spark, f"{tmp_path}/run.ini")
+    assert optimise.corner_shift(f, result.matrix, matrix_from_p(p), f) < 0.2
+    assert np.allclose(export.swap_handedness(export.read_matrix(open(files["result.mat"]).read())), result.matrix)
+    assert "transformation_type = rigid" in open(files["result.ini"]).read() and '"levels"' in open(files["result.json"]).read()
+    lines = open(files["RIRE_patient_007_a_to_b.transformation"]).read().split("\n")
+    assert lines[0] == "Patient 007 from MR to CT" and lines[1] == "" and lines[2].startswith("  1       3.0000    -2.0000     5.0000") and len(lines) == 14
+    assert lines[-4:] == ["", "(All distances are in millimeters.)", "-" * 73, ""]
+    meta, rows = mhd.read_mhd(spark, files["resampled_moving_image.mhd"])
+    got = array(rows.withColumnRenamed("g", "v"), still.shape)
+    inner = (slice(4, -4),) * 3
+    assert meta == f and mhd.read_header(files["resampled_moving_image.mhd"])["ElementType"] == "MET_USHORT" and np.abs(got - still)[inner].mean() < 25
+    head = mhd.read_header(files["moved_header.mhd"])
+    assert head["ElementDataFile"] == f"{tmp_path}/moving.raw" and np.allclose(mhd.meta_of(head).offset, np.array(f.offset) - result.p[:3], atol=0.3)
+    again = run.import_images(spark, run.read_job((tmp_path / "run.ini").read_text().replace("/fixed.mhd", "/gone.mhd")))
+    assert set(again) == {"fixed", "moving", "fixed_mask"} and again["fixed"][0] == f
+    with pytest.raises(ValueError, match="no image"):
+        run.read_job("[DEFAULT]\nfixed_image_name = a.mhd")
+
+
 def test_runs_round_trip():
     rng = np.random.default_rng(1)
     for length in (31, 32, 33, 34, 5000, 40_000):
@@ -161,7 +279,7 @@ def test_runs_round_trip():
 def test_mhd_round_trip(spark, tmp_path, small):
     meta = ImageMeta((11, 10, 9), (0.1, 1 / 3, 2.0), (1.0, -2.0, 1e-9), tuple(rotation_matrix([0.1, 0.2, 0.3]).ravel()))
     path = f"{tmp_path}/a.mhd"
-    mhd.write_mhd(table(spark, small).where("z <> 5"), meta, path, slab=2)
+    mhd.write_mhd(table(spark, small).where("z <> 5"), meta, path, slab_bytes=500)
     back, rows = mhd.read_mhd(spark, path, slab_bytes=300)
     want = small.copy()
     want[5] = 0
@@ -197,6 +315,20 @@ def test_isq_header():
     head = isq.read_header(struct.pack("<128i", *words))
     assert head["spacing"] == (0.1, 0.2, 0.3) and head["offset"] == 2048
     made = isq.to_mhd(struct.pack("<128i", *words), "x.isq")
-    assert made["DimSize"] == "10 20 30" and made["HeaderSize"] == "-1" and made["ISQ_max_value"] == "5"
+    assert made["DimSize"] == "10 20 30" and made["HeaderSize"] == "-1" and made["ISQ_max_data_value"] == "5" and made["ISQ_slice_1_pos_um"] == "3"
     with pytest.raises(ValueError):
         isq.read_header(b"short")
+    assert mhd.parse_header(mhd.format_header(made))["ISQ_energy_V"] == "0"
+
+
+def test_isq_source(spark, tmp_path):
+    words, data = [0] * 128, np.arange(24).reshape(2, 3, 4).astype("<i2")
+    words[11:14], words[14:17] = (4, 3, 2), (400, 600, 800)
+    (tmp_path / "a.isq").write_bytes(struct.pack("<128i", *words) + data.tobytes())
+    meta, rows = isq.read_isq(spark, f"{tmp_path}/a.isq", slab_bytes=20)
+    assert meta.shape == (4, 3, 2) and np.allclose(meta.spacing, (0.1, 0.2, 0.4)) and (array(rows.withColumnRenamed("g", "v"), data.shape) == data).all()
+
+
+def test_values_outside_the_element_type_are_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="outside MET_UCHAR"):
+        mhd.write_mhd(table(spark, np.full((2, 2, 2), 256)), ImageMeta((2, 2, 2)), f"{tmp_path}/a.mhd", "MET_UCHAR")

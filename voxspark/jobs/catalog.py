@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ImageMeta, matrix_from_p
-from ..operators import lcc, pointwise, resample, runs, statistics, stencil
-from ..operators.lcc import chunked, evaluate
+from ..operators import blocks, lcc, pointwise, resample, runs, statistics, stencil
+from ..operators.lcc import chunked
+from ..sources import volumes
 from ..sources.volumes import fixed_volume, moving_volume, raw_volume, volume_meta
 from . import masking, optimise, pyramid
 from .register import Config, register
@@ -373,28 +375,95 @@ def rire_corners(spark, sf_dir):
     return pointwise.transformed(at, MATRIX, to=("tx", "ty", "tz"))
 
 
-def _result(spark, outcome) -> DataFrame:
-    return spark.createDataFrame([(float(outcome.lcc), [float(x) for x in outcome.p])], "lcc double, p array<double>")
+SMOOTH = f"""{VOX}, sx AS (SELECT z, y, x, sum(v) OVER w AS s, count(*) OVER w AS n FROM fix WINDOW w AS (PARTITION BY z, y ORDER BY x RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+sy AS (SELECT z, y, x, sum(s) OVER w AS s, sum(n) OVER w AS n FROM sx WINDOW w AS (PARTITION BY z, x ORDER BY y RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+sz AS (SELECT z, y, x, sum(s) OVER w AS s, sum(n) OVER w AS n FROM sy WINDOW w AS (PARTITION BY y, x ORDER BY z RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+sm AS (SELECT z, y, x, CAST(s AS DOUBLE) / CAST(n AS DOUBLE) AS g FROM sz), sr AS (SELECT min(g) AS slo, max(g) AS shi FROM sm),
+smooth AS (SELECT z, y, x, CAST(CASE WHEN g <= slo THEN 1 WHEN g >= shi THEN 1023 ELSE floor((g - slo) / (shi - slo) * 1022e0 + 1 + 0.5e0 + 2.22e-15) END AS INTEGER) AS v FROM sm, sr)"""
+BOX = "x BETWEEN 8 AND 55 AND y BETWEEN 4 AND 20 AND z BETWEEN 3 AND 16"
 
 
-QUICK = Config(min_voxels=100_000_000, step_least=1.0, most_steps=6)
+@query(f"WITH {SMOOTH} SELECT * FROM smooth")
+def smooth_volume(spark, sf_dir):
+    return volumes.smooth_volume(fixed_volume(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {SMOOTH} SELECT a.z, a.y, a.x, b.v FROM smooth a JOIN smooth b ON a.z = b.z AND b.y = greatest(0, a.y - 1) AND b.x = greatest(0, a.x - 2)")
+def shifted_volume(spark, sf_dir):
+    return volumes.shifted(volumes.smooth_volume(fixed_volume(spark, sf_dir)), 2, 1)
+
+
+@query(SQL["edge_mask_fixed"] + " WHERE v <> 0")
+def edge_mask_chunked_fixed(spark, sf_dir):
+    """The same by chunks, unpacked."""
+    meta, fixed, _ = images(spark, sf_dir)
+    return blocks.voxels(blocks.masked_chunks(fixed, meta, FRACTION, False))
+
+
+@query(SQL["edge_mask_moving"] + " WHERE v <> 0")
+def edge_mask_chunked_moving(spark, sf_dir):
+    meta, _, moving = images(spark, sf_dir)
+    return blocks.voxels(blocks.masked_chunks(moving, meta, FRACTION, True))
+
+
+@query(f"WITH {VOX}, {_gm('fix').replace('AS BIGINT) AS gm FROM w_fix, d', f'AS BIGINT) * CAST({BOX} AS BIGINT) AS gm FROM w_fix, d')}, {_masked('fix', 'abs(a) + abs(b) + abs(c) <= 2')} SELECT * FROM m_fix")
+def edge_mask_with_mask(spark, sf_dir):
+    """Edges only where a mask image is not 0."""
+    meta, fixed, _ = images(spark, sf_dir)
+    return masking.mask_image(fixed, meta, FRACTION, False, box_mask(fixed))
+
+
+@query(SQL["edge_mask_with_mask"] + " WHERE v <> 0")
+def edge_mask_with_mask_chunked(spark, sf_dir):
+    meta, fixed, _ = images(spark, sf_dir)
+    return blocks.voxels(blocks.masked_chunks(fixed, meta, FRACTION, False, box_mask(fixed)))
+
+
+def box_mask(image: DataFrame) -> DataFrame:
+    return image.select("z", "y", "x", F.expr(f"cast({BOX} as int)").alias("v"))
+
+
+def smooth_pair(spark: SparkSession, sf_dir: str) -> tuple[ImageMeta, DataFrame, DataFrame]:
+    """A smooth image and the same two voxels on along x and one along y."""
+    smooth = volumes.smooth_volume(fixed_volume(spark, sf_dir)).persist()
+    return volume_meta(spark, sf_dir), smooth, volumes.shifted(smooth, 2, 1)
+
+
+def _pose(spark, p, digits: int = 2) -> DataFrame:
+    """The parameters, rounded; SQL has those that the images were made with."""
+    return spark.createDataFrame([tuple(round(float(x), digits) + 0.0 for x in p)], ", ".join(f"p{i} double" for i in range(len(p))))
+
+
+def _planted(p) -> str:
+    return "SELECT " + ", ".join(f"{float(x)!r}::DOUBLE AS p{i}" for i, x in enumerate(p)) + " FROM (SELECT count(*) FROM embeddings)"
+
+
+@query(_planted((2, 1, 0, 0, 0, 0)))
 def register_rigid(spark, sf_dir):
-    meta, fixed, moving = images(spark, sf_dir)
-    return _result(spark, register(fixed, meta, moving, meta, QUICK))
+    """From identity, with the default configuration: the whole pyramid, descent by moves, then damped Gauss-Newton steps."""
+    meta, fixed, moving = smooth_pair(spark, sf_dir)
+    return _pose(spark, register(fixed, meta, moving, meta, Config()).p)
 
 
-@query()
+@query(_planted((1, 0, 0, 2, 0, 1, 0, 1, 0, 0, 1, 0)))
 def register_affine(spark, sf_dir):
-    meta, fixed, moving = images(spark, sf_dir)
-    near = np.eye(4)
-    near[0, 3] = 1.75
-    return _result(spark, register(fixed, meta, moving, meta, Config(affine=True, min_voxels=100_000_000, most_steps=6), near))
+    meta, fixed, moving = smooth_pair(spark, sf_dir)
+    return _pose(spark, register(fixed, meta, moving, meta, Config(affine=True)).p)
 
 
-@query()
+@query(_planted((2, 1, 0, 0, 0, 0)))
+def register_masked(spark, sf_dir):
+    """Edges of both images only inside a box."""
+    meta, fixed, moving = smooth_pair(spark, sf_dir)
+    mask = (meta, box_mask(fixed))
+    return _pose(spark, register(fixed, meta, moving, meta, Config(), fixed_mask=mask, moving_mask=mask).p)
+
+
+@query(_planted((24, 0, 0, 0, 0, 1.57)))
 def moments_init(spark, sf_dir):
-    meta, fixed, moving = masked_images(spark, sf_dir)
-    return _result(spark, optimise.transform_from_moments(fixed, moving, meta, meta, chunked(fixed, meta, 2), chunked(moving, meta, 0), shift_only=True))
+    """The pose of an image turned by a quarter, from the moments of its edges: all 24 proper rotations of the axes are tried."""
+    meta, fixed, _ = smooth_pair(spark, sf_dir)
+    nx, ny, nz = meta.shape
+    around = replace(meta, shape=(ny, nx, nz))
+    fc, mc = blocks.masked_chunks(fixed, meta, FRACTION, False), blocks.masked_chunks(volumes.turned(fixed, ny), around, FRACTION, True)
+    return _pose(spark, optimise.transform_from_moments(fc, mc).p)

@@ -7,6 +7,7 @@ import json
 import numpy as np
 
 from ..functions.geometry import ImageMeta, euler_degrees, swap_handedness, transform_points
+from ..sources import mhd
 from .register import Registration
 
 RULE = "-" * 73
@@ -32,7 +33,14 @@ def validation_rows(fixed: ImageMeta, matrix: np.ndarray) -> list[tuple]:
 
 def validation_text(fixed: ImageMeta, matrix: np.ndarray, header: str = "") -> str:
     rows = "".join(f"{r[0]:3d}  " + "".join(f"{x:11.4f}" for x in r[1:]) + "\n" for r in validation_rows(fixed, matrix))
-    return f"{header}{rows}\n{RULE}\n"
+    return f"{header}\n\n{rows}\n(All distances are in millimeters.)\n{RULE}\n"
+
+
+def moved_header(path: str, matrix: np.ndarray) -> str:
+    """The header of a moving image under a rigid transform: voxels stay where they are, named by their full path, and only their place changes."""
+    header = mhd.read_header(path)
+    own = mhd.header_of(mhd.meta_of(header).moved(matrix), mhd.payload_path(path, header), header["ElementType"])
+    return mhd.format_header({**header, **{k: own[k] for k in ("Offset", "TransformMatrix", "ElementDataFile")}})
 
 
 def run_record(result: Registration) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.geometry import ImageMeta
-from ..operators.statistics import edge_fraction, gradient_histogram, gradient_max, gradient_threshold
+from ..operators.statistics import gradient_histogram, gradient_max, gradient_threshold
 from ..operators.stencil import edge_mask, gradient_magnitude
 
 
@@ -19,10 +19,3 @@ def threshold(gradient: DataFrame, fraction: float) -> float:
 def mask_image(image: DataFrame, meta: ImageMeta, fraction: float, moving: bool, mask: DataFrame | None = None) -> DataFrame:
     gradient = gradient_magnitude(image, meta.shape, mask)
     return edge_mask(image, gradient, threshold(gradient, fraction), moving)
-
-
-def mask_level(level: tuple[ImageMeta, DataFrame], base: ImageMeta, fraction: float, moving: bool, mask: DataFrame | None = None) -> tuple[ImageMeta, DataFrame]:
-    """One pyramid level; the fraction is of the base image's surface, so that it grows on coarse levels."""
-    meta, image = level
-    own = edge_fraction(fraction, base.voxel_surface, meta.voxel_surface)
-    return meta, mask_image(image, meta, own, moving, mask)

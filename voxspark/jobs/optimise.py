@@ -8,18 +8,21 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ..functions.geometry import ImageMeta, corner_shift, matrix_from_p, p_from_matrix, rotation_matrix, rotation_step
+from ..functions.geometry import corner_shift, matrix_from_p, p_from_matrix, rotation_matrix, rotation_step
+from ..operators.blocks import voxels
 from ..operators.lcc import Chunks, InsufficientOverlapError, Similarity, evaluate
 from ..operators.statistics import edge_moment_sums, inertia
 
 
 @dataclass(frozen=True)
 class Outcome:
-    """Best similarity, its parameters and the number of passes or steps."""
+    """Best similarity, its parameters and the number of passes or steps; from moments, also the moving centroid and axes."""
 
     lcc: float
     p: np.ndarray
     steps: int
+    centre: np.ndarray | None = None
+    axes: np.ndarray | None = None
 
 
 def simple_gradient(fixed: Chunks, moving: Chunks, p0: np.ndarray, centre: np.ndarray | None = None, axes: np.ndarray | None = None, step: float = 2.0, least: float = 0.25, most: int = 50) -> Outcome:
@@ -107,19 +110,20 @@ def overlapping(got: Sequence[Similarity], share: float = 0.75) -> list[int]:
     return [i for i, s in enumerate(got) if s.n and s.n >= int(share * most)]
 
 
-def transform_from_moments(fixed_rows, moving_rows, f: ImageMeta, m: ImageMeta, fixed: Chunks, moving: Chunks, shift_only: bool = False) -> Outcome:
-    """Initial rigid transform from edge moments: the centroids' shift, then the best proper rotation of the axes, by one job."""
-    _, cf, tf = inertia(edge_moment_sums(fixed_rows, f.shape, f.voxel_to_world).first())
-    _, cm, tm = inertia(edge_moment_sums(moving_rows, m.shape, m.voxel_to_world).first())
+def transform_from_moments(fixed: Chunks, moving: Chunks, shift_only: bool = False) -> Outcome:
+    """Initial rigid transform from the edge moments of two masked images: identity, the centroids' shift if that is better, or the best
+    proper rotation of the axes, all by one job. Of rotations those with very little overlap are left out."""
+    (_, cf, tf), (_, cm, tm) = (inertia(edge_moment_sums(voxels(c), c.meta.shape, c.meta.voxel_to_world).first()) for c in (fixed, moving))
+    axes = np.linalg.eigh(tm)[1]
     candidates = [np.zeros(6), np.concatenate([cm - cf, np.zeros(3)])]
     if not shift_only:
-        for r in proper_rotations(np.linalg.eigh(tf)[1], np.linalg.eigh(tm)[1]):
+        for r in proper_rotations(np.linalg.eigh(tf)[1], axes):
             t = np.eye(4)
             t[:3, :3], t[:3, 3] = r, cm - r @ cf
             candidates.append(p_from_matrix(t))
     got = evaluate(fixed, moving, candidates)
-    ok = overlapping(got)
+    ok = [j for j in (0, 1) if got[j].n] + [j + 2 for j in overlapping(got[2:])]
     if not ok:
         raise InsufficientOverlapError("no candidate overlaps")
     i = min(ok, key=lambda j: got[j].lcc)
-    return Outcome(got[i].lcc, candidates[i], len(candidates))
+    return Outcome(got[i].lcc, candidates[i], len(candidates), cm, axes)

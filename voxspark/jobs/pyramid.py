@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..functions.geometry import ImageMeta
@@ -52,11 +53,12 @@ def level_metas(base: ImageMeta, plan: PyramidPlan) -> list[ImageMeta]:
     return metas
 
 
-def build_pyramid(image: DataFrame, base: ImageMeta, plan: PyramidPlan, mask: bool = False) -> list[tuple[ImageMeta, DataFrame]]:
-    """All levels, the finest first; each is an exact area average of its parent."""
+def build_pyramid(image: DataFrame, base: ImageMeta, plan: PyramidPlan, mask: bool = False, keep: bool = False) -> list[tuple[ImageMeta, DataFrame]]:
+    """All levels, the finest first; each is an exact area average of its parent. With `keep` the averaged levels are kept once they have been worked out."""
     metas = level_metas(base, plan)
-    out = [(metas[0], image if metas[0] == base else downsample(image, base.shape, metas[0].shape, mask))]
+    held = (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)) if keep else (lambda df: df)
+    out = [(metas[0], image if metas[0] == base else held(downsample(image, base.shape, metas[0].shape, mask)))]
     for i in range(1, len(metas)):
         at = i - 2 if plan.sqrt2 and i > 1 else i - 1
-        out.append((metas[i], downsample(out[at][1], metas[at].shape, metas[i].shape, mask)))
+        out.append((metas[i], held(downsample(out[at][1], metas[at].shape, metas[i].shape, mask))))
     return out

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import configparser
+import contextlib
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..functions.geometry import ImageMeta, matrix_from_p, p_from_matrix, swap_handedness
-from ..operators.lcc import Chunks, chunked
-from .masking import mask_level
+from ..operators.blocks import masked_chunks
+from ..operators.lcc import Chunks
+from ..operators.statistics import edge_fraction
 from .optimise import Outcome, levenberg_marquardt, simple_gradient, transform_from_moments
 from .pyramid import build_pyramid, plan_pyramid
 
@@ -97,32 +98,74 @@ class Registration:
     levels: list[Outcome] = field(default_factory=list)
 
 
-def _kept(c: Chunks) -> Chunks:
-    return replace(c, rows=c.rows.persist(StorageLevel.MEMORY_AND_DISK))
+def same_geometry(image: ImageMeta, mask: ImageMeta, role: str) -> None:
+    """A mask has its image's size, spacing, offset and directions."""
+    if tuple(image.shape) != tuple(mask.shape) or not all(np.allclose(getattr(image, k), getattr(mask, k)) for k in ("spacing", "offset", "direction")):
+        raise ValueError(f"geometry of {role} mask and image differ")
 
 
-def register(fixed: DataFrame, f: ImageMeta, moving: DataFrame, m: ImageMeta, config: Config = Config(), matrix: np.ndarray | None = None) -> Registration:
-    """Coarse to fine: masks and chunks of a level are made once and used by every evaluation there."""
+class _Levels:
+    """One image's pyramid, each coarser level kept as soon as it is used, so that none is worked out twice."""
+
+    def __init__(self, image: DataFrame, meta: ImageMeta, plan, mask: DataFrame | None, fraction: float, moving: bool):
+        self.images = build_pyramid(image, meta, plan, keep=True)
+        self.masks = build_pyramid(mask, meta, plan, mask=True, keep=True) if mask is not None else None
+        self.meta, self.fraction, self.moving, self.given = meta, fraction, moving, (image, mask)
+
+    def chunks(self, i: int) -> Chunks:
+        """The edge-masked level by chunks; the fraction is of the base image's surface, so that it grows on coarse levels."""
+        meta, image = self.images[i]
+        own = edge_fraction(self.fraction, self.meta.voxel_surface, meta.voxel_surface)
+        return masked_chunks(image, meta, own, self.moving, self.masks[i][1] if self.masks else None)
+
+    def close(self) -> None:
+        for _, rows in [*self.images, *(self.masks or [])]:
+            if all(rows is not x for x in self.given):
+                rows.unpersist()
+
+
+def register(fixed: DataFrame, f: ImageMeta, moving: DataFrame, m: ImageMeta, config: Config = Config(), matrix: np.ndarray | None = None,
+             fixed_mask: tuple[ImageMeta, DataFrame] | None = None, moving_mask: tuple[ImageMeta, DataFrame] | None = None) -> Registration:
+    """Coarse to fine: levels, masks and chunks are made once and used by every evaluation there.
+
+    A mask (its geometry, and voxels of 0 and 1) restricts an image's edges to where it is not 0; a voxel
+    of a coarser mask is 1 where more than a quarter of it is. Moments are taken on the middle level.
+    """
     for meta in (f, m):
         if min(meta.shape) < 6:
             raise ValueError("an image needs six voxels or more on each axis")
+    for role, meta, mask in (("fixed", f, fixed_mask), ("moving", m, moving_mask)):
+        if mask is not None:
+            same_geometry(meta, mask[0], role)
     plan = plan_pyramid([f, m], config.cubic, config.min_scale, config.sqrt2, config.min_voxels)
-    levels = list(zip(build_pyramid(fixed, f, plan), build_pyramid(moving, m, plan), strict=True))
-    p, done = p_from_matrix(initial_matrix(matrix, config), config.affine), []
-    for i in range(len(levels) - 1, -1, -1):
-        fm, fr = mask_level(levels[i][0], f, config.fixed_fraction, False)
-        mm, mr = mask_level(levels[i][1], m, config.moving_fraction, True)
-        fc, mc = _kept(chunked(fr, fm, 2)), _kept(chunked(mr, mm, 0))
-        try:
-            if i == len(levels) - 1:
-                if config.moments:
-                    p = p_from_matrix(matrix_from_p(transform_from_moments(fr, mr, fm, mm, fc, mc, config.shift_only).p), config.affine)
-                if config.simple_gradient and not config.affine:
-                    p = simple_gradient(fc, mc, p, step=config.step_first, least=config.step_least).p
-            got = levenberg_marquardt(fc, mc, p, config.damping, config.damping_up, config.damping_down, config.most_steps, config.most_up, config.min_shift)
+    fl = _Levels(fixed, f, plan, fixed_mask and fixed_mask[1], config.fixed_fraction, False)
+    ml = _Levels(moving, m, plan, moving_mask and moving_mask[1], config.moving_fraction, True)
+    p, done, centre, axes = p_from_matrix(initial_matrix(matrix, config), config.affine), [], None, None
+    last = len(fl.images) - 1
+    try:
+        if config.moments:
+            middle = len(fl.images) // 2
+            with _both(fl, ml, middle) as (fc, mc):
+                start = transform_from_moments(fc, mc, config.shift_only)
+            p, centre, axes = p_from_matrix(matrix_from_p(start.p), config.affine), start.centre, start.axes
+        for i in range(last, -1, -1):
+            with _both(fl, ml, i) as (fc, mc):
+                if i == last and config.simple_gradient and not config.affine:
+                    p = simple_gradient(fc, mc, p, centre, axes, config.step_first, config.step_least).p
+                got = levenberg_marquardt(fc, mc, p, config.damping, config.damping_up, config.damping_down, config.most_steps, config.most_up, config.min_shift)
             p = got.p
             done.append(got)
-        finally:
-            fc.rows.unpersist()
-            mc.rows.unpersist()
+    finally:
+        fl.close()
+        ml.close()
     return Registration(p, matrix_from_p(p), done[-1].lcc, done)
+
+
+@contextlib.contextmanager
+def _both(fixed: _Levels, moving: _Levels, i: int):
+    fc, mc = fixed.chunks(i), moving.chunks(i)
+    try:
+        yield fc, mc
+    finally:
+        fc.rows.unpersist()
+        mc.rows.unpersist()

@@ -7,6 +7,7 @@ mean over all core voxels where the moving image is core too and all seven magni
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ from .resample import interpolate_masked
 from .stencil import BALL, CROSS
 
 FLAT = 1e-20
+FEW_CHUNKS = 20_000
 CHUNK = 32
 
 
@@ -69,12 +71,13 @@ def lcc_candidates(fixed: DataFrame, moving: DataFrame, fixed_shape: Sequence[in
 
 @dataclass(frozen=True)
 class Chunks:
-    """An image as blocks of edge^3 voxels with a rim of `halo`: cz, cy, cx, n_core and data (int16, z slowest)."""
+    """An image as blocks of edge^3 voxels with a rim of `halo`: cz, cy, cx, n_core and data (int16, z slowest); n rows, where counted."""
 
     rows: DataFrame
     meta: ImageMeta
     halo: int
     edge: int = CHUNK
+    n: int | None = None
 
 
 def chunked(image: DataFrame, meta: ImageMeta, halo: int, edge: int = CHUNK) -> Chunks:
@@ -190,7 +193,8 @@ def lcc_partials(fixed: Chunks, moving: Chunks, candidates: Sequence[np.ndarray]
     """Sums by candidate and fixed chunk. A fixed chunk is joined with the moving chunks that its transformed box meets and no others.
 
     Which they are follows from the chunk's place and the transform, so pairs are made by arithmetic, as an
-    equal join on chunk coordinates; a task holds one fixed chunk and the box of moving ones it meets.
+    equal join on chunk coordinates; a pair goes once, with the list of the candidates that need it. The pairs, a few numbers
+    each, are broadcast where the fixed chunks are counted and few. A task holds one fixed chunk and the boxes of moving ones it meets.
     """
     f, m, halo, edge, side = fixed.meta, moving.meta, fixed.halo, fixed.edge, fixed.edge + 2 * fixed.halo
     if moving.edge != edge:
@@ -205,24 +209,26 @@ def lcc_partials(fixed: Chunks, moving: Chunks, candidates: Sequence[np.ndarray]
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows: dict[tuple, list[int]] = {}
             for cz, cy, cx in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 for i, p in plans:
                     low, high = meet(np.array([cx, cy, cz]) * edge, p)
                     if (high >= low).all():
-                        a, e = low // edge, high // edge
-                        rows += [(cz, cy, cx, i, z, y, x) for z in range(a[2], e[2] + 1) for y in range(a[1], e[1] + 1) for x in range(a[0], e[0] + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(7)], ["fz", "fy", "fx", "candidate", "cz", "cy", "cx"])
+                        a, e = (low // edge).tolist(), (high // edge).tolist()
+                        for z, y, x in itertools.product(*(range(a[k], e[k] + 1) for k in (2, 1, 0))):
+                            rows.setdefault((cz, cy, cx, z, y, x), []).append(i)
+            places = [pa.array([r[i] for r in rows], pa.int64()) for i in range(6)]
+            yield pa.RecordBatch.from_arrays([*places, pa.array(list(rows.values()), pa.list_(pa.int64()))], ["fz", "fy", "fx", "cz", "cy", "cx", "candidates"])
 
     core = fixed.rows.where("n_core > 0")
-    pairs = core.select("cz", "cy", "cx").mapInArrow(wanted, "fz long, fy long, fx long, candidate long, cz long, cy long, cx long")
-    met = pairs.join(moving.rows.select("cz", "cy", "cx", "data"), ["cz", "cy", "cx"])
+    pairs = core.select("cz", "cy", "cx").mapInArrow(wanted, "fz long, fy long, fx long, cz long, cy long, cx long, candidates array<long>")
+    met = (F.broadcast(pairs) if fixed.n is not None and fixed.n <= FEW_CHUNKS else pairs).join(moving.rows.select("cz", "cy", "cx", "data"), ["cz", "cy", "cx"])
 
     def work(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         corner, out = np.array([key[2], key[1], key[0]]) * edge, []
         if len(left) and len(right):
             block = np.frombuffer(left["data"].iloc[0], np.int16).reshape(side, side, side)
-            for i, own in right.groupby("candidate"):
+            for i, own in right.explode("candidates").groupby("candidates"):
                 low = own[["cx", "cy", "cz"]].min().to_numpy()
                 count = own[["cx", "cy", "cz"]].max().to_numpy() - low + 1
                 big = np.zeros(count[::-1] * edge, np.int16)
@@ -234,7 +240,7 @@ def lcc_partials(fixed: Chunks, moving: Chunks, candidates: Sequence[np.ndarray]
         return pd.DataFrame(out, columns=["candidate", "n", "lcc", "gradient", "hessian"])
 
     left = core.select("cz", "cy", "cx", "data").groupBy("cz", "cy", "cx")
-    right = met.select("fz", "fy", "fx", "candidate", "cz", "cy", "cx", "data").groupBy("fz", "fy", "fx")
+    right = met.select("fz", "fy", "fx", "candidates", "cz", "cy", "cx", "data").groupBy("fz", "fy", "fx")
     return left.cogroup(right).applyInPandas(work, PARTIAL)
 
 

@@ -83,11 +83,15 @@ def transform_block(grid: DataFrame, image: DataFrame, shape: Sequence[int], mat
     return grid.select(*KEY).join(t, KEY, "left").select(*KEY, F.coalesce(value, F.lit(0)).alias("v"))
 
 
-def resample_linear(grid: DataFrame, image: DataFrame, shape: Sequence[int], matrix: np.ndarray) -> DataFrame:
-    """Trilinear without mirroring: 0 outside the outermost voxel centres; rounded half up."""
+def resample_linear(grid: DataFrame, image: DataFrame, shape: Sequence[int], matrix: np.ndarray, limits: tuple[int, int] | None = (-(1 << 31), (1 << 31) - 1)) -> DataFrame:
+    """Trilinear without mirroring: 0 outside the outermost voxel centres; rounded half up and held within `limits`, or as it is without any."""
     points = transformed(grid.select(*KEY), matrix)
     within = F.lit(True)
     for k, n in zip(AXES, shape, strict=True):
         within = within & F.col(f"p{k}").between(0, n - 1)
     t = _corner_values(points.where(within), image).where("w > 0").groupBy(*KEY).agg(F.sum(F.col("w") * F.col("g")).alias("t"))
-    return grid.select(*KEY).join(t, KEY, "left").select(*KEY, F.coalesce(rounded(F.col("t")).cast("int"), F.lit(0)).alias("v"))
+    value = F.coalesce("t", F.lit(0.0))
+    if limits is not None:
+        value = F.least(F.greatest(rounded(F.coalesce("t", F.lit(0.0))), F.lit(limits[0])), F.lit(limits[1]))
+        value = value.cast("int") if -(1 << 31) <= limits[0] and limits[1] < 1 << 31 else value.cast("long")
+    return grid.select(*KEY).join(t, KEY, "left").select(*KEY, value.alias("v"))

@@ -18,10 +18,14 @@ def gradient_max(gradient: DataFrame) -> int:
     return gradient.agg(F.max("gm")).first()[0] or 0
 
 
+def histogram_bin(top: int, bins: int = BINS):
+    scaled = F.floor(F.col("gm") / F.lit(float(max(top, 1))) * F.lit(float(bins)) + F.lit(0.5) + F.lit(2.22e-15))
+    return F.least(scaled, F.lit(bins - 1)).cast("int")
+
+
 def gradient_histogram(gradient: DataFrame, top: int, bins: int = BINS) -> DataFrame:
     """bin and count, of the bins that are not empty; a partial sum in every task."""
-    scaled = F.floor(F.col("gm") / F.lit(float(max(top, 1))) * F.lit(float(bins)) + F.lit(0.5) + F.lit(2.22e-15))
-    return gradient.groupBy(F.least(scaled, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return gradient.groupBy(histogram_bin(top, bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def gradient_threshold(histogram: DataFrame, top: int, fraction: float, bins: int = BINS) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import struct
 
-from .mhd import DEFAULTS
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSourceReader
 
-# Fixed values of the file format: word numbers.
+from ..functions.geometry import ImageMeta
+from .mhd import DEFAULTS, SLAB_BYTES, MhdDataSource, MhdReader, _store, meta_of
+
+# Fixed values of the file format: word numbers, and the names of further words in a header.
 DIMENSIONS, EXTENTS, FIRST_EXTRA, ENERGY, INTENSITY, DATA_OFFSET = 11, 14, 17, 42, 43, 127
-EXTRA = ("ISQ_slice_thickness_um", "ISQ_slice_increment_um", "ISQ_first_slice_um", "ISQ_min_value", "ISQ_max_value", "ISQ_mu_scaling")
+EXTRA = ("ISQ_slice_thickness_um", "ISQ_slice_increment_um", "ISQ_slice_1_pos_um", "ISQ_min_data_value", "ISQ_max_data_value", "ISQ_mu_scaling")
 
 
 def read_header(data: bytes) -> dict[str, object]:
@@ -21,7 +25,7 @@ def read_header(data: bytes) -> dict[str, object]:
         raise ValueError("the image has no voxels")
     out: dict[str, object] = {"size": size, "spacing": tuple(e / n / 1000 for e, n in zip(w[EXTENTS : EXTENTS + 3], size, strict=True)), "offset": (w[DATA_OFFSET] + 1) * 512}
     out |= dict(zip(EXTRA, w[FIRST_EXTRA : FIRST_EXTRA + 6], strict=True))
-    return out | {"ISQ_energy": w[ENERGY], "ISQ_intensity": w[INTENSITY]}
+    return out | {"ISQ_energy_V": w[ENERGY], "ISQ_intensity_muA": w[INTENSITY]}
 
 
 def to_mhd(data: bytes, payload: str) -> dict[str, str]:
@@ -29,3 +33,28 @@ def to_mhd(data: bytes, payload: str) -> dict[str, str]:
     h = read_header(data)
     own = {"DimSize": " ".join(map(str, h["size"])), "ElementSpacing": " ".join(map(repr, h["spacing"])), "HeaderSize": "-1", "ElementDataFile": payload}
     return {**DEFAULTS, **own, **{k: str(v) for k, v in h.items() if k.startswith("ISQ_")}}
+
+
+class IsqReader(MhdReader):
+    """The payload lies behind the header in one file."""
+
+    def found(self, path: str) -> tuple[dict[str, str], str]:
+        fs, at = _store(path)
+        with fs.open_input_stream(at) as f:
+            return to_mhd(f.read(512), path), path
+
+
+class IsqDataSource(MhdDataSource):
+    """spark.read.format("isq").load(path): z, y, x and g of every voxel, a partition for each slab."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "isq"
+
+    def reader(self, schema) -> DataSourceReader:
+        return IsqReader(self.options["path"], int(self.options.get("slabBytes", SLAB_BYTES)))
+
+
+def read_isq(spark: SparkSession, path: str, slab_bytes: int = SLAB_BYTES) -> tuple[ImageMeta, DataFrame]:
+    spark.dataSource.register(IsqDataSource)
+    return meta_of(IsqReader(path, slab_bytes).header), spark.read.format("isq").option("slabBytes", slab_bytes).load(path)

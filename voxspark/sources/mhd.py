@@ -32,11 +32,11 @@ SLAB_BYTES = 64 << 20
 
 
 def parse_header(text: str) -> dict[str, str]:
-    """Known keys over the defaults; unknown keys and blank lines are passed by. A value may hold `=`."""
+    """Known keys and those of micro-CT headers over the defaults; other keys and blank lines are passed by. A value may hold `=`."""
     out = dict(DEFAULTS)
     for line in text.splitlines():
         key, sep, value = line.partition("=")
-        if sep and key.strip() in out:
+        if sep and (key.strip() in out or key.strip().startswith("ISQ_")):
             out[key.strip()] = value.strip()
     return out
 
@@ -90,6 +90,34 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def read_text(path: str) -> str:
+    fs, at = _store(path)
+    with fs.open_input_stream(at) as f:
+        return f.read().decode()
+
+
+def write_text(path: str, text: str) -> None:
+    fs, at = _store(path)
+    fs.create_dir(posixpath.dirname(at), recursive=True)
+    with fs.open_output_stream(at, compression=None) as f:
+        f.write(text.encode())
+
+
+def read_header(path: str) -> dict[str, str]:
+    return parse_header(read_text(path))
+
+
+def payload_path(path: str, header: Mapping[str, str]) -> str:
+    raw = header["ElementDataFile"]
+    return raw if raw.startswith("/") or "://" in raw else posixpath.join(posixpath.dirname(path), raw)
+
+
+def value_limits(element: str) -> tuple[int, int] | None:
+    """Least and largest value of an element type; none for floats."""
+    kind = np.dtype(ELEMENTS[element])
+    return None if kind.kind == "f" else (int(np.iinfo(kind).min), int(np.iinfo(kind).max))
+
+
 class Slab(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
@@ -98,15 +126,16 @@ class Slab(InputPartition):
 class MhdReader(DataSourceReader):
     def __init__(self, path: str, slab_bytes: int):
         self.path, self.slab_bytes = path, slab_bytes
-        fs, at = _store(path)
-        with fs.open_input_stream(at) as f:
-            self.header = parse_header(f.read().decode())
-        checked(path, self.header)
-        raw = self.header["ElementDataFile"]
-        self.raw = raw if raw.startswith("/") or "://" in raw else posixpath.join(posixpath.dirname(path), raw)
+        self.header, self.raw = self.found(path)
         fs, at = _store(self.raw)
         self.skip = header_size(self.header, fs.get_file_info(at).size)
 
+    def found(self, path: str) -> tuple[dict[str, str], str]:
+        """The header, and where the payload lies."""
+        header = read_header(path)
+        checked(path, header)
+        return header, payload_path(path, header)
+
     def partitions(self) -> list[Slab]:
         nx, ny, nz = meta_of(self.header).shape
         step = max(1, self.slab_bytes // (nx * ny * element_type(self.header).itemsize))
@@ -159,19 +188,25 @@ def import_image(spark: SparkSession, path: str, bits: int | None = None, grey_r
     return meta, rescale(raw, low, high, bits, "g").select("z", "y", "x", "v")
 
 
-def write_mhd(image: DataFrame, meta: ImageMeta, path: str, element: str = "MET_SHORT", slab: int = 16) -> None:
+def write_mhd(image: DataFrame, meta: ImageMeta, path: str, element: str = "MET_SHORT", slab_bytes: int = SLAB_BYTES) -> None:
     """Header and payload. Tasks write one file for each slab of slices, absent voxels as 0; those are then joined in order.
 
+    A slab has about `slab_bytes`, so a task holds no more whatever the image is; since the format wants one payload file, the
+    driver streams the slabs' files into it. A value outside the element type is an error.
+
     A slab's file has a name of its own for each attempt, and only those that the finished job reports are joined.
     """
     import uuid
 
     nx, ny, nz = meta.shape
     kind, folder = np.dtype("<" + ELEMENTS[element]), f"{path}.slabs-{uuid.uuid4().hex}"
+    slab, limits = max(1, slab_bytes // (nx * ny * kind.itemsize)), value_limits(element)
     fs, at = _store(folder)
     fs.create_dir(at)
 
     def work(key, group):
+        if limits and len(group) and not limits[0] <= group["v"].min() <= group["v"].max() <= limits[1]:
+            raise ValueError(f"a value is outside {element}")
         first = int(key[0]) * slab
         data = np.zeros((min(slab, nz - first), ny, nx), kind)
         data[group["z"] - first, group["y"], group["x"]] = group["v"]

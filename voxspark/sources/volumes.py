@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ImageMeta
-from ..operators.pointwise import rescale, value_range
+from ..operators.pointwise import KEY, rescale, value_range
 
 ROWS = 25
 WIDTH = 64
 BITS = 10
+RADIUS = 3
 
 
 def raw_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,3 +38,28 @@ def moving_volume(fixed: DataFrame) -> DataFrame:
     edge = fixed.where("x = 0").select("z", "y", F.explode(F.array(F.lit(0), F.lit(1))).alias("x"), "v")
     noise = (7 * F.col("x") + 13 * F.col("y") + 29 * F.col("z")) % 5
     return back.union(edge).select("z", "y", "x", F.greatest(F.lit(1), F.col("v") + noise).cast("int").alias("v"))
+
+
+def smooth_volume(fixed: DataFrame) -> DataFrame:
+    """The mean over cubes of 7 voxels a side, cut off at the borders, over the whole grey range: an image whose neighbours are alike."""
+    rows = fixed.select(*KEY, F.col("v").cast("long").alias("s"), F.lit(1).cast("long").alias("n"))
+    for axis in ("x", "y", "z"):
+        line = Window.partitionBy(*[k for k in KEY if k != axis]).orderBy(axis).rangeBetween(-RADIUS, RADIUS)
+        rows = rows.withColumn("s", F.sum("s").over(line)).withColumn("n", F.sum("n").over(line))
+    mean = rows.select(*KEY, (F.col("s").cast("double") / F.col("n")).alias("g"))
+    low, high = value_range(mean, "g").first()
+    return rescale(mean, low, high, BITS, "g").select(*KEY, "v")
+
+
+def shifted(image: DataFrame, x: int, y: int) -> DataFrame:
+    """The image moved along x and y, its first lines repeated where it has moved away."""
+    for axis, d in (("x", x), ("y", y)):
+        edge = image.where(F.col(axis) == 0).withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
+        top = image.agg(F.max(axis)).first()[0]
+        image = image.withColumn(axis, F.col(axis) + d).where(F.col(axis) <= top).unionByName(edge)
+    return image.select(*KEY, "v")
+
+
+def turned(image: DataFrame, ny: int) -> DataFrame:
+    """The image turned by a quarter about z: voxel (x, y) goes to (ny - 1 - y, x)."""
+    return image.select("z", F.col("x").alias("y"), (ny - 1 - F.col("y")).alias("x"), "v")
