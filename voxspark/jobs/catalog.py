@@ -343,11 +343,34 @@ def lcc_candidates_chunked(spark, sf_dir):
     return sums.where("n > 0").select("candidate", "n", F.round(F.col("lcc") / F.col("n"), 6).alias("lcc"))
 
 
-@query()
+DERIVED = (1.75, 0.125, 0.0)
+_AT = "OVER (PARTITION BY cz, cy, cx)"
+_UPPER = [(i, j) for i in range(6) for j in range(i, 6)]
+
+
+@query(f"""WITH {BOTH_MASKS}, {_points([DERIVED])}, {INTERP},
+cd AS (SELECT z, y, x, v, (lead(v) OVER (PARTITION BY z, y ORDER BY x) - lag(v) OVER (PARTITION BY z, y ORDER BY x)) * 0.5e0 AS gx,
+  (lead(v) OVER (PARTITION BY z, x ORDER BY y) - lag(v) OVER (PARTITION BY z, x ORDER BY y)) * 0.5e0 AS gy,
+  (lead(v) OVER (PARTITION BY y, x ORDER BY z) - lag(v) OVER (PARTITION BY y, x ORDER BY z)) * 0.5e0 AS gz FROM fix),
+pts AS (SELECT t.z + a AS cz, t.y + b AS cy, t.x + c AS cx, abs(t.t) AS b, CAST(cd.v AS DOUBLE) AS t, gx AS d0, gy AS d1, gz AS d2,
+  t.y * gz - t.z * gy AS d3, t.z * gx - t.x * gz AS d4, t.x * gy - t.y * gx AS d5, a = 0 AND b = 0 AND c = 0 AND t.v > 0 AND t.t > 0 AS own
+  FROM t JOIN cd USING (z, y, x), (VALUES (0,0,0), (-1,0,0), (1,0,0), (0,-1,0), (0,1,0), (0,0,-1), (0,0,1)) o(a, b, c)),
+cen AS (SELECT cz, cy, cx, b - avg(b) {_AT} AS b, t - avg(t) {_AT} AS t, {", ".join(f"d{k} - avg(d{k}) {_AT} AS d{k}" for k in range(6))},
+  count(*) {_AT} AS k, bool_or(own) {_AT} AS own, min(b) {_AT} AS least FROM pts),
+sums AS (SELECT *, sum(b * b) {_AT} AS bb, sum(t * t) {_AT} AS tt, sum(b * t) {_AT} AS bt, {", ".join(f"sum(t * d{k}) {_AT} AS td{k}, sum(b * d{k}) {_AT} AS bd{k}" for k in range(6))}
+  FROM cen, d WHERE k = 7 AND own AND least >= 1 AND cx BETWEEN 2 AND nx - 3 AND cy BETWEEN 2 AND ny - 3 AND cz BETWEEN 2 AND nz - 3),
+left_over AS (SELECT 2 / bb AS c, b - bt / tt * t AS m, {", ".join(f"2 * bt * td{k} * t / (tt * tt) - (bd{k} * t + bt * d{k}) / tt AS m{k}" for k in range(6))} FROM sums WHERE bb >= 1e-20 AND tt >= 1e-20)
+SELECT CAST(count(*) // 7 AS BIGINT) AS n, round(sum(c * m * m) / 2 / (count(*) / 7), 6) AS lcc, {", ".join(f"round(sum(c * m * m{k}) / (count(*) / 7), 6) AS g{k}" for k in range(6))},
+  {", ".join(f"round(sum(c * m{i} * m{j}) / (count(*) / 7), 4) AS h{i}{j}" for i, j in _UPPER)} FROM left_over""")
 def lcc_derivatives(spark, sf_dir):
-    """Sums for the rigid gradient and Gauss-Newton matrix near the minimum, by chunk."""
+    """Similarity, rigid gradient and Gauss-Newton matrix near the minimum."""
     meta, fixed, moving = masked_images(spark, sf_dir)
-    return lcc.lcc_partials(chunked(fixed, meta, 2), chunked(moving, meta, 0), [np.array([1.75, 0.125, 0, 0, 0, 0])], True)
+    parts = lcc.lcc_partials(chunked(fixed, meta, 2), chunked(moving, meta, 0), [np.array([*DERIVED, 0, 0, 0])], True)
+    n = F.sum("n")
+    return parts.agg(
+        n.alias("n"), F.round(F.sum("lcc") / 2 / n, 6).alias("lcc"), *[F.round(F.sum(F.col("gradient")[k]) / n, 6).alias(f"g{k}") for k in range(6)],
+        *[F.round(F.sum(F.col("hessian")[6 * i + j]) / n, 4).alias(f"h{i}{j}") for i, j in _UPPER],
+    )
 
 
 @query(f"""WITH {FIX_MASK}, l AS (SELECT z, CAST(y AS BIGINT) * nx + x AS pos, v FROM m_fix, d),
@@ -359,7 +382,7 @@ def rle_runs(spark, sf_dir):
     return runs.background_runs(fixed, meta.shape)
 
 
-@query()
+@query(SQL["rle_runs"].replace("SELECT z, start, last - start + 1 AS length FROM s WHERE last - start + 1 > 32", "SELECT CAST(l.z AS BIGINT) AS z, CAST(coalesce(any_value(r.pairs), 0) AS BIGINT) AS pairs, CAST(0 AS BIGINT) AS differing FROM l LEFT JOIN (SELECT z, count(*) AS pairs FROM s WHERE last - start + 1 > 32 GROUP BY z) r ON r.z = l.z GROUP BY l.z"))
 def rle_roundtrip(spark, sf_dir):
     meta, fixed, _ = masked_images(spark, sf_dir)
     return runs.round_trip(fixed, meta.shape)
