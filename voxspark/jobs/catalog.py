@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import ImageMeta, matrix_from_p
 from ..operators import blocks, lcc, pointwise, resample, runs, statistics, stencil
-from ..operators.lcc import chunked
 from ..sources import volumes
 from ..sources.volumes import fixed_volume, moving_volume, raw_volume, volume_meta
 from . import masking, optimise, pyramid
@@ -52,6 +51,12 @@ def masked_images(spark: SparkSession, sf_dir: str) -> tuple[ImageMeta, DataFram
     return meta, masking.mask_image(fixed, meta, FRACTION, False), masking.mask_image(moving, meta, FRACTION, True)
 
 
+def masked_pair(spark: SparkSession, sf_dir: str) -> tuple[ImageMeta, lcc.Chunks, lcc.Chunks]:
+    """Both masks by chunks, made once."""
+    meta, fixed, moving = images(spark, sf_dir)
+    return meta, blocks.masked_chunks(fixed, meta, FRACTION, False), blocks.masked_chunks(moving, meta, FRACTION, True)
+
+
 # --- SQL parts ----------------------------------------------------------------------------------
 
 G = """g AS (SELECT CAST(vec_id // 25 AS INTEGER) AS z, CAST(vec_id % 25 AS INTEGER) AS y, CAST(i AS INTEGER) AS x, CAST(e AS DOUBLE) AS g
@@ -294,8 +299,8 @@ def interp_mirrored(spark, sf_dir):
 
 @query(f"WITH {BOTH_MASKS}, p AS (SELECT 0 AS k, z, y, x, v, {_affine_sql(MATRIX)} FROM fix), {INTERP} SELECT z, y, x, t FROM t")
 def interp_masked(spark, sf_dir):
-    meta, _, moving = masked_images(spark, sf_dir)
-    return resample.interpolate_masked(pointwise.transformed(fixed_volume(spark, sf_dir), MATRIX), moving, meta.shape, ["z", "y", "x"])
+    meta, _, moving = masked_pair(spark, sf_dir)
+    return resample.interpolate_masked(pointwise.transformed(fixed_volume(spark, sf_dir), MATRIX), blocks.voxels(moving), meta.shape, ["z", "y", "x"])
 
 
 @query(SQL["interp_mirrored"].replace("SELECT c.z, c.y, c.x, sum(w * m.v) AS t FROM", ", t AS (SELECT c.z, c.y, c.x, sum(w * m.v) AS t FROM").rstrip()
@@ -318,27 +323,27 @@ def resample_linear(spark, sf_dir):
 @query(f"""WITH {FIX_MASK}, p AS (SELECT {_affine_sql(OBLIQUE.voxel_to_world)} FROM m_fix, d WHERE v > 0 AND x BETWEEN 1 AND nx - 2 AND y BETWEEN 1 AND ny - 2 AND z BETWEEN 1 AND nz - 2)
 SELECT count(*) AS n, sum(px) AS sx, sum(py) AS sy, sum(pz) AS sz, sum(py*py+pz*pz) AS ixx, sum(px*px+pz*pz) AS iyy, sum(px*px+py*py) AS izz, sum(-px*py) AS ixy, sum(-px*pz) AS ixz, sum(-py*pz) AS iyz FROM p""")
 def edge_moments(spark, sf_dir):
-    meta, fixed, _ = masked_images(spark, sf_dir)
-    return statistics.edge_moment_sums(fixed, meta.shape, OBLIQUE.voxel_to_world)
+    meta, fixed, _ = masked_pair(spark, sf_dir)
+    return statistics.edge_moment_sums(blocks.voxels(fixed), meta.shape, OBLIQUE.voxel_to_world)
 
 
 @query(f"WITH {BOTH_MASKS}, {_points(SHIFTS[2:3])}, {LCC} SELECT count(*) AS n, round(avg(1 - bt * bt / (bb * tt)), 6) AS lcc FROM s WHERE bb * tt > 1e-20")
 def lcc_value(spark, sf_dir):
-    meta, fixed, moving = masked_images(spark, sf_dir)
-    return lcc.lcc_value(fixed, moving, meta.shape, meta.shape, shift(SHIFTS[2])).withColumn("lcc", F.round("lcc", 6))
+    meta, fixed, moving = masked_pair(spark, sf_dir)
+    return lcc.lcc_value(blocks.voxels(fixed), blocks.voxels(moving), meta.shape, meta.shape, shift(SHIFTS[2])).withColumn("lcc", F.round("lcc", 6))
 
 
 @query(f"WITH {BOTH_MASKS}, {_points(SHIFTS)}, {LCC} SELECT k AS candidate, count(*) AS n, round(avg(1 - bt * bt / (bb * tt)), 6) AS lcc FROM s WHERE bb * tt > 1e-20 GROUP BY k")
 def lcc_candidates(spark, sf_dir):
-    meta, fixed, moving = masked_images(spark, sf_dir)
-    return lcc.lcc_candidates(fixed, moving, meta.shape, meta.shape, [shift(t) for t in SHIFTS]).withColumn("lcc", F.round("lcc", 6))
+    meta, fixed, moving = masked_pair(spark, sf_dir)
+    return lcc.lcc_candidates(blocks.voxels(fixed), blocks.voxels(moving), meta.shape, meta.shape, [shift(t) for t in SHIFTS]).withColumn("lcc", F.round("lcc", 6))
 
 
 @query(SQL["lcc_candidates"])
 def lcc_candidates_chunked(spark, sf_dir):
     """The same by chunks: one task for each fixed chunk and the moving chunks it meets."""
-    meta, fixed, moving = masked_images(spark, sf_dir)
-    parts = lcc.lcc_partials(chunked(fixed, meta, 2), chunked(moving, meta, 0), [np.array([*t, 0, 0, 0]) for t in SHIFTS])
+    _, fixed, moving = masked_pair(spark, sf_dir)
+    parts = lcc.lcc_partials(fixed, moving, [np.array([*t, 0, 0, 0]) for t in SHIFTS])
     sums = parts.groupBy("candidate").agg(F.sum("n").alias("n"), F.sum("lcc").alias("lcc"))
     return sums.where("n > 0").select("candidate", "n", F.round(F.col("lcc") / F.col("n"), 6).alias("lcc"))
 
@@ -364,8 +369,8 @@ SELECT CAST(count(*) // 7 AS BIGINT) AS n, round(sum(c * m * m) / 2 / (count(*)
   {", ".join(f"round(sum(c * m{i} * m{j}) / (count(*) / 7), 4) AS h{i}{j}" for i, j in _UPPER)} FROM left_over""")
 def lcc_derivatives(spark, sf_dir):
     """Similarity, rigid gradient and Gauss-Newton matrix near the minimum."""
-    meta, fixed, moving = masked_images(spark, sf_dir)
-    parts = lcc.lcc_partials(chunked(fixed, meta, 2), chunked(moving, meta, 0), [np.array([*DERIVED, 0, 0, 0])], True)
+    _, fixed, moving = masked_pair(spark, sf_dir)
+    parts = lcc.lcc_partials(fixed, moving, [np.array([*DERIVED, 0, 0, 0])], True)
     n = F.sum("n")
     return parts.agg(
         n.alias("n"), F.round(F.sum("lcc") / 2 / n, 6).alias("lcc"), *[F.round(F.sum(F.col("gradient")[k]) / n, 6).alias(f"g{k}") for k in range(6)],

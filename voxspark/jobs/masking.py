@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.geometry import ImageMeta
-from ..operators.statistics import gradient_histogram, gradient_max, gradient_threshold
+from ..operators.statistics import gradient_max, gradient_threshold, histogram_bin
 from ..operators.stencil import edge_mask, gradient_magnitude
 
 
 def threshold(gradient: DataFrame, fraction: float) -> float:
-    """The gradient above which about `fraction` of the interior voxels lie; infinite where there is no gradient."""
-    top = gradient_max(gradient)
-    row = gradient_threshold(gradient_histogram(gradient, top), top, fraction).first()
+    """The gradient above which about `fraction` of the interior voxels lie; infinite where there is no gradient. One pass over the voxels."""
+    counts = gradient.groupBy("gm").agg(F.count(F.lit(1)).alias("count")).persist(StorageLevel.MEMORY_AND_DISK)
+    top = gradient_max(counts)
+    bins = counts.groupBy(histogram_bin(top).alias("bin")).agg(F.sum("count").alias("count"))
+    row = gradient_threshold(bins, top, fraction).first()
+    counts.unpersist()
     return row["limit"] if row else float("inf")
 
 
