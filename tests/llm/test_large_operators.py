@@ -216,7 +216,7 @@ def _buckets(text):
     return {xxhash.xxh64_intdigest(w.encode(), seed=42) % mixing.BUCKETS for w in runs}
 
 
-def test_posteriors_against_brute_force(spark):
+def test_posteriors_against_brute_force(spark, monkeypatch):
     """The telling buckets, the choice of scale, and every document's posteriors, worked out document by document."""
     import math
 
@@ -233,18 +233,22 @@ def test_posteriors_against_brute_force(spark):
     for i, k in learnt:
         for b in found[i]:
             n.setdefault(b, dict.fromkeys(model.domains, 0))[k] += 1
-    odds = {}
+    odds, strength = {}, {}
     for b, by in n.items():
-        every, w = sum(by.values()), []
+        every, w, z = sum(by.values()), [], []
         for k in model.domains:
             x, y = by[k] + 1, every - by[k] + 1
             v = math.log(x / (size[k] + 2)) - math.log(y / (len(learnt) - size[k] + 2))
-            w.append(v if abs(v) >= mixing.TELLING * math.sqrt(1 / x + 1 / y) else 0.0)
+            z.append(abs(v) / math.sqrt(1 / x + 1 / y))
+            w.append(v if z[-1] >= mixing.TELLING else 0.0)
         if every >= mixing.LEAST_DOCUMENTS and any(w):
-            odds[b] = w
+            odds[b], strength[b] = w, max(z)
     assert odds.keys() == model.odds.keys()
     for b, w in odds.items():
-        assert all(math.isclose(x, y, abs_tol=1e-9) for x, y in zip(w, model.odds[b], strict=True))
+        assert all(abs(x - y) <= 5.1e-4 for x, y in zip(w, model.odds[b], strict=True))
+    monkeypatch.setattr(mixing, "MOST_TELLING", 5)
+    assert set(mixing.fit_classifier(docs, labels).odds) == set(sorted(odds, key=lambda b: (-strength[b], b))[:5])
+    odds = model.odds
     prior = [math.log((size[k] + 1) / (len(learnt) + len(size))) for k in model.domains]
 
     def posterior(i, power, scale):

@@ -26,6 +26,7 @@ LABELLED_MOST = 20_000  #: labelled documents on which the classifier is fitted,
 FOLDS = 5  #: one of them is held out, to choose how far the evidence is trusted and to measure it
 LEAST_DOCUMENTS = 5
 TELLING = 4.0  #: standard errors by which the log-odds of a bucket must differ from 0
+MOST_TELLING = 700  #: buckets that the classifier uses, those with the most standard errors; its constant is part of query plans
 POWERS, SCALES = (0.0, 0.5, 1.0), tuple(2.0**-j for j in range(-3, 7))
 GRID = 64
 TARGETS = {"q1_t0": 0.95}
@@ -72,11 +73,11 @@ class Classifier:
         none = F.array(*[F.lit(0.0)] * len(self.domains))
         if not self.odds:
             return none
-        n = 1 << max(8, (4 * len(self.odds)).bit_length())
+        n = 1 << max(8, (2 * len(self.odds)).bit_length())
         cells: list[list[dict]] = [[] for _ in range(n)]
         for b, w in self.odds.items():
             cells[b % n].append({"b": b, "w": w})
-        kept = F.from_json(F.lit(json.dumps(cells)), "array<array<struct<b:int,w:array<double>>>>")
+        kept = F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<array<struct<b:int,w:array<double>>>>")
         met = F.flatten(F.transform(found, lambda b: F.filter(F.get(kept, b % n), lambda c: c["b"] == b)))
         return F.aggregate(met, none, lambda a, c: F.zip_with(a, c["w"], lambda x, y: x + y))
 
@@ -103,7 +104,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = LABELLED_MOST
     """The telling buckets and how to weigh them, from at most `most` labelled documents, a fifth of which is held out.
 
     A bucket tells for or against a domain where, by the documents that have it, its log-odds differ from 0 by TELLING
-    standard errors. What the driver gets is the odds of telling buckets. A document labelled twice counts twice. Domains come from
+    standard errors; the MOST_TELLING strongest are used. What the driver gets is the odds of telling buckets. A document labelled twice counts twice. Domains come from
     all labels; without any there is one, `all`.
     """
     known = _labelled(labels)
@@ -123,11 +124,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = LABELLED_MOST
     def odds(k: Column, own: Column, n: Column) -> Column:
         inside, outside = own + 1.0, F.col("all") - own + 1.0
         value = F.log(inside / (n + 2)) - F.log(outside / (whole - n + 2))
-        return F.when(F.abs(value) >= TELLING * F.sqrt(1 / inside + 1 / outside), value).otherwise(0.0)
+        return F.struct(value.alias("w"), (F.abs(value) / F.sqrt(1 / inside + 1 / outside)).alias("z"))
 
     ks = F.sequence(F.lit(0), F.lit(len(domains) - 1))
-    telling = by.select("b", F.transform(ks, lambda k: odds(k, F.coalesce(F.element_at("of", k), F.lit(0)), F.get(F.array(*map(F.lit, size)), k))).alias("w"))
-    found = {r.b: r.w for r in telling.where(F.exists("w", lambda x: x != 0)).collect()}
+    each = by.select("b", F.transform(ks, lambda k: odds(k, F.coalesce(F.element_at("of", k), F.lit(0)), F.get(F.array(*map(F.lit, size)), k))).alias("of"))
+    weights = F.transform("of", lambda x: F.when(x["z"] >= TELLING, F.round(x["w"], 3)).otherwise(0.0))
+    telling = each.select("b", weights.alias("w"), F.array_max(F.transform("of", lambda x: x["z"])).alias("z")).where(F.col("z") >= TELLING)
+    found = {r.b: r.w for r in telling.orderBy(F.desc("z"), "b").limit(MOST_TELLING).collect()}
     model = Classifier(domains, [math.log((n + 1) / (whole + len(domains))) for n in size], found)
     return _calibrated(model, told.where("held"))
 
