@@ -6,7 +6,7 @@ import pytest
 from voxspark.functions.geometry import ImageMeta, matrix_from_p, rotation_matrix, voxel_matrix_from_p
 from voxspark.jobs import export, masking, optimise, run
 from voxspark.jobs.register import Config, register
-from voxspark.operators import lcc, resample, runs, statistics, stencil
+from voxspark.operators import lcc, pointwise, resample, runs, statistics, stencil
 from voxspark.operators.blocks import masked_chunks, voxels
 from voxspark.operators.lcc import chunked, evaluate
 from voxspark.sources import isq, mhd, store
@@ -268,6 +268,27 @@ RIRE_header = Patient ${{RIRE_patient_number}} from ${{RIRE_from}} to ${{RIRE_to
         run.read_job("[DEFAULT]\nfixed_image_name = a.mhd")
 
 
+def test_masks_are_moved_by_the_share_of_two_fifths(spark):
+    a = (np.random.default_rng(2).random((6, 7, 8)) < 0.5).astype(int)
+    for d in (0.25, 0.5, 0.75):
+        m = np.eye(4)
+        m[0, 3] = d
+        got = array(resample.transform_block(table(spark, np.ones_like(a)), table(spark, a), a.shape[::-1], m, mask=True), a.shape)
+        right = np.concatenate([a[:, :, 1:], a[:, :, -2:-1]], 2)  # mirrored at the last voxel
+        want = ((1 - d) * a + d * right > 0.4).astype(int)
+        if d >= 0.5:
+            want[:, :, -1] = 0  # outside
+        assert (got == want).all()
+
+
+def test_arrays_as_text_and_back(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([([1.0, -2.5, 1e-9],), ([],), (None,)], "a array<double>").withColumn("t", pointwise.array_text(F.col("a")))
+    back = [r.b for r in rows.withColumn("b", pointwise.text_array(F.col("t"))).collect()]
+    assert rows.first().t == "1.0 -2.5 1.0E-9" and back[0] == [1.0, -2.5, 1e-9] and back[2] is None
+
+
 def test_runs_round_trip():
     rng = np.random.default_rng(1)
     for length in (31, 32, 33, 34, 5000, 40_000):

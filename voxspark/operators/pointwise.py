@@ -89,4 +89,4 @@ def array_text(column: Column) -> Column:
 
 
 def text_array(column: Column) -> Column:
-    return F.split(F.trim(column), r"\s+").cast("array<double>")
+    return F.array_remove(F.split(F.trim(column), r"\s+"), "").cast("array<double>")
