@@ -68,7 +68,7 @@ class Classifier:
     def evidence(self, found: Column) -> Column:
         """Sums of log-odds of the buckets in `found`, an array by domain; 0 for buckets that do not tell.
 
-        The odds are one constant: cells of a hash table, most of them empty.
+        The odds are one constant: cells of a hash table, most of them empty; only buckets that tell are looked up there.
         """
         none = F.array(*[F.lit(0.0)] * len(self.domains))
         if not self.odds:
@@ -78,7 +78,8 @@ class Classifier:
         for b, w in self.odds.items():
             cells[b % n].append({"b": b, "w": w})
         kept = F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<array<struct<b:int,w:array<double>>>>")
-        met = F.flatten(F.transform(found, lambda b: F.filter(F.get(kept, b % n), lambda c: c["b"] == b)))
+        hits = F.array_intersect(found, F.from_json(F.lit(json.dumps(sorted(self.odds))), "array<int>"))  # few, and found by compiled code
+        met = F.flatten(F.transform(hits, lambda b: F.filter(F.get(kept, b % n), lambda c: c["b"] == b)))
         return F.aggregate(met, none, lambda a, c: F.zip_with(a, c["w"], lambda x, y: x + y))
 
     def weighed(self, rows: DataFrame, power: Column, scale: Column) -> DataFrame:
