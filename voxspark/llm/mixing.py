@@ -221,10 +221,11 @@ def fit_rates(profiles: DataFrame, domains: list[str], weights: Mapping[str, flo
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGETS) -> tuple[Classifier, DataFrame, np.ndarray]:
-    """The classifier; p and n (tokens) of all documents, by distinct p; and u, from which rate_of() has the rates."""
+    """The classifier; doc_id, n_tokens and p of all documents, written; and u, from which rate_of() has the rates."""
     model = fit_classifier(docs, labels)
-    profiles = saved(model.posteriors(docs.select("text")).groupBy("p").agg(F.sum("n_tokens").alias("n")), "profiles")
-    return model, profiles, fit_rates(profiles, model.domains, weights)
+    scored = saved(model.posteriors(docs.select("doc_id", "text")).drop("text"), "posteriors")
+    profiles = saved(scored.groupBy("p").agg(F.sum("n_tokens").alias("n")), "profiles")
+    return model, scored, fit_rates(profiles, model.domains, weights)
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -246,6 +247,6 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGE
 
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    model, _, u = mixing_rates(docs, labels)
-    rows = model.posteriors(docs).withColumn("rate", rate_of(u))
+    model, scored, u = mixing_rates(docs, labels)
+    rows = scored.withColumn("rate", rate_of(u))
     return rows.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
