@@ -216,7 +216,7 @@ def _buckets(text):
     return {xxhash.xxh64_intdigest(w.encode(), seed=42) % mixing.BUCKETS for w in runs}
 
 
-def test_posteriors_against_brute_force(spark, monkeypatch):
+def test_posteriors_against_brute_force(spark):
     """The telling buckets, the choice of scale, and every document's posteriors, worked out document by document."""
     import math
 
@@ -226,14 +226,15 @@ def test_posteriors_against_brute_force(spark, monkeypatch):
     rows = {r.doc_id: r.text for r in docs.collect()}
     fold = {r.doc_id: r.f for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'fold'), 5) AS f").collect()}
     known = [(r.doc_id, f"q{r.quality}_t{r.toxic}") for r in labels.collect() if r.quality is not None and r.toxic is not None and r.doc_id in rows]
-    assert model.domains == sorted({k for _, k in known}) and model.odds
+    assert model.domains == sorted({k for _, k in known})
+    learnt_odds = {r.b: list(r)[1:] for r in model.odds.collect()}
     found = {i: _buckets(t) for i, t in rows.items()}
     learnt, held = [(i, k) for i, k in known if fold[i]], [(i, k) for i, k in known if not fold[i]]
     size, n = {k: sum(x == k for _, x in learnt) for k in model.domains}, {}
     for i, k in learnt:
         for b in found[i]:
             n.setdefault(b, dict.fromkeys(model.domains, 0))[k] += 1
-    odds, strength = {}, {}
+    odds = {}
     for b, by in n.items():
         every, w, z = sum(by.values()), [], []
         for k in model.domains:
@@ -242,13 +243,11 @@ def test_posteriors_against_brute_force(spark, monkeypatch):
             z.append(abs(v) / math.sqrt(1 / x + 1 / y))
             w.append(v if z[-1] >= mixing.TELLING else 0.0)
         if every >= mixing.LEAST_DOCUMENTS and any(w):
-            odds[b], strength[b] = w, max(z)
-    assert odds.keys() == model.odds.keys()
+            odds[b] = w
+    assert odds and odds.keys() == learnt_odds.keys()
     for b, w in odds.items():
-        assert all(abs(x - y) <= 5.1e-4 for x, y in zip(w, model.odds[b], strict=True))
-    monkeypatch.setattr(mixing, "MOST_TELLING", 5)
-    assert set(mixing.fit_classifier(docs, labels).odds) == set(sorted(odds, key=lambda b: (-strength[b], b))[:5])
-    odds = model.odds
+        assert all(abs(x - y) <= 5.1e-4 for x, y in zip(w, learnt_odds[b], strict=True))
+    odds = learnt_odds
     prior = [math.log((size[k] + 1) / (len(learnt) + len(size))) for k in model.domains]
 
     def posterior(i, power, scale):
@@ -349,6 +348,14 @@ def test_any_number_of_domains(spark):
             assert model.domains[max(range(len(r.p)), key=lambda k: r.p[k])] == f"q{r.doc_id % n // 2}_t{r.doc_id % 2}"
 
 
+def test_features_are_worked_out_once(spark):
+    """The classifier's table is written before rates filter it, so no plan holds the features twice."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    for df in (mixing.mix(docs, labels), mixing.featured(docs, "doc_id")):
+        assert df._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 0
+
+
 def test_mixing_of_odd_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, None), (None, 1, 0), (9, 0, 0), (9, 1, 1), (77, 1, 1)], "doc_id long, quality int, toxic int")
     out = mixing.mix(odd_docs, labels)

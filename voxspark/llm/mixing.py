@@ -8,7 +8,6 @@ gradient, with the moments that precondition it, is one distributed sum over tha
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
@@ -26,7 +25,6 @@ LABELLED_MOST = 20_000  #: labelled documents on which the classifier is fitted,
 FOLDS = 5  #: one of them is held out, to choose how far the evidence is trusted and to measure it
 LEAST_DOCUMENTS = 5
 TELLING = 4.0  #: standard errors by which the log-odds of a bucket must differ from 0
-MOST_TELLING = 700  #: buckets that the classifier uses, those with the most standard errors; its constant is part of query plans
 POWERS, SCALES = (0.0, 0.5, 1.0), tuple(2.0**-j for j in range(-3, 7))
 GRID = 64
 TARGETS = {"q1_t0": 0.95}
@@ -51,36 +49,38 @@ def features(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_distinct(runs), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
 
 
+def featured(docs: DataFrame, *kept: Column | str) -> DataFrame:
+    """`kept` columns with `_row` (a number of its own for every row), n_tokens (words) and found (features), written: texts are read once, and the numbers stay as they are."""
+    return saved(docs.select(*kept, F.monotonically_increasing_id().alias("_row"), n_words(F.col("text")).alias("n_tokens"), features(F.col("text")).alias("found")), "featured")
+
+
 @dataclass(frozen=True)
 class Classifier:
     """Domains, their prior log-probabilities, the log-odds of the telling buckets, and how evidence is weighed: by scale / n^power for n features.
 
+    `odds` is a written table: b and w0, w1, ... of every bucket that tells, BUCKETS rows at most; None where there is nothing to tell apart.
     `held_out` has the log-loss and the accuracy on held-out labelled documents, and those of the prior alone.
     """
 
     domains: list[str]
     prior: list[float]
-    odds: dict[int, list[float]]
+    odds: DataFrame | None = None
     power: float = 0.0
     scale: float = 1.0
     held_out: tuple[float, float, float, float] | None = None
 
-    def evidence(self, found: Column) -> Column:
-        """Sums of log-odds of the buckets in `found`, an array by domain; 0 for buckets that do not tell.
+    def evidence(self, rows: DataFrame, *by: str) -> DataFrame:
+        """`by`, `_n` (number of features) and `_evidence`, an array by domain with the sums of the log-odds of the buckets in `found`.
 
-        The odds are one constant: cells of a hash table, most of them empty; only buckets that tell are looked up there.
+        Buckets are exploded and joined with the broadcast odds, a row of zeros standing in so that no document is left out; the sums
+        by row are complete within a task before they are exchanged.
         """
-        none = F.array(*[F.lit(0.0)] * len(self.domains))
-        if not self.odds:
-            return none
-        n = 1 << max(8, (2 * len(self.odds)).bit_length())
-        cells: list[list[dict]] = [[] for _ in range(n)]
-        for b, w in self.odds.items():
-            cells[b % n].append({"b": b, "w": w})
-        kept = F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<array<struct<b:int,w:array<double>>>>")
-        hits = F.array_intersect(found, F.from_json(F.lit(json.dumps(sorted(self.odds))), "array<int>"))  # few, and found by compiled code
-        met = F.flatten(F.transform(hits, lambda b: F.filter(F.get(kept, b % n), lambda c: c["b"] == b)))
-        return F.aggregate(met, none, lambda a, c: F.zip_with(a, c["w"], lambda x, y: x + y))
+        w = [f"w{k}" for k in range(len(self.domains))]
+        none = rows.sparkSession.range(1).select(F.lit(-1).alias("b"), *[F.lit(0.0).alias(c) for c in w])
+        each = rows.select(*by, F.size("found").alias("_n"), F.explode(F.array_append("found", F.lit(-1))).alias("b"))
+        met = each.join(F.broadcast(self.odds.unionByName(none)), "b")
+        sums = met.groupBy(*by, "_n").agg(*[F.sum(c).alias(c) for c in w])
+        return sums.select(*by, "_n", F.array(*w).alias("_evidence"))
 
     def weighed(self, rows: DataFrame, power: Column, scale: Column) -> DataFrame:
         """Adds p, the posteriors from `_evidence`, that of `_n` features; drops both. Step by step, so that no step is worked out twice."""
@@ -90,32 +90,35 @@ class Classifier:
         rows = rows.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)).withColumn("p", F.transform("_e", lambda x: x / F.col("_sum")))
         return rows.drop("_evidence", "_n", "_factor", "_log", "_top", "_e", "_sum")
 
+    def of(self, rows: DataFrame, *by: str) -> DataFrame:
+        """`by` and p, an array with the probability of every domain, in steps of about 1/GRID, from `rows` as featured() has them; `by` holds `_row`."""
+        if self.odds is None:
+            return rows.select(*by, F.array(*[F.lit(math.exp(x)) for x in self.prior]).alias("p"))
+        weighed, grid = self.weighed(self.evidence(rows, *by), F.lit(self.power), F.lit(self.scale)), max(GRID, 4 * len(self.domains))
+        stepped = weighed.withColumn("_steps", F.transform("p", lambda x: F.round(x * grid))).withColumn("_sum", F.aggregate("_steps", F.lit(0.0), lambda a, x: a + x))
+        return stepped.withColumn("p", F.transform("_steps", lambda x: x / F.col("_sum"))).drop("_steps", "_sum")
+
     def posteriors(self, docs: DataFrame) -> DataFrame:
-        """Adds n_tokens (words) and p, an array with the probability of every domain, in steps of about 1/GRID. A null text has no words."""
-        if len(self.domains) < 2:
-            return docs.withColumn("n_tokens", n_words(F.col("text"))).withColumn("p", F.array(F.lit(1.0)))
-        rows = docs.withColumn("n_tokens", n_words(F.col("text"))).withColumn("_found", features(F.col("text")))
-        rows = rows.withColumn("_evidence", self.evidence(F.col("_found"))).withColumn("_n", F.size("_found")).drop("_found")
-        rows, grid = self.weighed(rows, F.lit(self.power), F.lit(self.scale)), max(GRID, 4 * len(self.domains))
-        rows = rows.withColumn("_steps", F.transform("p", lambda x: F.round(x * grid))).withColumn("_sum", F.aggregate("_steps", F.lit(0.0), lambda a, x: a + x))
-        return rows.withColumn("p", F.transform("_steps", lambda x: x / F.col("_sum"))).drop("_steps", "_sum")
+        """Adds n_tokens (words) and p to rows that have a text. A null text has no words and the prior's probabilities."""
+        rows = featured(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+        return rows.join(self.of(rows, "_row"), "_row").select("_doc.*", "n_tokens", "p")
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = LABELLED_MOST) -> Classifier:
     """The telling buckets and how to weigh them, from at most `most` labelled documents, a fifth of which is held out.
 
     A bucket tells for or against a domain where, by the documents that have it, its log-odds differ from 0 by TELLING
-    standard errors; the MOST_TELLING strongest are used. What the driver gets is the odds of telling buckets. A document labelled twice counts twice. Domains come from
+    standard errors; all that do are used, and stay a table. A document labelled twice counts twice. Domains come from
     all labels; without any there is one, `all`.
     """
     known = _labelled(labels)
     domains = sorted(r.domain for r in known.select("domain").distinct().collect())
     if len(domains) < 2:
-        return Classifier(domains or ["all"], [0.0], {})
+        return Classifier(domains or ["all"], [0.0])
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))
     at = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int") - 1
     sample = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most).select("doc_id", at.alias("k"), (fold == 0).alias("held"))
-    told = saved(docs.select("doc_id", "text").join(F.broadcast(saved(sample, "labelled-sample")), "doc_id").select("k", "held", features(F.col("text")).alias("found")), "labelled")
+    told = saved(docs.select("doc_id", "text").join(F.broadcast(saved(sample, "labelled-sample")), "doc_id").select("k", "held", F.monotonically_increasing_id().alias("_row"), features(F.col("text")).alias("found")), "labelled")
     learnt = told.where("not held")
     sizes = dict(learnt.groupBy("k").count().collect())
     size, whole = [sizes.get(k, 0) for k in range(len(domains))], sum(sizes.values())
@@ -129,18 +132,17 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = LABELLED_MOST
 
     ks = F.sequence(F.lit(0), F.lit(len(domains) - 1))
     each = by.select("b", F.transform(ks, lambda k: odds(k, F.coalesce(F.element_at("of", k), F.lit(0)), F.get(F.array(*map(F.lit, size)), k))).alias("of"))
-    weights = F.transform("of", lambda x: F.when(x["z"] >= TELLING, F.round(x["w"], 3)).otherwise(0.0))
-    telling = each.select("b", weights.alias("w"), F.array_max(F.transform("of", lambda x: x["z"])).alias("z")).where(F.col("z") >= TELLING)
-    found = {r.b: r.w for r in telling.orderBy(F.desc("z"), "b").limit(MOST_TELLING).collect()}
-    model = Classifier(domains, [math.log((n + 1) / (whole + len(domains))) for n in size], found)
-    return _calibrated(model, told.where("held"))
+    telling = each.where(F.exists("of", lambda x: x["z"] >= TELLING))
+    weights = [F.when(F.col("of")[k]["z"] >= TELLING, F.round(F.col("of")[k]["w"], 3)).otherwise(0.0).alias(f"w{k}") for k in range(len(domains))]
+    found = saved(telling.select("b", *weights), "odds")
+    return _calibrated(Classifier(domains, [math.log((n + 1) / (whole + len(domains))) for n in size], found), told.where("held"))
 
 
 def _calibrated(model: Classifier, held: DataFrame) -> Classifier:
     """The model with the power and scale of the least log-loss on held-out documents, all candidates in one job."""
     tried = [(0.0, 0.0), *[(a, s) for a in POWERS for s in SCALES]]  # the first is the prior alone
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("power"), F.lit(s).alias("scale")) for i, (a, s) in enumerate(tried)]))
-    rows = saved(held.select("k", model.evidence(F.col("found")).alias("_evidence"), F.size("found").alias("_n")), "evidence").withColumn("try", each)
+    rows = saved(model.evidence(held, "_row", "k"), "evidence").withColumn("try", each)
     own = F.get("p", F.col("k"))
     loss, right = F.avg(-F.log(F.greatest(own, F.lit(1e-9)))).alias("loss"), F.avg((own == F.array_max("p")).cast("double")).alias("right")
     got = {r.i: r for r in model.weighed(rows, F.col("try.power"), F.col("try.scale")).groupBy("try.i").agg(loss, right).collect()}
@@ -220,12 +222,16 @@ def fit_rates(profiles: DataFrame, domains: list[str], weights: Mapping[str, flo
     return u
 
 
+def fitted(model: Classifier, scored: DataFrame, weights: Mapping[str, float]) -> np.ndarray:
+    """u of rate_of() for rows with n_tokens and p, by way of the table of distinct posteriors."""
+    return fit_rates(saved(scored.groupBy("p").agg(F.sum("n_tokens").alias("n")), "profiles"), model.domains, weights)
+
+
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGETS) -> tuple[Classifier, DataFrame, np.ndarray]:
     """The classifier; doc_id, n_tokens and p of all documents, written; and u, from which rate_of() has the rates."""
     model = fit_classifier(docs, labels)
-    scored = saved(model.posteriors(docs.select("doc_id", "text")).drop("text"), "posteriors")
-    profiles = saved(scored.groupBy("p").agg(F.sum("n_tokens").alias("n")), "profiles")
-    return model, scored, fit_rates(profiles, model.domains, weights)
+    scored = saved(model.of(featured(docs, "doc_id"), "_row", "doc_id", "n_tokens").drop("_row"), "posteriors")
+    return model, scored, fitted(model, scored, weights)
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -239,10 +245,11 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGE
 
     Documents without words have the prior's probabilities. Repeated rows are mixed alike. An empty table stays empty.
     """
-    model, _, u = mixing_rates(docs, labels, weights)
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    repeated = model.posteriors(whole).select("_doc", copies(rate_of(u), F.col("doc_id")).alias("_copies")).where("_copies > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")
+    model = fit_classifier(docs, labels)
+    rows = featured(docs, "doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    scored = saved(model.of(rows, "_row", "doc_id", "n_tokens"), "posteriors")
+    times = scored.select("_row", copies(rate_of(fitted(model, scored, weights)), F.col("doc_id")).cast("int").alias("_copies"))
+    return rows.select("_row", "_doc").join(times, "_row").select("_doc", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).select("_doc.*")
 
 
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
