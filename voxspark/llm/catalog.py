@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, jaccard, lm_scoring, mixing, perspectives, quality, secrets, sharding, token_planes, warc
+from . import alignment, contamination, jaccard, lm_scoring, merkle, mixing, perspectives, quality, secrets, sharding, simhash, token_planes, warc
 
 QUERIES = {
     "op1_perspective_rotation": perspectives.op1_perspective_rotation,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_soft_mixing": mixing.op10_soft_mixing,
+    "op11_simhash_trie": simhash.op11_simhash_trie,
+    "op12_merkle_witnesses": merkle.op12_merkle_witnesses,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 SQL = {
     "op1_perspective_rotation": perspectives.ORACLE,
     "op3_benchmark_containment": contamination.ORACLE,
     "op4_warc_bundles": warc.ORACLE,
     "op8_jaccard_join": jaccard.ORACLE,
+    "op12_merkle_witnesses": merkle.ORACLE,
 }
