@@ -6,6 +6,7 @@ Every operator that adds columns replaces an input column of the same name.
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -53,11 +54,38 @@ def saved(df: DataFrame, label: str, batch: int = BATCH_ROWS) -> DataFrame:
     conf.set(key, str(batch))
     try:
         df.write.parquet(path)
+        _written.append(path)
     finally:
         conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if p in _written:
+            _written.remove(p)
+
+
+def tidy(operator):
+    """The operator, which on its way deletes the tables that it has written and that its result does not read."""
+
+    @functools.wraps(operator)
+    def run(*given, **named) -> DataFrame:
+        before = set(_written)
+        result = operator(*given, **named)
+        read = "\n".join(result.inputFiles())
+        discard(result.sparkSession, [p for p in _written if p not in before and p.rpartition("/")[2] not in read])
+        return result
+
+    return run
+
+
 def count_cutoff(counts: DataFrame, most: int) -> int:
     """A least value of column n from which on there are at most `most` rows.
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, table, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 FEATURE = r"\p{L}+|[^\p{L}\p{N}\s]+"
@@ -27,6 +27,7 @@ LEAST_DOCUMENTS = 5
 TELLING = 4.0  #: standard errors by which the log-odds of a bucket must differ from 0
 POWERS, SCALES = (0.0, 0.5, 1.0), tuple(2.0**-j for j in range(-3, 7))
 GRID = 64
+BROADCAST_ROWS = 1_000_000  #: of two hashes and a rate
 TARGETS = {"q1_t0": 0.95}
 RIDGE = 1e-4
 MOST_STEPS = 48
@@ -240,18 +241,25 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(unit < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
+@tidy
 def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGETS) -> DataFrame:
     """Each document as often as its rate says, all columns as they were.
 
     Documents without words have the prior's probabilities. Repeated rows are mixed alike. An empty table stays empty.
+    A text's rate is looked up by 128 bits of its hash: distinct texts' rates are broadcast where they are counted and few, else joined.
     """
     model = fit_classifier(docs, labels)
-    rows = featured(docs, "doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    scored = saved(model.of(rows, "_row", "doc_id", "n_tokens"), "posteriors")
-    times = scored.select("_row", copies(rate_of(fitted(model, scored, weights)), F.col("doc_id")).cast("int").alias("_copies"))
-    return rows.select("_row", "_doc").join(times, "_row").select("_doc", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).select("_doc.*")
+    key = [F.xxhash64("text").alias("_h"), F.xxhash64("text", F.lit("second")).alias("_g")]
+    scored = saved(model.of(featured(docs, *key), "_row", "_h", "_g", "n_tokens").drop("_row"), "posteriors")
+    u = fitted(model, scored, weights)
+    rates = saved(scored.groupBy("_h", "_g").agg(F.first("p").alias("p")).select("_h", "_g", rate_of(u).alias("_rate")), "rates")
+    rates = F.broadcast(rates) if rates.count() <= BROADCAST_ROWS else rates
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *key).join(rates, ["_h", "_g"])
+    times = copies(F.col("_rate"), F.col("_doc.doc_id")).cast("int")
+    return rows.select("_doc", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select("_doc.*")
 
 
+@tidy
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model, scored, u = mixing_rates(docs, labels)
