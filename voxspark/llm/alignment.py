@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, table, tidy
 
 SPACE = "▁"
 KEPT = 1 << 20  #: words whose alignments a worker keeps
@@ -206,6 +206,7 @@ def linked_pairs(rows: DataFrame) -> DataFrame:
     return saved(counts.join(F.broadcast(top), "b").select("pair", "count", (F.col("count") == F.col("top")).alias("best")), "pairs")
 
 
+@tidy
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table, unused
+from .common import saved, table, tidy, unused
 
 FANOUT = 3
 LEVELS = 8
@@ -171,6 +171,7 @@ def witnesses(nodes: DataFrame, kept: Sequence[str], levels: int = LEVELS, fanou
     return longer.select("grp", *kept, *[F.concat(c, F.coalesce(f"_{c}", F.lit(""))).alias(c) for c in ("places", "siblings")]), whole.union(tops)
 
 
+@tidy
 def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, group: str = "source", key: str = "doc_id", altered: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """key, group, leaf, altered (leaf of the fields with text `altered`), subroot, root, places and siblings of every row.
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, saved, table
+from .common import raw_bytes, saved, table, tidy
 from .components import connected_components
 
 WORDS = 4
@@ -254,6 +254,7 @@ def near_links(classes: DataFrame, most: int = MOST_BITS, tile: int = TILE) -> D
     return hubs.union(dealt.mapInArrow(_join_groups(most), "a long, b long"))
 
 
+@tidy
 def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits) and component_id of every row.
 
