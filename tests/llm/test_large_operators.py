@@ -66,15 +66,15 @@ def test_jaccard_components_against_brute_force(spark, monkeypatch, boundary):
         assert (r.n_shingles, r.component_id) == (n, comp if n else r.doc_id)
 
 
-@pytest.mark.parametrize("rounds, factor", [(1, 0), (2, 0), (4, 0), (5, 4)])
-def test_all_rounds_agree(spark, monkeypatch, rounds, factor):
+@pytest.mark.parametrize("shrinks, factor", [(0.0, 0), (0.9, 0), (0.7, 4)])
+def test_all_rounds_agree(spark, monkeypatch, shrinks, factor):
     """A crowd near the threshold, with and without hub rounds before the full join."""
     rng = random.Random(5)
     base = words(4, 60)
     rows = [(i, _edited(rng, base, rng.randrange(1, 7))) for i in range(120)]
     rows += [(200 + i, _edited(rng, rows[i][1], rng.randrange(0, 3))) for i in range(60)]
     want = _components(rows)
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "SHRINKS", shrinks)
     monkeypatch.setattr(jaccard, "FULL_FACTOR", factor)
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert len(got) == len(rows) and all(next(iter(want[r.doc_id]))[1] == r.component_id for r in got)
@@ -356,6 +356,19 @@ def test_features_are_worked_out_once(spark):
         assert df._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 0
 
 
+def test_tables_that_nothing_reads_are_deleted(spark):
+    """What an operator has written goes, but for what its result reads."""
+    import os
+
+    from voxspark.llm.common import local_path, shared_dir
+
+    folder = local_path(shared_dir(spark))
+    docs, before = spark.createDataFrame([(i, words(i // 2, 60)) for i in range(40)], "doc_id long, text string"), set(os.listdir(folder))
+    out = jaccard.jaccard_components(docs)
+    read = {p.rpartition("/")[0].rpartition("/")[2] for p in out.inputFiles()}
+    assert set(os.listdir(folder)) - before == read and len({r.component_id for r in out.collect()}) == 20
+
+
 def test_mixing_of_odd_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, None), (None, 1, 0), (9, 0, 0), (9, 1, 1), (77, 1, 1)], "doc_id long, quality int, toxic int")
     out = mixing.mix(odd_docs, labels)

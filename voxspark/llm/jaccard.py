@@ -10,8 +10,9 @@ are checked on the whole sets.
 
 Only components are wanted, so every list is first joined with one member, its hub, which then leaves it. Whoever may
 still be linked to another component in a list stays there for the next round, where bounds are taken anew among those
-alone; what is left is joined in full as soon as that is about as much as there are list entries. A group of n near copies
-thus costs about n pairs, and no link between components is passed by.
+alone. Rounds go on while each leaves far fewer pairs; what is left is joined in full as soon as that is about as much as there
+are list entries, or when a round has hardly helped. A group of n near copies thus costs about n pairs, and no link between
+components is passed by.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import count_cutoff, raw_bytes, saved, shingle_sets_of, table, unused
+from .common import count_cutoff, raw_bytes, saved, shingle_sets_of, table, tidy, unused
 from .components import connected_components
 
 PERCENT = 75
@@ -38,9 +39,9 @@ FIRST_SHARE = 0.375
 BOUNDARIES = (2, 4, 8, 12, 16, 24, 32, 48, 64)
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 24 << 20
-FEW_ROWS, FEW_SETS = 200_000, 10_000
+FEW_ROWS = 200_000
 SET_BATCH = 100
-ROUNDS = 5
+SHRINKS = 0.7  #: hub rounds go on while the pairs left are at most this share of those of the round before
 FULL_FACTOR = 4
 
 
@@ -63,10 +64,18 @@ def _gathered(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     return df.coalesce(1) if df.count() <= most else df
 
 
+def _set_bytes(sets: DataFrame) -> int:
+    return sets.agg(F.coalesce(F.sum(F.octet_length("shingles") + 32), F.lit(0))).first()[0]
+
+
 def _small_sets(sets: DataFrame) -> DataFrame:
     """The same for rows that hold whole sets: the bound is on their bytes."""
-    size = sets.agg(F.coalesce(F.sum(F.octet_length("shingles") + 32), F.lit(0))).first()[0]
-    return F.broadcast(sets) if size <= BROADCAST_BYTES else sets
+    return F.broadcast(sets) if _set_bytes(sets) <= BROADCAST_BYTES else sets
+
+
+def _gathered_sets(sets: DataFrame) -> DataFrame:
+    """In one partition where the sets' bytes are few; otherwise as they are."""
+    return sets.coalesce(1) if _set_bytes(sets) <= BROADCAST_BYTES else sets
 
 
 # --- bounds -------------------------------------------------------------------------------------
@@ -387,7 +396,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows, nodes = sets.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
     if rows > nodes:  # a doc_id on several rows
         sets = saved(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "whole-sets")
-    return _gathered(sets, FEW_SETS)
+    return _gathered_sets(sets)
 
 
 def linkable(sets: DataFrame) -> DataFrame:
@@ -407,16 +416,18 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("most").alias("most"))
     wanted = _gathered(saved(linkable(nodes).select("node", "rep"), "wanted"))
     sets = whole_sets(docs, wanted)
-    sets = _gathered(saved(sets.join(_small(_bounded(sets)), "node"), "linkable"), FEW_SETS)
+    sets = _gathered_sets(saved(sets.join(_small(_bounded(sets)), "node"), "linkable"))
     prefix = saved(prefixes(sets, frequent_shingles(sets)), "prefixes", SET_BATCH)
     members = _gathered(saved(postings(prefix, choose_boundary(prefix)).withColumn("comp", F.col("node")), "postings"))
     edges = comps = None
-    for turn in range(ROUNDS + 1):
+    turn, before, last = 0, float("inf"), False
+    while not last:
         members, lists = open_lists(members, turn)
         entries, left = lists.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
         if not left:
             break
-        last = turn > 0 and (turn == ROUNDS or left <= FULL_FACTOR * entries)
+        last = turn > 0 and (left <= FULL_FACTOR * entries or left > SHRINKS * before)
+        turn, before = turn + 1, left
         found = verified(all_pairs(members, lists) if last else hub_pairs(members, lists), sets)
         edges = _gathered(saved(found if edges is None else edges.union(found), "edges", SET_BATCH))
         comps = connected_components(edges)
@@ -443,6 +454,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     return sets.join(grouped, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("_first").isNull(), F.col("doc_id")).otherwise(F.col("_to")).alias("component_id"), chosen.alias("chosen"))
 
 
+@tidy
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links of Jaccard 0.75, itself included.
 
@@ -454,6 +466,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return _labelled(docs).select("doc_id", "n_shingles", "component_id")
 
 
+@tidy
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component stays, one with the smallest doc_id, a null one being the last; all columns as they were.
 
