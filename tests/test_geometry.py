@@ -87,5 +87,6 @@ def test_config_is_typed_and_refers():
 def test_texts():
     m = matrix_from_p([1 / 3, 2, 3, 0.1, 0, 0])
     assert (read_matrix(matrix_text(m)) == m).all()
-    lines = validation_text(ImageMeta((3, 3, 3)), np.eye(4)).splitlines()
-    assert lines[1] == "  2  " + "".join(f"{x:11.4f}" for x in (2, 0, 0, 2, 0, 0)) and len(lines) == 10
+    lines = validation_text(ImageMeta((3, 3, 3)), np.eye(4), "a header").splitlines()
+    assert lines[0] == "a header" and lines[1] == lines[10] == "" and len(lines) == 13
+    assert lines[3] == "  2  " + "".join(f"{x:11.4f}" for x in (2, 0, 0, 2, 0, 0))

@@ -126,7 +126,9 @@ def test_levenberg_marquardt_finds_the_pose(spark, affine):
     start = p_start = np.zeros(6) if not affine else np.eye(4)[:3].ravel()
     s = evaluate(fixed, moving, [start], True)[0]
     assert s.n > 500 and np.linalg.norm(s.gradient) > 0 and (np.linalg.eigvalsh(s.hessian) > -1e-9).all()
-    out = optimise.levenberg_marquardt(fixed, moving, p_start, most=8)
+    with lcc.Overlap(fixed, moving) as overlap:
+        out = optimise.levenberg_marquardt(overlap, p_start, most=8)
+        assert overlap.cuts == 1
     shift = optimise.corner_shift(f, matrix_from_p(out.p), matrix_from_p(p), f)
     assert shift < 0.1 and out.lcc < 0.01
 
@@ -144,15 +146,15 @@ def test_no_overlap_and_moments(spark):
     blob = lambda c, r: np.where(((x - c[0]) / r[0]) ** 2 + ((y - c[1]) / r[1]) ** 2 + ((z - c[2]) / r[2]) ** 2 <= 1, 300 + 9 * (x - c[0]) * (y - c[1]) + 5 * (z - c[2]) ** 2, 0)
     a, b = blob((6, 7, 7), (3, 4, 5)), blob((8, 8, 7), (3, 4, 5))
     fixed, moving = chunked(table(spark, a), f, 2), chunked(table(spark, b), f, 0)
-    with pytest.raises(lcc.InsufficientOverlapError):
-        optimise.levenberg_marquardt(fixed, moving, np.array([60.0, 0, 0, 0, 0, 0]))
+    with pytest.raises(lcc.InsufficientOverlapError), lcc.Overlap(fixed, moving) as overlap:
+        optimise.levenberg_marquardt(overlap, np.array([60.0, 0, 0, 0, 0, 0]))
     out = optimise.transform_from_moments(fixed, moving, shift_only=True)
     assert np.allclose(out.p[:3], [2, 1, 0], atol=0.3)
     assert len(optimise.proper_rotations(np.eye(3), rotation_matrix([0.1, 0.2, 0.3]))) == 24
 
 
 def test_moments_of_a_turned_ellipsoid(spark):
-    """Three distinct axes, turned by 40 degrees and moved: the best of the 24 rotations is near enough for the descent."""
+    """Three distinct axes, turned by 40 degrees and moved, with an odd term along each: the best of the 24 rotations is near enough for the descent."""
     shape = (32, 40, 48)
     z, y, x = np.indices(shape).astype(float)
     centre, axes = np.array([23.5, 19.5, 15.5]), np.array([17.0, 11.0, 7.0])
@@ -163,16 +165,100 @@ def test_moments_of_a_turned_ellipsoid(spark):
     def seen(inverse):
         q = np.stack([x, y, z], -1) @ inverse[:3, :3].T + inverse[:3, 3] - centre
         r = (q / axes) ** 2
-        return np.rint(np.where(r.sum(-1) < 1, 900 - 500 * r.sum(-1) + 60 * np.sin(0.5 * q[..., 0]) + 40 * np.cos(0.6 * q[..., 1] + 0.4 * q[..., 2]), 20)).astype(int)
+        return np.rint(np.where(r.sum(-1) < 1, 900 - 500 * r.sum(-1) + (np.array([60, 50, 40]) * np.sin(q * [0.5, 0.6, 0.7])).sum(-1) + 40 * np.cos(0.6 * q[..., 1] + 0.4 * q[..., 2]), 20)).astype(int)
 
     f = ImageMeta(shape[::-1])
     fixed, moving = (masked_chunks(table(spark, seen(i)), f, 0.08, kind) for i, kind in ((np.eye(4), False), (np.linalg.inv(m), True)))
     out = optimise.transform_from_moments(fixed, moving)
     assert optimise.corner_shift(f, matrix_from_p(out.p), m, f) < 3 and out.steps == 26
-    got = optimise.levenberg_marquardt(fixed, moving, out.p, most=6)
+    with lcc.Overlap(fixed, moving) as overlap:
+        got = optimise.levenberg_marquardt(overlap, out.p, most=6)
     assert optimise.corner_shift(f, matrix_from_p(got.p), m, f) < 0.5
 
 
+def test_equal_similarities_are_decided_by_rule():
+    s, p = (lambda n, v: lcc.Similarity(n, v)), [np.array([0, 0, 0, 0, 0, a]) for a in (0.0, 3.0, 1.0, 1.0)]
+    assert optimise.choice([s(5, 0.2), s(9, 0.1), s(9, 0.1 + 1e-12), s(9, 0.1)], p, range(4)) == 2
+    assert optimise.choice([s(5, 0.1), s(9, 0.1), s(8, 0.1), s(9, 0.2)], p, range(4)) == 1
+    assert optimise.choice([s(5, 0.1), s(9, 0.1), s(8, 0.1), s(9, 0.05)], p, [0, 2]) == 2
+
+
+def test_moves_are_undone_on_the_fixed_side():
+    """A turn leaves the fixed centre where the initial transform took it; a shift goes against the axis before that transform."""
+    start, centre, axes = matrix_from_p([1, 2, 3, 0.3, -0.2, 0.5]), np.array([4.0, -5.0, 6.0]), rotation_matrix([0.2, 0.4, -0.1])
+    moves, ps = optimise.descent_moves(start, np.eye(4), centre, axes, 2.0, 0.1)
+    assert len(moves) == len(ps) == 12
+    for i, p in enumerate(ps):
+        got, want = matrix_from_p(p)[:3] @ np.append(centre, 1), start[:3] @ np.append(centre - (axes[:, i // 2] * (2, -2)[i % 2] if i < 6 else 0), 1)
+        assert np.allclose(got, want)
+    assert np.allclose(matrix_from_p(ps[6])[:3, :3], start[:3, :3] @ rotation_matrix(-0.1 * axes[:, 0]))
+
+
+def _overlap(spark, edge=8, **more):
+    f = ImageMeta((24, 24, 24))
+    a, b = phantom(24), phantom(24, np.array([0.8, -0.5, 0.4, 0.05, -0.04, 0.03]))
+    return lcc.Overlap(chunked(table(spark, a), f, 2, edge), chunked(table(spark, b), f, 0, edge), **more)
+
+
+def test_steps_within_the_margin_move_no_voxels(spark):
+    """Ten steps: no exchange of data in a plan, and hardly a byte shuffled; boxes are cut anew only where the pose leaves the margin."""
+    with _overlap(spark, margin=4) as overlap:
+        overlap.evaluate([np.zeros(6)])
+        text = overlap.partials([np.array([0.5, 0, 0, 0, 0, 0])])._jdf.queryExecution().executedPlan().toString()
+        before, _, after = text.partition("InMemoryTableScan")
+        assert before.count("Exchange") == 1 and "limb" in before.partition("Exchange")[2].partition("\n")[0] + before and "FlatMapCoGroups" not in before
+
+        def shuffled():
+            sc, jvm = spark.sparkContext, spark._jvm
+            none = jvm.java.util.ArrayList()
+            stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(jvm.double, 0), none)
+            return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+        start = shuffled()
+        for i in range(10):
+            overlap.evaluate([np.array([0.2 * i, -0.1 * i, 0, 0, 0, 0.005 * i])])
+        assert overlap.cuts == 1 and shuffled() - start < 10 * 4 * 5_000
+        want = overlap.evaluate([np.array([9.0, 0, 0, 0, 0, 0])])[0]
+        assert overlap.cuts == 2
+    with _overlap(spark) as overlap:
+        again = overlap.evaluate([np.array([9.0, 0, 0, 0, 0, 0])])[0]
+    assert (want.n, want.lcc) == (again.n, again.lcc) and want.n > 0
+
+
+def test_sums_do_not_depend_on_partitions(spark):
+    """Equal bits for 1, 7 and 50 partitions, with derivatives."""
+    from dataclasses import replace
+
+    got, p = [], [np.array([0.3, 0.1, -0.2, 0.02, 0.0, 0.01])]
+    with _overlap(spark) as made:
+        for n in (1, 7, 50):
+            with lcc.Overlap(replace(made.fixed, rows=made.fixed.rows.repartition(n)), made.moving) as overlap:
+                overlap.cover(p)
+                overlap.rows = overlap.rows.repartition(n)
+                s = overlap.evaluate(p, True)[0]
+            got.append((s.n, s.lcc, s.gradient.tolist(), s.hessian.tolist()))
+    assert got[0] == got[1] == got[2] and got[0][0] > 500
+
+
+@pytest.mark.parametrize("most", [1 << 21, 20_000, 3_000])
+def test_boxes_are_bounded_under_any_transform(spark, most):
+    """Scale 8 and shear: tiles are cut in eighths until their boxes are small enough, and the value stays that of the relational form."""
+    rng = np.random.default_rng(5)
+    a, b = _masked(rng.integers(1, 900, (12, 12, 12)), rng), _masked(rng.integers(1, 900, (40, 44, 48)), rng)
+    f, m = ImageMeta((12, 12, 12), (8.0, 8.0, 8.0)), ImageMeta((48, 44, 40))
+    p = np.array([0.5, 0.02, 0.01, 1.0, 0.0, 0.45, 0.03, 0.5, 0.01, 0.0, 0.45, 0.25])
+    matrix = voxel_matrix_from_p(f, m, p)
+    matrix[:3] = np.round(matrix[:3] * 64) / 64
+    fixed, moving = table(spark, a), table(spark, b)
+    want = lcc.lcc_value(fixed, moving, f.shape, m.shape, matrix).first()
+    world = m.voxel_to_world @ matrix @ f.world_to_voxel
+    with lcc.Overlap(chunked(fixed, f, 2, 8), chunked(moving, m, 0, 8), margin=0, most=most) as overlap:
+        got = overlap.evaluate([world[:3].ravel()])[0]
+        size = [r.sz * r.sy * r.sx for r in overlap.rows.select("sz", "sy", "sx").collect()]
+        assert max(size) <= most and (most > 20_000 or len(size) > 8)
+    assert got.n == want.n > 30 and np.isclose(got.lcc, want.lcc, rtol=1e-12)
+
+
 @pytest.mark.parametrize("edge", [6, 32])
 def test_masks_by_chunks_are_those_by_voxels(spark, edge):
     rng = np.random.default_rng(9)
@@ -281,6 +367,31 @@ def test_masks_are_moved_by_the_share_of_two_fifths(spark):
         assert (got == want).all()
 
 
+@pytest.mark.parametrize("most", [1 << 21, 200])
+def test_resampling_by_chunks_is_that_by_voxels(spark, most):
+    """Mirrored, linear and mask output, integers and floats, with a shear and parts outside; boxes of any size."""
+    rng = np.random.default_rng(7)
+    a, grid = rng.integers(0, 900, (13, 11, 17)), ImageMeta((14, 9, 12))
+    m = np.array([[0.9375, 0.25, 0.0, -1.25], [-0.125, 1.125, 0.0625, 0.5], [0.0, -0.0625, 1.25, -0.375], [0, 0, 0, 1]])
+    shape, rows = a.shape[::-1], table(spark, a)
+    whole, cells = grid.shape[::-1], table(spark, np.ones(grid.shape[::-1], int))
+    chunks = chunked(rows, ImageMeta(shape), 0, 5)
+    for mask in (False, True):
+        image = table(spark, (a > 450).astype(int)) if mask else rows
+        want = array(resample.transform_block(cells, image, shape, m, mask), whole)
+        made = resample.transform_chunks(grid, chunked(image, ImageMeta(shape), 0, 5), m, mask, most=most)
+        assert made.count() == want.size and (array(made, whole) == want).all() and want.any()
+    for limits in ((0, 500), None):
+        want = {(r.z, r.y, r.x): r.v for r in resample.resample_linear(cells, rows, shape, m, limits).collect()}
+        got = {(r.z, r.y, r.x): r.v for r in resample.linear_chunks(grid, chunks if limits else chunked(rows, ImageMeta(shape), 0, 5, "<f8"), m, limits, most=most).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    far = np.eye(4)
+    far[0, 3] = 500
+    assert array(resample.transform_chunks(grid, chunks, far), whole).sum() == 0
+    plan = resample.linear_chunks(grid, chunks, m)._jdf.queryExecution().executedPlan().toString()
+    assert "part" in plan and plan.count("CartesianProduct") == plan.count("NestedLoop") == 0
+
+
 def test_arrays_as_text_and_back(spark):
     from pyspark.sql import functions as F
 

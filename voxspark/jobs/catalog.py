@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import ImageMeta, matrix_from_p
+from ..functions.geometry import ImageMeta, matrix_from_p, rotation_matrix
 from ..operators import blocks, lcc, pointwise, resample, runs, statistics, stencil
 from ..sources import volumes
 from ..sources.volumes import fixed_volume, moving_volume, raw_volume, volume_meta
@@ -22,6 +22,7 @@ SKIP = (2, 3, 2)
 OBLIQUE = ImageMeta((64, 25, 20), (0.5, 1.25, 2.0), (-16.0, 8.0, 4.0), (0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0))
 #: Entries are sums of powers of two, so that every product is exact in either engine.
 MATRIX = np.array([[0.9375, 0.125, 0.0, 1.25], [-0.125, 0.9375, 0.0625, 0.5], [0.0, -0.0625, 1.0, 0.375], [0, 0, 0, 1]])
+DIGITS = 9
 SHIFTS = [(2.0, 0.0, 0.0), (0.0, 0.0, 0.0), (1.5, 0.25, -0.25), (3.0, 0.0, 0.0), (2.0, 1.0, 0.0), (2.0, 0.0, -1.0)]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -320,6 +321,26 @@ def resample_linear(spark, sf_dir):
     return resample.resample_linear(fixed, moving, meta.shape, MATRIX)
 
 
+@query(SQL["transform_block"])
+def transform_block_chunked(spark, sf_dir):
+    """The same by chunks: blocks of the moving image go to the tiles of the grid that need them."""
+    meta, _, moving = images(spark, sf_dir)
+    return resample.transform_chunks(meta, lcc.chunked(moving, meta, 0), MATRIX)
+
+
+@query(SQL["transform_block"].replace("JOIN mov m ON", "JOIN bin m ON").replace(", p AS (", ", bin AS (SELECT z, y, x, CASE WHEN v > 512 THEN 1 ELSE 0 END AS v FROM mov), p AS (", 1)
+       .replace("CAST(coalesce(floor(t + 0.5e0 + 2.22e-15), 0) AS INTEGER) AS v", "CASE WHEN t > 0.4e0 THEN 1 ELSE 0 END AS v"))
+def transform_mask_chunked(spark, sf_dir):
+    meta, _, moving = images(spark, sf_dir)
+    return resample.transform_chunks(meta, lcc.chunked(moving.withColumn("v", (F.col("v") > 512).cast("int")), meta, 0), MATRIX, mask=True)
+
+
+@query(SQL["resample_linear"])
+def resample_linear_chunked(spark, sf_dir):
+    meta, _, moving = images(spark, sf_dir)
+    return resample.linear_chunks(meta, lcc.chunked(moving, meta, 0), MATRIX)
+
+
 @query(f"""WITH {FIX_MASK}, p AS (SELECT {_affine_sql(OBLIQUE.voxel_to_world)} FROM m_fix, d WHERE v > 0 AND x BETWEEN 1 AND nx - 2 AND y BETWEEN 1 AND ny - 2 AND z BETWEEN 1 AND nz - 2)
 SELECT count(*) AS n, sum(px) AS sx, sum(py) AS sy, sum(pz) AS sz, sum(py*py+pz*pz) AS ixx, sum(px*px+pz*pz) AS iyy, sum(px*px+py*py) AS izz, sum(-px*py) AS ixy, sum(-px*pz) AS ixz, sum(-py*pz) AS iyz FROM p""")
 def edge_moments(spark, sf_dir):
@@ -327,25 +348,47 @@ def edge_moments(spark, sf_dir):
     return statistics.edge_moment_sums(blocks.voxels(fixed), meta.shape, OBLIQUE.voxel_to_world)
 
 
-@query(f"WITH {BOTH_MASKS}, {_points(SHIFTS[2:3])}, {LCC} SELECT count(*) AS n, round(avg(1 - bt * bt / (bb * tt)), 6) AS lcc FROM s WHERE bb * tt > 1e-20")
+@query(f"WITH {BOTH_MASKS}, {_points(SHIFTS[2:3])}, {LCC} SELECT count(*) AS n, round(avg(1 - bt * bt / (bb * tt)), {DIGITS}) AS lcc FROM s WHERE bb * tt > 1e-20")
 def lcc_value(spark, sf_dir):
     meta, fixed, moving = masked_pair(spark, sf_dir)
-    return lcc.lcc_value(blocks.voxels(fixed), blocks.voxels(moving), meta.shape, meta.shape, shift(SHIFTS[2])).withColumn("lcc", F.round("lcc", 6))
+    return lcc.lcc_value(blocks.voxels(fixed), blocks.voxels(moving), meta.shape, meta.shape, shift(SHIFTS[2])).withColumn("lcc", F.round("lcc", DIGITS))
 
 
-@query(f"WITH {BOTH_MASKS}, {_points(SHIFTS)}, {LCC} SELECT k AS candidate, count(*) AS n, round(avg(1 - bt * bt / (bb * tt)), 6) AS lcc FROM s WHERE bb * tt > 1e-20 GROUP BY k")
+@query(f"WITH {BOTH_MASKS}, {_points(SHIFTS)}, {LCC} SELECT k AS candidate, count(*) AS n, round(avg(1 - bt * bt / (bb * tt)), {DIGITS}) AS lcc FROM s WHERE bb * tt > 1e-20 GROUP BY k")
 def lcc_candidates(spark, sf_dir):
     meta, fixed, moving = masked_pair(spark, sf_dir)
-    return lcc.lcc_candidates(blocks.voxels(fixed), blocks.voxels(moving), meta.shape, meta.shape, [shift(t) for t in SHIFTS]).withColumn("lcc", F.round("lcc", 6))
+    return lcc.lcc_candidates(blocks.voxels(fixed), blocks.voxels(moving), meta.shape, meta.shape, [shift(t) for t in SHIFTS]).withColumn("lcc", F.round("lcc", DIGITS))
 
 
 @query(SQL["lcc_candidates"])
 def lcc_candidates_chunked(spark, sf_dir):
     """The same by chunks: one task for each fixed chunk and the moving chunks it meets."""
     _, fixed, moving = masked_pair(spark, sf_dir)
-    parts = lcc.lcc_partials(fixed, moving, [np.array([*t, 0, 0, 0]) for t in SHIFTS])
-    sums = parts.groupBy("candidate").agg(F.sum("n").alias("n"), F.sum("lcc").alias("lcc"))
-    return sums.where("n > 0").select("candidate", "n", F.round(F.col("lcc") / F.col("n"), 6).alias("lcc"))
+    got = lcc.evaluate(fixed, moving, [np.array([*t, 0, 0, 0]) for t in SHIFTS])
+    return _similarities(spark, got)
+
+
+#: A pass of the descent: twelve moves about oblique axes through a centre of the fixed image, after an initial transform and a first move.
+PASS = optimise.descent_moves(
+    matrix_from_p([1.5, 0.25, -0.25, 0.01, 0.0, 0.02]), matrix_from_p([0.25, 0, 0, 0, 0.01, 0]), np.array([30.0, 12.0, 9.0]), rotation_matrix([0.3, -0.2, 0.5]), 1.0, 0.02,
+)[1]
+
+
+def _places(ps) -> str:
+    """p: fixed voxels of the mask with their places under each transform."""
+    each = " UNION ALL ".join(f"SELECT {i} AS k, z, y, x, v, {_affine_sql(matrix_from_p(p))} FROM m_fix WHERE v <> 0" for i, p in enumerate(ps))
+    return f"p AS ({each})"
+
+
+@query(f"WITH {BOTH_MASKS}, {_places(PASS)}, {LCC} SELECT k AS candidate, count(*) AS n, round(avg(1 - bt * bt / (bb * tt)), {DIGITS}) AS lcc FROM s WHERE bb * tt > 1e-20 GROUP BY k")
+def descent_pass(spark, sf_dir):
+    """The similarity of the twelve moves of a pass, in one job on kept tiles."""
+    _, fixed, moving = masked_pair(spark, sf_dir)
+    return _similarities(spark, lcc.evaluate(fixed, moving, PASS, margin=4))
+
+
+def _similarities(spark, got) -> DataFrame:
+    return spark.createDataFrame([(i, s.n, round(s.lcc, DIGITS)) for i, s in enumerate(got) if s.n], "candidate int, n long, lcc double")
 
 
 DERIVED = (1.75, 0.125, 0.0)
@@ -370,12 +413,10 @@ SELECT CAST(count(*) // 7 AS BIGINT) AS n, round(sum(c * m * m) / 2 / (count(*)
 def lcc_derivatives(spark, sf_dir):
     """Similarity, rigid gradient and Gauss-Newton matrix near the minimum."""
     _, fixed, moving = masked_pair(spark, sf_dir)
-    parts = lcc.lcc_partials(fixed, moving, [np.array([*DERIVED, 0, 0, 0])], True)
-    n = F.sum("n")
-    return parts.agg(
-        n.alias("n"), F.round(F.sum("lcc") / 2 / n, 6).alias("lcc"), *[F.round(F.sum(F.col("gradient")[k]) / n, 6).alias(f"g{k}") for k in range(6)],
-        *[F.round(F.sum(F.col("hessian")[6 * i + j]) / n, 4).alias(f"h{i}{j}") for i, j in _UPPER],
-    )
+    s = lcc.evaluate(fixed, moving, [np.array([*DERIVED, 0, 0, 0])], True)[0]
+    row = [s.n, s.lcc, *s.gradient.tolist(), *[float(s.hessian[i, j]) for i, j in _UPPER]]
+    names = ["n long", "lcc double", *[f"g{k} double" for k in range(6)], *[f"h{i}{j} double" for i, j in _UPPER]]
+    return spark.createDataFrame([(row[0], *[round(x, 6 if i < 7 else 4) for i, x in enumerate(row[1:])])], ", ".join(names))
 
 
 @query(f"""WITH {FIX_MASK}, l AS (SELECT z, CAST(y AS BIGINT) * nx + x AS pos, v FROM m_fix, d),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.geometry import ImageMeta, matrix_from_p, p_from_matrix, swap_handedness
 from ..operators.blocks import masked_chunks
-from ..operators.lcc import Chunks
+from ..operators.lcc import Chunks, Overlap
 from ..operators.statistics import edge_fraction
 from .optimise import Outcome, levenberg_marquardt, simple_gradient, transform_from_moments
 from .pyramid import build_pyramid, plan_pyramid
@@ -149,10 +149,10 @@ def register(fixed: DataFrame, f: ImageMeta, moving: DataFrame, m: ImageMeta, co
                 start = transform_from_moments(fc, mc, config.shift_only)
             p, centre, axes = p_from_matrix(matrix_from_p(start.p), config.affine), start.centre, start.axes
         for i in range(last, -1, -1):
-            with _both(fl, ml, i) as (fc, mc):
+            with _both(fl, ml, i) as (fc, mc), Overlap(fc, mc) as overlap:
                 if i == last and config.simple_gradient and not config.affine:
-                    p = simple_gradient(fc, mc, p, centre, axes, config.step_first, config.step_least).p
-                got = levenberg_marquardt(fc, mc, p, config.damping, config.damping_up, config.damping_down, config.most_steps, config.most_up, config.min_shift)
+                    p = simple_gradient(overlap, p, centre, axes, config.step_first, config.step_least).p
+                got = levenberg_marquardt(overlap, p, config.damping, config.damping_up, config.damping_down, config.most_steps, config.most_up, config.min_shift)
             p = got.p
             done.append(got)
     finally:

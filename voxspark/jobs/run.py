@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ImageMeta, voxel_matrix
-from ..operators.resample import resample_linear
+from ..operators.lcc import chunked
+from ..operators.resample import linear_chunks
 from ..sources import mhd, store
 from .export import matrix_text, moved_header, read_matrix, run_record, validation_text
 from .register import Config, Registration, initial_matrix, read_config, register
@@ -85,11 +86,11 @@ def import_images(spark: SparkSession, job: Job) -> dict[str, tuple[ImageMeta, D
 
 def resampled_moving(spark: SparkSession, fixed_path: str, moving_path: str, matrix: np.ndarray) -> tuple[DataFrame, ImageMeta, str]:
     """The moving file's own values on the fixed file's grid and in its element type: rounded and held within its range, 0 outside."""
-    f, grid = mhd.read_mhd(spark, fixed_path)
+    f = mhd.meta_of(mhd.read_header(fixed_path))
     m, moving = mhd.read_mhd(spark, moving_path)
     element = mhd.read_header(fixed_path)["ElementType"]
-    image = moving.select("z", "y", "x", F.col("g").alias("v"))
-    return resample_linear(grid, image, m.shape, voxel_matrix(f, m, matrix), mhd.value_limits(element)), f, element
+    chunks = chunked(moving.select("z", "y", "x", F.col("g").alias("v")), m, 0, kind="<f8")
+    return linear_chunks(f, chunks, voxel_matrix(f, m, matrix), mhd.value_limits(element)), f, element
 
 
 def validation_header(text: str) -> str:

@@ -1,4 +1,4 @@
-"""Local correlation of two edge-masked images: relational form, and partial sums by chunk.
+"""Local correlation of two edge-masked images: relational form, and sums by tiles of chunks.
 
 For a fixed core voxel, b and t are the magnitudes of the fixed image and of the moving image under the transform at the
 voxel and its six neighbours; its value is 1 - Sbt^2 / (Sbb Stt) of the centred values. The similarity is the
@@ -7,24 +7,26 @@ mean over all core voxels where the moving image is core too and all seven magni
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ImageMeta, voxel_matrix_from_p
+from .exact import LIMBS, from_limbs, to_limbs
 from .pointwise import AXES, KEY, transformed
 from .resample import interpolate_masked
 from .stencil import BALL, CROSS
+from .tiles import BOX_VOXELS, TILE, assembled, boxed, planned, transformed_points
 
 FLAT = 1e-20
-FEW_CHUNKS = 20_000
 CHUNK = 32
+MARGIN = 6  #: moving voxels by which a pose may leave the one whose boxes are kept
 
 
 def _centre(shape: Sequence[int], margin: int = 2) -> Column:
@@ -71,16 +73,17 @@ def lcc_candidates(fixed: DataFrame, moving: DataFrame, fixed_shape: Sequence[in
 
 @dataclass(frozen=True)
 class Chunks:
-    """An image as blocks of edge^3 voxels with a rim of `halo`: cz, cy, cx, n_core and data (int16, z slowest); n rows, where counted."""
+    """An image as blocks of edge^3 voxels with a rim of `halo`: cz, cy, cx, n_core and data (z slowest, elements of `kind`); n rows, where counted."""
 
     rows: DataFrame
     meta: ImageMeta
     halo: int
     edge: int = CHUNK
     n: int | None = None
+    kind: str = "<i2"
 
 
-def chunked(image: DataFrame, meta: ImageMeta, halo: int, edge: int = CHUNK) -> Chunks:
+def chunked(image: DataFrame, meta: ImageMeta, halo: int, edge: int = CHUNK, kind: str = "<i2") -> Chunks:
     """Each voxel goes to the chunks whose rim it lies in; a chunk is at most (edge + 2 halo)^3 voxels whatever the image is.
 
     Background voxels are not moved, and chunks without any voxel have no row.
@@ -94,14 +97,14 @@ def chunked(image: DataFrame, meta: ImageMeta, halo: int, edge: int = CHUNK) ->
         at = at * side + (F.col(k) - F.col(f"c{k}") * edge + halo)
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        data = np.zeros(side**3, np.int16)
+        data = np.zeros(side**3, kind)
         data[group["at"].to_numpy()] = group["v"].to_numpy()
         first = group.iloc[0]
         inner = data.reshape(side, side, side)[halo : halo + edge, halo : halo + edge, halo : halo + edge]
         return pd.DataFrame({"cz": [first.cz], "cy": [first.cy], "cx": [first.cx], "n_core": [int((inner > 0).sum())], "data": [data.tobytes()]})
 
     slim = rows.select("cz", "cy", "cx", at.cast("int").alias("at"), "v")
-    return Chunks(slim.groupBy("cz", "cy", "cx").applyInPandas(pack, "cz long, cy long, cx long, n_core long, data binary"), meta, halo, edge)
+    return Chunks(slim.groupBy("cz", "cy", "cx").applyInPandas(pack, "cz long, cy long, cx long, n_core long, data binary"), meta, halo, edge, kind=kind)
 
 
 def _interpolated(block: np.ndarray, origin: np.ndarray, points: np.ndarray, shape: np.ndarray) -> np.ndarray:
@@ -125,39 +128,40 @@ def _interpolated(block: np.ndarray, origin: np.ndarray, points: np.ndarray, sha
     return out
 
 
-def _partial(fixed: np.ndarray, halo: int, edge: int, corner: np.ndarray, f: ImageMeta, m: ImageMeta, block: np.ndarray, origin: np.ndarray, p: np.ndarray, derivatives: bool):
-    """Sums of one fixed chunk: n, lcc and, with derivatives, gradient and Gauss-Newton matrix."""
-    k = len(p)
-    none = (0, 0.0, np.zeros(k), np.zeros((k, k)))
-    matrix, world = voxel_matrix_from_p(f, m, p), f.voxel_to_world
-    inner = fixed[halo : halo + edge, halo : halo + edge, halo : halo + edge]
-    at = np.argwhere(inner > 0)[:, ::-1] + corner
+def _partial(fixed: np.ndarray, halo: int, first: np.ndarray, size: np.ndarray, f: ImageMeta, m: ImageMeta, block: np.ndarray, origin: np.ndarray, matrix: np.ndarray, k: int):
+    """Number and sums of one tile: the similarity, and with k parameters (0: none) the gradient and the Gauss-Newton matrix.
+
+    `fixed` is the tile with its rim, whose first own voxel is `first` (x, y, z); `block` begins at voxel `origin` of the moving image.
+    """
+    none = 0, np.zeros(1 + k + k * k)
+    inner = fixed[tuple(slice(halo, halo + n) for n in size[::-1])]
+    at = np.argwhere(inner > 0)[:, ::-1] + first
     at = at[((at >= 2) & (at <= np.array(f.shape) - 3)).all(1)]
     shape = np.array(m.shape)
-    at = at[_interpolated(block, origin, at @ matrix[:3, :3].T + matrix[:3, 3], shape) > 0] if len(at) else at
+    moved = lambda v: _interpolated(block, origin, np.stack(transformed_points(matrix, *v.T), -1), shape)
+    at = at[moved(at) > 0] if len(at) else at
     if not len(at):
         return none
-    cross = np.array(CROSS)[:, ::-1]
-    around = at[:, None, :] + cross
+    around = at[:, None, :] + np.array(CROSS)[:, ::-1]
     g = np.abs(fixed.astype(np.int64))
-    value = lambda v: g[v[..., 2] - corner[2] + halo, v[..., 1] - corner[1] + halo, v[..., 0] - corner[0] + halo]
-    moved = np.abs(_interpolated(block, origin, (around @ matrix[:3, :3].T + matrix[:3, 3]).reshape(-1, 3), shape)).reshape(len(at), 7)
+    value = lambda v: g[v[..., 2] - first[2] + halo, v[..., 1] - first[1] + halo, v[..., 0] - first[0] + halo]
+    other = np.abs(moved(around.reshape(-1, 3))).reshape(len(at), 7)
     own = value(around).astype(float)
-    good = (moved >= 1).all(1)
-    good &= (value(at[:, None, :] + np.array(BALL)[:, ::-1]) >= 1).all(1) if derivatives else (own >= 1).all(1)
-    around, moved, own = around[good], moved[good], own[good]
-    if not derivatives:
-        b, t = own - own.mean(1, keepdims=True), moved - moved.mean(1, keepdims=True)
-        bb, tt, bt = (b * b).sum(1), (t * t).sum(1), (b * t).sum(1)
+    good = (other >= 1).all(1)
+    good &= (value(at[:, None, :] + np.array(BALL)[:, ::-1]) >= 1).all(1) if k else (own >= 1).all(1)
+    around, other, own = around[good], other[good], own[good]
+    if not k:
+        b, t = own.sum(1), other.sum(1)
+        bb, tt, bt = (own * own).sum(1) - b * b / 7, (other * other).sum(1) - t * t / 7, (own * other).sum(1) - b * t / 7
         fine = bb * tt > FLAT
-        return int(fine.sum()), float((1 - bt[fine] ** 2 / (bb * tt)[fine]).sum()), *none[2:]
-    b, t = moved - moved.mean(1, keepdims=True), own - own.mean(1, keepdims=True)
+        return int(fine.sum()), np.array([(1 - bt[fine] * bt[fine] / (bb * tt)[fine]).sum()])
+    b, t = other - other.mean(1, keepdims=True), own - own.mean(1, keepdims=True)
     bb, tt, bt = (b * b).sum(1), (t * t).sum(1), (b * t).sum(1)
     fine = (bb >= FLAT) & (tt >= FLAT)
     if not fine.any():
         return none
     around, b, t, bb, tt, bt = around[fine], b[fine], t[fine], bb[fine], tt[fine], bt[fine]
-    unit = np.eye(3, dtype=np.int64)
+    unit, world = np.eye(3, dtype=np.int64), f.voxel_to_world
     slope = np.stack([value(around + unit[i]) - value(around - unit[i]) for i in range(3)], -1) @ f.gradient_matrix.T
     w = around @ world[:3, :3].T + world[:3, 3]
     if k == 6:
@@ -169,9 +173,7 @@ def _partial(fixed: np.ndarray, halo: int, edge: int, corner: np.ndarray, f: Ima
     left = b - (bt / tt)[:, None] * t
     left_d = 2 * (bt / tt**2)[:, None, None] * t[:, :, None] * tt_d[:, None, :] - (bt_d[:, None, :] * t[:, :, None] + bt[:, None, None] * d) / tt[:, None, None]
     c = 2 / bb
-    return (
-        len(c), float((c[:, None] * left * left).sum()), np.einsum("n,ni,nik->k", c, left, left_d), np.einsum("n,nik,nil->kl", c, left_d, left_d)
-    )
+    return len(c), np.concatenate([[(c[:, None] * left * left).sum()], np.einsum("n,ni,nik->k", c, left, left_d), np.einsum("n,nik,nil->kl", c, left_d, left_d).ravel()])
 
 
 @dataclass(frozen=True)
@@ -186,84 +188,132 @@ class InsufficientOverlapError(ValueError):
     """No voxel of the fixed image meets a core voxel of the moving one."""
 
 
-PARTIAL = "candidate int, n long, lcc double, gradient array<double>, hessian array<double>"
+KEPT = ", ".join(f"{c} int" for c in TILE) + ", block binary, bz int, by int, bx int, sz int, sy int, sx int, box binary"
+LIMB = "candidate int, at int, limb long"
 
 
-def lcc_partials(fixed: Chunks, moving: Chunks, candidates: Sequence[np.ndarray], derivatives: bool = False) -> DataFrame:
-    """Sums by candidate and fixed chunk. A fixed chunk is joined with the moving chunks that its transformed box meets and no others.
+class Overlap:
+    """Two masked images for many evaluations: each tile of the fixed one is kept with the box of the moving one around its place under a pose.
 
-    Which they are follows from the chunk's place and the transform, so pairs are made by arithmetic, as an
-    equal join on chunk coordinates; a pair goes once, with the list of the candidates that need it. The pairs, a few numbers
-    each, are broadcast where the fixed chunks are counted and few. A task holds one fixed chunk and the boxes of moving ones it meets.
+    As long as parameters move no voxel by more than `margin` moving voxels from a kept pose, an evaluation is map only over
+    the kept tiles: neither image is moved, and what is exchanged are a few integers a task. Beyond that the boxes are cut
+    anew. Tiles are the fixed chunks, or their eighths until a box has at most `most` voxels, so a task holds a tile
+    and its box under any affine transform. Sums are exact (exact.py), and so the same for any number of partitions and tasks.
     """
-    f, m, halo, edge, side = fixed.meta, moving.meta, fixed.halo, fixed.edge, fixed.edge + 2 * fixed.halo
-    if moving.edge != edge:
-        raise ValueError("both images need chunks of one size")
-    plans = [(i, np.asarray(p, float)) for i, p in enumerate(candidates)]
-
-    def meet(corner: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        matrix = voxel_matrix_from_p(f, m, p)
-        ends = np.array([[corner[j] + (-1 if not (i >> j) & 1 else edge) for j in range(3)] for i in range(8)], float)
-        place = ends @ matrix[:3, :3].T + matrix[:3, 3]
-        return np.maximum(np.floor(place.min(0)).astype(int), 0), np.minimum(np.floor(place.max(0)).astype(int) + 1, np.array(m.shape) - 1)
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: dict[tuple, list[int]] = {}
-            for cz, cy, cx in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for i, p in plans:
-                    low, high = meet(np.array([cx, cy, cz]) * edge, p)
-                    if (high >= low).all():
-                        a, e = (low // edge).tolist(), (high // edge).tolist()
-                        for z, y, x in itertools.product(*(range(a[k], e[k] + 1) for k in (2, 1, 0))):
-                            rows.setdefault((cz, cy, cx, z, y, x), []).append(i)
-            places = [pa.array([r[i] for r in rows], pa.int64()) for i in range(6)]
-            yield pa.RecordBatch.from_arrays([*places, pa.array(list(rows.values()), pa.list_(pa.int64()))], ["fz", "fy", "fx", "cz", "cy", "cx", "candidates"])
-
-    core = fixed.rows.where("n_core > 0")
-    pairs = core.select("cz", "cy", "cx").mapInArrow(wanted, "fz long, fy long, fx long, cz long, cy long, cx long, candidates array<long>")
-    met = (F.broadcast(pairs) if fixed.n is not None and fixed.n <= FEW_CHUNKS else pairs).join(moving.rows.select("cz", "cy", "cx", "data"), ["cz", "cy", "cx"])
-
-    def work(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        corner, out = np.array([key[2], key[1], key[0]]) * edge, []
-        if len(left) and len(right):
-            block = np.frombuffer(left["data"].iloc[0], np.int16).reshape(side, side, side)
-            for i, own in right.explode("candidates").groupby("candidates"):
-                low = own[["cx", "cy", "cz"]].min().to_numpy()
-                count = own[["cx", "cy", "cz"]].max().to_numpy() - low + 1
-                big = np.zeros(count[::-1] * edge, np.int16)
-                for r in own.itertuples():
-                    z, y, x = (np.array([r.cz, r.cy, r.cx]) - low[::-1]) * edge
-                    big[z : z + edge, y : y + edge, x : x + edge] = np.frombuffer(r.data, np.int16).reshape(edge, edge, edge)
-                n, lcc, g, h = _partial(block, halo, edge, corner, f, m, big, low * edge, plans[int(i)][1], derivatives)
-                out.append((int(i), n, lcc, g.tolist(), h.ravel().tolist()))
-        return pd.DataFrame(out, columns=["candidate", "n", "lcc", "gradient", "hessian"])
-
-    left = core.select("cz", "cy", "cx", "data").groupBy("cz", "cy", "cx")
-    right = met.select("fz", "fy", "fx", "candidates", "cz", "cy", "cx", "data").groupBy("fz", "fy", "fx")
-    return left.cogroup(right).applyInPandas(work, PARTIAL)
-
-
-def evaluate(fixed: Chunks, moving: Chunks, candidates: Sequence[np.ndarray], derivatives: bool = False) -> list[Similarity]:
-    """The similarity under each candidate's parameters: sums in Spark, one small row a candidate for the driver."""
-    k = len(candidates[0])
-    parts = lcc_partials(fixed, moving, candidates, derivatives)
-    sums = [F.sum("n").alias("n"), F.sum("lcc").alias("lcc")]
-    if derivatives:
-        sums += [F.sum(F.col("gradient")[i]).alias(f"g{i}") for i in range(k)]
-        sums += [F.sum(F.col("hessian")[i * k + j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-    got = {r.candidate: r for r in parts.groupBy("candidate").agg(*sums).collect()}
-    out = []
-    for i in range(len(candidates)):
-        r = got.get(i)
-        if r is None or not r.n:
-            out.append(Similarity(0, float("nan")))
-        elif not derivatives:
-            out.append(Similarity(r.n, r.lcc / r.n))
-        else:
-            h = np.zeros((k, k))
-            for a in range(k):
-                for b in range(a, k):
-                    h[a, b] = h[b, a] = r[f"h{a}_{b}"] / r.n
-            out.append(Similarity(r.n, r.lcc / (2 * r.n), np.array([r[f"g{a}"] for a in range(k)]) / r.n, h))
-    return out
+
+    def __init__(self, fixed: Chunks, moving: Chunks, margin: int = MARGIN, most: int = BOX_VOXELS):
+        if moving.edge != fixed.edge or moving.halo:
+            raise ValueError("both images need chunks of one size, those of the moving one without a rim")
+        self.fixed, self.moving, self.margin, self.most = fixed, moving, margin, most
+        self.poses: list[np.ndarray] = []
+        self.rows: DataFrame | None = None
+        self.cuts = 0
+
+    def matrix(self, p: np.ndarray) -> np.ndarray:
+        return voxel_matrix_from_p(self.fixed.meta, self.moving.meta, p)
+
+    def reach(self, a: np.ndarray, b: np.ndarray) -> float:
+        """How far two voxel matrices take any point of the fixed image apart on an axis."""
+        ends = np.array([[(i >> j & 1) * (n + 1.0) - 1 for i in range(8)] for j, n in enumerate(self.fixed.meta.shape)])
+        return float(np.abs((a - b)[:3, :3] @ ends + (a - b)[:3, 3:]).max())
+
+    def _pose(self, matrix: np.ndarray) -> int | None:
+        return next((k for k, q in enumerate(self.poses) if self.reach(matrix, q) <= self.margin), None)
+
+    def cover(self, candidates: Sequence[np.ndarray], around: np.ndarray | None = None) -> list[int]:
+        """The kept pose of every candidate. Where one has none, boxes are cut for as few poses as will do, `around` and then the candidates themselves."""
+        matrices = [self.matrix(p) for p in candidates]
+        found = [self._pose(m) for m in matrices]
+        if self.rows is None or None in found:
+            self.close()
+            centre = [] if around is None else [self.matrix(around)]
+            self.poses = [q for q in centre if any(self.reach(m, q) <= self.margin for m in matrices)]
+            for m in matrices:
+                if self._pose(m) is None:
+                    self.poses.append(m)
+            found = [self._pose(m) for m in matrices]
+            self.rows, self.cuts = self._cut().persist(StorageLevel.MEMORY_AND_DISK), self.cuts + 1
+        return found
+
+    def _cut(self) -> DataFrame:
+        f, m = self.fixed, self.moving
+        core = f.rows.where("n_core > 0")
+        plan = lambda rows, halo: planned(rows, f.edge, f.meta.shape, self.poses, m.meta.shape, 1, self.margin, self.most, halo)
+        parts = boxed(plan(core, None), m.rows, m.edge)
+
+        def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame([], columns=[c.split()[0] for c in KEPT.split(", ")])
+            low, box = assembled(right)
+            row = left[[*TILE, "block"]].copy()
+            for name, v in zip(("bz", "by", "bx", "sz", "sy", "sx"), (*low, *box.shape), strict=True):
+                row[name] = int(v)
+            row["box"] = [box.tobytes()]
+            return row
+
+        return plan(core, f.halo).groupBy(*TILE).cogroup(parts.groupBy(*TILE)).applyInPandas(work, KEPT)
+
+    def partials(self, candidates: Sequence[np.ndarray], derivatives: bool = False, around: np.ndarray | None = None) -> DataFrame:
+        """candidate, at and limb: the limbs of the sums, added up (at -1: the number of voxels); zeros have no row."""
+        poses = self.cover(candidates, around)
+        f, m, halo = self.fixed.meta, self.moving.meta, self.fixed.halo
+        k = len(candidates[0]) if derivatives else 0
+        by: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, (pose, p) in enumerate(zip(poses, candidates, strict=True)):
+            by.setdefault(pose, []).append((i, self.matrix(p)))
+        n_candidates = len(candidates)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, numbers = np.zeros((n_candidates, (1 + k + k * k) * LIMBS), np.int64), np.zeros(n_candidates, np.int64)
+            for b in batches:
+                ints = [b.column(i).to_pylist() for i in (0, *range(1, 7), *range(8, 14))]
+                for r, block, box in zip(zip(*ints, strict=True), b.column(7).to_pylist(), b.column(14).to_pylist(), strict=True):
+                    size = np.array(r[6:3:-1])
+                    own = np.frombuffer(block, np.int16).reshape([n + 2 * halo for n in size[::-1]])
+                    other = np.frombuffer(box, np.int16).reshape(r[10:13])
+                    for i, matrix in by.get(r[0], ()):
+                        n, values = _partial(own, halo, np.array(r[3:0:-1]), size, f, m, other, np.array(r[9:6:-1]), matrix, k)
+                        if n:
+                            numbers[i] += n
+                            sums[i] += to_limbs(values).ravel()
+            who, at = np.nonzero(sums)
+            some = np.flatnonzero(numbers)
+            columns = np.concatenate([who, some]), np.concatenate([at, np.full(len(some), -1)]), np.concatenate([sums[who, at], numbers[some]])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64()), strict=True)], ["candidate", "at", "limb"])
+
+        return self.rows.mapInArrow(run, LIMB).groupBy("candidate", "at").agg(F.sum("limb").alias("limb"))
+
+    def evaluate(self, candidates: Sequence[np.ndarray], derivatives: bool = False, around: np.ndarray | None = None) -> list[Similarity]:
+        """The similarity under each candidate's parameters: sums in Spark, some numbers a candidate for the driver."""
+        k = len(candidates[0]) if derivatives else 0
+        limbs, numbers = np.zeros((len(candidates), (1 + k + k * k) * LIMBS), object), [0] * len(candidates)
+        for r in self.partials(candidates, derivatives, around).collect():
+            if r["at"] < 0:
+                numbers[r.candidate] = r.limb
+            else:
+                limbs[r.candidate, r["at"]] = r.limb
+        out = []
+        for n, row in zip(numbers, limbs, strict=True):
+            if not n:
+                out.append(Similarity(0, float("nan")))
+                continue
+            v = np.array([from_limbs(x) for x in row.reshape(-1, LIMBS)]) / n
+            out.append(Similarity(n, float(v[0]) / 2, v[1 : 1 + k], v[1 + k :].reshape(k, k)) if derivatives else Similarity(n, float(v[0])))
+        return out
+
+    def close(self) -> None:
+        if self.rows is not None:
+            self.rows.unpersist()
+        self.rows, self.poses = None, []
+
+    def __enter__(self) -> Overlap:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def evaluate(fixed: Chunks, moving: Chunks, candidates: Sequence[np.ndarray], derivatives: bool = False, margin: int = 2, most: int = BOX_VOXELS) -> list[Similarity]:
+    """The similarity under each candidate's parameters, once."""
+    with Overlap(fixed, moving, margin, most) as overlap:
+        return overlap.evaluate(candidates, derivatives)
