@@ -1,4 +1,5 @@
 import struct
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -7,7 +8,8 @@ from voxspark.functions.geometry import ImageMeta, matrix_from_p, rotation_matri
 from voxspark.jobs import export, masking, optimise, run
 from voxspark.jobs.register import Config, register
 from voxspark.operators import lcc, pointwise, resample, runs, statistics, stencil
-from voxspark.operators.blocks import masked_chunks, voxels
+from voxspark.operators.average import averaged
+from voxspark.operators.blocks import masked_chunks, rimmed, voxels
 from voxspark.operators.lcc import chunked, evaluate
 from voxspark.sources import isq, mhd, store
 
@@ -89,6 +91,48 @@ def test_area_average_against_arrays(spark, small):
         resample.downsample(table(spark, small), small.shape[::-1], (12, 10, 9))
 
 
+def test_averages_by_prefix_sums_are_the_relational_ones(spark, small):
+    """Chunks that cut cells on every face, images and masks; one exchange after the chunks."""
+    meta = ImageMeta(small.shape[::-1])
+    for to in ((5, 5, 4), (11, 10, 9), (8, 7, 6), (1, 1, 1)):
+        for mask in (False, True):
+            a = (small > 700).astype(int) if mask else small
+            want = array(resample.downsample(table(spark, a), meta.shape, to, mask), to[::-1])
+            for edge in (4, 32):
+                got = averaged(chunked(table(spark, a), meta, 0, edge), meta.resampled(to), mask)
+                assert (array(voxels(got), to[::-1]) == want).all() and sum(r.n_core for r in got.rows.select("n_core").collect()) == (want > 0).sum()
+    kept = chunked(table(spark, small), meta, 0, 4)
+    rows = spark.createDataFrame(kept.rows.collect(), kept.rows.schema)
+    plan = averaged(replace(kept, rows=rows), meta.resampled((5, 5, 4))).rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    with pytest.raises(ValueError):
+        averaged(kept, ImageMeta((12, 10, 9)))
+
+
+def test_rims_are_put_on_chunks(spark):
+    """As voxels are cut into chunks with a rim; chunks that only have a rim come too."""
+    rng = np.random.default_rng(3)
+    a = np.zeros((13, 14, 15), int)
+    a[5:9, 2:7, 8:] = rng.integers(1, 900, (4, 5, 7))
+    meta, rows = ImageMeta((15, 14, 13)), table(spark, a)
+    for edge, halo in ((4, 3), (6, 5), (32, 3)):
+        place = lambda c: {(r.cz, r.cy, r.cx): (r.n_core, bytes(r.data)) for r in c.rows.collect() if any(r.data)}
+        inside = lambda d: {k: v for k, v in d.items() if all(0 <= c <= (n - 1) // edge for c, n in zip(k, a.shape, strict=True))}
+        assert place(rimmed(chunked(rows, meta, 0, edge), halo)) == inside(place(chunked(rows, meta, halo, edge)))
+
+
+def test_masks_of_chunks_are_those_of_voxels(spark):
+    rng = np.random.default_rng(9)
+    a, keep = rng.integers(1, 900, (13, 14, 15)), (rng.random((13, 14, 15)) < 0.7).astype(int)
+    a[:3, :5, :6] = keep[8:, 8:, 8:] = 0
+    meta, rows = ImageMeta((15, 14, 13)), table(spark, a)
+    for moving, mask in ((False, None), (True, table(spark, keep)), (False, table(spark, keep))):
+        want = array(masking.mask_image(rows, meta, 0.2, moving, mask), a.shape)
+        c = masked_chunks(chunked(rows, meta, 0, 6), meta, 0.2, moving, mask and chunked(mask, meta, 0, 6))
+        assert (array(voxels(c), a.shape) == want).all() and (want > 0).any()
+        c.rows.unpersist()
+
+
 def _masked(a, rng):
     out = np.where(rng.random(a.shape) < 0.6, a, -a)
     out[rng.random(a.shape) < 0.03] = 0
@@ -227,8 +271,6 @@ def test_steps_within_the_margin_move_no_voxels(spark):
 
 def test_sums_do_not_depend_on_partitions(spark):
     """Equal bits for 1, 7 and 50 partitions, with derivatives."""
-    from dataclasses import replace
-
     got, p = [], [np.array([0.3, 0.1, -0.2, 0.02, 0.0, 0.01])]
     with _overlap(spark) as made:
         for n in (1, 7, 50):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ImageMeta, matrix_from_p, rotation_matrix
-from ..operators import blocks, lcc, pointwise, resample, runs, statistics, stencil
+from ..operators import average, blocks, lcc, pointwise, resample, runs, statistics, stencil
 from ..sources import volumes
 from ..sources.volumes import fixed_volume, moving_volume, raw_volume, volume_meta
 from . import masking, optimise, pyramid
@@ -272,6 +272,28 @@ def downsample_mask(spark, sf_dir):
     return _down(spark, sf_dir, 2.0, True)
 
 
+def _down_chunked(spark, sf_dir, factor: float, mask: bool = False) -> DataFrame:
+    meta, fixed, _ = images(spark, sf_dir)
+    image = fixed.withColumn("v", (F.col("v") > 512).cast("int")) if mask else fixed
+    return blocks.voxels(average.averaged(lcc.chunked(image, meta, 0), meta.resampled(resample.resampled_shape(meta.shape, (factor,) * 3)), mask))
+
+
+@query(SQL["downsample_2"])
+def downsample_2_chunked(spark, sf_dir):
+    """By prefix sums of chunks; grey values are 1 or more, so no voxel is left out."""
+    return _down_chunked(spark, sf_dir, 2.0)
+
+
+@query(SQL["downsample_sqrt2"])
+def downsample_sqrt2_chunked(spark, sf_dir):
+    return _down_chunked(spark, sf_dir, math.sqrt(2))
+
+
+@query(f"SELECT * FROM ({SQL['downsample_mask']}) WHERE v <> 0")
+def downsample_mask_chunked(spark, sf_dir):
+    return _down_chunked(spark, sf_dir, 2.0, True)
+
+
 @query(f"""WITH {VOX}, n AS (SELECT *, greatest(0, least(CAST(trunc(ln(nx * ny * nz / 1000e0) / ln(2e0) / 3 + 0.5e0) AS INTEGER),
     CAST(trunc(ln(least(nx, ny, nz) / 7e0) / ln(2e0)) AS INTEGER))) AS last FROM d),
 l AS (SELECT unnest(range(0, last + 1)) AS level, nx, ny, nz FROM n),
@@ -281,8 +303,8 @@ def pyramid_levels(spark, sf_dir):
     """Sizes of the levels, as counted from the voxels of each."""
     meta, fixed, _ = images(spark, sf_dir)
     out = None
-    for i, (_, image) in enumerate(pyramid.build_pyramid(fixed, meta, pyramid.plan_pyramid([meta]))):
-        row = image.agg(F.lit(i).alias("level"), *[(F.max(k) + 1).cast("long").alias(f"n{k}") for k in ("x", "y", "z")])
+    for i, level in enumerate(pyramid.build_pyramid(fixed, meta, pyramid.plan_pyramid([meta]))):
+        row = blocks.voxels(level).agg(F.lit(i).alias("level"), *[(F.max(k) + 1).cast("long").alias(f"n{k}") for k in ("x", "y", "z")])
         out = row if out is None else out.union(row)
     return out
 

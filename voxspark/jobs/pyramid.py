@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..functions.geometry import ImageMeta
-from ..operators.resample import downsample, resampled_shape
+from ..operators.average import averaged
+from ..operators.lcc import CHUNK, Chunks, chunked
+from ..operators.resample import resampled_shape
 
 SMALLEST_EDGE = 7
 
@@ -53,12 +55,12 @@ def level_metas(base: ImageMeta, plan: PyramidPlan) -> list[ImageMeta]:
     return metas
 
 
-def build_pyramid(image: DataFrame, base: ImageMeta, plan: PyramidPlan, mask: bool = False, keep: bool = False) -> list[tuple[ImageMeta, DataFrame]]:
-    """All levels, the finest first; each is an exact area average of its parent. With `keep` the averaged levels are kept once they have been worked out."""
+def build_pyramid(image: DataFrame | Chunks, base: ImageMeta, plan: PyramidPlan, mask: bool = False, keep: bool = False, edge: int = CHUNK) -> list[Chunks]:
+    """All levels by chunks, the finest first; each is an exact area average of its parent. With `keep` they are kept once they have been worked out."""
     metas = level_metas(base, plan)
-    held = (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)) if keep else (lambda df: df)
-    out = [(metas[0], image if metas[0] == base else held(downsample(image, base.shape, metas[0].shape, mask)))]
+    held = (lambda c: replace(c, rows=c.rows.persist(StorageLevel.MEMORY_AND_DISK))) if keep else (lambda c: c)
+    source = image if isinstance(image, Chunks) else held(chunked(image, base, 0, edge))
+    out = [source if metas[0] == base else held(averaged(source, metas[0], mask))]
     for i in range(1, len(metas)):
-        at = i - 2 if plan.sqrt2 and i > 1 else i - 1
-        out.append((metas[i], held(downsample(out[at][1], metas[at].shape, metas[i].shape, mask))))
+        out.append(held(averaged(out[i - 2 if plan.sqrt2 and i > 1 else i - 1], metas[i], mask)))
     return out

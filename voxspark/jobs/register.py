@@ -15,7 +15,9 @@ from ..operators.blocks import masked_chunks
 from ..operators.lcc import Chunks, Overlap
 from ..operators.statistics import edge_fraction
 from .optimise import Outcome, levenberg_marquardt, simple_gradient, transform_from_moments
-from .pyramid import build_pyramid, plan_pyramid
+from .pyramid import PyramidPlan, build_pyramid, level_metas, plan_pyramid
+
+Image = DataFrame | Chunks | list[Chunks]
 
 
 @dataclass(frozen=True)
@@ -104,30 +106,44 @@ def same_geometry(image: ImageMeta, mask: ImageMeta, role: str) -> None:
         raise ValueError(f"geometry of {role} mask and image differ")
 
 
-class _Levels:
-    """One image's pyramid, each coarser level kept as soon as it is used, so that none is worked out twice."""
+def pyramid_plan(f: ImageMeta, m: ImageMeta, config: Config) -> PyramidPlan:
+    return plan_pyramid([f, m], config.cubic, config.min_scale, config.sqrt2, config.min_voxels)
 
-    def __init__(self, image: DataFrame, meta: ImageMeta, plan, mask: DataFrame | None, fraction: float, moving: bool):
-        self.images = build_pyramid(image, meta, plan, keep=True)
-        self.masks = build_pyramid(mask, meta, plan, mask=True, keep=True) if mask is not None else None
-        self.meta, self.fraction, self.moving, self.given = meta, fraction, moving, (image, mask)
+
+class _Levels:
+    """One image's pyramid by chunks, each level kept as soon as it is used, so that none is worked out twice. Stored levels are taken as they are."""
+
+    def __init__(self, image: Image, meta: ImageMeta, plan, mask: Image | None, fraction: float, moving: bool):
+        self.images, self.own = self._levels(image, meta, plan, False)
+        self.masks, more = self._levels(mask, meta, plan, True) if mask is not None else (None, [])
+        self.own += more
+        self.meta, self.fraction, self.moving = meta, fraction, moving
+
+    @staticmethod
+    def _levels(image: Image, meta: ImageMeta, plan, mask: bool) -> tuple[list[Chunks], list[Chunks]]:
+        if isinstance(image, list):
+            if [c.meta.shape for c in image] != [m.shape for m in level_metas(meta, plan)]:
+                raise ValueError("the stored levels are not those of the plan")
+            return image, []
+        made = build_pyramid(image, meta, plan, mask, keep=True)
+        return made, [c for c in made if c is not image]
 
     def chunks(self, i: int) -> Chunks:
-        """The edge-masked level by chunks; the fraction is of the base image's surface, so that it grows on coarse levels."""
-        meta, image = self.images[i]
-        own = edge_fraction(self.fraction, self.meta.voxel_surface, meta.voxel_surface)
-        return masked_chunks(image, meta, own, self.moving, self.masks[i][1] if self.masks else None)
+        """The edge-masked level; the fraction is of the base image's surface, so that it grows on coarse levels."""
+        level = self.images[i]
+        own = edge_fraction(self.fraction, self.meta.voxel_surface, level.meta.voxel_surface)
+        return masked_chunks(level, level.meta, own, self.moving, self.masks[i] if self.masks else None)
 
     def close(self) -> None:
-        for _, rows in [*self.images, *(self.masks or [])]:
-            if all(rows is not x for x in self.given):
-                rows.unpersist()
+        for c in self.own:
+            c.rows.unpersist()
 
 
-def register(fixed: DataFrame, f: ImageMeta, moving: DataFrame, m: ImageMeta, config: Config = Config(), matrix: np.ndarray | None = None,
-             fixed_mask: tuple[ImageMeta, DataFrame] | None = None, moving_mask: tuple[ImageMeta, DataFrame] | None = None) -> Registration:
+def register(fixed: Image, f: ImageMeta, moving: Image, m: ImageMeta, config: Config = Config(), matrix: np.ndarray | None = None,
+             fixed_mask: tuple[ImageMeta, Image] | None = None, moving_mask: tuple[ImageMeta, Image] | None = None) -> Registration:
     """Coarse to fine: levels, masks and chunks are made once and used by every evaluation there.
 
+    An image is a table of voxels, chunks without a rim, or the stored levels of its pyramid, the finest first.
     A mask (its geometry, and voxels of 0 and 1) restricts an image's edges to where it is not 0; a voxel
     of a coarser mask is 1 where more than a quarter of it is. Moments are taken on the middle level.
     """
@@ -137,7 +153,7 @@ def register(fixed: DataFrame, f: ImageMeta, moving: DataFrame, m: ImageMeta, co
     for role, meta, mask in (("fixed", f, fixed_mask), ("moving", m, moving_mask)):
         if mask is not None:
             same_geometry(meta, mask[0], role)
-    plan = plan_pyramid([f, m], config.cubic, config.min_scale, config.sqrt2, config.min_voxels)
+    plan = pyramid_plan(f, m, config)
     fl = _Levels(fixed, f, plan, fixed_mask and fixed_mask[1], config.fixed_fraction, False)
     ml = _Levels(moving, m, plan, moving_mask and moving_mask[1], config.moving_fraction, True)
     p, done, centre, axes = p_from_matrix(initial_matrix(matrix, config), config.affine), [], None, None

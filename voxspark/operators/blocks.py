@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from .lcc import CHUNK, Chunks, chunked
 from .pointwise import KEY
 from .statistics import gradient_threshold, histogram_bin
 from .stencil import BALL
+from .tiles import TILE, assembled, boxed, planned
 
 GRADIENT_RIM, MASK_RIM = 1, 2
 OUTSIDE = -(1 << 15)
@@ -129,9 +131,57 @@ def mask_chunks(source: Chunks, limit: float, moving: bool) -> Chunks:
     return Chunks(rows, source.meta, out, edge)
 
 
-def masked_chunks(image: DataFrame, meta, fraction: float, moving: bool, mask: DataFrame | None = None, edge: int = CHUNK) -> Chunks:
-    """Cut, threshold and mask: one exchange of the image. The result is kept; unpersist its rows after use."""
-    source = kept(chunked(signed(image, mask), meta, (0 if moving else 2) + MASK_RIM + GRADIENT_RIM, edge))
+def signed_chunks(image: Chunks, mask: Chunks | None) -> Chunks:
+    """As signed(), for chunks without a rim."""
+    if mask is None:
+        return image
+    side = image.edge
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for (_, block), inside in zip(_blocks(b, side), b.column(5).to_pylist(), strict=True):
+                keep = np.frombuffer(inside, np.int16).reshape(block.shape) != 0 if inside is not None else np.zeros(block.shape, bool)
+                out.append(np.where(keep, block, np.where(block == 0, OUTSIDE, -block)).astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), b.column(4), pa.array(out, pa.binary())], [*PLACE, "n_core", "data"])
+
+    both = image.rows.join(mask.rows.select(*PLACE, F.col("data").alias("_in")), PLACE, "left").select(*PLACE, "data", "n_core", "_in")
+    return replace(image, rows=both.mapInArrow(run, "cz long, cy long, cx long, n_core long, data binary"), n=None)
+
+
+def rimmed(chunks: Chunks, halo: int) -> Chunks:
+    """Chunks without a rim, with one of `halo` voxels: each gets its neighbours' faces, in one exchange of what its box needs of them."""
+    if chunks.halo:
+        raise ValueError("the chunks have a rim already")
+    edge, side, grid = chunks.edge, chunks.edge + 2 * halo, np.array(chunks.meta.shape[::-1])
+    # every chunk that is there, and its neighbours, whose rims it fills
+    near = chunks.rows.select(*[F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c) for c in PLACE[:1]], *PLACE[1:])
+    for c in PLACE[1:]:
+        near = near.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    for c, n in zip(PLACE, grid, strict=True):
+        near = near.where(F.col(c).between(0, (int(n) - 1) // edge))
+    tiles = planned(near.distinct(), edge, chunks.meta.shape, [np.eye(4)], chunks.meta.shape, halo, 0, side**3 * 8)
+
+    def work(parts: pd.DataFrame) -> pd.DataFrame:
+        first, box = assembled(parts)
+        r, out = parts.iloc[0], np.zeros((side,) * 3, np.int16)
+        begin = np.array([r.z0, r.y0, r.x0]) - halo
+        low, high = np.maximum(begin, first), np.minimum(begin + side, first + box.shape)
+        out[tuple(slice(a, b) for a, b in zip(low - begin, high - begin, strict=True))] = box[tuple(slice(a, b) for a, b in zip(low - first, high - first, strict=True))]
+        inner = out[(slice(halo, halo + edge),) * 3]
+        return pd.DataFrame({"cz": [r.z0 // edge], "cy": [r.y0 // edge], "cx": [r.x0 // edge], "n_core": [int((inner > 0).sum())], "data": [out.tobytes()]})
+
+    rows = boxed(tiles, chunks.rows, edge).groupBy(*TILE).applyInPandas(work, "cz long, cy long, cx long, n_core long, data binary")
+    return Chunks(rows, chunks.meta, halo, edge)
+
+
+def masked_chunks(image: DataFrame | Chunks, meta, fraction: float, moving: bool, mask: DataFrame | Chunks | None = None, edge: int = CHUNK) -> Chunks:
+    """Cut, threshold and mask: one exchange of the image, of voxels or of chunks without a rim. The result is kept; unpersist its rows after use."""
+    halo = (0 if moving else 2) + MASK_RIM + GRADIENT_RIM
+    if isinstance(image, Chunks):
+        source = kept(rimmed(signed_chunks(image, mask), halo))
+    else:
+        source = kept(chunked(signed(image, mask), meta, halo, edge))
     try:
         return kept(mask_chunks(source, threshold(source, fraction), moving))
     finally:
