@@ -460,6 +460,64 @@ def test_mhd_round_trip(spark, tmp_path, small):
     assert back == meta and (array(rows.withColumnRenamed("g", "v"), small.shape) == want).all() and rows.rdd.getNumPartitions() == 9
 
 
+def test_a_crop_reads_the_bytes_of_its_box_alone(spark, tmp_path, small, monkeypatch):
+    """Whole numbers stay whole, and one table serves many filters."""
+    from pyspark.sql import functions as F
+
+    meta, path = ImageMeta((11, 10, 9), (1.0, 2.0, 3.0)), f"{tmp_path}/a.mhd"
+    mhd.write_mhd(table(spark, small), meta, path)
+    _, rows = mhd.read_mhd(spark, path, slab_bytes=300)
+    assert dict(rows.dtypes)["g"] == "bigint" and rows.where("z = 4 and x > 3").count() == 70 and rows.agg(F.sum("g")).first()[0] == small.sum()
+    for offset, size in (((4, 4, 2), (5, 3, 3)), ((0, 2, 0), (11, 4, 9)), ((0, 0, 0), (11, 10, 9))):
+        part, box = mhd.read_box(spark, path, offset, size, slab_bytes=300)
+        (x, y, z), (nx, ny, nz) = offset, size
+        assert part == meta.part(offset, size) and (array(box.withColumnRenamed("g", "v"), size[::-1]) == small[z : z + nz, y : y + ny, x : x + nx]).all()
+    with pytest.raises(ValueError, match="within"):
+        mhd.read_box(spark, path, (4, 4, 2), (8, 3, 3))
+    reader, count = mhd.MhdReader(path, 300, "8 5 2 3 1 3"), []
+
+    class Counted:
+        def __init__(self, f):
+            self.f, self.seek = f, f.seek
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def read(self, n):
+            count.append(n)
+            return self.f.read(n)
+
+    class Store:
+        def open_input_file(self, at):
+            return Counted(open(at, "rb"))
+
+    monkeypatch.setattr(mhd, "_store", lambda p: (Store(), p))
+    assert sum(b.num_rows for s in reader.partitions() for b in reader.read(s)) == 3 * 3 and sum(count) == 2 * 3 * 3
+
+
+def test_writers_commit_all_or_nothing(spark, tmp_path, small):
+    """Rows in any order; a failed task leaves no file; an image is replaced only by a finished one."""
+    meta, path = ImageMeta((11, 10, 9)), f"{tmp_path}/out/a.mhd"
+    spark.dataSource.register(mhd.MhdDataSource)
+    write = lambda df, element="MET_SHORT": df.repartition(5, "x").write.format("mhd").mode("append").option("meta", mhd.meta_text(meta)).option("element", element).save(path)
+    with pytest.raises(Exception, match="outside MET_UCHAR"):
+        write(table(spark, small), "MET_UCHAR")
+    assert not list((tmp_path / "out").iterdir())
+    write(table(spark, small))
+    with pytest.raises(Exception, match="outside the image"):
+        write(table(spark, np.ones((10, 2, 2), int)))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.mhd", "a.raw"]
+    back, rows = mhd.read_mhd(spark, path)
+    assert back == meta and (array(rows.withColumnRenamed("g", "v"), small.shape) == small).all()
+    write(table(spark, small + 1))
+    assert array(mhd.read_mhd(spark, path)[1].withColumnRenamed("g", "v"), small.shape).sum() == small.sum() + small.size
+    with pytest.raises(Exception, match="mounted"):
+        mhd.MhdDataSource({"path": "s3://bucket/a.mhd", "meta": "{}"}).writer(None, False)
+
+
 @pytest.mark.parametrize("element", sorted(mhd.ELEMENTS))
 def test_mhd_element_types_and_headers(spark, tmp_path, element):
     for big in (False, True):

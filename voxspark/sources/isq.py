@@ -51,8 +51,11 @@ class IsqDataSource(MhdDataSource):
     def name(cls) -> str:
         return "isq"
 
+    def header(self) -> dict[str, str]:
+        return IsqReader(self.options["path"], SLAB_BYTES).header
+
     def reader(self, schema) -> DataSourceReader:
-        return IsqReader(self.options["path"], int(self.options.get("slabBytes", SLAB_BYTES)))
+        return IsqReader(self.options["path"], int(self.options.get("slabBytes", SLAB_BYTES)), self.options.get("box", ""))
 
 
 def read_isq(spark: SparkSession, path: str, slab_bytes: int = SLAB_BYTES) -> tuple[ImageMeta, DataFrame]:
