@@ -334,6 +334,53 @@ def test_images_are_stored_and_opened(spark, tmp_path, small):
     assert store.stored(spark, root, "b").log == ("made",) and store.has_image(spark, root, "b")
 
 
+def test_a_box_of_a_level_reads_its_zones_alone(spark, tmp_path, monkeypatch):
+    """Pyramids and masks are stored by level and zone; the plan names the zones of a box, and no other file is read."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(store, "ZONE", 2)
+    a = np.random.default_rng(4).integers(0, 900, (20, 24, 28))
+    a[:, :, 12:20] = 0
+    meta, root = ImageMeta((28, 24, 20), (1.0, 0.5, 2.0)), f"file://{tmp_path}/store"
+    base = chunked(table(spark, a), meta, 0, 4)
+    levels = [base, averaged(base, meta.resampled((14, 12, 10)))]
+    store.save_pyramid(spark, root, "a", levels, 10, log=["made"])
+    back = store.open_pyramid(spark, root, "a")
+    assert [c.meta for c in back] == [c.meta for c in levels] and (array(voxels(back[0]), a.shape) == a).all()
+    half = array(voxels(back[1]), (10, 12, 14))
+    assert (half == array(voxels(levels[1]), half.shape)).all() and half.any()
+    limits = {(r.cz, r.cy, r.cx): (r.n_core, r.least, r.most) for r in back[0].rows.collect()}
+    assert limits[1, 1, 1] == ((a[4:8, 4:8, 4:8] > 0).sum(), a[4:8, 4:8, 4:8].min(), a[4:8, 4:8, 4:8].max()) and (0, 0, 4) not in limits
+    part, box = store.open_box(spark, root, "a", (5, 3, 2), (4, 6, 5), level=0)
+    assert part == meta.part((5, 3, 2), (4, 6, 5)) and (array(box, (5, 6, 4)) == a[2:7, 3:9, 5:9]).all()
+    some = store.part_of(back[0], (5, 3, 2), (4, 6, 5)).rows
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(zone" in plan or "zone#" in plan.partition("PartitionFilters: [")[2].partition("]")[0]
+    assert "GreaterThanOrEqual(cz,0)" in plan.partition("PushedFilters")[2]
+    files = {r[0] for r in some.select(F.input_file_name()).distinct().collect()}
+    every = {r[0] for r in back[0].rows.select(F.input_file_name()).distinct().collect()}
+    assert {f.partition("zone=")[2].partition("/")[0] for f in files} == {"0", "1", str(10**7), str(10**7 + 1)} and len(files) < len(every) / 2
+    masked = masked_chunks(table(spark, a), meta, 0.2, False, edge=4)
+    store.save_pyramid(spark, root, "mask", [masked], 10)
+    again = store.open_level(spark, root, "mask")
+    assert again.halo == 2 and (array(voxels(again), a.shape) == array(voxels(masked), a.shape)).all()
+
+
+def test_differences_of_files(spark, tmp_path, small):
+    """In the first file's element type, which wraps; sizes must agree."""
+    other = np.roll(small, 1, 2)
+    a, b, c = _write(tmp_path, "a", small), _write(tmp_path, "b", other, "MET_FLOAT"), _write(tmp_path, "c", small[1:])
+    d = _write(tmp_path, "d", other)
+    for absolute, want in ((True, np.abs(small - other)), (False, (small - other) % 65536)):
+        run.difference_files(spark, a, d, f"{tmp_path}/out.mhd", absolute)
+        meta, rows = mhd.read_mhd(spark, f"{tmp_path}/out.mhd")
+        assert mhd.read_header(f"{tmp_path}/out.mhd")["ElementType"] == "MET_USHORT" and (array(rows.withColumnRenamed("g", "v"), small.shape) == want).all()
+    run.difference_files(spark, b, a, f"{tmp_path}/out.mhd", False)
+    assert (array(mhd.read_mhd(spark, f"{tmp_path}/out.mhd")[1].withColumnRenamed("g", "v"), small.shape) == other - small).all()
+    with pytest.raises(ValueError, match="sizes differ"):
+        run.difference_files(spark, a, c, f"{tmp_path}/out.mhd")
+
+
 def _write(folder, name, a, element="MET_USHORT", meta=None):
     (folder / f"{name}.raw").write_bytes(a.astype(mhd.ELEMENTS[element]).tobytes())
     (folder / f"{name}.mhd").write_text(mhd.format_header(mhd.header_of(meta or ImageMeta(a.shape[::-1]), f"{name}.raw", element)))
@@ -390,6 +437,7 @@ RIRE_header = Patient ${{RIRE_patient_number}} from ${{RIRE_from}} to ${{RIRE_to
     assert meta == f and mhd.read_header(files["resampled_moving_image.mhd"])["ElementType"] == "MET_USHORT" and np.abs(got - still)[inner].mean() < 25
     head = mhd.read_header(files["moved_header.mhd"])
     assert head["ElementDataFile"] == f"{tmp_path}/moving.raw" and np.allclose(mhd.meta_of(head).offset, np.array(f.offset) - result.p[:3], atol=0.3)
+    assert store.stored(spark, f"{tmp_path}/work", "fixed_pyramid").levels == store.stored(spark, f"{tmp_path}/work", "fixed_mask_pyramid").levels
     again = run.import_images(spark, run.read_job((tmp_path / "run.ini").read_text().replace("/fixed.mhd", "/gone.mhd")))
     assert set(again) == {"fixed", "moving", "fixed_mask"} and again["fixed"][0] == f
     with pytest.raises(ValueError, match="no image"):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from dataclasses import replace
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import ImageMeta, matrix_from_p, rotation_matrix
 from ..operators import average, blocks, lcc, pointwise, resample, runs, statistics, stencil
-from ..sources import volumes
+from ..sources import mhd, store, volumes
 from ..sources.volumes import fixed_volume, moving_volume, raw_volume, volume_meta
 from . import masking, optimise, pyramid
 from .register import Config, register
@@ -558,3 +560,41 @@ def moments_init(spark, sf_dir):
     around = replace(meta, shape=(ny, nx, nz))
     fc, mc = blocks.masked_chunks(fixed, meta, FRACTION, False), blocks.masked_chunks(volumes.turned(fixed, ny), around, FRACTION, True)
     return _pose(spark, optimise.transform_from_moments(fc, mc).p)
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: a new one in spark.checkpoint.dir, or on one machine a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root.rstrip('/') if root else tempfile.mkdtemp(prefix='spark-shared-')}/volume-{uuid.uuid4().hex}"
+
+
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    meta, fixed, _ = images(spark, sf_dir)
+    path = f"{_scratch(spark)}/fixed.mhd"
+    mhd.write_mhd(fixed, replace(meta, spacing=(0.5, 1.25, 2.0)), path)
+    return path
+
+
+@query(SQL["voxelize_rescale"].replace("SELECT * FROM fix", "SELECT z, y, x, CAST(v AS BIGINT) AS v FROM fix"))
+def mhd_round_trip(spark, sf_dir):
+    """The fixed volume written as a file by tasks and read again."""
+    return mhd.read_mhd(spark, _written(spark, sf_dir))[1].withColumnRenamed("g", "v")
+
+
+@query(SQL["crop_part"].replace(", v FROM fix", ", CAST(v AS BIGINT) AS v FROM fix"))
+def mhd_box(spark, sf_dir):
+    """A box of the written file; only its own lines are read."""
+    return mhd.read_box(spark, _written(spark, sf_dir), *CROP)[1].withColumnRenamed("g", "v")
+
+
+@query(SQL["downsample_2"].replace("SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x,", "SELECT CAST(z - 1 AS INTEGER) AS z, CAST(y - 2 AS INTEGER) AS y, CAST(x - 3 AS INTEGER) AS x,") + " WHERE x BETWEEN 3 AND 22 AND y BETWEEN 2 AND 8 AND z BETWEEN 1 AND 3")
+def stored_level_box(spark, sf_dir):
+    """A box of the second level of a pyramid that was stored and opened again."""
+    meta, fixed, _ = images(spark, sf_dir)
+    root = _scratch(spark)
+    levels = [lcc.chunked(fixed, meta, 0)]
+    levels.append(average.averaged(levels[0], meta.resampled(resample.resampled_shape(meta.shape, (2.0,) * 3))))
+    store.save_pyramid(spark, root, "fixed", levels, volumes.BITS)
+    return store.open_box(spark, root, "fixed", (3, 2, 1), (20, 7, 3), level=1)[1]

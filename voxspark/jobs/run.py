@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ImageMeta, voxel_matrix
-from ..operators.lcc import chunked
+from ..operators.lcc import Chunks, chunked
+from ..operators.pointwise import difference
 from ..operators.resample import linear_chunks
 from ..sources import mhd, store
 from .export import matrix_text, moved_header, read_matrix, run_record, validation_text
-from .register import Config, Registration, initial_matrix, read_config, register
+from .pyramid import build_pyramid, level_metas
+from .register import Config, Registration, initial_matrix, pyramid_plan, read_config, register
 
 ROLES = ("fixed", "moving", "fixed_mask", "moving_mask")
 
@@ -84,6 +86,22 @@ def import_images(spark: SparkSession, job: Job) -> dict[str, tuple[ImageMeta, D
     return out
 
 
+def stored_pyramids(spark: SparkSession, job: Job, images: dict[str, tuple[ImageMeta, DataFrame]]) -> dict[str, list[Chunks]]:
+    """The pyramids of images and masks, which are kept in the store of the working folder and used again where their levels are the same."""
+    plan, out = pyramid_plan(images["fixed"][0], images["moving"][0], job.config), {}
+    for role, (meta, _) in images.items():
+        name, metas = f"{role}_pyramid", level_metas(meta, plan)
+        known = store.stored(spark, job.working, name) if job.reuse and store.has_image(spark, job.working, name) else None
+        if known is None or (known.meta, *known.levels) != tuple(metas):
+            base = store.stored(spark, job.working, role)
+            levels = build_pyramid(store.open_level(spark, job.working, role), meta, plan, role.endswith("_mask"), keep=True)
+            store.save_pyramid(spark, job.working, name, levels, base.bits, base.header, [*base.log, f"{len(levels)} levels"])
+            for c in levels[1 if metas[0] == meta else 0 :]:
+                c.rows.unpersist()
+        out[role] = store.open_pyramid(spark, job.working, name)
+    return out
+
+
 def resampled_moving(spark: SparkSession, fixed_path: str, moving_path: str, matrix: np.ndarray) -> tuple[DataFrame, ImageMeta, str]:
     """The moving file's own values on the fixed file's grid and in its element type: rounded and held within its range, 0 outside."""
     f = mhd.meta_of(mhd.read_header(fixed_path))
@@ -137,7 +155,23 @@ def run(spark: SparkSession, path: str) -> tuple[Registration, dict[str, str]]:
     job = read_job(text)
     images = import_images(spark, job)
     given = read_matrix(mhd.read_text(job.initial)) if job.initial else None
-    (f, fixed), (m, moving) = images["fixed"], images["moving"]
+    f, m = images["fixed"][0], images["moving"][0]
     initial_matrix(given, job.config)  # so that a wrong setting is told before any work
-    result = register(fixed, f, moving, m, job.config, given, images.get("fixed_mask"), images.get("moving_mask"))
+    levels = stored_pyramids(spark, job, images)
+    masks = [(images[r][0], levels[r]) if r in images else None for r in ("fixed_mask", "moving_mask")]
+    result = register(levels["fixed"], f, levels["moving"], m, job.config, given, *masks)
     return result, export_results(spark, text, job, f, result)
+
+
+def difference_files(spark: SparkSession, a: str, b: str, out: str, absolute: bool = True) -> None:
+    """Writes a - b, or its magnitude, with a's geometry and in its element type; sizes have to agree. Whole numbers wrap as that type does."""
+    fa, fb = mhd.read_header(a), mhd.read_header(b)
+    if fa["DimSize"].split() != fb["DimSize"].split():
+        raise ValueError(f"the images' sizes differ: {fa['DimSize']} and {fb['DimSize']}")
+    (meta, left), (_, right) = (mhd.read_mhd(spark, p) for p in (a, b))
+    rows = difference(left.withColumnRenamed("g", "v"), right.withColumnRenamed("g", "v"), absolute)
+    if (limits := mhd.value_limits(fa["ElementType"])) is not None:
+        span = limits[1] - limits[0] + 1
+        rows = rows.withColumn("v", F.expr(f"pmod(cast(v as decimal(38,0)) - {limits[0]}, {span}) + {limits[0]}"))
+        rows = rows.withColumn("v", F.col("v").cast("decimal(20,0)" if limits[1] >= 1 << 63 else "long"))
+    mhd.write_mhd(rows, meta, out, fa["ElementType"])
