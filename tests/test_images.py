@@ -184,6 +184,34 @@ def test_registration_from_coarse_to_fine(spark):
     assert len(got.levels) == 2 and optimise.corner_shift(f, got.matrix, matrix_from_p(p), f) < 0.15
 
 
+def test_a_run_goes_on_after_a_lost_driver(spark, tmp_path, monkeypatch):
+    """Stopped after a level, the run ends with the same parameters as an unbroken one, and finished levels are not done again."""
+    from voxspark.jobs import register as module
+
+    p, f = np.array([1.6, -1.1, 0.7, 0.0, 0.0, 0.04]), ImageMeta((24, 24, 24))
+    still, moved = table(spark, phantom(24)), table(spark, phantom(24, p))
+    config = Config(fixed_fraction=0.5, moving_fraction=0.5, min_voxels=1000, most_steps=4, moments=True)
+    whole = register(still, f, moved, f, config)
+    real, calls = module.levenberg_marquardt, []
+
+    def stopping(overlap, *given):
+        calls.append(overlap.fixed.meta.shape)
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        return real(overlap, *given)
+
+    monkeypatch.setattr(module, "levenberg_marquardt", stopping)
+    states = module.States(spark, str(tmp_path), "a")
+    with pytest.raises(KeyboardInterrupt):
+        register(still, f, moved, f, config, states=states)
+    assert [level for level, _ in states.reached()] == [-1, 1]
+    monkeypatch.setattr(module, "simple_gradient", None)
+    monkeypatch.setattr(module, "transform_from_moments", None)
+    again = register(still, f, moved, f, config, states=module.States(spark, str(tmp_path), "a"))
+    assert (again.p == whole.p).all() and again.lcc == whole.lcc and [o.steps for o in again.levels] == [o.steps for o in whole.levels] and len(calls) == 3
+    assert (register(still, f, moved, f, config, states=module.States(spark, str(tmp_path), "a")).p == whole.p).all() and len(calls) == 3
+
+
 def test_no_overlap_and_moments(spark):
     f = ImageMeta((16, 16, 16))
     z, y, x = np.indices((16, 16, 16))
@@ -490,6 +518,44 @@ def test_arrays_as_text_and_back(spark):
     assert rows.first().t == "1.0 -2.5 1.0E-9" and back[0] == [1.0, -2.5, 1e-9] and back[2] is None
 
 
+def _runs_of(line):
+    """Voxel by voxel."""
+    out, start = [], None
+    for i, v in enumerate([*line, 1]):
+        if v > 0:
+            if start is not None and i - start > runs.SHORTEST:
+                out.append((start, i - start))
+            start = None
+        elif start is None and v == 0 and i + 1 < len(line) and line[i + 1] == 0:
+            start = i
+    return out
+
+
+@pytest.mark.parametrize("size", [7, 64, 1000])
+def test_runs_over_pieces(spark, size):
+    """Runs that begin, end and go on at pieces' ends, slices of background alone, and of none."""
+    rng = np.random.default_rng(6)
+    a = np.where(rng.random((6, 20, 50)) < 0.02, rng.integers(-9, 9, (6, 20, 50)), 0)
+    a[1], a[2] = 0, 5
+    a[3].flat[::2] = -1
+    a[4].flat[: 7 * 64] = 1
+    got = sorted((r.z, r.start, r.length) for r in runs.background_runs(table(spark, a), (50, 20, 6), size).collect())
+    assert got == [(z, s, n) for z in range(6) for s, n in _runs_of(a[z].ravel())] and len(got) > 20
+    back = {r.z: (r.pairs, r.differing) for r in runs.round_trip(table(spark, a), (50, 20, 6), size).collect()}
+    assert back == {z: (len(_runs_of(a[z].ravel())), 0) for z in range(6)}
+
+
+def test_quantile_digit_by_digit(spark):
+    rng = np.random.default_rng(2)
+    for n, bits in ((1, 20), (50, 20), (3000, 7), (3000, 20)):
+        bins = rng.integers(0, 1 << bits, n)
+        rows = spark.createDataFrame([(int(b), int(c)) for b, c in zip(*np.unique(bins, return_counts=True), strict=True)], "bin int, count long")
+        for fraction in (0.0, 0.37, 0.9, 1.0):
+            want = int(np.floor(n * fraction + 0.5))
+            assert statistics.first_reached(rows, fraction, bits) == np.sort(bins)[max(0, want - 1)]
+    assert statistics.first_reached(rows.limit(0), 0.5, 20) is None
+
+
 def test_runs_round_trip():
     rng = np.random.default_rng(1)
     for length in (31, 32, 33, 34, 5000, 40_000):

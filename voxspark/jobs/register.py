@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from ..functions.geometry import ImageMeta, matrix_from_p, p_from_matrix, swap_handedness
@@ -140,12 +141,13 @@ class _Levels:
 
 
 def register(fixed: Image, f: ImageMeta, moving: Image, m: ImageMeta, config: Config = Config(), matrix: np.ndarray | None = None,
-             fixed_mask: tuple[ImageMeta, Image] | None = None, moving_mask: tuple[ImageMeta, Image] | None = None) -> Registration:
+             fixed_mask: tuple[ImageMeta, Image] | None = None, moving_mask: tuple[ImageMeta, Image] | None = None, states: States | None = None) -> Registration:
     """Coarse to fine: levels, masks and chunks are made once and used by every evaluation there.
 
     An image is a table of voxels, chunks without a rim, or the stored levels of its pyramid, the finest first.
     A mask (its geometry, and voxels of 0 and 1) restricts an image's edges to where it is not 0; a voxel
     of a coarser mask is 1 where more than a quarter of it is. Moments are taken on the middle level.
+    With `states`, every finished level is noted there, and a run goes on after the last one that is.
     """
     for meta in (f, m):
         if min(meta.shape) < 6:
@@ -156,27 +158,63 @@ def register(fixed: Image, f: ImageMeta, moving: Image, m: ImageMeta, config: Co
     plan = pyramid_plan(f, m, config)
     fl = _Levels(fixed, f, plan, fixed_mask and fixed_mask[1], config.fixed_fraction, False)
     ml = _Levels(moving, m, plan, moving_mask and moving_mask[1], config.moving_fraction, True)
-    p, done, centre, axes = p_from_matrix(initial_matrix(matrix, config), config.affine), [], None, None
-    last = len(fl.images) - 1
+    p, centre, axes = p_from_matrix(initial_matrix(matrix, config), config.affine), None, None
+    known = dict(states.reached()) if states else {}
+    done, last = [known[i] for i in sorted(known, reverse=True) if i >= 0], len(fl.images) - 1
+
+    def note(level: int, outcome: Outcome) -> Outcome:
+        if states:
+            states.add(last - level if level >= 0 else -1, level, outcome)
+        return outcome
+
     try:
         if config.moments:
-            middle = len(fl.images) // 2
-            with _both(fl, ml, middle) as (fc, mc):
-                start = transform_from_moments(fc, mc, config.shift_only)
+            start = known.get(-1)
+            if start is None:
+                with _both(fl, ml, len(fl.images) // 2) as (fc, mc):
+                    start = note(-1, transform_from_moments(fc, mc, config.shift_only))
             p, centre, axes = p_from_matrix(matrix_from_p(start.p), config.affine), start.centre, start.axes
-        for i in range(last, -1, -1):
+        if done:
+            p = done[-1].p
+        for i in range(last - len(done), -1, -1):
             with _both(fl, ml, i) as (fc, mc), Overlap(fc, mc) as overlap:
                 if i == last and config.simple_gradient and not config.affine:
                     p = simple_gradient(overlap, p, centre, axes, config.step_first, config.step_least).p
                 got = levenberg_marquardt(overlap, p, config.damping, config.damping_up, config.damping_down, config.most_steps, config.most_up, config.min_shift)
             p = got.p
-            done.append(got)
+            done.append(note(i, got))
     finally:
         fl.close()
         ml.close()
     return Registration(p, matrix_from_p(p), done[-1].lcc, done)
 
 
+class States:
+    """What a run has reached: a table of level, p, lcc and steps to which each finished step is appended; the driver may be lost at any time.
+
+    A step's rows are there in whole or not at all, as Spark commits them. `name` stands for everything that the run depends on.
+    """
+
+    SCHEMA = "step int, level int, lcc double, p array<double>, steps int, centre array<double>, axes array<double>"
+
+    def __init__(self, spark, root: str, name: str):
+        self.spark, self.path = spark, f"{root}/states/run={name}"
+
+    def reached(self) -> list[tuple[int, Outcome]]:
+        """Level (-1: the initial transform) and outcome of each finished step, in order; of a step that was done twice, one."""
+        try:
+            rows = sorted(self.spark.read.schema(self.SCHEMA).parquet(self.path).dropDuplicates(["step"]).collect())
+        except AnalysisException:
+            return []
+        array = lambda x, *shape: None if x is None else np.array(x).reshape(*shape)
+        return [(r.level, Outcome(r.lcc, np.array(r.p), r.steps, array(r.centre, 3), array(r.axes, 3, 3))) for r in rows]
+
+    def add(self, step: int, level: int, o: Outcome) -> None:
+        listed = lambda a: None if a is None else [float(x) for x in np.ravel(a)]
+        row = (step, level, float(o.lcc), listed(o.p), int(o.steps), listed(o.centre), listed(o.axes))
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+
 @contextlib.contextmanager
 def _both(fixed: _Levels, moving: _Levels, i: int):
     fc, mc = fixed.chunks(i), moving.chunks(i)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import configparser
+import hashlib
 import io
 import time
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from ..operators.resample import linear_chunks
 from ..sources import mhd, store
 from .export import matrix_text, moved_header, read_matrix, run_record, validation_text
 from .pyramid import build_pyramid, level_metas
-from .register import Config, Registration, initial_matrix, pyramid_plan, read_config, register
+from .register import Config, Registration, States, initial_matrix, pyramid_plan, read_config, register
 
 ROLES = ("fixed", "moving", "fixed_mask", "moving_mask")
 
@@ -150,7 +151,7 @@ def export_results(spark: SparkSession, text: str, job: Job, fixed: ImageMeta, r
 
 
 def run(spark: SparkSession, path: str) -> tuple[Registration, dict[str, str]]:
-    """The whole job of a configuration file; paths in it are taken as they stand."""
+    """The whole job of a configuration file; paths in it are taken as they stand. Where images may be used again, so are the levels that an earlier run with this configuration has finished."""
     text = mhd.read_text(path)
     job = read_job(text)
     images = import_images(spark, job)
@@ -159,7 +160,9 @@ def run(spark: SparkSession, path: str) -> tuple[Registration, dict[str, str]]:
     initial_matrix(given, job.config)  # so that a wrong setting is told before any work
     levels = stored_pyramids(spark, job, images)
     masks = [(images[r][0], levels[r]) if r in images else None for r in ("fixed_mask", "moving_mask")]
-    result = register(levels["fixed"], f, levels["moving"], m, job.config, given, *masks)
+    name = hashlib.sha256(repr((text, None if given is None else given.tolist())).encode()).hexdigest()[:32]
+    states = States(spark, job.working, name) if job.reuse else None
+    result = register(levels["fixed"], f, levels["moving"], m, job.config, given, *masks, states)
     return result, export_results(spark, text, job, f, result)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pointwise import transformed
@@ -28,16 +30,38 @@ def gradient_histogram(gradient: DataFrame, top: int, bins: int = BINS) -> DataF
     return gradient.groupBy(histogram_bin(top, bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def first_reached(counts: DataFrame, fraction: float, bits: int, digit: int = 10) -> int | None:
+    """The least bin (of `bits` bits) up to which at least that share of all counts lies, rounded half up; None without any row.
+
+    Digit by digit from the highest: each round adds counts up by one digit among the bins that share the digits found so far, so
+    the driver gets 2^digit rows a round at most, and nothing is sorted.
+    """
+    found, want = 0, None
+    for low in range((bits - 1) // digit * digit, -1, -digit):
+        rows = counts.where(F.shiftright(F.col("bin").cast("long"), low + digit) == found)
+        sums = sorted(rows.groupBy(F.shiftright(F.col("bin").cast("long"), low).alias("d")).agg(F.sum("count").alias("n")).collect())
+        if not sums:
+            return None
+        if want is None:
+            want = math.floor(sum(r.n for r in sums) * fraction + 0.5)
+        for r in sums:
+            if r.n >= want:
+                found = r.d
+                break
+            want -= r.n
+    return found
+
+
 def gradient_threshold(histogram: DataFrame, top: int, fraction: float, bins: int = BINS) -> DataFrame:
-    """bin and limit: the first bin up to which all but `fraction` of the voxels lie. At most `bins` rows are ordered.
+    """bin and limit: the first bin up to which all but `fraction` of the voxels lie.
 
     The fraction is held within 0 ... 1. An image without any gradient has no row, and so an empty mask.
     """
-    fraction = min(1.0, max(0.0, fraction))
-    running = F.sum("count").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("count").over(Window.partitionBy())
-    reached = histogram.select("bin", running.alias("_sum"), F.floor(total * F.lit(1 - fraction) + F.lit(0.5)).alias("_want")).where("_sum >= _want")
-    return reached.agg(F.min("bin").alias("bin")).where(F.lit(top > 0) & F.col("bin").isNotNull()).withColumn("limit", F.lit(float(top)) * F.col("bin") / F.lit(float(bins)))
+    spark, counts = histogram.sparkSession, histogram.select("bin", "count").persist(StorageLevel.MEMORY_AND_DISK)
+    found = first_reached(counts, 1 - min(1.0, max(0.0, fraction)), (bins - 1).bit_length()) if top > 0 else None
+    counts.unpersist()
+    rows = [] if found is None else [(int(found), float(top) * found / float(bins))]
+    return spark.createDataFrame(rows, "bin int, limit double")
 
 
 def edge_fraction(fraction: float, base_surface: float, level_surface: float) -> float:
