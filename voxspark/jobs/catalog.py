@@ -416,31 +416,47 @@ def _similarities(spark, got) -> DataFrame:
 
 
 DERIVED = (1.75, 0.125, 0.0)
-_AT = "OVER (PARTITION BY cz, cy, cx)"
-_UPPER = [(i, j) for i in range(6) for j in range(i, 6)]
 
 
-@query(f"""WITH {BOTH_MASKS}, {_points([DERIVED])}, {INTERP},
+def _derivatives_sql(terms: list[str], digits: tuple[int, int]) -> str:
+    """n, lcc, gradient and upper half of the Gauss-Newton matrix for the derivatives `terms` of the fixed image (gradient gx, gy, gz at t.x, t.y, t.z)."""
+    ks, at = range(len(terms)), "OVER (PARTITION BY cz, cy, cx)"
+    upper = [(i, j) for i in ks for j in range(i, len(terms))]
+    return f"""WITH {BOTH_MASKS}, {_points([DERIVED])}, {INTERP},
 cd AS (SELECT z, y, x, v, (lead(v) OVER (PARTITION BY z, y ORDER BY x) - lag(v) OVER (PARTITION BY z, y ORDER BY x)) * 0.5e0 AS gx,
   (lead(v) OVER (PARTITION BY z, x ORDER BY y) - lag(v) OVER (PARTITION BY z, x ORDER BY y)) * 0.5e0 AS gy,
   (lead(v) OVER (PARTITION BY y, x ORDER BY z) - lag(v) OVER (PARTITION BY y, x ORDER BY z)) * 0.5e0 AS gz FROM fix),
-pts AS (SELECT t.z + a AS cz, t.y + b AS cy, t.x + c AS cx, abs(t.t) AS b, CAST(cd.v AS DOUBLE) AS t, gx AS d0, gy AS d1, gz AS d2,
-  t.y * gz - t.z * gy AS d3, t.z * gx - t.x * gz AS d4, t.x * gy - t.y * gx AS d5, a = 0 AND b = 0 AND c = 0 AND t.v > 0 AND t.t > 0 AS own
+pts AS (SELECT t.z + a AS cz, t.y + b AS cy, t.x + c AS cx, abs(t.t) AS b, CAST(cd.v AS DOUBLE) AS t, {", ".join(f"{e} AS d{k}" for k, e in enumerate(terms))},
+  a = 0 AND b = 0 AND c = 0 AND t.v > 0 AND t.t > 0 AS own
   FROM t JOIN cd USING (z, y, x), (VALUES (0,0,0), (-1,0,0), (1,0,0), (0,-1,0), (0,1,0), (0,0,-1), (0,0,1)) o(a, b, c)),
-cen AS (SELECT cz, cy, cx, b - avg(b) {_AT} AS b, t - avg(t) {_AT} AS t, {", ".join(f"d{k} - avg(d{k}) {_AT} AS d{k}" for k in range(6))},
-  count(*) {_AT} AS k, bool_or(own) {_AT} AS own, min(b) {_AT} AS least FROM pts),
-sums AS (SELECT *, sum(b * b) {_AT} AS bb, sum(t * t) {_AT} AS tt, sum(b * t) {_AT} AS bt, {", ".join(f"sum(t * d{k}) {_AT} AS td{k}, sum(b * d{k}) {_AT} AS bd{k}" for k in range(6))}
+cen AS (SELECT cz, cy, cx, b - avg(b) {at} AS b, t - avg(t) {at} AS t, {", ".join(f"d{k} - avg(d{k}) {at} AS d{k}" for k in ks)},
+  count(*) {at} AS k, bool_or(own) {at} AS own, min(b) {at} AS least FROM pts),
+sums AS (SELECT *, sum(b * b) {at} AS bb, sum(t * t) {at} AS tt, sum(b * t) {at} AS bt, {", ".join(f"sum(t * d{k}) {at} AS td{k}, sum(b * d{k}) {at} AS bd{k}" for k in ks)}
   FROM cen, d WHERE k = 7 AND own AND least >= 1 AND cx BETWEEN 2 AND nx - 3 AND cy BETWEEN 2 AND ny - 3 AND cz BETWEEN 2 AND nz - 3),
-left_over AS (SELECT 2 / bb AS c, b - bt / tt * t AS m, {", ".join(f"2 * bt * td{k} * t / (tt * tt) - (bd{k} * t + bt * d{k}) / tt AS m{k}" for k in range(6))} FROM sums WHERE bb >= 1e-20 AND tt >= 1e-20)
-SELECT CAST(count(*) // 7 AS BIGINT) AS n, round(sum(c * m * m) / 2 / (count(*) / 7), 6) AS lcc, {", ".join(f"round(sum(c * m * m{k}) / (count(*) / 7), 6) AS g{k}" for k in range(6))},
-  {", ".join(f"round(sum(c * m{i} * m{j}) / (count(*) / 7), 4) AS h{i}{j}" for i, j in _UPPER)} FROM left_over""")
+left_over AS (SELECT 2 / bb AS c, b - bt / tt * t AS m, {", ".join(f"2 * bt * td{k} * t / (tt * tt) - (bd{k} * t + bt * d{k}) / tt AS m{k}" for k in ks)} FROM sums WHERE bb >= 1e-20 AND tt >= 1e-20)
+SELECT CAST(count(*) // 7 AS BIGINT) AS n, round(sum(c * m * m) / 2 / (count(*) / 7), {DIGITS}) AS lcc, {", ".join(f"round(sum(c * m * m{k}) / (count(*) / 7), {digits[0]}) AS g{k}" for k in ks)},
+  {", ".join(f"round(sum(c * m{i} * m{j}) / (count(*) / 7), {digits[1]}) AS h{i}_{j}" for i, j in upper)} FROM left_over"""
+
+
+def _derivatives(spark, sf_dir, p: np.ndarray, digits: tuple[int, int]) -> DataFrame:
+    _, fixed, moving = masked_pair(spark, sf_dir)
+    s, ks = lcc.evaluate(fixed, moving, [p], True)[0], range(len(p))
+    row = {"lcc": round(s.lcc, DIGITS)} | {f"g{k}": round(float(s.gradient[k]), digits[0]) for k in ks} | {f"h{i}_{j}": round(float(s.hessian[i, j]), digits[1]) for i in ks for j in range(i, len(p))}
+    return spark.createDataFrame([(s.n, *row.values())], "n long, " + ", ".join(f"{c} double" for c in row))
+
+
+@query(_derivatives_sql(["gx", "gy", "gz", "t.y * gz - t.z * gy", "t.z * gx - t.x * gz", "t.x * gy - t.y * gx"], (6, 4)))
 def lcc_derivatives(spark, sf_dir):
     """Similarity, rigid gradient and Gauss-Newton matrix near the minimum."""
-    _, fixed, moving = masked_pair(spark, sf_dir)
-    s = lcc.evaluate(fixed, moving, [np.array([*DERIVED, 0, 0, 0])], True)[0]
-    row = [s.n, s.lcc, *s.gradient.tolist(), *[float(s.hessian[i, j]) for i, j in _UPPER]]
-    names = ["n long", "lcc double", *[f"g{k} double" for k in range(6)], *[f"h{i}{j} double" for i, j in _UPPER]]
-    return spark.createDataFrame([(row[0], *[round(x, 6 if i < 7 else 4) for i, x in enumerate(row[1:])])], ", ".join(names))
+    return _derivatives(spark, sf_dir, np.array([*DERIVED, 0, 0, 0]), (6, 4))
+
+
+@query(_derivatives_sql([f"{g} * {w}" for g in ("gx", "gy", "gz") for w in ("t.x", "t.y", "t.z", "1")], (4, 2)))
+def lcc_derivatives_affine(spark, sf_dir):
+    """The same for the twelve parameters of an affine transform."""
+    m = np.eye(4)
+    m[:3, 3] = DERIVED
+    return _derivatives(spark, sf_dir, m[:3].ravel(), (4, 2))
 
 
 @query(f"""WITH {FIX_MASK}, l AS (SELECT z, CAST(y AS BIGINT) * nx + x AS pos, v FROM m_fix, d),
