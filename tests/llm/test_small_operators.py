@@ -237,6 +237,44 @@ def test_checksummed_tokens_and_odd_rows(odd_docs, no_docs):
 # --- op9 ----------------------------------------------------------------------------------------
 
 
+def test_ratio_and_verdict_against_brute_force(spark, sf, docs):
+    """Counts, log-ratios, the threshold and every verdict, worked out document by document with plain numbers."""
+    import math
+    from collections import Counter
+
+    from voxspark.llm.common import mixed, word_hash_lists
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    known = [(r.doc_id, r.quality) for r in labels.collect() if r.quality is not None and r.doc_id in texts]
+    good, bad = {i for i, q in known if q == 1}, {i for i, q in known if q == 0}
+
+    def buckets(text):
+        h = [int(x) for x in word_hash_lists([text.encode()], False)[0]]
+        codes = h + [(a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(h, h[1:], strict=False)]
+        return [int(mixed(np.array([c], np.uint64))[0]) % quality.BUCKETS for c in codes]
+
+    found = {i: buckets(t) for i, t in texts.items()}
+    raw, target = Counter(), Counter()
+    for i, b in found.items():
+        raw.update(b)
+        if i in good:
+            target.update(b)
+    whole, own = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
+    weight = lambda b: math.log((target[b] + 1) / own) - math.log((raw[b] + 1) / whole)
+    llr = {i: sum(map(weight, b)) / len(b) if b else 0.0 for i, b in found.items()}
+    ratio = quality.fit_ratio(docs, labels)
+    rows = quality.apply_ratio(docs, ratio).collect()
+    failed = {r.doc_id: r.base_failed for r in rows}
+    of = lambda ids, q: float(np.quantile([llr[i] for i in ids if not failed[i]], q))
+    low, high = of(good, quality.QUANTILE), of(bad, 0.9)
+    threshold = (low + min(low, high)) / 2
+    assert math.isclose(ratio.threshold, threshold, rel_tol=1e-9)
+    for r in rows:
+        assert math.isclose(r.llr, llr[r.doc_id], rel_tol=1e-9, abs_tol=1e-12) and r.kept == (not r.base_failed and r.llr >= ratio.threshold)
+    assert 0 < sum(r.kept for r in rows) < len(rows)
+
+
 def test_quality_counts_against_brute_force(spark, odd_docs, docs):
     both = odd_docs.select("doc_id", "text").union(docs.select("doc_id", "text")).union(spark.createDataFrame([(900, "a b c a b c a b\n\n x \n x \nx\n x "), (901, "a a a a")], "doc_id long, text string"))
     got = quality.apply_ratio(both, quality.Ratio(np.zeros(quality.BUCKETS), 0.0)).collect()
