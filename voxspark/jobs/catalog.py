@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
@@ -54,6 +55,16 @@ def masked_images(spark: SparkSession, sf_dir: str) -> tuple[ImageMeta, DataFram
     return meta, masking.mask_image(fixed, meta, FRACTION, False), masking.mask_image(moving, meta, FRACTION, True)
 
 
+@contextlib.contextmanager
+def freed(*kept: lcc.Chunks | DataFrame):
+    """Kept tables, given back when the driver has its numbers."""
+    try:
+        yield
+    finally:
+        for x in kept:
+            (x if isinstance(x, DataFrame) else x.rows).unpersist()
+
+
 def masked_pair(spark: SparkSession, sf_dir: str) -> tuple[ImageMeta, lcc.Chunks, lcc.Chunks]:
     """Both masks by chunks, made once."""
     meta, fixed, moving = images(spark, sf_dir)
@@ -388,8 +399,8 @@ def lcc_candidates(spark, sf_dir):
 def lcc_candidates_chunked(spark, sf_dir):
     """The same by chunks: one task for each fixed chunk and the moving chunks it meets."""
     _, fixed, moving = masked_pair(spark, sf_dir)
-    got = lcc.evaluate(fixed, moving, [np.array([*t, 0, 0, 0]) for t in SHIFTS])
-    return _similarities(spark, got)
+    with freed(fixed, moving):
+        return _similarities(spark, lcc.evaluate(fixed, moving, [np.array([*t, 0, 0, 0]) for t in SHIFTS]))
 
 
 #: A pass of the descent: twelve moves about oblique axes through a centre of the fixed image, after an initial transform and a first move.
@@ -408,7 +419,8 @@ def _places(ps) -> str:
 def descent_pass(spark, sf_dir):
     """The similarity of the twelve moves of a pass, in one job on kept tiles."""
     _, fixed, moving = masked_pair(spark, sf_dir)
-    return _similarities(spark, lcc.evaluate(fixed, moving, PASS, margin=4))
+    with freed(fixed, moving):
+        return _similarities(spark, lcc.evaluate(fixed, moving, PASS, margin=4))
 
 
 def _similarities(spark, got) -> DataFrame:
@@ -440,7 +452,8 @@ SELECT CAST(count(*) // 7 AS BIGINT) AS n, round(sum(c * m * m) / 2 / (count(*)
 
 def _derivatives(spark, sf_dir, p: np.ndarray, digits: tuple[int, int]) -> DataFrame:
     _, fixed, moving = masked_pair(spark, sf_dir)
-    s, ks = lcc.evaluate(fixed, moving, [p], True)[0], range(len(p))
+    with freed(fixed, moving):
+        s, ks = lcc.evaluate(fixed, moving, [p], True)[0], range(len(p))
     row = {"lcc": round(s.lcc, DIGITS)} | {f"g{k}": round(float(s.gradient[k]), digits[0]) for k in ks} | {f"h{i}_{j}": round(float(s.hessian[i, j]), digits[1]) for i in ks for j in range(i, len(p))}
     return spark.createDataFrame([(s.n, *row.values())], "n long, " + ", ".join(f"{c} double" for c in row))
 
@@ -551,13 +564,15 @@ def _planted(p) -> str:
 def register_rigid(spark, sf_dir):
     """From identity, with the default configuration: the whole pyramid, descent by moves, then damped Gauss-Newton steps."""
     meta, fixed, moving = smooth_pair(spark, sf_dir)
-    return _pose(spark, register(fixed, meta, moving, meta, Config()).p)
+    with freed(fixed):
+        return _pose(spark, register(fixed, meta, moving, meta, Config()).p)
 
 
 @query(_planted((1, 0, 0, 2, 0, 1, 0, 1, 0, 0, 1, 0)))
 def register_affine(spark, sf_dir):
     meta, fixed, moving = smooth_pair(spark, sf_dir)
-    return _pose(spark, register(fixed, meta, moving, meta, Config(affine=True)).p)
+    with freed(fixed):
+        return _pose(spark, register(fixed, meta, moving, meta, Config(affine=True)).p)
 
 
 @query(_planted((2, 1, 0, 0, 0, 0)))
@@ -565,7 +580,8 @@ def register_masked(spark, sf_dir):
     """Edges of both images only inside a box."""
     meta, fixed, moving = smooth_pair(spark, sf_dir)
     mask = (meta, box_mask(fixed))
-    return _pose(spark, register(fixed, meta, moving, meta, Config(), fixed_mask=mask, moving_mask=mask).p)
+    with freed(fixed):
+        return _pose(spark, register(fixed, meta, moving, meta, Config(), fixed_mask=mask, moving_mask=mask).p)
 
 
 @query(_planted((24, 0, 0, 0, 0, 1.57)))
@@ -575,7 +591,8 @@ def moments_init(spark, sf_dir):
     nx, ny, nz = meta.shape
     around = replace(meta, shape=(ny, nx, nz))
     fc, mc = blocks.masked_chunks(fixed, meta, FRACTION, False), blocks.masked_chunks(volumes.turned(fixed, ny), around, FRACTION, True)
-    return _pose(spark, optimise.transform_from_moments(fc, mc).p)
+    with freed(fixed, fc, mc):
+        return _pose(spark, optimise.transform_from_moments(fc, mc).p)
 
 
 def _scratch(spark: SparkSession) -> str:
