@@ -1,3 +1,4 @@
+import os
 import struct
 from dataclasses import replace
 
@@ -8,9 +9,11 @@ from voxspark.functions.geometry import ImageMeta, matrix_from_p, rotation_matri
 from voxspark.jobs import export, masking, optimise, run
 from voxspark.jobs.register import Config, register
 from voxspark.operators import lcc, pointwise, resample, runs, statistics, stencil
+from voxspark.operators import tiles as tiles_
 from voxspark.operators.average import averaged
 from voxspark.operators.blocks import masked_chunks, rimmed, voxels
 from voxspark.operators.lcc import chunked, evaluate
+from voxspark.operators.resample import grid_places
 from voxspark.sources import isq, mhd, store
 
 
@@ -297,6 +300,35 @@ def test_steps_within_the_margin_move_no_voxels(spark):
     assert (want.n, want.lcc) == (again.n, again.lcc) and want.n > 0
 
 
+def test_few_sums_go_to_the_driver_with_the_same_bits(spark, monkeypatch):
+    """Sums as tasks give them, and added up in Spark; the boxes' table is deleted at the end."""
+    ps = [np.zeros(6), np.array([0.5, 0, 0, 0, 0.01, 0])]
+    with _overlap(spark) as overlap:
+        one = overlap.evaluate(ps, True)
+        path = overlap.path.removeprefix("file://")
+        assert overlap.few(ps, True) and os.path.isdir(path)
+        monkeypatch.setattr(lcc, "FEW_ROWS", 0)
+        two = overlap.evaluate(ps, True)
+        assert not overlap.few(ps, True)
+    assert not os.path.exists(path)
+    for a, b in zip(one, two, strict=True):
+        assert (a.n, a.lcc) == (b.n, b.lcc) and (a.gradient == b.gradient).all() and (a.hessian == b.hessian).all()
+
+
+def test_pairs_are_bounded_by_arithmetic(spark):
+    """No more pairs than the bound under shifts, turns and scales; none is given where a tile may be cut."""
+    rng = np.random.default_rng(5)
+    for _ in range(6):
+        grid, shape, edge = rng.integers(5, 40, 3).tolist(), rng.integers(5, 40, 3).tolist(), int(rng.integers(3, 9))
+        m = np.eye(4)
+        m[:3, :3] += rng.normal(0, 0.5, (3, 3))
+        m[:3, 3] = rng.normal(0, 6, 3)
+        tiles = tiles_.planned(grid_places(spark, grid, edge), edge, grid, [m], shape, 1, 2, 1 << 20).where("sz > 0")
+        pairs = sum(int(np.prod([(r[f"b{k}"] + r[f"s{k}"] - 1) // edge - r[f"b{k}"] // edge + 1 for k in "zyx"])) for r in tiles.collect())
+        assert 0 <= pairs <= tiles_.pair_bound(edge, grid, [m], shape, 1, 2, 1 << 20)
+    assert tiles_.pair_bound(8, (40, 40, 40), [np.diag([4.0, 4, 4, 1])], (80, 80, 80), 1, 2, 1000) is None
+
+
 def test_sums_do_not_depend_on_partitions(spark):
     """Equal bits for 1, 7 and 50 partitions, with derivatives."""
     got, p = [], [np.array([0.3, 0.1, -0.2, 0.02, 0.0, 0.01])]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ImageMeta
-from ..operators.statistics import gradient_max, gradient_threshold, histogram_bin
+from ..operators.statistics import gradient_max, histogram_bin, threshold_bin
 from ..operators.stencil import edge_mask, gradient_magnitude
 
 
@@ -15,10 +15,9 @@ def threshold(gradient: DataFrame, fraction: float) -> float:
     """The gradient above which about `fraction` of the interior voxels lie; infinite where there is no gradient. One pass over the voxels."""
     counts = gradient.groupBy("gm").agg(F.count(F.lit(1)).alias("count")).persist(StorageLevel.MEMORY_AND_DISK)
     top = gradient_max(counts)
-    bins = counts.groupBy(histogram_bin(top).alias("bin")).agg(F.sum("count").alias("count"))
-    row = gradient_threshold(bins, top, fraction).first()
+    found = threshold_bin(counts.select(histogram_bin(top).alias("bin"), "count"), top, fraction)
     counts.unpersist()
-    return row["limit"] if row else float("inf")
+    return found[1] if found else float("inf")
 
 
 def mask_image(image: DataFrame, meta: ImageMeta, fraction: float, moving: bool, mask: DataFrame | None = None) -> DataFrame:

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .lcc import CHUNK, Chunks, chunked
 from .pointwise import KEY
-from .statistics import gradient_threshold, histogram_bin
+from .statistics import histogram_bin, threshold_bin
 from .stencil import BALL
-from .tiles import TILE, assembled, boxed, planned
+from .tiles import TILE, assembled, boxed, pair_bound, planned
 
 GRADIENT_RIM, MASK_RIM = 1, 2
 OUTSIDE = -(1 << 15)
@@ -87,11 +87,9 @@ def threshold(source: Chunks, fraction: float) -> float:
     counts = gradient_counts(source).persist(StorageLevel.MEMORY_AND_DISK)
     top, n = counts.agg(F.max("gm"), F.sum("count")).first()
     flat = int(np.prod([max(0, k - 2) for k in source.meta.shape])) - (n or 0)
-    all_counts = counts.union(counts.sparkSession.range(1).select(F.lit(0).cast("long"), F.lit(flat).cast("long")))
-    bins = all_counts.groupBy(histogram_bin(top or 0).alias("bin")).agg(F.sum("count").alias("count"))
-    row = gradient_threshold(bins, top or 0, fraction).first()
+    found = threshold_bin(counts.select(histogram_bin(top or 0).alias("bin"), "count"), top or 0, fraction, zeros=flat)
     counts.unpersist()
-    return row["limit"] if row else float("inf")
+    return found[1] if found else float("inf")
 
 
 def _dilated(core: np.ndarray, moving: bool) -> np.ndarray:
@@ -160,7 +158,9 @@ def rimmed(chunks: Chunks, halo: int) -> Chunks:
         near = near.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
     for c, n in zip(PLACE, grid, strict=True):
         near = near.where(F.col(c).between(0, (int(n) - 1) // edge))
-    tiles = planned(near.distinct(), edge, chunks.meta.shape, [np.eye(4)], chunks.meta.shape, halo, 0, side**3 * 8)
+    most = side**3 * 8
+    tiles = planned(near.distinct(), edge, chunks.meta.shape, [np.eye(4)], chunks.meta.shape, halo, 0, most)
+    bound = pair_bound(edge, chunks.meta.shape, [np.eye(4)], chunks.meta.shape, halo, 0, most)
 
     def work(parts: pd.DataFrame) -> pd.DataFrame:
         first, box = assembled(parts)
@@ -171,7 +171,7 @@ def rimmed(chunks: Chunks, halo: int) -> Chunks:
         inner = out[(slice(halo, halo + edge),) * 3]
         return pd.DataFrame({"cz": [r.z0 // edge], "cy": [r.y0 // edge], "cx": [r.x0 // edge], "n_core": [int((inner > 0).sum())], "data": [out.tobytes()]})
 
-    rows = boxed(tiles, chunks.rows, edge).groupBy(*TILE).applyInPandas(work, "cz long, cy long, cx long, n_core long, data binary")
+    rows = boxed(tiles, chunks.rows, edge, bound=bound).groupBy(*TILE).applyInPandas(work, "cz long, cy long, cx long, n_core long, data binary")
     return Chunks(rows, chunks.meta, halo, edge)
 
 
@@ -179,9 +179,10 @@ def masked_chunks(image: DataFrame | Chunks, meta, fraction: float, moving: bool
     """Cut, threshold and mask: one exchange of the image, of voxels or of chunks without a rim. The result is kept; unpersist its rows after use."""
     halo = (0 if moving else 2) + MASK_RIM + GRADIENT_RIM
     if isinstance(image, Chunks):
-        source = kept(rimmed(signed_chunks(image, mask), halo))
+        source = rimmed(signed_chunks(image, mask), halo)
     else:
-        source = kept(chunked(signed(image, mask), meta, halo, edge))
+        source = chunked(signed(image, mask), meta, halo, edge)
+    source = replace(source, rows=source.rows.persist(StorageLevel.MEMORY_AND_DISK))
     try:
         return kept(mask_chunks(source, threshold(source, fraction), moving))
     finally:

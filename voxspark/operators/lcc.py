@@ -22,10 +22,12 @@ from .exact import LIMBS, from_limbs, to_limbs
 from .pointwise import AXES, KEY, transformed
 from .resample import interpolate_masked
 from .stencil import BALL, CROSS
-from .tiles import BOX_VOXELS, TILE, assembled, boxed, planned, transformed_points
+from .tiles import BOX_VOXELS, TILE, assembled, boxed, pair_bound, planned, transformed_points
+from .written import delete, written
 
 FLAT = 1e-20
 CHUNK = 32
+FEW_ROWS = 100_000  #: rows of sums, some 20 bytes each, that go to the driver as tasks give them
 MARGIN = 6  #: moving voxels by which a pose may leave the one whose boxes are kept
 
 
@@ -198,7 +200,8 @@ class Overlap:
     As long as parameters move no voxel by more than `margin` moving voxels from a kept pose, an evaluation is map only over
     the kept tiles: neither image is moved, and what is exchanged are a few integers a task. Beyond that the boxes are cut
     anew. Tiles are the fixed chunks, or their eighths until a box has at most `most` voxels, so a task holds a tile
-    and its box under any affine transform. Sums are exact (exact.py), and so the same for any number of partitions and tasks.
+    and its box under any affine transform. Boxes are written to the shared folder once and kept from there, so a step plans nothing but
+    itself, and a lost executor costs no step before it. Sums are exact (exact.py), and so the same for any number of partitions and tasks.
     """
 
     def __init__(self, fixed: Chunks, moving: Chunks, margin: int = MARGIN, most: int = BOX_VOXELS):
@@ -207,7 +210,9 @@ class Overlap:
         self.fixed, self.moving, self.margin, self.most = fixed, moving, margin, most
         self.poses: list[np.ndarray] = []
         self.rows: DataFrame | None = None
+        self.path: str | None = None
         self.cuts = 0
+        self.tiles: int | None = None  #: at most so many, where none may have to be cut
 
     def matrix(self, p: np.ndarray) -> np.ndarray:
         return voxel_matrix_from_p(self.fixed.meta, self.moving.meta, p)
@@ -232,14 +237,17 @@ class Overlap:
                 if self._pose(m) is None:
                     self.poses.append(m)
             found = [self._pose(m) for m in matrices]
-            self.rows, self.cuts = self._cut().persist(StorageLevel.MEMORY_AND_DISK), self.cuts + 1
+            rows, self.path = written(self._cut(), "boxes")
+            self.rows, self.cuts = rows.persist(StorageLevel.MEMORY_AND_DISK), self.cuts + 1
         return found
 
     def _cut(self) -> DataFrame:
         f, m = self.fixed, self.moving
         core = f.rows.where("n_core > 0")
         plan = lambda rows, halo: planned(rows, f.edge, f.meta.shape, self.poses, m.meta.shape, 1, self.margin, self.most, halo)
-        parts = boxed(plan(core, None), m.rows, m.edge)
+        bound = pair_bound(f.edge, f.meta.shape, self.poses, m.meta.shape, 1, self.margin, self.most)
+        self.tiles = None if bound is None else len(self.poses) * int(np.prod([-(-n // f.edge) for n in f.meta.shape]))
+        parts = boxed(plan(core, None), m.rows, m.edge, bound=bound)
 
         def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
@@ -255,6 +263,15 @@ class Overlap:
 
     def partials(self, candidates: Sequence[np.ndarray], derivatives: bool = False, around: np.ndarray | None = None) -> DataFrame:
         """candidate, at and limb: the limbs of the sums, added up (at -1: the number of voxels); zeros have no row."""
+        return self._limbs(candidates, derivatives, around).groupBy("candidate", "at").agg(F.sum("limb").alias("limb"))
+
+    def few(self, candidates: Sequence[np.ndarray], derivatives: bool = False) -> bool:
+        """Whether the sums of all tasks are at most FEW_ROWS rows, as the number of tiles shows: a task without a tile gives none."""
+        k = len(candidates[0]) if derivatives else 0
+        return self.tiles is not None and self.tiles * len(candidates) * ((1 + k + k * k) * LIMBS + 1) <= FEW_ROWS
+
+    def _limbs(self, candidates: Sequence[np.ndarray], derivatives: bool, around: np.ndarray | None) -> DataFrame:
+        """The same by task."""
         poses = self.cover(candidates, around)
         f, m, halo = self.fixed.meta, self.moving.meta, self.fixed.halo
         k = len(candidates[0]) if derivatives else 0
@@ -281,17 +298,22 @@ class Overlap:
             columns = np.concatenate([who, some]), np.concatenate([at, np.full(len(some), -1)]), np.concatenate([sums[who, at], numbers[some]])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64()), strict=True)], ["candidate", "at", "limb"])
 
-        return self.rows.mapInArrow(run, LIMB).groupBy("candidate", "at").agg(F.sum("limb").alias("limb"))
+        return self.rows.mapInArrow(run, LIMB)
 
     def evaluate(self, candidates: Sequence[np.ndarray], derivatives: bool = False, around: np.ndarray | None = None) -> list[Similarity]:
-        """The similarity under each candidate's parameters: sums in Spark, some numbers a candidate for the driver."""
+        """The similarity under each candidate's parameters: sums in Spark, some numbers a candidate for the driver.
+
+        A step on a small level is one job: few() sums go to the driver as they are, and have the same bits.
+        """
+        self.cover(candidates, around)
+        given = (self._limbs if self.few(candidates, derivatives) else self.partials)(candidates, derivatives, around)
         k = len(candidates[0]) if derivatives else 0
         limbs, numbers = np.zeros((len(candidates), (1 + k + k * k) * LIMBS), object), [0] * len(candidates)
-        for r in self.partials(candidates, derivatives, around).collect():
-            if r["at"] < 0:
-                numbers[r.candidate] = r.limb
+        for who, at, limb in given.collect():
+            if at < 0:
+                numbers[who] += limb
             else:
-                limbs[r.candidate, r["at"]] = r.limb
+                limbs[who, at] += limb
         out = []
         for n, row in zip(numbers, limbs, strict=True):
             if not n:
@@ -304,7 +326,9 @@ class Overlap:
     def close(self) -> None:
         if self.rows is not None:
             self.rows.unpersist()
-        self.rows, self.poses = None, []
+        if self.path is not None:
+            delete(self.fixed.rows.sparkSession, self.path)
+        self.rows, self.path, self.poses = None, None, []
 
     def __enter__(self) -> Overlap:
         return self

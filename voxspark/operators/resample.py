@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import ImageMeta
 from .pointwise import AXES, KEY, ROUND, inside, rounded, transformed
-from .tiles import BOX_VOXELS, TILE, assembled, boxed, linear_values, mirrored_values, planned, transformed_points
+from .tiles import BOX_VOXELS, TILE, assembled, boxed, linear_values, mirrored_values, pair_bound, planned, transformed_points
 
 
 def downsample(image: DataFrame, shape: Sequence[int], to: Sequence[int], mask: bool = False) -> DataFrame:
@@ -131,7 +131,7 @@ def regridded(grid: ImageMeta, image, matrix: np.ndarray, values: Callable, kind
             v = values(box, first, transformed_points(matrix, x, y, z), shape).astype(number)
         return pd.DataFrame({"z": z.astype(np.int32), "y": y.astype(np.int32), "x": x.astype(np.int32), "v": v})
 
-    return tiles.groupBy(*TILE).cogroup(boxed(tiles, image.rows, edge, source).groupBy(*TILE)).applyInPandas(work, f"z int, y int, x int, v {kind}")
+    return tiles.groupBy(*TILE).cogroup(boxed(tiles, image.rows, edge, source, pair_bound(edge, grid.shape, [matrix], shape, 0, 1, most)).groupBy(*TILE)).applyInPandas(work, f"z int, y int, x int, v {kind}")
 
 
 def transform_chunks(grid: ImageMeta, image, matrix: np.ndarray, mask: bool = False, most: int = BOX_VOXELS) -> DataFrame:

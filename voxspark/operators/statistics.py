@@ -30,8 +30,9 @@ def gradient_histogram(gradient: DataFrame, top: int, bins: int = BINS) -> DataF
     return gradient.groupBy(histogram_bin(top, bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def first_reached(counts: DataFrame, fraction: float, bits: int, digit: int = 10) -> int | None:
+def first_reached(counts: DataFrame, fraction: float, bits: int, digit: int = 10, zeros: int = 0) -> int | None:
     """The least bin (of `bits` bits) up to which at least that share of all counts lies, rounded half up; None without any row.
+    A bin may have several rows; `zeros` more are counted in bin 0.
 
     Digit by digit from the highest: each round adds counts up by one digit among the bins that share the digits found so far, so
     the driver gets 2^digit rows a round at most, and nothing is sorted.
@@ -39,29 +40,37 @@ def first_reached(counts: DataFrame, fraction: float, bits: int, digit: int = 10
     found, want = 0, None
     for low in range((bits - 1) // digit * digit, -1, -digit):
         rows = counts.where(F.shiftright(F.col("bin").cast("long"), low + digit) == found)
-        sums = sorted(rows.groupBy(F.shiftright(F.col("bin").cast("long"), low).alias("d")).agg(F.sum("count").alias("n")).collect())
+        counted = dict(rows.groupBy(F.shiftright(F.col("bin").cast("long"), low).alias("d")).agg(F.sum("count").alias("n")).collect())
+        if zeros and not found:
+            counted[0] = counted.get(0, 0) + zeros
+        sums = sorted(counted.items())
         if not sums:
             return None
         if want is None:
-            want = math.floor(sum(r.n for r in sums) * fraction + 0.5)
-        for r in sums:
-            if r.n >= want:
-                found = r.d
+            want = math.floor(sum(n for _, n in sums) * fraction + 0.5)
+        for d, n in sums:
+            if n >= want:
+                found = d
                 break
-            want -= r.n
+            want -= n
     return found
 
 
-def gradient_threshold(histogram: DataFrame, top: int, fraction: float, bins: int = BINS) -> DataFrame:
-    """bin and limit: the first bin up to which all but `fraction` of the voxels lie.
+def threshold_bin(counts: DataFrame, top: int, fraction: float, bins: int = BINS, zeros: int = 0) -> tuple[int, float] | None:
+    """Bin and limit: the first bin up to which all but `fraction` of the voxels lie. `counts` has columns bin and count, in any number of rows a bin.
 
-    The fraction is held within 0 ... 1. An image without any gradient has no row, and so an empty mask.
+    The fraction is held within 0 ... 1. An image without any gradient has none, and so an empty mask.
     """
+    found = first_reached(counts, 1 - min(1.0, max(0.0, fraction)), (bins - 1).bit_length(), zeros=zeros) if top > 0 else None
+    return None if found is None else (int(found), float(top) * found / float(bins))
+
+
+def gradient_threshold(histogram: DataFrame, top: int, fraction: float, bins: int = BINS) -> DataFrame:
+    """threshold_bin() as a table of one row, or of none."""
     spark, counts = histogram.sparkSession, histogram.select("bin", "count").persist(StorageLevel.MEMORY_AND_DISK)
-    found = first_reached(counts, 1 - min(1.0, max(0.0, fraction)), (bins - 1).bit_length()) if top > 0 else None
+    found = threshold_bin(counts, top, fraction, bins)
     counts.unpersist()
-    rows = [] if found is None else [(int(found), float(top) * found / float(bins))]
-    return spark.createDataFrame(rows, "bin int, limit double")
+    return spark.createDataFrame([found] if found else [], "bin int, limit double")
 
 
 def edge_fraction(fraction: float, base_surface: float, level_surface: float) -> float:

@@ -80,13 +80,28 @@ def planned(rows: DataFrame, edge: int, grid: Sequence[int], poses: Sequence[np.
     return rows.select("cz", "cy", "cx", "data").mapInArrow(run, f"{_INTS}, block binary")
 
 
-def boxed(tiles: DataFrame, chunks: DataFrame, edge: int, kind: np.dtype | str = np.int16) -> DataFrame:
-    """The parts of the boxes: the tiles' columns, with `at` (z, y, x of the part in its box), `n` (its size) and `part`, from chunks of edge^3 voxels without a rim."""
+def pair_bound(edge: int, grid: Sequence[int], poses: Sequence[np.ndarray], shape: Sequence[int], rim: int, margin: int, most: int) -> int | None:
+    """At most so many pairs of a tile and a chunk come of planned() with these arguments, by arithmetic; None where a tile may have to be cut."""
+    chunks, pairs, other = int(np.prod([-(-n // edge) for n in grid])), 0, np.array(shape)
+    for m in poses:
+        span = np.abs(np.asarray(m, float)[:3, :3]) @ np.full(3, edge - 1.0 + 2 * rim) + 1e-6
+        size = np.minimum(np.floor(span) + 3 + 2 * margin, other)
+        if size.prod() > most:
+            return None
+        pairs += chunks * int(np.prod((size - 1) // edge + 2))
+    return pairs
+
+
+def boxed(tiles: DataFrame, chunks: DataFrame, edge: int, kind: np.dtype | str = np.int16, bound: int | None = None) -> DataFrame:
+    """The parts of the boxes: the tiles' columns, with `at` (z, y, x of the part in its box), `n` (its size) and `part`, from chunks of edge^3 voxels without a rim.
+
+    Pairs are broadcast where `bound`, which they cannot exceed, or else their count allows it.
+    """
     span = lambda b, s: F.sequence(F.floor(F.col(b) / edge), F.floor((F.col(b) + F.col(s) - 1) / edge))
     pairs = tiles.where("sz > 0")
     for k in "zyx":
         pairs = pairs.withColumn(f"c{k}", F.explode(span(f"b{k}", f"s{k}")))
-    few = pairs.count() <= FEW_PAIRS
+    few = bound is not None and bound <= FEW_PAIRS or pairs.count() <= FEW_PAIRS
     met = chunks.select("cz", "cy", "cx", "data").join(F.broadcast(pairs) if few else pairs, ["cz", "cy", "cx"])
     names = [c.split()[0] for c in _INTS.split(", ")]
     kind = np.dtype(kind)
