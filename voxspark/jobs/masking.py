@@ -21,5 +21,5 @@ def threshold(gradient: DataFrame, fraction: float) -> float:
 
 
 def mask_image(image: DataFrame, meta: ImageMeta, fraction: float, moving: bool, mask: DataFrame | None = None) -> DataFrame:
-    gradient = gradient_magnitude(image, meta.shape, mask)
+    gradient = gradient_magnitude(image, meta.shape, mask, unknown=True)
     return edge_mask(image, gradient, threshold(gradient, fraction), moving)
