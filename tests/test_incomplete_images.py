@@ -38,6 +38,10 @@ def test_masks_of_voxels_that_are_there(spark, incomplete, name):
     assert equal(spark, incomplete, name)
 
 
+def test_a_file_gives_back_the_voxels_of_its_table(spark, incomplete):
+    assert equal(spark, incomplete, "mhd_round_trip")
+
+
 @pytest.mark.parametrize("name", ["transform_block_chunked", "transform_mask_chunked", "resample_linear_chunked"])
 def test_grids_have_the_voxels_of_their_image(spark, incomplete, name):
     assert equal(spark, incomplete, name)
