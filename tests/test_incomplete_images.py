@@ -45,3 +45,7 @@ def test_a_file_gives_back_the_voxels_of_its_table(spark, incomplete):
 @pytest.mark.parametrize("name", ["transform_block_chunked", "transform_mask_chunked", "resample_linear_chunked"])
 def test_grids_have_the_voxels_of_their_image(spark, incomplete, name):
     assert equal(spark, incomplete, name)
+
+
+def test_an_image_moves_within_its_voxels(spark, incomplete):
+    assert equal(spark, incomplete, "shifted_volume")
