@@ -298,6 +298,30 @@ def test_ratio_keeps_trusted_documents(spark, sf):
     assert sum(r.kept for r in good) >= 0.97 * len(good)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_all_labels_count(spark, monkeypatch, most):
+    """More labelled documents than any sample held: every trusted one adds to the target, and quantiles are those of all."""
+    monkeypatch.setattr(quality, "BROADCAST_LABELS", most)
+    n = 20_050
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id % 7, ' v', id % 11, ' ', array_join(transform(sequence(1, 60), i -> concat('x', i)), ' ')) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    got = {r.bucket: (r.raw, r.target) for r in quality.bucket_counts(docs, quality.labelled(labels, 1)).collect()}
+    assert sum(t for _, t in got.values()) == n * (2 * 62 - 1) and all(r == t for r, t in got.values())
+    ratio = quality.fit_ratio(docs, labels)
+    assert np.allclose(ratio.weights, 0) and abs(ratio.threshold) < 1e-9
+
+
+@pytest.mark.parametrize("q", [0.0, 0.002, 0.37, 0.9, 1.0])
+def test_quantiles_of_counted_values(spark, monkeypatch, q):
+    monkeypatch.setattr(quality, "QUANTILE_BINS", 5)
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=300), np.repeat(0.25, 100), [1e-13, 2e-13, -40.0]])
+    counted = [(float(v), int(k)) for v, k in zip(*np.unique(values, return_counts=True), strict=True)]
+    counts = spark.createDataFrame(counted, "llr double, n long")
+    assert np.isclose(quality.quantile_of(counts, q), np.quantile(values, q), rtol=1e-12, atol=1e-15)
+    assert quality.quantile_of(counts.limit(0), q) is None and quality.quantile_of(counts.where("llr = 0.25"), q) == 0.25
+
+
 def test_ratio_of_odd_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (6, 1, None), (None, 1, 0), (9, 0, 0), (9, None, 0), (77, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.apply_ratio(odd_docs, quality.fit_ratio(odd_docs, labels)).count() == odd_docs.count()

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from .common import hashed_words, mixed, raw_bytes, strings, table, with_columns
 
 BUCKETS = 1 << 14
-TRUSTED_MOST = 20_000
+QUANTILE_BINS = 4096
+BROADCAST_LABELS = 1 << 20
 QUANTILE = 0.002
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -37,8 +38,9 @@ def features(h: np.ndarray) -> np.ndarray:
 def bucket_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """bucket, raw, target: n-gram counts over every document, and over those in `trusted` (doc_id).
 
-    One pass; each task adds up its own table of buckets, so what is shuffled is bounded by
-    tasks x buckets whatever the rows are. `trusted` holds at most TRUSTED_MOST ids.
+    One pass; each task adds up its own table of buckets, so the tables that are shuffled are bounded by
+    tasks x buckets whatever the rows are. `trusted` has distinct ids, any number of them: BROADCAST_LABELS are
+    broadcast at most, and the texts are shuffled once to meet more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,27 +55,58 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], ["bucket", "raw", "target"])
 
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(few(trusted.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left")
     parts = marked.select("text", "good").mapInArrow(run, "bucket long, raw long, target long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def labelled(labels: DataFrame, quality: int, most: int) -> DataFrame:
-    """At most `most` distinct labelled ids of that quality, the same ones at every run."""
-    ids = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def few(ids: DataFrame) -> DataFrame:
+    """Broadcast where they are counted and at most BROADCAST_LABELS."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_LABELS else ids
 
 
-def fit_ratio(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_MOST, quantile: float = QUANTILE) -> Ratio:
+def labelled(labels: DataFrame, quality: int) -> DataFrame:
+    """All labelled ids of that quality, each once."""
+    return labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+
+
+def quantile_of(counts: DataFrame, q: float) -> float | None:
+    """The exact quantile, between neighbours in proportion, of values `llr` that occur `n` times each; None without any.
+
+    The range is cut into bins, then the bin that holds the rank, until that has one value: the driver gets QUANTILE_BINS rows a
+    round at most, and nothing is sorted or gathered in a task.
+    """
+    low, high, total = counts.agg(F.min("llr"), F.max("llr"), F.sum("n")).first()
+    if not total:
+        return None
+    at = (total - 1) * q
+    rank, below, upto = int(at), 0, 0
+    while True:
+        bins = F.least(F.floor((F.col("llr") - low) / (high - low) * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1)) if high > low else F.lit(0)
+        rows = counts.where(F.col("llr").between(low, high)).groupBy(bins.alias("bin")).agg(F.sum("n").alias("n"), F.min("llr").alias("low"), F.max("llr").alias("high")).collect()
+        for r in sorted(rows):
+            if (upto := below + r.n) > rank:
+                low, high = r.low, r.high
+                break
+            below = upto
+        if low == high:
+            break
+    part = at - rank
+    if not part or rank + 1 < upto:
+        return low
+    return low + part * (counts.where(F.col("llr") > low).agg(F.min("llr")).first()[0] - low)
+
+
+def fit_ratio(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Ratio:
     """Both multinomials with one added to each bucket, and the threshold.
 
-    The trusted target is the documents of quality 1, at most `most` of them (a bounded
-    classifier sample); raw counts cover all documents. The threshold is the middle between the given low
-    quantile of the trusted documents' own mean log-ratio and the 0.9 quantile of those
+    The trusted target is all documents of quality 1; raw counts cover all documents. The threshold is the middle between
+    the given low quantile of the trusted documents' own mean log-ratio and the 0.9 quantile of those
     labelled 0, where the latter is lower, else the former: trusted documents stay but for
-    few. With no trusted document the ratio is 0 everywhere and every document passes.
+    few. With no trusted document the ratio is 0 everywhere and every document passes. Documents meet their
+    labels by id after they have been scored, so that no text is moved for the threshold.
     """
-    good = labelled(labels, 1, most).cache()
+    good = labelled(labels, 1).persist()
     counts = np.zeros((2, BUCKETS))
     for r in bucket_counts(docs, good).toLocalIterator():
         counts[0, r.bucket], counts[1, r.bucket] = r.raw, r.target
@@ -81,14 +114,15 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_MOST, quan
         return Ratio(np.zeros(BUCKETS), 0.0)
     raw, target = counts + 1
     weights = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    known = good.withColumn("good", F.lit(True)).unionByName(labelled(labels, 0, most).withColumn("good", F.lit(False)))
-    own = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    scored = apply_ratio(own, Ratio(weights, 0.0)).where(~F.col("base_failed"))
-    got = {r.good: r for r in scored.groupBy("good").agg(F.percentile("llr", quantile).alias("low"), F.percentile("llr", 0.9).alias("high")).collect()}
+    known = good.withColumn("good", F.lit(True)).unionByName(labelled(labels, 0).withColumn("good", F.lit(False)))
+    scored = apply_ratio(docs.select("doc_id", "text"), Ratio(weights, 0.0)).where(~F.col("base_failed")).select("doc_id", "llr")
+    counts = scored.join(few(known), "doc_id").groupBy("good", "llr").agg(F.count(F.lit(1)).alias("n")).persist()
+    low = quantile_of(counts.where("good"), quantile)
+    high = quantile_of(counts.where("not good"), 0.9)
+    counts.unpersist()
     good.unpersist()
-    low = got[True].low if True in got else 0.0
-    high = got[False].high if False in got else low
-    return Ratio(weights, (low + min(low, high)) / 2)
+    low = 0.0 if low is None else low
+    return Ratio(weights, (low + min(low, low if high is None else high)) / 2)
 
 
 def repeated_words(codes: np.ndarray) -> int:
