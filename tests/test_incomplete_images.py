@@ -49,3 +49,20 @@ def test_grids_have_the_voxels_of_their_image(spark, incomplete, name):
 
 def test_an_image_moves_within_its_voxels(spark, incomplete):
     assert equal(spark, incomplete, "shifted_volume")
+
+
+@pytest.fixture(scope="module")
+def gappy(tmp_path_factory):
+    """Lines are missing inside of slices, and a whole slice."""
+    folder = tmp_path_factory.mktemp("gappy")
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").sort_by("vec_id").slice(0, LINES).to_pandas()
+    table = table[~table.vec_id.isin([137, 210, 211, 212, 340, *range(400, 425)])]
+    table.to_parquet(folder / "embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    return str(folder), db
+
+
+@pytest.mark.parametrize("name", ["edge_mask_chunked_fixed", "edge_mask_chunked_moving", "edge_mask_moving", "edge_mask_with_mask_chunked", "edge_moments", "interp_masked", "lcc_candidates", "lcc_candidates_chunked"])
+def test_masks_of_images_with_gaps(spark, gappy, name):
+    assert equal(spark, gappy, name)

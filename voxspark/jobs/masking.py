@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.geometry import ImageMeta
-from ..operators.statistics import gradient_max, histogram_bin, threshold_bin
-from ..operators.stencil import edge_mask, gradient_magnitude
-
-
-def threshold(gradient: DataFrame, fraction: float) -> float:
-    """The gradient above which about `fraction` of the interior voxels lie; infinite where there is no gradient. One pass over the voxels."""
-    counts = gradient.groupBy("gm").agg(F.count(F.lit(1)).alias("count")).persist(StorageLevel.MEMORY_AND_DISK)
-    top = gradient_max(counts)
-    found = threshold_bin(counts.select(histogram_bin(top).alias("bin"), "count"), top, fraction)
-    counts.unpersist()
-    return found[1] if found else float("inf")
+from ..operators.statistics import gradient_limit as threshold
+from ..operators.stencil import edge_mask, gapless, gradient_magnitude
 
 
 def mask_image(image: DataFrame, meta: ImageMeta, fraction: float, moving: bool, mask: DataFrame | None = None) -> DataFrame:
     gradient = gradient_magnitude(image, meta.shape, mask, unknown=True)
-    return edge_mask(image, gradient, threshold(gradient, fraction), moving)
+    return edge_mask(image, gradient, threshold(gradient, fraction), moving, not moving or gapless(image, meta.shape))
