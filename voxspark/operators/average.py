@@ -16,6 +16,7 @@ import pyarrow as pa
 
 from ..functions.geometry import ImageMeta
 from .lcc import Chunks
+from .tiles import buffers
 
 PIECE = "cz long, cy long, cx long, at array<int>, n array<int>, done binary, cells array<int>, sums array<long>"
 
@@ -53,7 +54,7 @@ def averaged(image: Chunks, to: ImageMeta, mask: bool = False) -> Chunks:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for place, data in zip(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True), b.column(3).to_pylist(), strict=True):
+            for place, data in zip(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True), buffers(b.column(3)), strict=True):
                 first = [c * edge for c in place]
                 a = np.frombuffer(data, kind).reshape(edge, edge, edge)[tuple(slice(n - f) for f, (n, _) in zip(first, sizes, strict=True))].astype(np.int64)
                 lows, wholes = [], []
