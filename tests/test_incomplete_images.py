@@ -66,3 +66,34 @@ def gappy(tmp_path_factory):
 @pytest.mark.parametrize("name", ["edge_mask_chunked_fixed", "edge_mask_chunked_moving", "edge_mask_moving", "edge_mask_with_mask_chunked", "edge_moments", "interp_masked", "lcc_candidates", "lcc_candidates_chunked"])
 def test_masks_of_images_with_gaps(spark, gappy, name):
     assert equal(spark, gappy, name)
+
+
+@pytest.mark.parametrize("name", ["lcc_derivatives"])
+def test_slopes_of_images_with_gaps(spark, gappy, name):
+    """A slope reaches over a gap to the next voxel that is there."""
+    assert equal(spark, gappy, name)
+
+
+@pytest.fixture(scope="module")
+def late(tmp_path_factory):
+    """The first slices are missing, and the first line of others: slopes of voxels around edges are unknown there."""
+    return table_of(tmp_path_factory.mktemp("late"), lambda t: t[~t.vec_id.isin([100, 150, 175])].assign(vec_id=lambda k: k.vec_id + 1025))
+
+
+@pytest.mark.parametrize("name", ["lcc_derivatives"])
+def test_unknown_slopes_leave_out_their_derivatives_alone(spark, late, name):
+    assert equal(spark, late, name)
+
+
+@pytest.mark.parametrize("name", ["lcc_derivatives"])
+def test_derivatives_without_overlap_are_null(spark, tmp_path, name):
+    folder, db = table_of(tmp_path, lambda t: t[t.vec_id < 60])
+    assert equal(spark, (folder, db), name)
+    assert catalog.QUERIES[name](spark, folder).first()["n"] == 0
+
+
+def table_of(folder, change):
+    change(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").sort_by("vec_id").slice(0, LINES).to_pandas()).to_parquet(folder / "embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    return str(folder), db
