@@ -68,7 +68,7 @@ def test_masks_of_images_with_gaps(spark, gappy, name):
     assert equal(spark, gappy, name)
 
 
-@pytest.mark.parametrize("name", ["lcc_derivatives"])
+@pytest.mark.parametrize("name", ["lcc_derivatives", "lcc_derivatives_affine"])
 def test_slopes_of_images_with_gaps(spark, gappy, name):
     """A slope reaches over a gap to the next voxel that is there."""
     assert equal(spark, gappy, name)
@@ -80,12 +80,12 @@ def late(tmp_path_factory):
     return table_of(tmp_path_factory.mktemp("late"), lambda t: t[~t.vec_id.isin([100, 150, 175])].assign(vec_id=lambda k: k.vec_id + 1025))
 
 
-@pytest.mark.parametrize("name", ["lcc_derivatives"])
+@pytest.mark.parametrize("name", ["lcc_derivatives", "lcc_derivatives_affine"])
 def test_unknown_slopes_leave_out_their_derivatives_alone(spark, late, name):
     assert equal(spark, late, name)
 
 
-@pytest.mark.parametrize("name", ["lcc_derivatives"])
+@pytest.mark.parametrize("name", ["lcc_derivatives", "lcc_derivatives_affine"])
 def test_derivatives_without_overlap_are_null(spark, tmp_path, name):
     folder, db = table_of(tmp_path, lambda t: t[t.vec_id < 60])
     assert equal(spark, (folder, db), name)
