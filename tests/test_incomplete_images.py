@@ -97,3 +97,32 @@ def table_of(folder, change):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
     return str(folder), db
+
+
+@pytest.fixture(scope="module")
+def unknown(tmp_path_factory):
+    """Vectors that are null, short, or have a null: their lines are there, their grey values are not known."""
+
+    def change(t):
+        e = [v.tolist() for v in t.embedding]
+        e[137], e[300], e[420][20] = None, e[300][:40], None
+        return t.assign(embedding=e)
+
+    return table_of(tmp_path_factory.mktemp("unknown"), change)
+
+
+@pytest.mark.parametrize("name", ["voxelize_rescale", "edge_mask_chunked_fixed", "edge_mask_chunked_moving", "lcc_derivatives", "lcc_derivatives_affine"])
+def test_unknown_grey_values_are_no_gaps(spark, unknown, name):
+    folder, db = unknown
+    df = catalog.QUERIES[name](spark, folder)
+    got, want = df.collect(), db.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.SQL[name]})").fetchall()
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert len(got) == len(want) and all(same(x, y) for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True) for x, y in zip(g, w, strict=True))
+
+
+@pytest.mark.parametrize("name", ["lcc_derivatives", "lcc_derivatives_affine"])
+def test_derivatives_of_an_empty_table_are_null(spark, tmp_path, name):
+    pq.write_table(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").slice(0, 0), tmp_path / "embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    assert equal(spark, (str(tmp_path), db), name)
