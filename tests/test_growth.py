@@ -28,3 +28,26 @@ def test_blocks_of_a_batch_are_copied_one_at_a_time():
         assert pa.total_allocated_bytes() - held < 4 << 20
     assert none == 1 and tracemalloc.get_traced_memory()[1] < 4 << 20
     tracemalloc.stop()
+
+
+def exchanged(df):
+    """Rows and bytes that the exchanges of a query that has run have written."""
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        name, metrics = node.getClass().getSimpleName(), node.metrics()
+        if name == "ShuffleExchangeExec":
+            found.append([metrics.apply(m).value() for m in ("shuffleRecordsWritten", "shuffleBytesWritten")])
+        if name == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            left.append(node.plan())
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return [sum(v) for v in zip(*found, strict=True)]
+
+
+def test_candidates_exchange_tiles_and_no_row_by_voxel(spark, sf):
+    df = catalog.QUERIES["lcc_candidates"](spark, sf)
+    assert len(df.collect()) == len(catalog.SHIFTS)
+    rows, size = exchanged(df)
+    assert rows < 1000 and size < 10 * 32000

@@ -157,6 +157,24 @@ def test_chunks_agree_with_the_relational_form(spark):
     assert got[2].n == 0
 
 
+@pytest.mark.parametrize("most", [1 << 21, 300])
+def test_candidates_in_one_job(spark, most):
+    """As the relational form, and in the bits of kept boxes; poses that lie apart have boxes of their own, and one without overlap has no row."""
+    rng = np.random.default_rng(9)
+    a = _masked(rng.integers(1, 900, (14, 15, 16)), rng)
+    b = _masked(np.abs(np.roll(a, 1, 2)) + rng.integers(0, 3, a.shape), rng)
+    f = ImageMeta((16, 15, 14))
+    ps = [np.array(p) for p in ((1.0, 0, 0, 0, 0, 0), (90.0, 0, 0, 0, 0, 0), (0.7, 0.2, -0.4, 0.02, -0.03, 0.05), (-4.0, 3, 0.5, 0, 0, 0), (1.0, 0.5, 0, 0, 0, 0))]
+    matrices = [voxel_matrix_from_p(f, f, p) for p in ps]
+    voxels = table(spark, a), table(spark, b)
+    fixed, moving = chunked(voxels[0], f, 2, edge=6), chunked(voxels[1], f, 0, edge=6)
+    got = {r.candidate: (r.n, r.lcc) for r in lcc.lcc_candidates(fixed, moving, matrices, most=most).collect()}
+    assert got == {i: (s.n, s.lcc) for i, s in enumerate(evaluate(fixed, moving, ps)) if s.n} and sorted(got) == [0, 2, 3, 4]
+    for i, (n, value) in got.items():
+        r = lcc.lcc_value(*voxels, f.shape, f.shape, matrices[i]).first()
+        assert n == r.n and np.isclose(value, r.lcc)
+
+
 def test_similarity_is_invariant_under_linear_grey_maps(spark):
     a = phantom(12)
     f = ImageMeta((12, 12, 12))
